@@ -29,6 +29,8 @@ PLAIN = ("blog", "news", "shop", "store", "free", "cheap", "best", "win", "farm"
 #: Words and tokens that the driver holds at most.
 WORDS = 50_000
 TOKENS = 200_000
+#: Tokens that each seed word, and the other urls as a whole, count as in the class "block".
+SEED_WEIGHT, PRIOR_WEIGHT = 20, 2_000
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -117,9 +119,11 @@ def learn(pages: DataFrame, seg: Segmenter, seeds: tuple[str, ...] = SEEDS, limi
     docs = by.pop("", (0, 0))
     for w in seeds:
         n = by.get(f"h:{w}", (0, 0))
-        by[f"h:{w}"] = (n[0] + 20, n[1])
-    sums = [sum(x[k] for x in by.values()) + len(by) for k in (0, 1)]
-    ratio = {t: math.log((b + 1) / sums[0]) - math.log((o + 1) / sums[1]) for t, (b, o) in by.items()}
+        by[f"h:{w}"] = (n[0] + SEED_WEIGHT, n[1])
+    block, other = (sum(x[k] for x in by.values()) for k in (0, 1))
+    # the class "block" is smoothed towards the other urls, so that tokens seldom seen there tell little either way
+    q = {t: (o + 0.1) / (other + 0.1 * len(by)) for t, (_, o) in by.items()}
+    ratio = {t: math.log((b + PRIOR_WEIGHT * q[t]) / (block + PRIOR_WEIGHT)) - math.log(q[t]) for t, (b, _) in by.items()}
     return ratio, math.log((docs[0] + 1) / (docs[1] + 1))
 
 
