@@ -85,7 +85,7 @@ class Segmenter:
         return tuple(reversed(out))
 
     def host_words(self, host: str) -> list[str]:
-        return [w for label in re.findall("[a-z]+", host[:1024]) for w in self.split(label)]
+        return [w for label in re.findall("[a-z]+", host) for w in self.split(label)]
 
 
 def _rebuilt(cost: dict[str, float], unknown: float, longest: int) -> Segmenter:
