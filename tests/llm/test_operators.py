@@ -156,3 +156,10 @@ def test_warc_round_trip_and_salvage(spark):
     torn = members[0] + members[1][:40] + members[2] + b"junk" + members[3]
     found = list(warc.salvage(torn))
     assert [r["kind"] for r in found] == ["record", "gap", "record", "gap", "record"] and found[3]["length"] == 4
+    record = [warc._record(i, None, "00" * 20, 3, None, None) for i in range(4)]
+    hurt = record[1].replace(b"Content-Length: ", b"Content-Length: 9", 1)
+    many = list(warc.salvage(members[0] + warc._member(record[0] + hurt + record[2] + record[3]) + members[1]))
+    assert [r["kind"] for r in many] == ["record", "record", "gap", "record", "record", "record"]
+    assert many[2]["offset"] == len(members[0]) and f"bytes {len(record[0])} to {len(record[0] + hurt)}" in many[2]["reason"]
+    plain = list(warc.salvage(record[0] + hurt + record[2]))
+    assert [r["kind"] for r in plain] == ["record", "gap", "record"] and plain[1]["length"] == len(hurt)

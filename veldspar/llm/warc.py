@@ -6,7 +6,8 @@ revisits that refer to it and carry no payload.
 
 Reading: members (or plain records) are checked: gzip checksum, version line, content length, closing blank lines,
 SHA-1 of block and payload. After a failed check the reader searches for the next valid member or version line, goes on there,
-and logs the bytes between as a quarantined gap with the reason.
+and logs the bytes between as a quarantined gap with the reason. Within a sound member of several records the search goes by
+version lines of the inflated bytes.
 
 Defined results: a null payload is empty; null or line-broken urls are percent-encoded or left out; repeated rows with
 the largest id are responses all; a null id is a record of its own without a number; empty tables write no record;
@@ -171,36 +172,52 @@ def _next(data: bytes, at: int) -> int:
     return min(found, default=len(data))
 
 
+def _inner(data: bytes) -> Iterator[dict[str, Any]]:
+    """Records and gaps of a member whose checksum is right; a gap takes the member's place, its reason names the inflated bytes."""
+    at, bad, reason = 0, -1, ""
+    gap = lambda end: {"kind": "gap", "reason": f"inflated bytes {bad} to {end}: {reason}"}
+    while at < len(data):
+        try:
+            record, end = parse_record(data, at)
+        except Damage as e:
+            if bad < 0:
+                bad, reason = at, str(e)
+            m = _VERSION.search(data, at + 1)
+            at = m.start() if m else len(data)
+            continue
+        if bad >= 0:
+            yield gap(at)
+            bad = -1
+        yield {"kind": "record"} | record
+        at = end
+    if bad >= 0:
+        yield gap(len(data))
+
+
 def salvage(data: bytes) -> Iterator[dict[str, Any]]:
     """Records (kind "record") and quarantined byte gaps (kind "gap": offset, length, reason) of one archive, in order."""
     at, bad, reason = 0, -1, ""
     while at < len(data):
-        found: list[dict[str, Any]] = []
         begin = at
         try:
             if data.startswith(_GZIP, at):
                 inner, end = _inflate(data, at)
-                pos = 0
-                while pos < len(inner):
-                    record, pos = parse_record(inner, pos)
-                    found.append(record)
+                found = list(_inner(inner))
+                if inner and not any(r["kind"] == "record" for r in found):
+                    raise Damage(f"member without a valid record: {found[0]['reason']}")
             else:
                 record, end = parse_record(data, at)
-                found.append(record)
-            at = end
+                found = [{"kind": "record"} | record]
         except Damage as e:
             if bad < 0:
                 bad, reason = at, str(e)
             at = _next(data, at + 1)
-            if found:  # whole records before the damage inside a member
-                yield {"kind": "gap", "offset": bad, "length": at - bad, "reason": reason}
-                bad = -1
-                yield from ({"kind": "record", "offset": begin, "length": at - begin} | r for r in found)
             continue
+        at = end
         if bad >= 0:
             yield {"kind": "gap", "offset": bad, "length": begin - bad, "reason": reason}
             bad = -1
-        yield from ({"kind": "record", "offset": begin, "length": at - begin} | r for r in found)
+        yield from ({"offset": begin, "length": at - begin} | r for r in found)
     if bad >= 0:
         yield {"kind": "gap", "offset": bad, "length": len(data) - bad, "reason": reason}
 
