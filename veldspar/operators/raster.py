@@ -5,9 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_LINES = Window.partitionBy("image_id", "line").orderBy("sample")
-_SAMPLES = Window.partitionBy("image_id", "sample").orderBy("line")
-
 
 def downsample_mask(pixels: DataFrame, factor: int) -> DataFrame:
     """A block is valid if all its pixels are."""
@@ -18,7 +15,8 @@ def downsample_mask(pixels: DataFrame, factor: int) -> DataFrame:
 def with_neighbours(pixels: DataFrame) -> DataFrame:
     """Values of the four neighbours (null at edges or where invalid)."""
     v = F.when(F.col("valid"), F.col("value"))
-    return pixels.withColumns({"w": F.lag(v).over(_LINES), "e": F.lead(v).over(_LINES), "n": F.lag(v).over(_SAMPLES), "s": F.lead(v).over(_SAMPLES)})
+    row, column = Window.partitionBy("image_id", "line").orderBy("sample"), Window.partitionBy("image_id", "sample").orderBy("line")
+    return pixels.withColumns({"w": F.lag(v).over(row), "e": F.lead(v).over(row), "n": F.lag(v).over(column), "s": F.lead(v).over(column)})
 
 
 def gradients(pixels: DataFrame) -> DataFrame:
