@@ -5,11 +5,11 @@ The model's tables are derived from the test tables by expressions that Spark an
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veldspar.functions import geometry as geo
-from veldspar.operators import catalogue, gates, governance, graph, lifecycle, raster, tiepoints
+from veldspar.operators import catalogue, gates, governance, graph, lifecycle, pyramid, raster, tiepoints
 
 # --- derived tables ----------------------------------------------------------------------------------------------
 
@@ -382,6 +382,81 @@ def ncc_scores(spark, d):
     return raster.ncc(p.join(q, ["line", "sample"]), ["line"], F.col("value"), F.col("y")).select("line", _r(F.col("ncc")).alias("ncc"))
 
 
+# --- pyramids ----------------------------------------------------------------------------------------------------
+
+
+def dense_pixels(spark: SparkSession, d: str) -> DataFrame:
+    """pixels with lines numbered from 0 within each image."""
+    e = _t(spark, d, "embeddings").select(F.col("label").cast("long").alias("image_id"), "vec_id", "embedding")
+    e = e.withColumn("line", F.row_number().over(Window.partitionBy("image_id").orderBy("vec_id")).cast("long") - 1)
+    rows = e.select("image_id", "line", F.posexplode("embedding").alias("sample", "v"))
+    return rows.select("image_id", "line", F.col("sample").cast("long"), F.col("v").cast("double").alias("value"), (F.col("v") > -0.15).alias("valid"))
+
+
+_DENSE = """d AS (SELECT image_id, line, cast(p - 1 AS bigint) AS sample, cast(embedding[p] AS double) AS value, embedding[p] > -0.15 AS valid
+    FROM (SELECT cast(label AS bigint) AS image_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS line, embedding, unnest(range(1, 65)) AS p FROM embeddings)),
+    h AS (SELECT image_id, max(line) + 1 AS h, max(sample) + 1 AS w FROM d GROUP BY 1)"""
+
+
+def _blur_sql(sigma: float) -> str:
+    """Table b: d blurred, by joins with a kernel table and clamped positions."""
+    k = pyramid.kernel(sigma)
+    rows = ", ".join(f"({i}, {k[abs(i)]!r})" for i in range(1 - len(k), len(k)))
+    return f"""k(i, g) AS (VALUES {rows}),
+    a AS (SELECT d.image_id, d.line, d.sample, d.valid, sum(g * o.value) AS value FROM d JOIN h USING (image_id) CROSS JOIN k JOIN d o ON o.image_id = d.image_id AND o.line = d.line AND o.sample = least(greatest(d.sample + i, 0), w - 1) GROUP BY ALL),
+    b AS (SELECT a.image_id, a.line, a.sample, a.valid, sum(g * o.value) AS value FROM a JOIN h USING (image_id) CROSS JOIN k JOIN a o ON o.image_id = a.image_id AND o.sample = a.sample AND o.line = least(greatest(a.line + i, 0), h - 1) GROUP BY ALL)"""
+
+
+@query(f"WITH {_DENSE}, {_blur_sql(1.0)} SELECT image_id, line, sample, round(value, 6) AS value FROM b")
+def blurred_pixels(spark, d):
+    return pyramid.gaussian_blur(dense_pixels(spark, d), 1.0).select("image_id", "line", "sample", _r(F.col("value")).alias("value"))
+
+
+@query(f"""WITH {_DENSE}, {_blur_sql(0.5 * 3**0.5)}, m AS (SELECT image_id, line // 2 AS line, sample // 2 AS sample, bool_and(valid) AS valid FROM d GROUP BY 1, 2, 3)
+    SELECT m.image_id, m.line, m.sample, round(b.value, 6) AS value, m.valid FROM m JOIN b ON b.image_id = m.image_id AND b.line = 2 * m.line AND b.sample = 2 * m.sample""")
+def common_resolution_level(spark, d):
+    return pyramid.decimate(dense_pixels(spark, d), 2.6).select("image_id", "line", "sample", _r(F.col("value")).alias("value"), "valid")
+
+
+@query("SELECT p_partkey AS pair, l::INT AS level, greatest(p_size * 0.5e0, p_partkey % 7 + 0.25e0) * 2 ** l AS level_gsd_m FROM part, range(4) t(l)")
+def paired_pyramid_levels(spark, d):
+    pairs = _t(spark, d, "part").selectExpr("p_partkey AS pair", "p_size * 0.5D AS gsd_m", "p_partkey % 7 + 0.25D AS reference_gsd_m")
+    return pyramid.pyramid_levels(pairs, 4).select("pair", "level", "level_gsd_m")
+
+
+def _axis_sql(name: str, n_in: str, n_out: int) -> str:
+    x = f"least(greatest((o + 0.5e0) * {n_in} / {n_out} - 0.5e0, 0), {n_in} - 1)"
+    return f"{name} AS (SELECT image_id, o, floor(x)::BIGINT AS lo, least(floor(x)::BIGINT + 1, n - 1) AS hi, x - floor(x) AS f FROM (SELECT image_id, o, {x} AS x, {n_in} AS n FROM h, range({n_out}) t(o)))"
+
+
+@query(f"""WITH {_DENSE}, {_axis_sql("y", "h", 24)}, {_axis_sql("x", "w", 40)}
+    SELECT y.image_id, y.o AS line, x.o AS sample, round((1 - y.f) * ((1 - x.f) * a.value + x.f * b.value) + y.f * ((1 - x.f) * c.value + x.f * e.value), 6) AS value
+    FROM y JOIN x USING (image_id) JOIN d a ON a.image_id = y.image_id AND a.line = y.lo AND a.sample = x.lo JOIN d b ON b.image_id = y.image_id AND b.line = y.lo AND b.sample = x.hi
+    JOIN d c ON c.image_id = y.image_id AND c.line = y.hi AND c.sample = x.lo JOIN d e ON e.image_id = y.image_id AND e.line = y.hi AND e.sample = x.hi""")
+def bilinear_resize(spark, d):
+    return pyramid.resize_bilinear(dense_pixels(spark, d), 24, 40).select("image_id", F.col("line").cast("long"), F.col("sample").cast("long"), _r(F.col("value")).alias("value"))
+
+
+@query(f"""WITH {_DENSE} SELECT d.image_id, y.o AS line, x.o AS sample, bool_and(valid) AS valid FROM d JOIN h USING (image_id), range(3) y(o), range(40) x(o)
+    WHERE d.line * 3 < (y.o + 1) * h AND (d.line + 1) * 3 > y.o * h AND d.sample * 40 < (x.o + 1) * w AND (d.sample + 1) * 40 > x.o * w GROUP BY 1, 2, 3""")
+def resampled_mask(spark, d):
+    return pyramid.resample_mask(dense_pixels(spark, d), 3, 40)
+
+
+@query(f"WITH {_DENSE} SELECT image_id, line, sample, valid AND value < 0.15 AND sample % 16 < 15 AS eligible FROM d")
+def eligibility_masks(spark, d):
+    p = dense_pixels(spark, d)
+    return pyramid.combine_masks(p, p.withColumn("valid", F.col("value") < 0.15), p.withColumn("valid", F.col("sample") % 16 < 15))
+
+
+@query(f"""WITH {_DENSE}, n AS (SELECT d.image_id, d.line, d.sample, d.value, d.valid, o.value AS v, o.valid AS ok FROM d JOIN d o ON o.image_id = d.image_id AND o.line BETWEEN d.line - 2 AND d.line + 2 AND o.sample BETWEEN d.sample - 2 AND d.sample + 2),
+    m AS (SELECT image_id, line, sample, value, valid, median(v) FILTER (ok) AS m, count(*) AS area, count(*) FILTER (ok) AS support FROM n GROUP BY ALL),
+    a AS (SELECT m.*, (SELECT 1.4826 * median(abs(o.value - m.m)) FROM d o WHERE o.image_id = m.image_id AND o.valid AND o.line BETWEEN m.line - 2 AND m.line + 2 AND o.sample BETWEEN m.sample - 2 AND m.sample + 2) AS mad FROM m)
+    SELECT image_id, line, sample, round(CASE WHEN valid AND support >= greatest(9, ceil(area * 0.5)) THEN CASE WHEN mad <= 1e-12 THEN 0 ELSE greatest(-1, least(1, (value - m) / mad / 3)) END END, 6) AS radiometry FROM a""")
+def local_radiometry(spark, d):
+    return pyramid.local_radiometry(dense_pixels(spark, d), 5).select("image_id", "line", "sample", _r(F.col("radiometry")).alias("radiometry"))
+
+
 # --- geometry ----------------------------------------------------------------------------------------------------
 
 _PT = "SELECT o_orderkey AS id, (o_orderkey * 7 % 1800) / 10.0e0 - 90 AS lat, (o_custkey * 31 % 7200) / 10.0e0 - 360 AS lon FROM orders"
