@@ -79,7 +79,8 @@ def huber_adjustment(observations: DataFrame, n_params: int, delta: float = 1.34
                 if len(rows):
                     white, _, weight = _stacked(rows, params, delta)
                     r = np.linalg.qr(np.concatenate([r, (white * np.sqrt(weight)[:, None, None]).reshape(-1, width)]), mode="r")
-            yield pd.DataFrame({"r": [list(map(float, x)) for x in r]})
+            if len(r):
+                yield pd.DataFrame({"r": [list(map(float, x)) for x in r]})
 
         return run
 
@@ -88,7 +89,8 @@ def huber_adjustment(observations: DataFrame, n_params: int, delta: float = 1.34
         for rows in parts:
             if len(rows):
                 r = np.linalg.qr(np.concatenate([r, np.stack(list(rows.r))]), mode="r")
-        yield pd.DataFrame({"r": [list(map(float, x)) for x in r]})
+        if len(r):
+            yield pd.DataFrame({"r": [list(map(float, x)) for x in r]})
 
     for _ in range(rounds):
         found = fitting.mapInPandas(factors(p), "r array<double>").repartition(16).mapInPandas(merge, "r array<double>").collect()  # at most 16 small triangles
