@@ -13,7 +13,9 @@ gives an empty result; texts of any length are tokenised whole. Columns other th
 from __future__ import annotations
 
 import math
+import string
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +28,12 @@ from veldspar.llm.common import materialise
 WINDOW = 2048
 END = 1
 SALT_ROWS = 4_000
-#: Entries of a worker's cache of word tokens; beyond, it starts anew.
-CACHE = 400_000
+#: Entries of each of the two generations of a worker's cache of word tokens.
+CACHE = 250_000
+#: Words of a text that are looked up at a time.
+BLOCK = 100_000
+#: ASCII punctuation but for the apostrophe, whose contractions are tokens of their own.
+MARKS = string.punctuation.replace("'", "")
 
 _tokenizers: dict[str, "WordTokenizer"] = {}
 
@@ -35,48 +41,79 @@ _tokenizers: dict[str, "WordTokenizer"] = {}
 class WordTokenizer:
     """Token ids of whole texts by the tokenizer file at path, as little-endian unsigned 32-bit ids.
 
-    Its tokens never cross ASCII blanks, so that each blank-separated word is tokenised once and kept."""
+    Its tokens never cross ASCII blanks, so that each blank-separated word is tokenised once and kept. Two generations
+    of at most CACHE words (and one block) are kept: words seen again move to the new one, the others go with the old."""
 
     def __init__(self, path: str):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        import regex
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
+        self.last = np.zeros(max(self.tok.get_vocab().values()) + 1, bool)  # ids that end a run of letters or marks
+        self.last[[i for t, i in self.tok.get_vocab().items() if t.endswith("</w>")]] = True
         self.words: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
         self.stems: dict[str, bytes] = {}
-        self.simple = regex.compile(r"(\p{L}+)([!-&(-/:-@\[-`{-~]*)")
 
     def _encode(self, parts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(parts, add_special_tokens=False)]
-
-    def _learn(self, missing: list[bytes]) -> None:
-        if len(self.words) + len(missing) > CACHE:
-            self.words.clear()
+        return [array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(parts, add_special_tokens=False)]
+
+    def _encode_runs(self, parts: list[str]) -> list[bytes]:
+        """Runs of letters or of marks are encoded as one text and cut behind the ids that end a run."""
+        ids = np.asarray(self.tok.encode_batch_fast([" ".join(parts)], add_special_tokens=False)[0].ids, "<u4")
+        ends = (np.flatnonzero(self.last[ids]) + 1) * 4
+        if len(ends) != len(parts):  # normalising has split a run
+            return self._encode(parts)
+        raw, ends = ids.tobytes(), ends.tolist()
+        return [raw[i:j] for i, j in zip([0, *ends], ends)]  # noqa: B905
+
+    def _learn(self, block: list[bytes]) -> None:
+        """Makes all words of a block known to the new generation."""
+        if len(self.words) > CACHE:
+            self.words, self.old = {}, self.words
         if len(self.stems) > CACHE:
-            self.stems.clear()
-        split = [(w, self.simple.fullmatch(w.decode("utf-8", "replace"))) for w in missing]
-        need = list({p for w, m in split for p in ((m[1], m[2]) if m else (w.decode("utf-8", "replace"),)) if p and p not in self.stems})
-        self.stems.update(zip(need, self._encode(need), strict=True))
-        stems = self.stems
-        for w, m in split:
-            self.words[w] = stems[m[1]] + (stems[m[2]] if m[2] else b"") if m else stems[w.decode("utf-8", "replace")]
+            self.stems = {}
+        words, old, stems = self.words, self.old, self.stems
+        missing = []
+        for w in set(block):
+            if w not in words:
+                if w in old:
+                    words[w] = old[w]
+                else:
+                    missing.append(w)
+        runs, whole, simple = set(), [], []
+        for w in missing:
+            word = w.decode("utf-8", "replace")
+            stem = word.rstrip(MARKS)
+            if stem.isalpha():
+                rest = word[len(stem) :]
+                simple.append((w, stem, rest))
+                runs.add(stem)
+                if rest:
+                    runs.add(rest)
+            else:
+                whole.append((w, word))
+        need = [r for r in runs if r not in stems]
+        if need:
+            stems.update(zip(need, self._encode_runs(need), strict=True))
+        for w, stem, rest in simple:
+            words[w] = stems[stem] + stems[rest] if rest else stems[stem]
+        if whole:
+            words.update(zip([w for w, _ in whole], self._encode([word for _, word in whole]), strict=True))
 
     def ids(self, text: str | None) -> bytes:
         raw = (text or "").encode("utf-8", "replace")
         parts = raw.split() if b"<|" in raw else raw.lower().split()
-        cache = self.words
         try:
-            return b"".join([cache[w] for w in parts])
+            return b"".join(map(self.words.__getitem__, parts))
         except KeyError:
             out = []
-            for i in range(0, len(parts), 100_000):  # a text may hold more words than the cache keeps
-                block = parts[i : i + 100_000]
-                self._learn([w for w in set(block) if w not in cache])
-                self._learn([w for w in set(block) if w not in cache])  # the cache may have started anew
-                out.append(b"".join([cache[w] for w in block]))
+            for i in range(0, len(parts), BLOCK):  # a text may hold more words than the cache keeps
+                block = parts[i : i + BLOCK]
+                self._learn(block)
+                out.append(b"".join(map(self.words.__getitem__, block)))
             return b"".join(out)
 
 
