@@ -76,13 +76,9 @@ class WordTokenizer:
         if len(self.stems) > CACHE:
             self.stems = {}
         words, old, stems = self.words, self.old, self.stems
-        missing = []
-        for w in set(block):
-            if w not in words:
-                if w in old:
-                    words[w] = old[w]
-                else:
-                    missing.append(w)
+        unseen = set(block).difference(words)
+        missing = unseen.difference(old)
+        words.update((w, old[w]) for w in unseen - missing)
         runs, whole, simple = set(), [], []
         for w in missing:
             word = w.decode("utf-8", "replace")
