@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -36,3 +36,24 @@ def repeated_keys(rows: DataFrame, keys: list[str]) -> DataFrame:
 def digest_many(rows: DataFrame, key: str, digest: str) -> DataFrame:
     """Order-independent digest of the digests of a group."""
     return rows.groupBy(key).agg(F.sha2(F.array_join(F.sort_array(F.collect_list(digest)), ","), 256).alias("digest"))
+
+
+def kernel_inventory(entries: DataFrame, files: DataFrame, start: Column, stop: Column) -> DataFrame:
+    """entries: name, sha256, start_utc, stop_utc, priority, status. files: name, sha256. Adds the code of the first rule that an entry
+    breaks (null if sound): name, repeated name (all but the first by priority), digest, priority, status, missing or differing bytes, coverage."""
+    first = F.row_number().over(Window.partitionBy("name").orderBy(F.desc_nulls_last("priority"), "sha256", "start_utc", "stop_utc", "status"))
+    present = files.select(F.col("name").alias("__name"), F.col("sha256").alias("__sha"))
+    rows = entries.withColumn("__nth", first).join(present, F.col("name") == F.col("__name"), "left")
+    bad = lambda ok: ~F.coalesce(ok, F.lit(False))
+    rules = [
+        (bad((F.col("name") != "") & ~F.col("name").rlike(r"(^/)|(^|/)\.\.(/|$)")), "input.hostile_label"),
+        (F.col("__nth") > 1, "input.label_unparseable"),
+        (bad(F.col("sha256").rlike("^[0-9a-f]{64}$")) | F.col("priority").isNull() | bad(F.col("status").isin("predicted", "reconstructed")), "input.label_unparseable"),
+        (F.col("__name").isNull(), "input.missing_file"),
+        (F.col("sha256") != F.col("__sha"), "input.checksum_mismatch"),
+        (bad((F.col("start_utc") <= F.col("stop_utc")) & (F.col("start_utc") <= start) & (F.col("stop_utc") >= stop)), "geometry.kernel_coverage_gap"),
+    ]
+    code = F.lit(None).cast("string")
+    for broken, name in reversed(rules):
+        code = F.when(broken, F.lit(name)).otherwise(code)
+    return rows.withColumn("code", code).drop("__nth", "__name", "__sha")

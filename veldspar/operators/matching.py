@@ -116,3 +116,81 @@ def huber_adjustment(observations: DataFrame, n_params: int, delta: float = 1.34
 
     schema = ", ".join(f"`{c}` {t}" for c, t in observations.dtypes) + ", mahalanobis double, weight double"
     return p, observations.mapInPandas(judged, schema)
+
+
+#: A template or candidate needs more than this share of valid pixels.
+LEAST_VALID = 0.5
+
+
+def _window_score(a: np.ndarray, b: np.ndarray, ok: np.ndarray) -> float | None:
+    if ok.mean() <= LEAST_VALID:
+        return None
+    x, y = a[ok] - a[ok].mean(), b[ok] - b[ok].mean()
+    scale = float(np.sqrt((x @ x) * (y @ y)))
+    return float(x @ y) / scale if scale > np.finfo(float).eps else None
+
+
+def ncc_search(source: DataFrame, reference: DataFrame, grid: int, half: int, radius: float, prior: tuple[float, float] = (0.0, 0.0)) -> DataFrame:
+    """Both: image_id, line, sample, value, valid. A row per grid point of the source whose template lies in the image and is valid
+    enough: image_id, line, sample, ref_line, ref_sample, score, agreement, is_candidate.
+
+    The best masked correlation within the disc around the prior wins, the first in line order on ties; without any, the row has
+    score -1 at the expected place and is no candidate. Pixels are dealt to the grid points that can see them, so that one group
+    holds one search window, whatever the image's size."""
+    reach = half + int(np.ceil(radius)) + 1
+
+    def seen(pixels: DataFrame, side: int, by: int, shift: tuple[int, int]) -> DataFrame:
+        rows = pixels.select("image_id", F.col("line").cast("long"), F.col("sample").cast("long"), F.col("value").cast("double"), F.coalesce("valid", F.lit(False)).alias("valid"), F.lit(side).alias("side"))
+        for axis, d in zip(("line", "sample"), shift, strict=True):
+            lo, hi = F.greatest(F.ceil((F.col(axis) - d - by) / grid), F.lit(0)).cast("long"), F.floor((F.col(axis) - d + by) / grid).cast("long")
+            steps = F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<bigint>"))
+            rows = rows.withColumn(f"at_{axis}", F.explode(F.transform(steps, lambda k: k * grid)))
+        return rows
+
+    near = tuple(int(np.rint(p)) for p in prior)
+    both = seen(source, 0, half, (0, 0)).unionByName(seen(reference, 1, reach, near))
+    pixel = F.struct("line", "sample", "value", "valid")
+    windows = both.groupBy("image_id", "at_line", "at_sample").agg(
+        F.collect_list(F.when(F.col("side") == 0, pixel)).alias("template"),  # at most the template's area
+        F.collect_list(F.when(F.col("side") == 1, pixel)).alias("window"),  # at most the window's area
+    ).where(F.size("template") == (2 * half + 1) ** 2)
+    flat = [F.col(f"{side}.{c}").alias(f"{side}_{c}") for side in ("template", "window") for c in ("line", "sample", "value", "valid")]
+    width, size = 2 * half + 1, 2 * (reach + 1) + 1
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            out = []
+            for r in rows.itertuples(index=False):
+                a, ok = np.zeros((width, width)), np.zeros((width, width), bool)
+                at = np.asarray(r.template_line, int) - r.at_line + half, np.asarray(r.template_sample, int) - r.at_sample + half
+                a[at], ok[at] = np.asarray(r.template_value, float), np.asarray(r.template_valid, bool)
+                ok &= np.isfinite(a)
+                if ok.sum() <= width * width * LEAST_VALID:
+                    continue
+                top, left = r.at_line + near[0] - reach - 1, r.at_sample + near[1] - reach - 1
+                b, there, sound = np.zeros((size, size)), np.zeros((size, size), bool), np.zeros((size, size), bool)
+                at = np.asarray(r.window_line, int) - top, np.asarray(r.window_sample, int) - left
+                b[at], there[at], sound[at] = np.asarray(r.window_value, float), True, np.asarray(r.window_valid, bool)
+                sound &= np.isfinite(b)
+                want = r.at_line + prior[0], r.at_sample + prior[1]
+                found = {}
+                for y in range(int(np.ceil(want[0] - radius)), int(np.floor(want[0] + radius)) + 1):
+                    for x in range(int(np.ceil(want[1] - radius)), int(np.floor(want[1] + radius)) + 1):
+                        box = np.s_[y - top - half : y - top + half + 1, x - left - half : x - left + half + 1]
+                        if (y - want[0]) ** 2 + (x - want[1]) ** 2 <= radius**2 and there[box].all():
+                            score = _window_score(a, b[box], ok & sound[box])
+                            if score is not None:
+                                found[y, x] = score
+                if not found:
+                    out.append((r.image_id, r.at_line, r.at_sample, *want, -1.0, None, False))
+                    continue
+                (y, x), best = max(found.items(), key=lambda kv: kv[1])
+                ring = lambda p: max(abs(p[0] - y), abs(p[1] - x))  # noqa: B023, E731
+                far, close = [s for p, s in found.items() if ring(p) > 1], [s for p, s in found.items() if ring(p) == 1]
+                share = lambda others, by: min(max((best - by(others)) / best, 0.0), 1.0) if others and best > 0 else 0.0  # noqa: B023, E731
+                out.append((r.image_id, r.at_line, r.at_sample, float(y), float(x), best, min(share(far, max), share(close, np.mean)), True))
+            yield pd.DataFrame(out, columns=["image_id", "line", "sample", "ref_line", "ref_sample", "score", "agreement", "is_candidate"])
+
+    kind = source.schema["image_id"].dataType.simpleString()
+    schema = f"image_id {kind}, line long, sample long, ref_line double, ref_sample double, score double, agreement double, is_candidate boolean"
+    return windows.select("image_id", "at_line", "at_sample", *flat).mapInPandas(search, schema)

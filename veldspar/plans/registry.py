@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veldspar.functions import geometry as geo
-from veldspar.operators import catalogue, gates, governance, graph, lifecycle, pyramid, raster, tiepoints
+from veldspar.operators import catalogue, gates, governance, graph, lifecycle, matching, pyramid, raster, tiepoints
 
 # --- derived tables ----------------------------------------------------------------------------------------------
 
@@ -505,3 +505,49 @@ def combined_digests(spark, d):
 def dangling_references(spark, d):
     owners = _t(spark, d, "customer").where("c_mktsegment <> 'BUILDING'")
     return governance.dangling(runs(spark, d), "owner", owners, "c_custkey").select("id", "owner")
+
+
+_KERNEL = """SELECT CASE WHEN doc_id % 29 = 0 THEN '/k' || doc_id WHEN doc_id % 31 = 0 THEN 'k' || (doc_id - 1) ELSE 'k' || doc_id END AS name, CASE WHEN doc_id % 23 = 0 THEN 'none' ELSE {sha} END AS sha256,
+    CASE WHEN doc_id % 11 = 0 THEN 10 ELSE 0 END AS start_utc, 5 + doc_id % 90 AS stop_utc, doc_id % 7 AS priority, CASE WHEN doc_id % 19 = 0 THEN 'draft' WHEN doc_id % 2 = 0 THEN 'predicted' ELSE 'reconstructed' END AS status FROM documents"""
+_KERNEL_FILE = "SELECT 'k' || doc_id AS name, CASE WHEN doc_id % 13 = 0 THEN 'other' ELSE {sha} END AS sha256 FROM documents WHERE doc_id % 17 <> 3"
+_SHA = "sha256('b' || doc_id)"
+
+
+@query(f"""WITH e AS ({_KERNEL.format(sha=_SHA)}), f AS ({_KERNEL_FILE.format(sha=_SHA)}), n AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY priority DESC, sha256, start_utc, stop_utc, status) AS nth FROM e)
+    SELECT n.name, n.priority, n.nth, CASE WHEN n.name LIKE '/%' THEN 'input.hostile_label' WHEN nth > 1 OR length(n.sha256) <> 64 OR status = 'draft' THEN 'input.label_unparseable' WHEN f.name IS NULL THEN 'input.missing_file'
+    WHEN f.sha256 <> n.sha256 THEN 'input.checksum_mismatch' WHEN start_utc > stop_utc OR start_utc > 5 OR stop_utc < 20 THEN 'geometry.kernel_coverage_gap' END AS code FROM n LEFT JOIN f ON f.name = n.name""")
+def kernel_inventory(spark, d):
+    docs = _t(spark, d, "documents")
+    sha, name = F.sha2(F.concat(F.lit("b"), "doc_id").cast("binary"), 256), lambda x: F.concat(F.lit("k"), x)
+    i = F.col("doc_id")
+    entries = docs.select(
+        F.when(i % 29 == 0, F.concat(F.lit("/k"), i)).when(i % 31 == 0, name(i - 1)).otherwise(name(i)).alias("name"), F.when(i % 23 == 0, "none").otherwise(sha).alias("sha256"),
+        F.when(i % 11 == 0, 10).otherwise(0).alias("start_utc"), (i % 90 + 5).alias("stop_utc"), (i % 7).alias("priority"),
+        F.when(i % 19 == 0, "draft").when(i % 2 == 0, "predicted").otherwise("reconstructed").alias("status"),
+    )
+    files = docs.where(i % 17 != 3).select(name(i).alias("name"), F.when(i % 13 == 0, "other").otherwise(sha).alias("sha256"))
+    found = governance.kernel_inventory(entries, files, F.lit(5), F.lit(20))
+    nth = F.row_number().over(Window.partitionBy("name").orderBy(F.desc("priority"), "sha256", "start_utc", "stop_utc", "status"))
+    return found.withColumn("nth", nth).select("name", "priority", "nth", "code")
+
+
+# --- matchers ----------------------------------------------------------------------------------------------------
+
+_NCC = f"""WITH {_DENSE}, r AS (SELECT image_id, line + 1 AS line, sample + 2 AS sample, value + (line * 7 + sample * 3) % 5 * 0.01 AS value, valid FROM d),
+    t AS (SELECT t.image_id, t.line, t.sample, o.line - t.line AS dy, o.sample - t.sample AS dx, o.value AS a, o.valid AS ok FROM d t JOIN d o ON o.image_id = t.image_id AND o.line BETWEEN t.line - 2 AND t.line + 2
+        AND o.sample BETWEEN t.sample - 2 AND t.sample + 2 WHERE t.line % 8 = 0 AND t.sample % 8 = 0),
+    k AS (SELECT image_id, line, sample FROM t GROUP BY ALL HAVING count(*) = 25 AND count(*) FILTER (ok) > 12.5),
+    c AS (SELECT k.*, k.line + y AS rl, k.sample + x AS rs FROM k, range(-3, 4) a(y), range(-3, 4) b(x) WHERE y * y + x * x <= 9),
+    s AS (SELECT c.image_id, c.line, c.sample, rl, rs, corr(a, r.value) FILTER (ok AND r.valid) AS score FROM c JOIN t USING (image_id, line, sample) JOIN r ON r.image_id = c.image_id AND r.line = rl + dy AND r.sample = rs + dx
+        GROUP BY ALL HAVING count(*) = 25 AND count(*) FILTER (ok AND r.valid) > 12.5),
+    b AS (SELECT image_id, line, sample, max(score) AS best, arg_max(rl, score) AS bl, arg_max(rs, score) AS bs FROM s WHERE score IS NOT NULL GROUP BY 1, 2, 3),
+    g AS (SELECT b.*, max(s.score) FILTER (greatest(abs(rl - bl), abs(rs - bs)) > 1) AS far, avg(s.score) FILTER (greatest(abs(rl - bl), abs(rs - bs)) = 1) AS near FROM b JOIN s USING (image_id, line, sample) GROUP BY ALL)
+    SELECT k.image_id, k.line, k.sample, coalesce(bl, k.line)::DOUBLE AS ref_line, coalesce(bs, k.sample)::DOUBLE AS ref_sample, round(coalesce(best, -1), 6) AS score, best IS NOT NULL AS is_candidate, round(CASE WHEN best > 0 THEN
+    least(coalesce(least(greatest((best - far) / best, 0), 1), 0), coalesce(least(greatest((best - near) / best, 0), 1), 0)) WHEN best IS NOT NULL THEN 0 END, 6) AS agreement FROM k LEFT JOIN g USING (image_id, line, sample)"""
+
+
+@query(_NCC)
+def ncc_search(spark, d):
+    p = dense_pixels(spark, d)
+    moved = p.select("image_id", (F.col("line") + 1).alias("line"), (F.col("sample") + 2).alias("sample"), (F.col("value") + (F.col("line") * 7 + F.col("sample") * 3) % 5 * 0.01).alias("value"), "valid")
+    return matching.ncc_search(p, moved, 8, 2, 3.0).withColumns({c: _r(F.col(c)) for c in ("score", "agreement")})
