@@ -61,3 +61,16 @@ def test_streams_agree_with_batches(spark, tmp_path):
     q.awaitTermination(90)
     got = sorted(map(tuple, spark.table("states").select("run_id", "state", "version", "n_events").collect()))
     assert got == sorted(map(tuple, lifecycle.latest_states(events).select("run_id", "state", "version", "n_events").collect())) == [("r1", "done", 3, 3), ("r2", "queued", 1, 1)]
+
+
+def test_ncc_search_rejects_and_follows_the_prior(spark):
+    rng = np.random.default_rng(3)
+    image = rng.normal(size=(24, 24))
+    px = lambda valid, dy, dx: [("a", i + dy, j + dx, float(image[i, j]), valid) for i in range(24) for j in range(24)]
+    cols = "image_id string, line long, sample long, value double, valid boolean"
+    source = spark.createDataFrame(px(True, 0, 0), cols)
+    found = matching.ncc_search(source, spark.createDataFrame(px(True, 7, -5), cols), 8, 2, 1.5, (6.6, -4.6)).collect()
+    assert found and all(r["is_candidate"] and (r["ref_line"], r["ref_sample"]) == (r["line"] + 7, r["sample"] - 5) and r["score"] > 0.999 for r in found)
+    none = matching.ncc_search(source, spark.createDataFrame(px(False, 0, 0), cols), 8, 2, 2.0).collect()
+    assert len(none) == len(found) == 4 and all(not r["is_candidate"] and r["score"] == -1 and r["agreement"] is None for r in none)
+    assert matching.ncc_search(source.limit(0), source.limit(0), 8, 2, 2.0).count() == 0
