@@ -91,6 +91,20 @@ def test_packing_round_trip(docs):
     assert packing.pack(docs.limit(0), tokenizer_path()).count() == 0
 
 
+def test_word_tokenizer_is_exact(monkeypatch):
+    """Odd characters, and words that return after both generations of the cache are full."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "CACHE", 3)
+    monkeypatch.setattr(packing, "BLOCK", 5)
+    own, tok = packing.WordTokenizer(tokenizer_path()), Tokenizer.from_file(tokenizer_path())
+    odd = ["", "  x  ", "A b\u2003c \u0130stanbul \u1e9e \u01c5 \u0085x", "\x1c a\x1db\x00c <|endoftext|> Hi", "don't can't I'M 12,345 a_b 's 't", "\u0958\u0959 abc \u0958, x\u0301y", "\ufb1d\u0915\u093c def", "a<| |> b... (z)!!", "\u02b0a \u00aab \U0001f600 hi\u200d", "\u65e5\u672c \u8a9e"]
+    texts = [*odd, " ".join(f"w{chr(97 + i % 26)}x{chr(97 + i % 7)}" for i in range(60)), *odd]
+    for text in texts:
+        assert own.ids(text) == np.asarray(tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
+    assert own.ids(None) == b""
+
+
 def test_line_dedup(docs):
     got = {r["doc_id"]: r for r in linedup.line_dedup(docs, min_sites=2).collect()}
     assert got[1]["n_removed"] == 0 and got[2]["n_removed"] == 1 and got[3]["clean_chars"] is None
