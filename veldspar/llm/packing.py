@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 import string
+import unicodedata
 import zlib
 from array import array
 
@@ -38,6 +39,11 @@ MARKS = string.punctuation.replace("'", "")
 _tokenizers: dict[str, "WordTokenizer"] = {}
 
 
+def _letters(stem: str) -> bool:
+    """Whether a word's stem is letters and stays so when normalised (marks split off would join the punctuation behind it)."""
+    return stem.isalpha() and (stem.isascii() or (unicodedata.is_normalized("NFC", stem) and stem.lower().isalpha()))
+
+
 class WordTokenizer:
     """Token ids of whole texts by the tokenizer file at path, as little-endian unsigned 32-bit ids.
 
@@ -83,7 +89,7 @@ class WordTokenizer:
         for w in missing:
             word = w.decode("utf-8", "replace")
             stem = word.rstrip(MARKS)
-            if stem.isalpha():
+            if _letters(stem):
                 rest = word[len(stem) :]
                 simple.append((w, stem, rest))
                 runs.add(stem)
@@ -101,7 +107,9 @@ class WordTokenizer:
 
     def ids(self, text: str | None) -> bytes:
         raw = (text or "").encode("utf-8", "replace")
-        parts = raw.split() if b"<|" in raw else raw.lower().split()
+        # case is kept where it tells: in special tokens, and before combining marks (lead bytes CC, CD), which join some small letters only
+        kept = b"<|" in raw or b"\xcc" in raw or b"\xcd" in raw
+        parts = raw.split() if kept else raw.lower().split()
         try:
             return b"".join(map(self.words.__getitem__, parts))
         except KeyError:
