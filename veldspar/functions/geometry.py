@@ -75,3 +75,22 @@ def polar_stereographic(lat: Column, lon: Column, north: bool = True) -> tuple[C
 def crs_of(lat_min: Column, lat_max: Column) -> Column:
     """Polar beyond 75 degrees on one side, else equirectangular."""
     return F.when(lat_min >= 75.0, "north_polar").when(lat_max <= -75.0, "south_polar").otherwise("equirectangular")
+
+
+#: How far the off-diagonal entries of a normal matrix may differ, absolutely and by size.
+SYMMETRY_ATOL, SYMMETRY_RTOL = 1e-9, 1e-6
+
+
+def hessian_covariance(a: Column, b: Column, c: Column, d: Column, variance: Column, limit: float, scale: Column | None = None) -> Column:
+    """Covariance struct<xx,xy,yy,calibrated> of the normal matrix [[a, b], [c, d]]: variance times its inverse, times the calibrated
+    scale if one is given. Null where the matrix isn't symmetric, its condition exceeds limit, or the result isn't positive definite."""
+    symmetric = F.greatest(F.abs(b - c) - SYMMETRY_RTOL * F.abs(c), F.abs(b - c) - SYMMETRY_RTOL * F.abs(b)) <= SYMMETRY_ATOL
+    big, small = eigenvalues(a, (b + c) / 2, d)
+    sound = F.greatest(F.abs(big), F.abs(small)) <= limit * F.least(F.abs(big), F.abs(small))
+    det = a * d - b * c
+    xx, xy, yy = (F.try_divide(variance * v, det) for v in (d, -(b + c) / 2, a))
+    definite = (xx > 0) & (yy > 0) & (xx * yy - xy * xy > 0)
+    factor = F.lit(1.0) if scale is None else F.coalesce(scale, F.lit(1.0))
+    calibrated = F.lit(False) if scale is None else scale.isNotNull()
+    value = F.struct((xx * factor).alias("xx"), (xy * factor).alias("xy"), (yy * factor).alias("yy"), calibrated.alias("calibrated"))
+    return F.when(symmetric & sound & definite & (det != 0), value)

@@ -477,6 +477,20 @@ def covariance_ellipses(spark, d):
     return c.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", _r(big).alias("big"), _r(small).alias("small"), _r(geo.anisotropy(xx, xy, yy), 5).alias("anisotropy"), _r(geo.orientation_deg(xx, xy, yy), 5).alias("orientation"))
 
 
+_NORMAL = """l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity AS a, l_discount * 20 AS b, l_discount * 20 + CASE WHEN l_linenumber = 7 THEN 0.1 ELSE 0 END AS c,
+    l_tax * 100 - 0.5 AS d, l_extendedprice / 100000 AS v, CASE WHEN l_linenumber % 2 = 0 THEN 1.5 END AS scale"""
+
+
+@query(f"""WITH m AS (SELECT {_NORMAL} FROM lineitem), e AS (SELECT *, (b + c) / 2 AS o, a * d - b * c AS det FROM m), g AS (SELECT *, abs((a + d) / 2 + sqrt(((a - d) / 2) ** 2 + o ** 2)) AS l1, abs((a + d) / 2 - sqrt(((a - d) / 2) ** 2 + o ** 2)) AS l2 FROM e),
+    w AS (SELECT *, l_linenumber <> 7 AND greatest(l1, l2) <= 30 * least(l1, l2) AND v * d / det > 0 AND v * a / det > 0 AND det > 0 AS ok, coalesce(scale, 1.0) AS f FROM g)
+    SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(CASE WHEN ok THEN f * v * d / det END, 6) AS xx, round(CASE WHEN ok THEN -f * v * o / det END, 6) AS xy, round(CASE WHEN ok THEN f * v * a / det END, 6) AS yy,
+    CASE WHEN ok THEN scale IS NOT NULL END AS calibrated FROM w""")
+def refined_covariances(spark, d):
+    m = _t(spark, d, "lineitem").selectExpr(*[c.strip() for c in _NORMAL.split(",")])
+    m = m.withColumn("k", geo.hessian_covariance(*map(F.col, "abcdv"), 30.0, F.col("scale").cast("double")))
+    return m.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", *[_r(F.col(f"k.{c}")).alias(c) for c in ("xx", "xy", "yy")], "k.calibrated")
+
+
 # --- governance --------------------------------------------------------------------------------------------------
 
 _PROD = "SELECT doc_id AS product_id, doc_id % 97 AS terrain_group, CASE lang WHEN 'en' THEN 'development' WHEN 'fr' THEN 'validation' WHEN 'de' THEN 'held_out' ELSE 'not_applicable' END AS split_role FROM documents"
