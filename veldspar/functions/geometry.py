@@ -92,5 +92,6 @@ def hessian_covariance(a: Column, b: Column, c: Column, d: Column, variance: Col
     definite = (xx > 0) & (yy > 0) & (xx * yy - xy * xy > 0)
     factor = F.lit(1.0) if scale is None else F.coalesce(scale, F.lit(1.0))
     calibrated = F.lit(False) if scale is None else scale.isNotNull()
-    value = F.struct((xx * factor).alias("xx"), (xy * factor).alias("xy"), (yy * factor).alias("yy"), calibrated.alias("calibrated"))
+    scaled = [F.try_divide(factor * variance * v, det).alias(n) for n, v in (("xx", d), ("xy", -(b + c) / 2), ("yy", a))]
+    value = F.struct(*scaled, calibrated.alias("calibrated"))
     return F.when(symmetric & sound & definite & (det != 0), value)

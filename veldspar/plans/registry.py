@@ -81,7 +81,8 @@ def query(sql: str | None = None):
 
 
 def _r(c, n: int = 6):
-    return F.round(c, n)
+    """c to n decimals by scaling, as the SQL side rounds doubles; F.round would go by the shortest decimal form, and differ at ties."""
+    return F.round(c * 10.0**n) / 10.0**n
 
 
 # --- catalogue ---------------------------------------------------------------------------------------------------
