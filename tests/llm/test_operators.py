@@ -127,6 +127,44 @@ def test_compact_windows(docs):
     assert rows[0]["start"] <= 2 and rows[0]["end"] >= 62
 
 
+def _tokens(text: str) -> np.ndarray:
+    return substring._tokens(np.frombuffer(text.encode(), np.uint8), np.asarray([0, len(text)]))[0]
+
+
+def _least(text: str) -> np.ndarray:
+    return np.stack([substring.mix(_tokens(text), 20 + k) for k in range(substring.HASHES)])
+
+
+def _hot_line() -> str:
+    """A line of 16 words whose fourth token is low under all hash functions: a pivot with five words of the line on its right."""
+    best = []
+    for part in range(12):
+        words = [f"hot{part}w{i}" for i in range(250_000)]
+        v = _least(" ".join(words)).max(0)
+        at = 3 + int(v[3:-20].argmin())
+        best.append((v[at], " ".join(words[at - 3 : at + 13])))
+    return min(best)[1]
+
+
+def _around(line: str, name: str) -> str:
+    """line between 20 words on either side, such that its fourth token is the pivot under all hash functions."""
+    for seed in range(20_000):
+        text = " ".join([*(f"{name}{seed}l{i}" for i in range(20)), line, *(f"{name}{seed}r{i}" for i in range(20))])
+        if (_least(text).argmin(1) == 23).all():
+            return text
+    raise AssertionError
+
+
+def test_compact_windows_around_a_frequent_line(spark):
+    line = _hot_line()
+    shared = _around(line, "shared")
+    middle = {d: shared if d in (3, 12) else _around(line, f"own{d}") for d in range(1, 15)}
+    rows = [(d, " ".join([*(f"l{d}x{i}" for i in range(40)), m, *(f"r{d}x{i}" for i in range(40))])) for d, m in middle.items()]
+    found = substring.near_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["other_doc_id"]) for r in found} == {(3, 12)}
+    assert any(r["start"] <= 40 and r["end"] >= 96 for r in found)
+
+
 def test_language(docs):
     rows = langid.identify(docs).collect()
     got = {r["doc_id"]: r for r in rows}
