@@ -6,6 +6,7 @@ import math
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from veldspar.llm import addq, jaccard, langid, linedup, mixing, packing, quality, substring, urlfilter, warc
@@ -165,6 +166,24 @@ def test_compact_windows_around_a_frequent_line(spark):
     assert any(r["start"] <= 40 and r["end"] >= 96 for r in found)
 
 
+def test_compact_windows_of_a_group_in_steps(spark, monkeypatch):
+    """Windows of one pivot, of which two far apart have their context in common."""
+    n, chunk = 300, 40
+    monkeypatch.setattr(substring, "CHUNK", chunk)
+    names = ["k", "v", "doc_id", "l", "c", "r", *[f.split()[0] for f in substring._WINDOW.split(", ")[6:]]]
+    context = np.arange(1, n + 1)
+    context[250] = context[7]
+    cols = {"k": np.zeros(n, np.int32), "v": np.full(n, 5), "doc_id": np.arange(n), **{c: np.full(n, x, np.int32) for c, x in (("l", 0), ("c", 50), ("r", 99))}}
+    cols |= {name: context << 32 | context for name in names[6:]}
+    batches = [pa.record_batch([pa.array(cols[name][s : s + 30]) for name in names], names) for s in range(0, n, 30)]
+    out = pa.Table.from_batches(list(substring._links(iter(batches)))).to_pylist()
+    apart = [r for r in out if r.get("b_doc_id") is None]
+    assert sorted(r["a_doc_id"] for r in apart) == list(range(n))
+    schema = substring._SOME
+    far = substring._far(spark.createDataFrame([tuple(r[f.split()[0]] for f in schema.split(", ")) for r in apart], schema)).collect()
+    assert {(r["a_doc_id"], r["b_doc_id"]) for r in far} == {(7, 250)} and substring.SURE in {r["k"] for r in far}
+
+
 def test_language(docs):
     rows = langid.identify(docs).collect()
     got = {r["doc_id"]: r for r in rows}
