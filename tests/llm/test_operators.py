@@ -166,6 +166,19 @@ def test_compact_windows_around_a_frequent_line(spark):
     assert any(r["start"] <= 40 and r["end"] >= 96 for r in found)
 
 
+def test_aligned_spans_of_repeated_tokens():
+    """An exact passage of 50 words, of which the other side holds five-word phrases also some words before it."""
+    passage = np.arange(1, 1 + substring.T, dtype=np.uint64)
+    x = np.concatenate([np.arange(1000, 1030, dtype=np.uint64), passage, np.arange(2000, 2030, dtype=np.uint64)])
+    for again in ([0], [20], [5, 20, 40]):
+        before = np.arange(3000, 3060, dtype=np.uint64)
+        before[[(7 * k + 3) % 45 for k in again]] = passage[list(again)]
+        y = np.concatenate([before, passage, np.arange(4000, 4030, dtype=np.uint64)])
+        found = substring.aligned_spans(x, y)
+        assert found is not None and found[0] <= 30 and found[1] >= 80 and found[2] <= 60 and found[3] >= 110, again
+    assert substring.aligned_spans(x, np.concatenate([passage[:30], np.arange(5000, 5060, dtype=np.uint64), passage[30:]])) is None
+
+
 def test_compact_windows_of_a_group_in_steps(spark, monkeypatch):
     """Windows of one pivot, of which two far apart have their context in common."""
     n, chunk = 300, 40
