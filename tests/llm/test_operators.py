@@ -112,6 +112,15 @@ def test_line_dedup(docs):
     assert linedup.without_boilerplate(docs, min_sites=2).columns == docs.columns
 
 
+def test_line_dedup_of_short_lines(spark):
+    rows = [(i, f"All rights reserved.\n\n \nown line number {i} of this text\nLes.", f"s{i}") for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r["doc_id"]: r["text"] for r in linedup.without_boilerplate(docs).collect()}
+    assert got[0] == rows[0][1] and all(got[i] == f"\n \nown line number {i} of this text" for i in range(1, 12))
+    assert {r["n_removed"] for r in linedup.line_dedup(docs).collect()} == {0}  # as its SQL
+    assert {r["n_removed"] for r in linedup.line_dedup(docs, least_words=1).collect()} == {0, 2}
+
+
 def test_jaccard_brute_force(docs):
     got = {r["doc_id"]: r for r in jaccard.jaccard_components(docs).collect()}
     assert got[2]["component_id"] == 1 and got[12]["component_id"] == 11 and got[4]["component_id"] == 4

@@ -20,7 +20,7 @@ from veldspar.llm.common import materialise, sized
 
 #: Distinct sites from which a line is boilerplate.
 MIN_SITES = 10
-#: Shorter lines are too common in prose to tell anything.
+#: The operator's query (and its SQL) leaves shorter lines alone; the pipeline's stage takes every line with a word.
 LEAST_WORDS = 4
 #: Sketches of 2^LOG_K registers err by about 1.04 / sqrt(2^LOG_K); estimates within MARGIN of the threshold are counted exactly.
 LOG_K = 10
@@ -29,11 +29,11 @@ _BLANK = " \t\x0b\f\r"
 _BLANKS = r"[ \t\x0B\f\r]+"
 
 
-def _lines(docs: DataFrame, site: str) -> DataFrame:
+def _lines(docs: DataFrame, site: str, least_words: int) -> DataFrame:
     """doc (doc_id and hash of the text), site hash, pos and hash of each line with enough words."""
     bare = F.btrim(F.col("line"), F.lit(_BLANK))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.coalesce(F.xxhash64(F.col(site)), F.lit(0)).alias("site"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    return rows.where(F.size(F.split(bare, _BLANKS, LEAST_WORDS)) >= LEAST_WORDS).select("doc_id", "th", "site", "pos", F.xxhash64(bare, F.length(bare)).alias("h"))
+    return rows.where((F.length(bare) > 0) & (F.size(F.split(bare, _BLANKS, least_words)) >= least_words)).select("doc_id", "th", "site", "pos", F.xxhash64(bare, F.length(bare)).alias("h"))
 
 
 def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
@@ -49,9 +49,9 @@ def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     return materialise(spread.join(often, "h").select("h", "n_sites", F.col("first.doc_id").alias("first_doc"), F.col("first.pos").alias("first_pos")))
 
 
-def removals(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
+def removals(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, least_words: int = LEAST_WORDS) -> DataFrame:
     """doc_id, th (hash of the text), gone: positions of the lines to remove; only documents that lose a line."""
-    lines = _lines(docs, site)
+    lines = _lines(docs, site, least_words)
     bad = boilerplate(lines, min_sites)
     hit = lines.join(sized(bad), "h")
     stays = F.col("doc_id").eqNullSafe(F.col("first_doc")) & (F.col("pos") == F.col("first_pos"))
@@ -63,24 +63,24 @@ def _cut(text: Column, gone: Column) -> Column:
     return F.when(gone.isNull(), text).otherwise(F.array_join(left, "\n"))
 
 
-def _joined(docs: DataFrame, site: str, min_sites: int) -> DataFrame:
+def _joined(docs: DataFrame, site: str, min_sites: int, least_words: int) -> DataFrame:
     """docs as struct __doc with text, gone and clean; the few lists of lines go to the documents by hash join."""
-    gone = materialise(removals(docs, site, min_sites)).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), "gone")
+    gone = materialise(removals(docs, site, min_sites, least_words)).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), "gone")
     rows = docs.select(F.struct(*docs.columns).alias("__doc"), F.col("doc_id").cast("long").alias("__key"), F.xxhash64("text").alias("__hash"), "text")
     rows = rows.join(gone, F.col("__key").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__th")), "left")
     return rows.withColumn("clean", _cut(F.col("text"), F.col("gone")))
 
 
-def line_dedup(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
+def line_dedup(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, least_words: int = LEAST_WORDS) -> DataFrame:
     """doc_id, n_lines, n_removed, clean_chars (null for a null text), clean_text."""
-    rows = _joined(docs, site, min_sites)
+    rows = _joined(docs, site, min_sites, least_words)
     n = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long")
     return rows.select(F.col("__key").alias("doc_id"), n.alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"), F.length("clean").cast("long").alias("clean_chars"), F.col("clean").alias("clean_text"))
 
 
-def without_boilerplate(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
+def without_boilerplate(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, least_words: int = 1) -> DataFrame:
     """The documents with their texts cleaned (n_chars follows, if there); those that lose all their words go."""
-    rows = _joined(docs, site, min_sites)
+    rows = _joined(docs, site, min_sites, least_words)
     worded = lambda c: F.length(F.btrim(c, F.lit(_BLANK + "\n"))) > 0
     rows = rows.where(F.col("gone").isNull() | worded(F.col("clean")))
     own = [F.col("clean").alias(c) if c == "text" else F.when(F.col("gone").isNull(), F.col("__doc.n_chars")).otherwise(F.length("clean").cast("long")).alias(c) if c == "n_chars" else F.col(f"__doc.`{c}`").alias(c) for c in docs.columns]
