@@ -223,6 +223,13 @@ def test_urls(spark):
     assert got[3]["host"] == got[4]["path"] == "" and got[3]["verdict"] == got[6]["verdict"] == "allow"
 
 
+def test_urls_with_more_tokens_than_the_driver_holds(spark):
+    rows = [(i, f"http://casino.org/win{i % 7}/x{chr(97 + i % 26)}q" if i % 3 else f"http://blog.org/day/z{chr(97 + i % 26)}k", "<p>casino blog day win</p>") for i in range(200)]
+    pages = spark.createDataFrame([*rows, rows[4], (None, None, None)], "page_id long, url string, html string")
+    whole, few = (sorted(((r["page_id"] or -1, r["verdict"], round(r["score"], 9)) for r in urlfilter.judge_urls(pages, limit=n).collect())) for n in (urlfilter.TOKENS, 5))
+    assert whole == few and len(whole) == 202
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(600, 16))

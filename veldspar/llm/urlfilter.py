@@ -20,13 +20,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veldspar.llm.common import materialise
+
 #: The fixed rules: rule text (host and path prefix) -> verdict.
 RULES = {"org/": "allow", "example.org/es/": "block", "example.org/en/1": "block", "com/fr/": "allow", "com/de/": "block"}
 #: Words of hosts that url filters block (adult, gambling, pharmacy, advertising, spam).
 SEEDS = ("adult", "porn", "sex", "xxx", "casino", "poker", "bet", "bets", "betting", "gambling", "pills", "pharmacy", "viagra", "ads", "adserver", "track", "tracker", "tracking", "spam", "phishing", "malware", "warez")
 #: Common words that the pages' html need not hold but hosts often do.
 PLAIN = ("blog", "news", "shop", "store", "free", "cheap", "best", "win", "farm", "click", "online", "web", "site", "example", "mail", "cloud", "video", "game", "games", "world", "data", "home", "my", "the")
-#: Words and tokens that the driver holds at most.
+#: Words that the segmenter knows at most, and tokens that the driver holds at most (the log ratios of all others are joined).
 WORDS = 50_000
 TOKENS = 200_000
 #: Tokens that each seed word, and the other urls as a whole, count as in the class "block".
@@ -100,8 +102,9 @@ def url_tokens(seg: Segmenter, host: str, path: str) -> list[str]:
     return [f"h:{w}" for w in seg.host_words(host)] + rest
 
 
-def learn(pages: DataFrame, seg: Segmenter, seeds: tuple[str, ...] = SEEDS, limit: int = TOKENS) -> tuple[dict[str, float], float]:
-    """Log likelihood ratios block/other by token, and of the prior: counts over all pages; the driver gets at most limit tokens."""
+def learn(pages: DataFrame, seg: Segmenter, seeds: tuple[str, ...] = SEEDS, limit: int = TOKENS) -> tuple[dict[str, float], float, DataFrame | None]:
+    """Log likelihood ratios block/other of the most frequent tokens (at most limit) and of the prior, and a table token, ratio of all others (None if there
+    are no others): counts and totals over all tokens of all pages."""
     bad = frozenset(seeds)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,37 +117,70 @@ def learn(pages: DataFrame, seg: Segmenter, seeds: tuple[str, ...] = SEEDS, limi
             yield pa.record_batch([pa.array(list(sums)), pa.array([x[1] for x in sums.values()], pa.int64()), pa.array([x[0] for x in sums.values()], pa.int64())], ["token", "block", "other"])
 
     tokens = pages.select(host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")).mapInArrow(count, "token string, block long, other long")
-    rows = tokens.groupBy("token").agg(F.sum("block").alias("block"), F.sum("other").alias("other")).orderBy((F.col("block") + F.col("other")).desc(), "token").limit(limit + 1).collect()
+    counts = materialise(tokens.groupBy("token").agg(F.sum("block").alias("block"), F.sum("other").alias("other")))
+    order = [(F.col("block") + F.col("other")).desc(), F.col("token")]
+    rows = counts.where("token != ''").orderBy(*order).limit(limit).collect()
     by = {r["token"]: (r["block"], r["other"]) for r in rows}
-    docs = by.pop("", (0, 0))
+    size, block, other = counts.where("token != ''").agg(F.count(F.lit(1)), F.coalesce(F.sum("block"), F.lit(0)), F.coalesce(F.sum("other"), F.lit(0))).first()
+    first = counts.where("token = ''").first()
+    docs = (first["block"], first["other"]) if first else (0, 0)
+    missing = [f"h:{w}" for w in seeds if f"h:{w}" not in by]
+    kept = len(by)
+    by |= {r["token"]: (r["block"], r["other"]) for r in counts.where(F.col("token").isin(missing)).collect()} if size > kept and missing else {}  # seeds are few
+    size += len([t for t in missing if t not in by])
     for w in seeds:
         n = by.get(f"h:{w}", (0, 0))
         by[f"h:{w}"] = (n[0] + SEED_WEIGHT, n[1])
-    block, other = (sum(x[k] for x in by.values()) for k in (0, 1))
+    block += SEED_WEIGHT * len(set(seeds))
     # the class "block" is smoothed towards the other urls, so that tokens seldom seen there tell little either way
-    q = {t: (o + 0.1) / (other + 0.1 * len(by)) for t, (_, o) in by.items()}
+    q = {t: (o + 0.1) / (other + 0.1 * size) for t, (_, o) in by.items()}
     ratio = {t: math.log((b + PRIOR_WEIGHT * q[t]) / (block + PRIOR_WEIGHT)) - math.log(q[t]) for t, (b, _) in by.items()}
-    return ratio, math.log((docs[0] + 1) / (docs[1] + 1))
-
-
-def judge_urls(pages: DataFrame, rules: dict[str, str] = RULES, seeds: tuple[str, ...] = SEEDS) -> DataFrame:
+    prior = math.log((docs[0] + 1) / (docs[1] + 1))
+    if size <= len(by):
+        return ratio, prior, None
+    last = rows[-1]
+    n, own = F.col("block") + F.col("other"), (F.col("other") + 0.1) / (other + 0.1 * size)
+    least = last["block"] + last["other"]
+    rest = counts.where((F.col("token") != "") & ~F.col("token").isin(missing) & ((n < least) | ((n == least) & (F.col("token") > last["token"]))))
+    return ratio, prior, materialise(rest.select("token", (F.log((F.col("block") + PRIOR_WEIGHT * own) / (block + PRIOR_WEIGHT)) - F.log(own)).alias("ratio")))
+
+
+def with_rest(scored: DataFrame, rest: DataFrame) -> DataFrame:
+    """Adds the ratios of the seldom tokens to the scores. Urls with such tokens are met once each by host and path; a token here is seldom, and so are they."""
+    scored = materialise(scored)
+    seldom = F.size("seldom") > 0
+    urls = scored.where(seldom).select("host", "path", "seldom").dropDuplicates(["host", "path"])
+    sums = urls.select("host", "path", F.explode("seldom").alias("token")).join(rest, "token").groupBy("host", "path").agg(F.sum("ratio").alias("more"))
+    sums = sums.select(F.col("host").alias("__host"), F.col("path").alias("__path"), "more")
+    added = scored.where(seldom).join(sums, (F.col("host") == F.col("__host")) & (F.col("path") == F.col("__path")), "left")
+    added = added.withColumn("score", F.col("score") + F.coalesce("more", F.lit(0.0))).select(*scored.columns)
+    return scored.where(~seldom).unionByName(added)
+
+
+def judge_urls(pages: DataFrame, rules: dict[str, str] = RULES, seeds: tuple[str, ...] = SEEDS, limit: int = TOKENS) -> DataFrame:
     """page_id, host, path, rule, verdict, score (log odds of block), host_words."""
     counts = word_counts(pages)
     most = max(counts.values(), default=1)
     seg = Segmenter(counts | {w: max(counts.get(w, 0), most // 200 + 1) for w in (*seeds, *PLAIN)})
-    ratio, prior = learn(pages, seg, seeds)
+    ratio, prior, rest = learn(pages, seg, seeds, limit)
     model = pages.sparkSession.sparkContext.broadcast((seg, ratio, prior))  # at most WORDS and TOKENS entries
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, ratio, prior = model.value
         for b in batches:
             hosts, paths = b.column("host").to_pylist(), b.column("path").to_pylist()
-            odds = [prior + sum(ratio.get(t, 0.0) for t in url_tokens(own, h, p)) if h or p else prior for h, p in zip(hosts, paths, strict=True)]
+            tokens = [url_tokens(own, h, p) for h, p in zip(hosts, paths, strict=True)]
+            odds = [prior + sum(ratio.get(t, 0.0) for t in ts) for ts in tokens]
             words = [own.host_words(h) for h in hosts]
-            yield pa.record_batch([*b.columns, pa.array(odds, pa.float64()), pa.array(words, pa.list_(pa.string()))], [*b.schema.names, "score", "host_words"])
+            seldom = [[t for t in ts if t not in ratio] if joined else [] for ts in tokens]
+            kind = pa.list_(pa.string())
+            yield pa.record_batch([*b.columns, pa.array(odds, pa.float64()), pa.array(words, kind), pa.array(seldom, kind)], [*b.schema.names, "score", "host_words", "seldom"])
 
+    joined = rest is not None
     rows = pages.select(F.col("page_id").cast("long"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    scored = rows.mapInArrow(score, "page_id long, host string, path string, score double, host_words array<string>")
+    scored = rows.mapInArrow(score, "page_id long, host string, path string, score double, host_words array<string>, seldom array<string>")
+    if rest is not None:
+        scored = with_rest(scored, rest)
     scored = scored.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
     verdict = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in rules.items() for x in kv]), "rule"), F.when(F.col("score") > 0, "block").otherwise("allow"))
     return scored.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "score", "host_words")
