@@ -9,32 +9,36 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veldspar.operators.components import components
 
-def within(rows: DataFrame, radius: float, line: str = "line", sample: str = "sample") -> DataFrame:
-    """Pairs of rows of a job within radius: an equi-join on hash cells of the radius (each left row looks in its 3 x 3 cells)."""
+
+def within(rows: DataFrame, radius: float, line: str = "line", sample: str = "sample", both_ways: bool = True) -> DataFrame:
+    """Pairs of rows of a job within radius: an equi-join on hash cells of the radius.
+
+    Each unordered pair is met once (a row looks in its own cell and four of the eight around it) and mirrored if both ways are asked."""
     cell = lambda c: F.floor(F.col(c) / F.lit(radius)).cast("long")
-    near = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    left = rows.select("job_id", *[F.col(c).alias(f"a_{c}") for c in ("match_id", line, sample, "score")], F.explode(near).alias("d"), cell(line).alias("ci"), cell(sample).alias("cj"))
-    left = left.withColumn("ci", F.col("ci") + F.col("d.i")).withColumn("cj", F.col("cj") + F.col("d.j")).drop("d")
-    right = rows.select("job_id", *[F.col(c).alias(f"b_{c}") for c in ("match_id", line, sample, "score")], cell(line).alias("ci"), cell(sample).alias("cj"))
+    near = F.array(*[F.struct(F.lit(i).cast("long").alias("i"), F.lit(j).cast("long").alias("j")) for i, j in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))])
+    cols = ("match_id", line, sample, "score")
+    left = rows.select("job_id", *[F.col(c).alias(f"a_{c}") for c in cols], cell(line).alias("ci"), cell(sample).alias("cj"), F.explode(near).alias("d"))
+    left = left.withColumn("same", (F.col("d.i") == 0) & (F.col("d.j") == 0)).withColumn("ci", F.col("ci") + F.col("d.i")).withColumn("cj", F.col("cj") + F.col("d.j")).drop("d")
+    right = rows.select("job_id", *[F.col(c).alias(f"b_{c}") for c in cols], cell(line).alias("ci"), cell(sample).alias("cj"))
     gap = F.hypot(F.col(f"a_{line}") - F.col(f"b_{line}"), F.col(f"a_{sample}") - F.col(f"b_{sample}"))
-    return left.join(right, ["job_id", "ci", "cj"]).where((F.col("a_match_id") != F.col("b_match_id")) & (gap <= radius)).drop("ci", "cj")
-
-
-def remove_duplicates(rows: DataFrame, radius: float, rounds: int = 64) -> DataFrame:
-    """Transitive clusters within radius; the survivor has the highest score, then the least id. Min-label rounds, cut by checkpoints of Parquet lineage."""
-    pairs = within(rows, radius).select("job_id", "a_match_id", "b_match_id").persist()
-    labels = rows.select("job_id", "match_id", F.col("match_id").alias("label"))
-    for i in range(rounds):
-        low = pairs.join(labels.withColumnRenamed("match_id", "b_match_id"), ["job_id", "b_match_id"]).groupBy("job_id", F.col("a_match_id").alias("match_id")).agg(F.min("label").alias("low"))
-        new = labels.join(low, ["job_id", "match_id"], "left").withColumn("new", F.least("label", F.coalesce("low", "label")))
-        new = new.persist()
-        moved = new.where("new != label").limit(1).count()
-        labels = new.select("job_id", "match_id", F.col("new").alias("label"))
-        if not moved:
-            break
-    w = Window.partitionBy("job_id", "label").orderBy(F.desc("score"), "match_id")
-    return rows.join(labels, ["job_id", "match_id"]).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "label")
+    once = F.when(F.col("same"), F.col("a_match_id") < F.col("b_match_id")).otherwise(F.col("a_match_id") != F.col("b_match_id"))
+    pairs = left.join(right, ["job_id", "ci", "cj"]).where(once & (gap <= radius)).drop("ci", "cj", "same")
+    if not both_ways:
+        return pairs
+    sides = F.array(*[F.struct(*[F.col(f"{s}_{c}").alias(f"{o}_{c}") for s, o in zip(order, "ab", strict=True) for c in cols]) for order in ("ab", "ba")])
+    return pairs.select("job_id", F.explode(sides).alias("p")).select("job_id", *[f"p.{s}_{c}" for s in "ab" for c in cols])
+
+
+def remove_duplicates(rows: DataFrame, radius: float) -> DataFrame:
+    """Transitive clusters within radius; the survivor has the highest score, then the least id. A chain of any length is one cluster."""
+    name = lambda c: F.struct("job_id", F.col(c).alias("match_id"))
+    roots = components(within(rows, radius, both_ways=False).select(name("a_match_id").alias("u"), name("b_match_id").alias("v")))
+    named = roots.select(F.col("node.job_id").alias("job_id"), F.col("node.match_id").alias("match_id"), F.col("root.match_id").alias("_label"))
+    w = Window.partitionBy("job_id", "_label").orderBy(F.desc("score"), "match_id")
+    rows = rows.join(named, ["job_id", "match_id"], "left").withColumn("_label", F.coalesce("_label", "match_id"))
+    return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_label")
 
 
 def _greedy(pdf: pd.DataFrame, radius: float) -> np.ndarray:
