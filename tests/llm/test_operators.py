@@ -117,8 +117,17 @@ def test_line_dedup_of_short_lines(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = {r["doc_id"]: r["text"] for r in linedup.without_boilerplate(docs).collect()}
     assert got[0] == rows[0][1] and all(got[i] == f"\n \nown line number {i} of this text" for i in range(1, 12))
-    assert {r["n_removed"] for r in linedup.line_dedup(docs).collect()} == {0}  # as its SQL
-    assert {r["n_removed"] for r in linedup.line_dedup(docs, least_words=1).collect()} == {0, 2}
+    assert {r["n_removed"] for r in linedup.line_dedup(docs).collect()} == {0, 2}
+    assert {r["n_removed"] for r in linedup.line_dedup(docs, least_words=4).collect()} == {0}
+
+
+def test_line_dedup_joins_when_lines_are_many(spark, docs):
+    rows = [(i % 40 if i % 41 else None, "\n".join(f"line {(i * k) % 23} of some" for k in range(9)) + "\n \n", f"s{i % 17}") for i in range(120)]
+    many = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for table, sites in ((docs, 2), (many, 10), (many.limit(0), 10)):
+        for call in (linedup.line_dedup, linedup.without_boilerplate):
+            found, joined = (sorted(map(str, call(table, min_sites=sites, limit=limit).collect())) for limit in (1000, 0))
+            assert found == joined
 
 
 def test_jaccard_brute_force(docs):
@@ -263,3 +272,49 @@ def test_warc_round_trip_and_salvage(spark):
     assert many[2]["offset"] == len(members[0]) and f"bytes {len(record[0])} to {len(record[0] + hurt)}" in many[2]["reason"]
     plain = list(warc.salvage(record[0] + hurt + record[2]))
     assert [r["kind"] for r in plain] == ["record", "gap", "record"] and plain[1]["length"] == len(hurt)
+
+
+def _jaccard_brute(rows, width, percent):
+    sets = {}
+    for i, text in rows:
+        words = (text or "").lower().split()
+        sets[i] = {tuple(words[k : k + width]) for k in range(len(words) - width + 1)} if len(words) >= width else {tuple(words)} - {()}
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    ids = sorted(sets)
+    for n, i in enumerate(ids):
+        for j in ids[n + 1 :]:
+            both = len(sets[i] & sets[j])
+            if both and 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return {i: (len(sets[i]), find(i)) for i in sets}
+
+
+@pytest.mark.parametrize("percent", [50, 85])
+def test_jaccard_against_brute_force(spark, monkeypatch, percent):
+    rng = np.random.default_rng(percent)
+    monkeypatch.setattr(jaccard, "BLOCK", 16)  # so that a shingle in most of the texts needs many blocks
+    monkeypatch.setattr(jaccard, "SMALL", 4)
+    rows = []
+    for i in range(260):
+        if i % 3 and rows:
+            words = rows[rng.integers(len(rows))][1].split()
+            for _ in range(rng.integers(0, 3)):
+                words[rng.integers(4, len(words))] = f"n{rng.integers(1000)}"
+        else:
+            words = ["one", "hot", "run", "here"] + [f"w{x}" for x in rng.integers(0, 60, rng.integers(3, 60))]
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(docs, 4, percent).collect()}
+    assert got == _jaccard_brute(rows, 4, percent)
+
+
+def test_jaccard_refuses_what_it_would_lose(spark):
+    with pytest.raises(ValueError):
+        jaccard.jaccard_components(spark.createDataFrame([(1, "a b c")], "doc_id long, text string"), 4, 40)

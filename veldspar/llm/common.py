@@ -1,50 +1,18 @@
-"""What the operators of this subpackage share: shared-folder tables, size-checked joins, vectorised word hashing."""
+"""What the operators of this subpackage share: vectorised word hashing, and the engine's tables and size-checked joins."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side of a join is broadcast only when it was counted and has at most this many (narrow) rows.
-BROADCAST_ROWS = 200_000
+from veldspar.tables import BROADCAST_ROWS, drop_tables, fits, materialise, recorded, shared_dir, sized, table  # noqa: F401
+
 #: Text bytes that one vectorised step holds at a time (a single longer text is taken alone, whole).
 STEP_BYTES = 2 << 20
 
-_own_dir: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not _own_dir:
-        _own_dir.append("file://" + tempfile.mkdtemp(prefix="veldspar-"))
-    return _own_dir[0]
-
-
-def materialise(df: DataFrame, compression: str = "snappy") -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def sized(right: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """right with a broadcast hint if a count proves it has at most limit rows; else right, for a shuffled join."""
-    return F.broadcast(right) if right.limit(limit + 1).count() <= limit else right
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
 
 def let(expr, body):
     """body(x) with x bound to expr once: stops the optimiser from inlining expr into a lambda."""

@@ -8,7 +8,8 @@ bitmaps and size ranges. Dual traversal drops pairs of nodes, then of members, w
 below what their sizes need. What is left is verified on the whole sets. Units of many members first send each member's likeliest
 partner alone; once those links are merged, a second traversal sends the rest of the pairs that lie in different components.
 
-Hashes are 64 bits wide; two different shingles of one text or pair are taken for the same with a chance of about 1e-12.
+Shingle codes keep 56 bits of hash (48 where pairs are verified): two different shingles of a pair are taken for the same with a
+chance of about 1e-9 for texts of a thousand words. Classes are told apart by 64 bits of hash over all their shingles.
 Defined results: null, empty and wordless texts have no shingles and link with nothing; texts shorter than a shingle
 are one shingle; repeated rows and equal texts share a component; a null doc_id is never a component's number unless it is alone;
 empty tables give empty results. Columns other than doc_id and text are never read.
@@ -23,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veldspar.llm.common import materialise, mix, shingles, sized, text_slices, word_hashes, word_spans
-from veldspar.llm.graph import components
+from veldspar.llm.common import drop_tables, materialise, mix, recorded, shingles, sized, text_slices, word_hashes, word_spans
+from veldspar.operators.components import components
 
 #: Bits of a token bitmap: the power of two that holds a bit for each shingle, within these.
 BITS = (2048, 1 << 17)
@@ -83,41 +84,45 @@ def signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, th long, cid long, n long, prefix array<long>, bits binary")
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over rows sorted by code, n, cid: runs of a code as blocks of at most BLOCK members. open: the code may have more blocks."""
-    carry: tuple[np.ndarray, ...] = (np.zeros(0, np.int64),) * 3
-    first_code = last_open = None
+def _blocks(percent: int):
+    """Over rows sorted by code, n, cid: blocks of at most BLOCK members of a code whose sizes follow without a gap that no link spans.
+    open: the run of members may go on in another block."""
 
     def out(code, opened, cids, ns, offsets):
         lists = [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(x, pa.int64())) for x in (cids, ns)]
         return pa.record_batch([pa.array(code, pa.int64()), pa.array(opened, pa.bool_()), *lists], ["code", "open", "cids", "ns"])
 
-    for b in batches:
-        cols = [np.concatenate([c, b.column(k).to_numpy()]) for c, k in zip(carry, ("code", "cid", "n"), strict=True)]
-        code, cid, n = cols
-        if first_code is None and len(code):
-            first_code = code[0]
-        begin = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
-        end = np.append(begin[1:], len(code))
-        whole, tail = slice(0, -1), len(begin) - 1
-        keep = (end - begin)[whole] > 1
-        keep |= (code[begin[whole]] == first_code) | (code[begin[whole]] == last_open)
-        at = np.flatnonzero(keep)
-        spans = [(s, e) for k in at for s in range(begin[k], end[k], BLOCK) for e in (min(s + BLOCK, end[k]),)]
-        if spans:
-            take = np.concatenate([np.arange(s, e) for s, e in spans])
-            codes = np.asarray([code[s] for s, _ in spans])
-            big = {code[begin[k]] for k in at if end[k] - begin[k] > BLOCK}
-            yield out(codes, [c == first_code or c == last_open or c in big for c in codes], cid[take], n[take], np.concatenate([[0], np.cumsum([e - s for s, e in spans])]))
-        s = begin[tail] if len(begin) else 0
-        while len(code) - s >= 2 * BLOCK:  # a hot shingle: blocks leave as they fill
-            last_open = code[s]
-            yield out([code[s]], [True], cid[s : s + BLOCK], n[s : s + BLOCK], [0, BLOCK])
-            s += BLOCK
-        carry = tuple(x[s:] for x in cols)
-    code, cid, n = carry
-    for s in range(0, len(code), BLOCK):
-        yield out([code[s]], [True], cid[s : s + BLOCK], n[s : s + BLOCK], [0, len(code[s : s + BLOCK])])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carry: tuple[np.ndarray, ...] = (np.zeros(0, np.int64),) * 3
+        begun = True  # the run at the front may have begun elsewhere: in another task, or in blocks that have left
+        for b in batches:
+            code, cid, n = cols = [np.concatenate([c, b.column(k).to_numpy()]) for c, k in zip(carry, ("code", "cid", "n"), strict=True)]
+            if not len(code):
+                continue
+            begin = np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (100 * n[:-1] < percent * n[1:])]))
+            end = np.append(begin[1:], len(code))
+            size = (end - begin)[:-1]
+            keep = size > 1
+            if begun and len(size):
+                keep[0] = True
+            at = np.flatnonzero(keep)
+            spans = [(s, min(s + BLOCK, end[k]), k) for k in at for s in range(begin[k], end[k], BLOCK)]
+            if spans:
+                take = np.concatenate([np.arange(s, e) for s, e, _ in spans])
+                opened = [bool(size[k] > BLOCK or (begun and k == 0)) for _, _, k in spans]
+                yield out([code[s] for s, _, _ in spans], opened, cid[take], n[take], np.concatenate([[0], np.cumsum([e - s for s, e, _ in spans])]))
+            s = begin[-1]
+            begun = begun and not len(size)
+            while len(code) - s >= 2 * BLOCK:  # a hot shingle: blocks leave as they fill
+                begun = True
+                yield out([code[s]], [True], cid[s : s + BLOCK], n[s : s + BLOCK], [0, BLOCK])
+                s += BLOCK
+            carry = tuple(x[s:] for x in cols)
+        code, cid, n = carry
+        for s in range(0, len(code), BLOCK):
+            yield out([code[s]], [True], cid[s : s + BLOCK], n[s : s + BLOCK], [0, len(code[s : s + BLOCK])])
+
+    return run
 
 
 class _Tree:
@@ -250,19 +255,19 @@ def _candidates(percent: int, final: bool):
     return run
 
 
-def _units(sig: DataFrame) -> DataFrame:
+def _units(sig: DataFrame, percent: int) -> DataFrame:
     """unit, side, cid, n, size: the members of every unit."""
     reps = sig.where("cid is not null").groupBy("cid").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     posts = reps.select(F.explode("prefix").alias("code"), "cid", "n")
     spark = sig.sparkSession
     dealt = posts.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "code", "n", "cid").sortWithinPartitions("code", "n", "cid")
-    blocks = materialise(dealt.mapInArrow(_blocks, "code long, open boolean, cids array<long>, ns array<long>"))
+    blocks = materialise(dealt.mapInArrow(_blocks(percent), "code long, open boolean, cids array<long>, ns array<long>"))
     # blocks of codes that may go on elsewhere
     opened = blocks.where("open").withColumn("id", F.xxhash64("code", "cids"))
     lo, hi = F.array_min("ns"), F.array_max("ns")
     opened = materialise(opened.select("code", "id", "cids", "ns", lo.alias("lo"), hi.alias("hi")))
     other = opened.select("code", *[F.col(c).alias(f"r_{c}") for c in ("id", "cids", "ns", "lo", "hi")])
-    cross = opened.join(other, "code").where("id < r_id and 100 * hi >= 50 * r_lo and 100 * r_hi >= 50 * lo")  # blocks, not members
+    cross = opened.join(other, "code").where(f"id < r_id and 100 * hi >= {percent} * r_lo and 100 * r_hi >= {percent} * lo")  # blocks, not members
     cross = cross.select(F.xxhash64("id", "r_id").alias("unit"), F.array(F.struct("cids", "ns"), F.struct(F.col("r_cids").alias("cids"), F.col("r_ns").alias("ns"))).alias("sides"))
     alone = blocks.where("not open").select("cids", "ns").union(opened.select("cids", "ns")).where(F.size("cids") > 1)
     alone = alone.withColumn("unit", F.xxhash64("cids")).dropDuplicates(["unit"])  # the same members meet at many shingles
@@ -309,34 +314,45 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int,
 
 
 def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
-    """A row per document: doc_id, n_shingles, component_id, links (verified links found of its class), class_id."""
+    """A row per document: doc_id, n_shingles, component_id, class_id (null without shingles)."""
+    if not 50 <= percent <= 100:
+        raise ValueError("bitmaps and blocks are laid out for similarities of 50 to 100 per cent")
+    spark = docs.sparkSession
     sig = materialise(signatures(docs, width, percent))
     classes = materialise(sig.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.min("th").alias("th")))
-    units = _units(sig)
-    active = materialise(units.select("cid").distinct())
-    bits = materialise(sig.select("cid", "bits").join(sized(active), "cid", "left_semi").groupBy("cid").agg(F.first("bits").alias("bits")))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    kind = "a long, b long"
+    with recorded() as spent:
+        units = _units(sig, percent)
+        spent.pop()  # the units' own table stays
+    drop_tables(spark, spent)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def found(rows: DataFrame, final: bool) -> DataFrame:
-        cols = rows.select("unit", "side", "cid", "n", "bits", "root").repartition(parts, "unit").sortWithinPartitions("unit", "side", "n", "cid")
-        return cols.mapInArrow(_candidates(percent, final), kind).distinct()
-
-    with_bits = units.join(bits, "cid")
-    pairs = materialise(found(with_bits.withColumn("root", F.col("cid")), False))
-    links = _verified(docs, classes, pairs, width, percent)
-    roots = components(links)
-    large = with_bits.where(F.col("size") > SMALL).join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    rest = materialise(found(large, True).join(pairs, ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        links = links.union(_verified(docs, classes, rest, width, percent))
+        """rows: unit, side, cid, n, root."""
+        active = materialise(rows.select("cid").distinct())
+        bits = sig.select("cid", "bits").join(sized(active), "cid", "left_semi").groupBy("cid").agg(F.first("bits").alias("bits"))
+        cols = rows.join(bits, "cid").select("unit", "side", "cid", "n", "bits", "root").repartition(parts, "unit").sortWithinPartitions("unit", "side", "n", "cid")
+        return cols.mapInArrow(_candidates(percent, final), "a long, b long").distinct()
+
+    with recorded() as spent:
+        pairs = materialise(found(units.withColumn("root", F.col("cid")), False))
+        with recorded() as used:
+            links = _verified(docs, classes, pairs, width, percent)
+            used.pop()
+        drop_tables(spark, used)
         roots = components(links)
-    named = classes.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-    least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    degree = links.select(F.col("u").alias("cid")).union(links.select("v")).groupBy("cid").agg(F.count(F.lit(1)).alias("links"))
-    named = materialise(named.join(least, "root").join(degree, "cid", "left").select("cid", "component_id", F.coalesce("links", F.lit(0)).alias("links")))
+        # units whose members lie in one component already have nothing to add: they leave before bitmaps are joined
+        large = units.where(F.col("size") > SMALL).join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+        unsettled = materialise(large.groupBy("unit").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("unit"))
+        rest = materialise(found(large.join(sized(unsettled), "unit", "left_semi"), True).join(pairs, ["a", "b"], "left_anti"))
+        if not rest.isEmpty():
+            roots = components(links.union(_verified(docs, classes, rest, width, percent)))
+        named = classes.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+        least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
+        named = materialise(named.join(least, "root").select("cid", "component_id"))
+        spent.pop()
+    drop_tables(spark, spent)
     rows = sig.select("doc_id", F.col("n").alias("n_shingles"), F.col("cid").alias("class_id")).join(named.withColumnRenamed("cid", "class_id"), "class_id", "left")
-    return rows.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"), "class_id")
+    return rows.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "class_id")
 
 
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:

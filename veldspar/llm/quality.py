@@ -171,7 +171,8 @@ def quality_rules(docs: DataFrame, labels: DataFrame, alpha: float = 0.05, delta
 
 def keep_good(docs: DataFrame, labels: DataFrame, alpha: float = 0.05, delta: float = 0.05) -> DataFrame:
     """The documents kept, with their own columns."""
-    cutoffs = materialise(fit_cutoffs(signals_of(docs), labels, ["lang"], alpha, delta))
     own = docs.columns
-    rows = with_signals(docs.select(F.struct(*own).alias("__doc"), F.col("text"), F.col("lang")))
-    return judge(rows.select("__doc", "lang", "__q.*"), cutoffs, ["lang"]).where("kept").select("__doc.*")
+    rows = with_signals(docs.select("doc_id", F.struct(*own).alias("__doc"), F.col("text"), F.col("lang")))
+    rows = materialise(rows.select("doc_id", "__doc", "lang", "__q.*"))  # signals once; the documents go with them, so that nothing has to be joined
+    cutoffs = materialise(fit_cutoffs(rows.drop("__doc"), labels, ["lang"], alpha, delta))
+    return judge(rows, cutoffs, ["lang"]).where("kept").select("__doc.*")

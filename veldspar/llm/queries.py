@@ -57,7 +57,7 @@ def op9_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_signature_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "links")
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 QUERIES = {
@@ -82,7 +82,7 @@ ORACLES = {
         WITH s AS (SELECT doc_id, source, text, string_split(text, chr(10)) AS ls FROM documents),
         l AS (SELECT doc_id, source, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM s),
         w AS (SELECT doc_id, source, pos, line, regexp_replace(line, '^[{_BLANK}]+|[{_BLANK}]+$', '', 'g') AS bare FROM l),
-        k AS (SELECT *, len(regexp_extract_all(bare, '[^{_BLANK}]+')) >= {linedup.LEAST_WORDS} AS counts FROM w),
+        k AS (SELECT *, bare <> '' AS counts FROM w),
         b AS (SELECT bare, min((doc_id, pos)) AS first FROM k WHERE counts GROUP BY bare
               HAVING count(DISTINCT source) + max((source IS NULL)::INT) >= {linedup.MIN_SITES}),
         g AS (SELECT k.*, b.bare IS NOT NULL AND (k.doc_id, k.pos) <> b.first AS gone FROM k LEFT JOIN b ON k.bare = b.bare AND k.counts)
