@@ -184,6 +184,50 @@ def test_compact_windows_around_a_frequent_line(spark):
     assert any(r["start"] <= 40 and r["end"] >= 96 for r in found)
 
 
+@pytest.mark.parametrize("copies", [2, 6, 7, 12, 30])
+def test_passages_shared_by_groups_of_any_size(spark, copies):
+    """Every document that holds the passage, whole or with a word changed, is in the passage's one class; others that hold its frequent line aren't."""
+    rng = np.random.default_rng(copies)
+    line = " ".join(f"line{i}" for i in range(12))
+    passage = [f"p{i}" for i in range(30)] + line.split() + [f"p{i}" for i in range(30, 60)]
+    rows = []
+    for i in range(copies):
+        own = list(passage)
+        if i % 3 == 1:
+            own[5 + i % 50] = f"changed{i}"
+        rows.append((i, " ".join([f"a{rng.integers(10**6)}" for _ in range(20 + i)] + own + [f"z{rng.integers(10**6)}" for _ in range(15)])))
+    rows += [(1000 + i, " ".join([f"b{rng.integers(10**6)}" for _ in range(60)] + line.split() + [f"y{rng.integers(10**6)}" for _ in range(60)])) for i in range(20)]
+    found = substring.passage_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"] for r in found} == set(range(copies))
+    assert {(r["class_doc_id"]) for r in found} == {0} and all(r["end"] - r["start"] >= 50 and r["links"] >= 1 for r in found)
+
+
+def test_exact_repeats_against_brute_force(spark):
+    rng = np.random.default_rng(5)
+    pool = [[f"q{k}x{i}" for i in range(int(rng.integers(50, 90)))] for k in range(6)]
+    rows = []
+    for i in range(150):
+        words = []
+        for _ in range(int(rng.integers(1, 4))):
+            words += [f"f{x}" for x in rng.integers(0, 40, int(rng.integers(5, 40)))]
+            if rng.random() < 0.5:
+                words += pool[int(rng.integers(6))]
+        rows.append((i, " ".join(words)))
+    holders: dict = {}
+    for i, text in rows:
+        words = text.split()
+        for k in range(len(words) - 49):
+            holders.setdefault(tuple(words[k : k + 50]), set()).add(i)
+    want = {i for at in holders.values() if len(at) > 1 for i in at}
+    found = substring.passage_classes(spark.createDataFrame([*rows, (None, rows[0][1]), (900, None), (901, "")], "doc_id long, text string")).collect()
+    assert want <= {r["doc_id"] for r in found}
+    classes: dict = {}
+    for r in found:
+        classes.setdefault(r["doc_id"], set()).add((r["class_doc_id"], r["class_start"]))
+    assert all(set.intersection(*(classes[i] for i in at)) for at in holders.values() if len(at) > 1)  # no link between two holders is lost
+    assert substring.passage_classes(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
 def test_aligned_spans_of_repeated_tokens():
     """An exact passage of 50 words, of which the other side holds five-word phrases also some words before it."""
     passage = np.arange(1, 1 + substring.T, dtype=np.uint64)
@@ -223,20 +267,70 @@ def test_language(docs):
 
 
 def test_urls(spark):
-    urls = [(1, "https://Casino-WIN.example.net/en/1#x"), (2, "http://a.example.org/es/4?q"), (3, None), (4, "nothing"), (5, "http://m.example.com/fr/x"), (6, "http://quiet.example.net/fr/9")]
-    urls += [(100 + i, f"http://site{i % 7}.example.net/en/{i}") for i in range(300)] + [(500 + i, f"http://casino-win.example.net/en/{i}") for i in range(9)]
-    pages = spark.createDataFrame([(i, u, "<p>quiet words here</p>", "x") for i, u in urls], "page_id long, url string, html string, host string")
+    urls = [(1, "https://Casino-WIN.example.net/en/1#x"), (2, "http://a.example.org/es/4?q"), (3, None), (4, "nothing"), (5, "http://m.example.com/fr/x"), (6, "http://quiet.example.net/fr/20009")]
+    urls += [(100 + i, f"http://site{i % 7}.example.org/en/{i + 20000}") for i in range(300)] + [(500 + i, f"http://casinowin.example.com/de/{i}") for i in range(90)]
+    pages = spark.createDataFrame([(i, u, "<p>quiet casino win words here</p>", "x") for i, u in urls], "page_id long, url string, html string, host string")
     got = {r["page_id"]: r for r in urlfilter.judge_urls(pages).collect()}
-    assert got[1]["host"] == "casino-win.example.net" and got[1]["path"] == "/en/1" and got[1]["verdict"] == "block"
+    assert got[1]["host"] == "casino-win.example.net" and got[1]["path"] == "/en/1" and got[1]["verdict"] == "block"  # its words are those of urls that a rule blocks
+    assert got[500]["host_words"][:2] == ["casino", "win"]
     assert (got[2]["rule"], got[2]["verdict"]) == ("example.org/es/", "block") and got[5]["rule"] == "com/fr/"
     assert got[3]["host"] == got[4]["path"] == "" and got[3]["verdict"] == got[6]["verdict"] == "allow"
-
-
-def test_urls_with_more_tokens_than_the_driver_holds(spark):
-    rows = [(i, f"http://casino.org/win{i % 7}/x{chr(97 + i % 26)}q" if i % 3 else f"http://blog.org/day/z{chr(97 + i % 26)}k", "<p>casino blog day win</p>") for i in range(200)]
-    pages = spark.createDataFrame([*rows, rows[4], (None, None, None)], "page_id long, url string, html string")
-    whole, few = (sorted(((r["page_id"] or -1, r["verdict"], round(r["score"], 9)) for r in urlfilter.judge_urls(pages, limit=n).collect())) for n in (urlfilter.TOKENS, 5))
-    assert whole == few and len(whole) == 202
+    assert urlfilter.judge_urls(pages.limit(0)).count() == 0
+
+
+def _splits(run):
+    if not run:
+        yield []
+    for k in range(1, len(run) + 1):
+        for rest in _splits(run[k:]):
+            yield [run[:k], *rest]
+
+
+def test_urls_against_a_plain_version(spark):
+    import re
+    from collections import Counter
+
+    text = "<p>blog day win casino the ca sino <b>blogs</b></p><script>var hidden=1;</script>"
+    rows = [(i, f"http://casino.org/win{i % 7}/x{chr(97 + i % 26)}q" if i % 3 else f"http://blogday-win.com/{'fr' if i % 2 else 'de'}/z{chr(97 + i % 26)}k", text) for i in range(200)]
+    rows += [rows[4], (None, None, None), (900, "http://\u00e9t\u00e9blog.net/de/1", None), (901, f"http://{'a' * 70}.net/win", "")]
+    got = urlfilter.judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    letters = lambda t: re.findall(r"[^\W\d_]+", t.lower())
+    part = re.compile(r"(?s)^.*?://([^/?#]*)([^?#]*)")
+    urls = [(i, (m := part.match(u or "")) and m[1].lower() or "", m[2] if m else "") for i, u, _ in rows]
+    words = Counter(w for _, _, h in rows if h for w in letters(re.sub(urlfilter._MARKUP, " ", h)))
+    words += Counter(w for h in {h for _, h, _ in urls} for label in h.split(".") if "-" in label for w in letters(label))
+    words += Counter(w for _, _, p in urls for w in letters(p))
+    words = {w: n for w, n in words.items() if 2 <= len(w) <= 63}
+    assert "hidden" not in words and "blogs" in words
+    total = sum(words.values())
+    start = math.log(total + 1) + 1
+
+    def cost(pieces):  # neighbouring unknown pieces would be one
+        known = [p in words for p in pieces]
+        if any(not a and not b for a, b in zip(known, known[1:], strict=False)):
+            return math.inf
+        return sum(math.log((total + 1) / words[p]) if k else start + urlfilter.LETTER_COST * len(p) for p, k in zip(pieces, known, strict=True))
+
+    best = {run: [run] if len(run) > 63 else min(_splits(run), key=cost) for run in {r for _, h, _ in urls for r in letters(h)}}
+
+    def tokens(host, path):
+        rest = [f"/#{len(t)}" if t[0].isdigit() else f"/{t}" for t in re.findall(r"[^\W\d_]+|[0-9]+", path.lower())]
+        return [f"h:{w}" for r in letters(host) for w in best[r]] + rest
+
+    label = {i: r["rule"] and urlfilter.RULES[r["rule"]] for i, r in enumerate(sorted(got, key=lambda r: (str(r["page_id"]), r["path"])))}
+    order = sorted(range(len(urls)), key=lambda k: (str(urls[k][0]), urls[k][2]))
+    counts = {"block": Counter(), "allow": Counter()}
+    for i, k in enumerate(order):
+        if label[i]:
+            counts[label[i]].update(tokens(*urls[k][1:]))
+    docs = Counter(label.values())
+    vocabulary = set(counts["block"]) | set(counts["allow"])
+    chance = lambda t, c: math.log((counts[c][t] + 1) / (sum(counts[c].values()) + len(vocabulary)))
+    for r, k in zip(sorted(got, key=lambda r: (str(r["page_id"]), r["path"])), order, strict=True):
+        own = tokens(*urls[k][1:])
+        assert [t[2:] for t in own if t.startswith("h:")] == list(r["host_words"])
+        want = math.log((docs["block"] + 1) / (docs["allow"] + 1)) + sum(chance(t, "block") - chance(t, "allow") for t in own if t in vocabulary)
+        assert abs(want - r["score"]) < 1e-9 and r["verdict"] == (r["rule"] and urlfilter.RULES[r["rule"]] or ("block" if want > 0 else "allow"))
 
 
 def test_nearest(spark):

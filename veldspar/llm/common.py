@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +11,20 @@ from pyspark.sql import functions as F
 from veldspar.tables import BROADCAST_ROWS, drop_tables, fits, materialise, recorded, shared_dir, sized, table  # noqa: F401
 
 #: Text bytes that one vectorised step holds at a time (a single longer text is taken alone, whole).
-STEP_BYTES = 2 << 20
+STEP_BYTES = 1 << 20
+
+#: What workers of one operator keep between tasks; let go as soon as the worker turns to another operator's rows.
+_kept: dict[str, Callable[[], None]] = {}
+
+
+def let_go(but: str = "") -> None:
+    for name in [n for n in _kept if n != but]:
+        _kept.pop(name)()
+
+
+def keep(name: str, release: Callable[[], None]) -> None:
+    let_go(name)
+    _kept[name] = release
 
 
 def let(expr, body):
@@ -51,6 +64,7 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
 
 def text_slices(column: pa.Array, step: int = STEP_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, rows, bytes, offsets of rows in them) over a string column, whole texts, about step bytes at a time; null is empty."""
+    let_go()
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = column.cast(pa.large_string()).fill_null("")

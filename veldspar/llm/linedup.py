@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veldspar.llm.common import BROADCAST_ROWS, fits, materialise, sized
+from veldspar.llm.common import BROADCAST_ROWS, fits, let_go, materialise, sized
 
 #: Distinct sites from which a line is boilerplate.
 MIN_SITES = 10
@@ -72,6 +72,7 @@ def _gone_of(bad: DataFrame):
 
     @F.arrow_udf("array<int>")
     def gone(doc_id: pa.Array, hashes: pa.Array) -> pa.Array:
+        let_go()
         h, no_doc, first_doc, first_pos = own.value
         offsets = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(hashes), 0).to_numpy(zero_copy_only=False))]).astype(np.int64)
         flat = hashes.flatten()

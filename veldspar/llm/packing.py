@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veldspar.llm.common import materialise
+from veldspar.llm.common import keep, materialise
 
 WINDOW = 2048
 END = 1
@@ -122,6 +122,7 @@ class WordTokenizer:
 
 
 def tokenizer(path: str) -> WordTokenizer:
+    keep("packing", _tokenizers.clear)
     if path not in _tokenizers:
         _tokenizers[path] = WordTokenizer(path)
     return _tokenizers[path]
@@ -151,6 +152,7 @@ def pieces(docs: DataFrame, path: str, window: int = WINDOW, end: int = END, wit
                     rows, held = [], 0
             if rows:
                 yield batch(rows)
+        tok.old, tok.stems = {}, {}  # the next task begins with the words of this one's last generation
 
     def batch(rows):
         cols = list(zip(*rows, strict=True))

@@ -53,7 +53,7 @@ def op8_packing_nnls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring.near_passages(table(spark, sf_dir, "documents"))
+    return substring.passage_classes(table(spark, sf_dir, "documents"))
 
 
 def op10_signature_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
