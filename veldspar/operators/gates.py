@@ -43,3 +43,28 @@ def scene_metrics(points: DataFrame, key: str = "job_id") -> DataFrame:
         F.percentile(e, 0.5).alias("median_px"),
         F.percentile(e, 0.9).alias("p90_px"),
     )
+
+
+def scene_evidence(points: DataFrame, coverage: DataFrame, cells: int, key: str = "job_id") -> DataFrame:
+    """The metrics that gates read. points: is_candidate, is_inlier, point_role, estimator_disagreement_px, has_covariance, covariance_calibrated, residual_px.
+    coverage: occupancy, largest_empty_run (over all cells of the grid). A metric without anything to count is null, never 0."""
+    inlier, share = F.col("is_inlier"), lambda part, whole: F.try_divide(F.count_if(part).cast("double"), F.count_if(whole).cast("double"))
+    withheld = F.when(F.col("point_role") == "withheld_check_point", F.col("residual_px"))
+    found = points.groupBy(key).agg(
+        share(inlier & F.col("is_candidate"), F.col("is_candidate")).alias("verified_inlier_fraction"),
+        F.max("estimator_disagreement_px").alias("max_estimator_disagreement_px"),
+        share(inlier & ~F.col("has_covariance"), inlier).alias("invalid_covariance_fraction"),
+        share(inlier & F.col("has_covariance") & ~F.col("covariance_calibrated"), inlier).alias("uncalibrated_covariance_fraction"),
+        F.sqrt(F.avg(withheld * withheld)).alias("withheld_rmse_2d_px"),
+    )
+    grid = coverage.select(key, F.col("occupancy").alias("eligible_occupancy"), F.try_divide(F.col("largest_empty_run").cast("double"), F.lit(float(cells))).alias("largest_empty_run_fraction"))
+    return found.join(grid, key, "left")
+
+
+def refinement_counts(points: DataFrame, key: str = "job_id") -> DataFrame:
+    """attempted, refined, with covariance, calibrated and failed of the selected points."""
+    chosen, done = F.col("selected"), F.col("selected") & F.col("refined")
+    return points.groupBy(key).agg(
+        F.count_if(chosen).alias("attempted"), F.count_if(done).alias("refined"), F.count_if(done & F.col("has_covariance")).alias("covariances"),
+        F.count_if(done & F.col("has_covariance") & F.col("covariance_calibrated")).alias("calibrated"), F.count_if(chosen & ~F.col("refined")).alias("failed"),
+    )

@@ -106,6 +106,8 @@ def huber_adjustment(observations: DataFrame, n_params: int, delta: float = 1.34
         p = new
         if done:
             break
+    else:
+        raise RuntimeError(f"the adjustment has not converged in {rounds} rounds")
 
     def judged(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in parts:

@@ -5,20 +5,22 @@ from __future__ import annotations
 from itertools import combinations, islice
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veldspar.operators.components import components
+from veldspar.tables import drop_tables, materialise, recorded
 
 
-def within(rows: DataFrame, radius: float, line: str = "line", sample: str = "sample", both_ways: bool = True) -> DataFrame:
-    """Pairs of rows of a job within radius: an equi-join on hash cells of the radius.
+def within(rows: DataFrame, radius: float, line: str = "line", sample: str = "sample", both_ways: bool = True, carry: tuple[str, ...] = ("score",)) -> DataFrame:
+    """Pairs of rows of a job within radius, with the columns to carry: an equi-join on hash cells of the radius.
 
     Each unordered pair is met once (a row looks in its own cell and four of the eight around it) and mirrored if both ways are asked."""
     cell = lambda c: F.floor(F.col(c) / F.lit(radius)).cast("long")
     near = F.array(*[F.struct(F.lit(i).cast("long").alias("i"), F.lit(j).cast("long").alias("j")) for i, j in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))])
-    cols = ("match_id", line, sample, "score")
+    cols = ("match_id", line, sample, *carry)
     left = rows.select("job_id", *[F.col(c).alias(f"a_{c}") for c in cols], cell(line).alias("ci"), cell(sample).alias("cj"), F.explode(near).alias("d"))
     left = left.withColumn("same", (F.col("d.i") == 0) & (F.col("d.j") == 0)).withColumn("ci", F.col("ci") + F.col("d.i")).withColumn("cj", F.col("cj") + F.col("d.j")).drop("d")
     right = rows.select("job_id", *[F.col(c).alias(f"b_{c}") for c in cols], cell(line).alias("ci"), cell(sample).alias("cj"))
@@ -41,26 +43,67 @@ def remove_duplicates(rows: DataFrame, radius: float) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_label")
 
 
-def _greedy(pdf: pd.DataFrame, radius: float) -> np.ndarray:
-    order = np.lexsort((pdf["match_id"].to_numpy(str), -pdf["score"].to_numpy()))
-    xy = pdf[["line", "sample"]].to_numpy()
-    alive = np.ones(len(pdf), bool)
-    for k, i in enumerate(order):
-        if alive[i]:
-            later = order[k + 1 :]
-            d = np.hypot(*(xy[later] - xy[i]).T)
-            alive[later[d <= radius]] = False
-    return alive
+def greedy_losers(pairs: DataFrame) -> DataFrame:
+    """pairs: better, worse (distinct, of one total order). The nodes that a greedy pass in that order would suppress, as `loser`.
 
+    In each round a node without a better undecided neighbour survives and its worse neighbours lose; decided nodes leave. Every chain of
+    better neighbours shortens, so that the rounds end; each round's pairs are a table."""
+    spark = pairs.sparkSession
+    with recorded() as made:
+        left = materialise(pairs.select("better", "worse").distinct())
+    out = spark.createDataFrame([], T.StructType([T.StructField("loser", left.schema["worse"].dataType)]))
+    while not left.isEmpty():
+        spent = made[-1:]
+        with recorded() as made:
+            top = left.select("better").distinct().join(left.select(F.col("worse").alias("better")), "better", "left_anti")
+            gone = materialise(left.join(top, "better", "left_semi").select(F.col("worse").alias("loser")).distinct())
+            left = materialise(left.join(gone, F.col("worse") == F.col("loser"), "left_anti").join(gone, F.col("better") == F.col("loser"), "left_anti"))
+        drop_tables(spark, spent)
+        out = out.unionByName(gone)
+    return out
+
+
+def _node(side: str) -> Column:
+    return F.struct("job_id", F.col(f"{side}_match_id").alias("match_id"))
 
-def suppress_non_maxima(rows: DataFrame, radius: float) -> DataFrame:
-    """Greedy by score, then id, within a job: survivors suppress later rows within radius. Adds nms_status."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pdf.assign(nms_status=np.where(_greedy(pdf, radius), "survived", "suppressed"))
 
-    from pyspark.sql import types as T
+def _oriented(pairs: DataFrame, better: Column) -> DataFrame:
+    return pairs.withColumn("better", F.when(better, _node("a")).otherwise(_node("b"))).withColumn("worse", F.when(better, _node("b")).otherwise(_node("a")))
 
-    return rows.groupBy("job_id").applyInPandas(run, T.StructType([*rows.schema.fields, T.StructField("nms_status", T.StringType())]))
+
+def suppress_non_maxima(rows: DataFrame, radius: float) -> DataFrame:
+    """Greedy by score, then id, within a job: survivors suppress later rows within radius. Adds nms_status."""
+    first = (F.col("a_score") > F.col("b_score")) | ((F.col("a_score") == F.col("b_score")) & (F.col("a_match_id") < F.col("b_match_id")))
+    losers = greedy_losers(_oriented(within(rows, radius, both_ways=False), first)).select("loser.job_id", "loser.match_id", F.lit(True).alias("_lost"))
+    return rows.join(losers, ["job_id", "match_id"], "left").withColumn("nms_status", F.when(F.col("_lost"), "suppressed").otherwise("survived")).drop("_lost")
+
+
+def tile_duplicates(rows: DataFrame, radius: float) -> DataFrame:
+    """Marks duplicates from the overlaps of tiles: rows (with ref_line, ref_sample, level, tile_id, rejection_reason, is_candidate, is_inlier) whose source and
+    reference places both lie within radius of a better one lose, greedily by score, level (none first), tile and id. Losers stay, rejected, with the
+    best winner near them named; rows rejected before neither win nor lose."""
+    rank = ("score", "level", "tile_id")
+    live = rows.where("rejection_reason is null").select("job_id", "match_id", "line", "sample", "ref_line", "ref_sample", "score", F.coalesce("level", F.lit(-1)).alias("level"), F.coalesce("tile_id", F.lit("")).alias("tile_id"))
+    pairs = within(live, radius, both_ways=False, carry=("ref_line", "ref_sample", *rank))
+    pairs = pairs.where(F.hypot(F.col("a_ref_line") - F.col("b_ref_line"), F.col("a_ref_sample") - F.col("b_ref_sample")) <= radius)
+    key = lambda s: F.struct((-F.col(f"{s}_score")).alias("s"), F.col(f"{s}_level").alias("l"), F.col(f"{s}_tile_id").alias("t"), F.col(f"{s}_match_id").alias("m"))
+    pairs = _oriented(pairs, key("a") < key("b")).withColumn("winner_key", F.least(key("a"), key("b")))
+    pairs = materialise(pairs.select("better", "worse", "winner_key"))
+    losers = materialise(greedy_losers(pairs))
+    won = pairs.join(losers, F.col("worse") == F.col("loser"), "left_semi").join(losers, F.col("better") == F.col("loser"), "left_anti")
+    named = won.groupBy("worse").agg(F.min("winner_key").alias("w")).select("worse.job_id", "worse.match_id", F.when(F.col("w.t") == "", "untiled").otherwise(F.col("w.t")).alias("_tile"), F.col("w.m").alias("_winner"))
+    out = rows.join(named, ["job_id", "match_id"], "left")
+    lost = F.col("_winner").isNotNull()
+    reason = F.when(lost, F.concat(F.lit("tiled overlap duplicate; retained "), "_tile", F.lit(":"), "_winner", F.lit(" by deterministic score order"))).otherwise(F.col("rejection_reason"))
+    flags = {c: F.when(lost, F.lit(False)).otherwise(F.col(c)) for c in ("is_candidate", "is_inlier") if c in rows.columns}
+    return out.withColumns({"rejection_reason": reason, **flags}).drop("_tile", "_winner")
+
+
+def in_level_frame(rows: DataFrame, tiles: DataFrame) -> DataFrame:
+    """rows in the pixels of their tile -> pixels of the level: adds the tile's window origin (tiles: tile_id, level, origin_line, origin_sample, and the same for the reference)."""
+    at = tiles.select("level", "tile_id", *[F.col(c).alias(f"_{c}") for c in ("origin_line", "origin_sample", "ref_origin_line", "ref_origin_sample")])
+    moved = {"line": "_origin_line", "sample": "_origin_sample", "ref_line": "_ref_origin_line", "ref_sample": "_ref_origin_sample"}
+    return rows.join(at, ["level", "tile_id"]).withColumns({c: F.col(c) + F.col(o) for c, o in moved.items()}).drop(*moved.values())
 
 
 def verify_forward_backward(forward: DataFrame, reverse: DataFrame, tolerance: float, most: float, mode: str = "annotate") -> DataFrame:
@@ -87,51 +130,134 @@ def verify_forward_backward(forward: DataFrame, reverse: DataFrame, tolerance: f
 
 
 def affine_normal_fit(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Least-squares affine reference ~ (line, sample) per group from sums (3 x 3 normal equations by Cramer's rule); null if singular."""
-    n, x, y = F.count(F.lit(1)).cast("double"), F.col("line"), F.col("sample")
-    sums = {"n": n, "sx": F.sum(x), "sy": F.sum(y), "sxx": F.sum(x * x), "sxy": F.sum(x * y), "syy": F.sum(y * y)}
-    for t, c in (("u", "ref_line"), ("v", "ref_sample")):
-        sums |= {f"s{t}": F.sum(c), f"sx{t}": F.sum(x * F.col(c)), f"sy{t}": F.sum(y * F.col(c))}
+    """Least-squares affine reference ~ (line, sample) per group from central moments (2 x 2 normal equations); null for fewer than three or collinear points."""
+    x, y, c = F.col("line"), F.col("sample"), F.col
+    sums = {"n": F.count(F.lit(1)), "mx": F.avg(x), "my": F.avg(y), "vx": F.var_pop(x), "vy": F.var_pop(y), "vxy": F.covar_pop(x, y)}
+    for t, name in (("u", "ref_line"), ("v", "ref_sample")):
+        sums |= {f"m{t}": F.avg(name), f"x{t}": F.covar_pop(x, c(name)), f"y{t}": F.covar_pop(y, c(name))}
     a = rows.groupBy(*keys).agg(*[e.alias(k) for k, e in sums.items()])
-    c = F.col
-    det = c("sxx") * (c("syy") * c("n") - c("sy") * c("sy")) - c("sxy") * (c("sxy") * c("n") - c("sy") * c("sx")) + c("sx") * (c("sxy") * c("sy") - c("syy") * c("sx"))
-    a = a.withColumn("det", F.when(F.abs(det) > 1e-6, det))
+    det = c("vx") * c("vy") - c("vxy") * c("vxy")
+    a = a.withColumn("det", F.when((c("n") >= 3) & (det > 1e-12 * c("vx") * c("vy")), det))
     for t in "uv":
-        p, q, r = c(f"sx{t}"), c(f"sy{t}"), c(f"s{t}")
-        d1 = p * (c("syy") * c("n") - c("sy") * c("sy")) - c("sxy") * (q * c("n") - c("sy") * r) + c("sx") * (q * c("sy") - c("syy") * r)
-        d2 = c("sxx") * (q * c("n") - c("sy") * r) - p * (c("sxy") * c("n") - c("sy") * c("sx")) + c("sx") * (c("sxy") * r - q * c("sx"))
-        d3 = c("sxx") * (c("syy") * r - q * c("sy")) - c("sxy") * (c("sxy") * r - q * c("sx")) + p * (c("sxy") * c("sy") - c("syy") * c("sx"))
-        a = a.withColumns({f"{t}_line": d1 / c("det"), f"{t}_sample": d2 / c("det"), f"{t}_shift": d3 / c("det")})
+        p, q = (c(f"x{t}") * c("vy") - c(f"y{t}") * c("vxy")) / c("det"), (c(f"y{t}") * c("vx") - c(f"x{t}") * c("vxy")) / c("det")
+        a = a.withColumns({f"{t}_line": p, f"{t}_sample": q}).withColumn(f"{t}_shift", c(f"m{t}") - c(f"{t}_line") * c("mx") - c(f"{t}_sample") * c("my"))
     return a.select(*keys, c("n").cast("long").alias("n"), *[f"{t}_{k}" for t in "uv" for k in ("line", "sample", "shift")])
 
 
-def robust_affine(rows: DataFrame, threshold: float, trials: int = 128) -> DataFrame:
-    """Per job: affine fits of the first `trials` triples in order, the one with most inliers (then least sum of residuals), refit, inliers by the refit.
+_COEFFICIENTS = [f"{t}_{k}" for t in "uv" for k in ("line", "sample", "shift")]
+
 
-    Row order (ord) is part of the semantics. Adds residual and is_inlier; both null where no fit exists."""
+def affine_residual(line: Column, sample: Column, ref_line: Column, ref_sample: Column, of: str = "") -> Column:
+    """Distance of the reference place from where the affine columns (with prefix `of`) put the source place."""
+    c = lambda n: F.col(f"{of}{n}")
+    return F.hypot(c("u_line") * line + c("u_sample") * sample + c("u_shift") - ref_line, c("v_line") * line + c("v_sample") * sample + c("v_shift") - ref_sample)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ord", kind="stable")
-        a = np.column_stack([pdf["line"], pdf["sample"], np.ones(len(pdf))])
-        b = pdf[["ref_line", "ref_sample"]].to_numpy()
-        best = None
-        for triple in islice(combinations(range(len(pdf)), 3), trials):
-            own = a[list(triple)]
-            if np.linalg.matrix_rank(own) < 3:
-                continue
-            r = np.hypot(*(b - a @ np.linalg.solve(own, b[list(triple)])).T)
-            ok = r <= threshold
-            key = (-int(ok.sum()), float(r[ok].sum()))
-            if best is None or key < best[0]:
-                best = (key, ok)
-        res, inl = [None] * len(pdf), [None] * len(pdf)
-        if best is not None and best[1].sum() >= 3:
-            fit = np.linalg.lstsq(a[best[1]], b[best[1]], rcond=None)[0]
-            r = np.hypot(*(b - a @ fit).T)
-            res, inl = r, r <= threshold
-        return pd.DataFrame({"job_id": pdf["job_id"], "match_id": pdf["match_id"], "residual_px": pd.array(res, "Float64"), "is_inlier": pd.array(inl, "boolean")})
 
-    return rows.groupBy("job_id").applyInPandas(run, f"job_id {rows.schema['job_id'].dataType.simpleString()}, match_id string, residual_px double, is_inlier boolean")
+def trial_triples(n: Column, trials: int, seed: int | None) -> Column:
+    """Rows (from 0) of each trial's three points among n: the first combinations in order, or seeded random choices."""
+
+    @F.arrow_udf("array<array<int>>")
+    def triples(sizes: pa.Array) -> pa.Array:
+        out = []
+        for n in sizes.to_pylist():
+            if n < 3:
+                out.append([])
+            elif seed is None:
+                out.append(list(map(list, islice(combinations(range(n), 3), trials))))
+            else:
+                rng = np.random.default_rng(seed)
+                out.append([rng.choice(n, size=3, replace=False).tolist() for _ in range(trials)])
+        return pa.array(out, pa.list_(pa.list_(pa.int32())))
+
+    return triples(n)
+
+
+def _through_three(trials: DataFrame) -> DataFrame:
+    """trials: job_id, trial, p (three structs x, y, u, v). The affine through the points; collinear trials leave."""
+    at = lambda i, f: F.get("p", F.lit(i))[f]
+    d = lambda i, f: at(i, f) - at(0, f)
+    det = d(1, "x") * d(2, "y") - d(2, "x") * d(1, "y")
+    size = F.greatest(*[F.abs(d(i, f)) for i in (1, 2) for f in "xy"])
+    rows = trials.withColumn("det", det).where(F.abs("det") > 1e-12 * size * size)
+    for t in "uv":
+        rows = rows.withColumns({f"{t}_line": (d(1, t) * d(2, "y") - d(2, t) * d(1, "y")) / F.col("det"), f"{t}_sample": (d(1, "x") * d(2, t) - d(2, "x") * d(1, t)) / F.col("det")})
+        rows = rows.withColumn(f"{t}_shift", at(0, t) - F.col(f"{t}_line") * at(0, "x") - F.col(f"{t}_sample") * at(0, "y"))
+    return rows.select("job_id", "trial", *_COEFFICIENTS)
+
+
+def robust_affine(rows: DataFrame, threshold: float, trials: int = 128, min_inliers: int = 3, seed: int | None = None) -> DataFrame:
+    """Per job: affines through triples of points, the one with most inliers (then least sum of residuals, then the first), refit on its inliers.
+
+    Row order (ord, then match_id) is part of the semantics. Without a seed the triples are the first `trials` combinations and inliers are told anew by the
+    refit; with one they are seeded choices and the trial's inliers stay. Every trial meets every row of its job by a join and a partial
+    aggregation, so that no job has to fit in a task. Gives job_id, match_id, residual_px, is_inlier, rejection_reason and the affine."""
+    place = {"x": "line", "y": "sample", "u": "ref_line", "v": "ref_sample"}
+    w = Window.partitionBy("job_id").orderBy("ord", "match_id")
+    rows = materialise(rows.select("job_id", "match_id", *[F.col(c).cast("double") for c in place.values()], (F.row_number().over(w) - 1).alias("at")))
+    jobs = rows.groupBy("job_id").agg(F.count(F.lit(1)).alias("n"))
+    picks = jobs.select("job_id", F.posexplode(trial_triples(F.col("n").cast("int"), trials, seed)).alias("trial", "three")).select("job_id", "trial", F.posexplode("three").alias("k", "at"))
+    points = picks.join(rows, ["job_id", "at"]).groupBy("job_id", "trial").agg(F.sort_array(F.collect_list(F.struct("k", *[F.col(c).alias(n) for n, c in place.items()]))).alias("p"))  # three points each
+    models = materialise(_through_three(points))
+    r = affine_residual(*map(F.col, place.values()))
+    met = rows.join(models, "job_id").withColumn("r", r).where(F.col("r") <= threshold)
+    scored = met.groupBy("job_id", "trial").agg(F.count(F.lit(1)).alias("inliers"), F.sum("r").alias("total"))
+    none = models.select("job_id", "trial").join(scored, ["job_id", "trial"], "left").withColumn("inliers", F.coalesce("inliers", F.lit(0)))
+    best = none.groupBy("job_id").agg(F.min(F.struct((-F.col("inliers")).alias("less"), F.coalesce("total", F.lit(0.0)).alias("total"), "trial")).alias("b")).select("job_id", F.col("b.trial").alias("trial"), (-F.col("b.less")).alias("inliers"))
+    chosen = materialise(best.join(models, ["job_id", "trial"]))
+    inside = rows.join(chosen.where(F.col("inliers") >= min_inliers), "job_id").withColumn("r", r)
+    refit = affine_normal_fit(inside.where(F.col("r") <= threshold).select("job_id", *place.values()), ["job_id"]).drop("n")
+    tried = chosen.select("job_id", "inliers", *[F.col(c).alias(f"t_{c}") for c in _COEFFICIENTS])
+    out = rows.join(jobs, "job_id").join(tried, "job_id", "left").join(refit, "job_id", "left")
+    fitted = F.col("u_line").isNotNull()
+    residual = F.when(fitted, affine_residual(*map(F.col, place.values())))
+    by_trial = affine_residual(*map(F.col, place.values()), of="t_") <= threshold
+    inlier = F.coalesce(fitted & ((F.col("residual_px") <= threshold) if seed is None else by_trial), F.lit(False))
+    reason = (
+        F.when(F.col("n") < 3, "robust affine fit did not converge: fewer than three candidate correspondences")
+        .when(F.coalesce(F.col("inliers"), F.lit(-1)) < min_inliers, "robust affine fit did not converge: insufficient geometrically consistent candidates")
+        .when(~fitted, "robust affine fit did not converge: inlier design is rank deficient")
+        .when(~F.col("is_inlier"), F.format_string(f"robust affine residual %.4fpx exceeds residual_threshold_px={threshold:.4f}", F.col("residual_px")))
+    )
+    return out.withColumn("residual_px", residual).withColumn("is_inlier", inlier).withColumn("rejection_reason", reason).select("job_id", "match_id", "residual_px", "is_inlier", "rejection_reason", *_COEFFICIENTS)
+
+
+def verify_candidates(forward: DataFrame, reverse: DataFrame, most: float, dedup_radius: float, nms_radius: float, threshold: float, anchor: float | None = None, trials: int = 128, min_inliers: int = 3, seed: int = 0) -> DataFrame:
+    """Round trips annotated, duplicates removed, non-maxima marked, and a seeded robust affine of the survivors (suppressed rows keep null fit columns)."""
+    rows = verify_forward_backward(forward, reverse, most / 2 if anchor is None else anchor, most, "annotate")
+    rows = materialise(suppress_non_maxima(remove_duplicates(rows, dedup_radius), nms_radius))
+    alive = rows.where("nms_status = 'survived'")
+    fit = robust_affine(alive.withColumn("ord", F.col("match_id")), threshold, trials, min_inliers, seed).drop(*_COEFFICIENTS)
+    return rows.drop("residual_px", "is_inlier", "rejection_reason").join(fit, ["job_id", "match_id"], "left")
+
+
+def verify_match_candidates(forward: DataFrame, reverse: DataFrame | None, most: float, threshold: float, anchor: float | None = None, trials: int = 128, min_inliers: int = 3) -> DataFrame:
+    """Round trips that miss or exceed reject a row; the others are fitted by the first triples in order. Adds error, residual, is_inlier, reason and the affine."""
+    rows = forward.drop("residual_px", "is_inlier", "rejection_reason")
+    if reverse is None:
+        rows = rows.withColumn("forward_backward_error_px", F.lit(None).cast("double")).withColumn("_why", F.lit(None).cast("string"))
+    else:
+        rows = verify_forward_backward(rows, reverse, most / 2 if anchor is None else anchor, most, "reject").withColumnRenamed("rejection_reason", "_why")
+    rows = materialise(rows)
+    fit = robust_affine(rows.where("_why is null").withColumn("ord", F.col("match_id")), threshold, trials, min_inliers)
+    out = rows.join(fit, ["job_id", "match_id"], "left")
+    return out.withColumn("rejection_reason", F.coalesce("_why", "rejection_reason")).withColumn("is_inlier", F.coalesce("is_inlier", F.lit(False))).drop("_why")
+
+
+def warp_prior(samples: DataFrame, keys: list[str], source_variance: float | None = None, reference_variance: float | None = None, floor: float = 1e-6) -> DataFrame:
+    """Per group: shift, scales and orientation of the affine source -> reference, and its uncertainty from residuals and projection variances.
+
+    status tells why there is no prior: too few or collinear samples, no degree of freedom without both variances, or an uncertainty at the floor."""
+    fit = affine_normal_fit(samples, keys)
+    rows = samples.join(fit, keys).withColumn("_r", affine_residual(*[F.col(c) for c in ("line", "sample", "ref_line", "ref_sample")]))
+    rms = rows.groupBy(*keys).agg(F.sqrt(F.avg(F.col("_r") * F.col("_r"))).alias("rms"))
+    both = source_variance is not None and reference_variance is not None
+    spread = ((source_variance or 0.0) + (reference_variance or 0.0)) ** 0.5
+    scale, dof = F.hypot("u_line", "v_line"), 2 * F.col("n") - 6
+    out = fit.join(rms, keys, "left").withColumn("uncertainty_px", F.hypot("rms", F.lit(spread)))
+    status = F.when(F.col("u_line").isNull(), "too_few_samples").when((dof <= 0) & F.lit(not both), "no_degrees_of_freedom").when(F.col("uncertainty_px") <= floor, "uncertainty_at_floor").otherwise("ok")
+    angle = F.degrees(F.atan2(F.col("uncertainty_px"), F.greatest(F.lit(1e-12), scale)))
+    origin = F.lit("supplied_projection_covariances") if both else F.concat(F.lit("affine_residual_dof_"), dof.cast("string"))
+    return out.select(*keys, "n", status.alias("status"), F.col("u_shift").alias("shift_line"), F.col("v_shift").alias("shift_sample"), scale.alias("scale_line"), F.hypot("u_sample", "v_sample").alias("scale_sample"), F.degrees(F.atan2("v_line", "u_line")).alias("orientation_deg"), "uncertainty_px", angle.alias("orientation_uncertainty_deg"), origin.alias("provenance"))
 
 
 # --- coverage ----------------------------------------------------------------------------------------------------
@@ -157,8 +283,8 @@ def select_grid_coverage(rows: DataFrame, eligible: DataFrame, floor: float) ->
     return rows.withColumn("selected", chosen).withColumn("rationale", why).drop("_n", "_part")
 
 
-def coverage_metrics(selected: DataFrame, grid: int = 8) -> DataFrame:
-    """Per job: occupied cells, occupancy of all cells, greatest count in a cell, longest horizontal empty run."""
+def uniformity_grid(selected: DataFrame, grid: int = 8) -> DataFrame:
+    """Per job, as the console shows it: occupied cells, occupancy of all cells, greatest count in a cell, longest horizontal empty run."""
     cells = selected.where("selected").groupBy("job_id", "row", "col").agg(F.count(F.lit(1)).alias("n"))
     jobs = selected.select("job_id").distinct().select("job_id", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("row"))
     edges = cells.select("job_id", "row", "col").union(jobs.select("job_id", "row", F.explode(F.array(F.lit(-1), F.lit(grid))).alias("col")))
@@ -167,23 +293,3 @@ def coverage_metrics(selected: DataFrame, grid: int = 8) -> DataFrame:
     stats = cells.groupBy("job_id").agg(F.count(F.lit(1)).alias("occupied"), F.max("n").alias("most"))
     out = runs.join(stats, "job_id", "left").withColumn("occupied", F.coalesce("occupied", F.lit(0)).cast("long"))
     return out.withColumn("occupancy", F.col("occupied") / F.lit(float(grid * grid))).withColumn("most", F.coalesce("most", F.lit(0)).cast("long"))
-
-
-def convex_hull_area(rows: DataFrame) -> DataFrame:
-    """Per job: area of the convex hull of the points (monotone chain), 0 for fewer than three or collinear points."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pts = sorted(set(map(tuple, pdf[["line", "sample"]].to_numpy())))
-        cross = lambda o, a, b: (a[0] - o[0]) * (b[1] - o[1]) - (a[1] - o[1]) * (b[0] - o[0])
-        half = []
-        for seq in (pts, pts[::-1]):
-            chain: list = []
-            for p in seq:
-                while len(chain) > 1 and cross(chain[-2], chain[-1], p) <= 0:
-                    chain.pop()
-                chain.append(p)
-            half += chain[:-1]
-        area = abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(half, half[1:] + half[:1], strict=True))) / 2 if len(half) > 2 else 0.0
-        return pd.DataFrame({"job_id": pdf["job_id"].iloc[:1], "hull_area_px2": [area], "hull_points": [len(half)]})
-
-    return rows.select("job_id", "line", "sample").groupBy("job_id").applyInPandas(run, f"job_id {rows.schema['job_id'].dataType.simpleString()}, hull_area_px2 double, hull_points long")

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veldspar.functions import geometry as geo
-from veldspar.operators import catalogue, gates, governance, graph, lifecycle, matching, pyramid, raster, tiepoints
+from veldspar.functions import hashing
+from veldspar.operators import catalogue, coverage, gates, governance, graph, lifecycle, matching, pyramid, raster, tiepoints
 
 # --- derived tables ----------------------------------------------------------------------------------------------
 
@@ -241,7 +242,14 @@ def duplicate_candidates_removed(spark, d):
     return tiepoints.remove_duplicates(ties(spark, d), 40.0).select("job_id", "match_id")
 
 
-@query()
+_GREEDY = """WITH RECURSIVE t AS ({rows}), o AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY {order}) AS n FROM t WHERE live),
+    s(job_id, n, won) AS (SELECT DISTINCT job_id, 0::BIGINT, []::STRUCT(m VARCHAR, t VARCHAR, l DOUBLE, s DOUBLE, rl DOUBLE, rs DOUBLE)[] FROM o
+        UNION ALL SELECT s.job_id, o.n, CASE WHEN len(list_filter(won, lambda w: {near})) = 0 THEN list_append(won, {{'m': match_id, 't': tile_id, 'l': line, 's': sample, 'rl': ref_line, 'rs': ref_sample}}) ELSE won END FROM s JOIN o ON o.job_id = s.job_id AND o.n = s.n + 1),
+    f AS (SELECT job_id, arg_max(won, n) AS won FROM s GROUP BY 1)"""
+
+
+@query(_GREEDY.format(rows=f"SELECT *, true AS live, '' AS tile_id FROM ({TIE_SQL})", order="score DESC, match_id", near="sqrt((w.l - line) ** 2 + (w.s - sample) ** 2) <= 40") + """
+    SELECT t.job_id, match_id, CASE WHEN list_contains(list_transform(won, lambda w: w.m), match_id) THEN 'survived' ELSE 'suppressed' END AS nms_status FROM t JOIN f ON f.job_id = t.job_id""")
 def non_maximum_suppression(spark, d):
     return tiepoints.suppress_non_maxima(ties(spark, d), 40.0).select("job_id", "match_id", "nms_status")
 
@@ -267,7 +275,14 @@ def forward_backward_rejected(spark, d):
     return _fb(spark, d, "reject").select("job_id", "match_id", "rejection_reason")
 
 
-@query()
+_AFFINE = """a AS (SELECT {key}, count(*) AS n, avg(line) AS mx, avg(sample) AS my, var_pop(line) AS vx, var_pop(sample) AS vy, covar_pop(line, sample) AS vxy, avg(ref_line) AS mu, avg(ref_sample) AS mv,
+    covar_pop(line, ref_line) AS xu, covar_pop(sample, ref_line) AS yu, covar_pop(line, ref_sample) AS xv, covar_pop(sample, ref_sample) AS yv FROM {rows} GROUP BY ALL),
+    e AS (SELECT *, CASE WHEN n >= 3 AND vx * vy - vxy * vxy > 1e-12 * vx * vy THEN vx * vy - vxy * vxy END AS det FROM a),
+    g AS (SELECT *, (xu * vy - yu * vxy) / det AS u_line, (yu * vx - xu * vxy) / det AS u_sample, (xv * vy - yv * vxy) / det AS v_line, (yv * vx - xv * vxy) / det AS v_sample FROM e),
+    fit AS (SELECT *, mu - u_line * mx - u_sample * my AS u_shift, mv - v_line * mx - v_sample * my AS v_shift FROM g)"""
+
+
+@query(f"WITH t AS ({TIE_SQL}), {_AFFINE.format(key='job_id', rows='t')} SELECT job_id, n, " + ", ".join(f"round({t}_{k}, 4) AS {t}_{k}" for t in "uv" for k in ("line", "sample", "shift")) + " FROM fit")
 def affine_fit(spark, d):
     rows = tiepoints.affine_normal_fit(ties(spark, d), ["job_id"])
     return rows.select("job_id", "n", *[_r(F.col(f"{t}_{k}"), 4).alias(f"{t}_{k}") for t in "uv" for k in ("line", "sample", "shift")])
@@ -276,7 +291,7 @@ def affine_fit(spark, d):
 @query()
 def robust_affine_fit(spark, d):
     rows = ties(spark, d).withColumn("ord", F.col("match_id"))
-    return tiepoints.robust_affine(rows, 3.0).select("job_id", "match_id", _r(F.col("residual_px"), 4).alias("residual_px"), "is_inlier")
+    return tiepoints.robust_affine(rows, 3.0).select("job_id", "match_id", _r(F.col("residual_px"), 4).alias("residual_px"), "is_inlier", "rejection_reason")
 
 
 _CELL = "least(greatest(floor(line / 1024.0e0 * 8), 0), 7)::INT"
@@ -297,12 +312,20 @@ def grid_coverage_selection(spark, d):
     gp AS (SELECT job_id, col - lag(col) OVER (PARTITION BY job_id, "row" ORDER BY col) - 1 AS gap FROM e), rn AS (SELECT job_id, max(gap)::BIGINT AS longest_empty_run FROM gp GROUP BY 1), st AS (SELECT job_id, count(*)::BIGINT AS occupied, max(n)::BIGINT AS most FROM c GROUP BY 1)
     SELECT job_id, longest_empty_run, coalesce(occupied, 0) AS occupied, coalesce(most, 0) AS most, coalesce(occupied, 0) / 64.0e0 AS occupancy FROM rn LEFT JOIN st USING (job_id)""")
 def coverage_uniformity(spark, d):
-    return tiepoints.coverage_metrics(_selected(spark, d))
+    return tiepoints.uniformity_grid(_selected(spark, d))
 
 
-@query()
+_HULL = """p AS (SELECT DISTINCT job_id, line, sample FROM {rows}), h AS (SELECT a.job_id, a.line * b.sample - b.line * a.sample AS part FROM p a JOIN p b ON b.job_id = a.job_id AND (a.line, a.sample) <> (b.line, b.sample)
+    JOIN p c ON c.job_id = a.job_id GROUP BY a.job_id, a.line, a.sample, b.line, b.sample HAVING bool_and((b.line - a.line) * (c.sample - a.sample) - (b.sample - a.sample) * (c.line - a.line) > 0
+        OR ((b.line - a.line) * (c.sample - a.sample) = (b.sample - a.sample) * (c.line - a.line) AND (c.line - a.line) * (b.line - a.line) + (c.sample - a.sample) * (b.sample - a.sample) BETWEEN 0 AND (b.line - a.line) ** 2 + (b.sample - a.sample) ** 2))),
+    hull AS (SELECT job_id, abs(sum(part)) / 2 AS area, count(*) AS corners FROM h GROUP BY 1)"""
+
+
+@query(f"{_CELLS}, k AS (SELECT * FROM s WHERE selected), {_HULL.format(rows='k')} SELECT j.job_id, round(coalesce(area, 0), 6) AS hull_area_px2, CASE WHEN corners IS NULL THEN 1 ELSE corners END::BIGINT AS hull_points FROM (SELECT DISTINCT job_id FROM k) j LEFT JOIN hull ON hull.job_id = j.job_id")
 def coverage_hull(spark, d):
-    return tiepoints.convex_hull_area(_selected(spark, d).where("selected")).select("job_id", _r(F.col("hull_area_px2")).alias("hull_area_px2"), "hull_points")
+    points = _selected(spark, d).where("selected").groupBy("job_id").agg(F.collect_list(F.struct("line", "sample")).alias("pts"))  # at most a point for each cell
+    ring = coverage.hull(F.col("pts"))
+    return points.select("job_id", ring.alias("ring")).select("job_id", _r(coverage.ring_area(F.col("ring"))).alias("hull_area_px2"), F.size("ring").cast("long").alias("hull_points"))
 
 
 _SM = f"WITH t AS ({TIE_SQL}), m AS (SELECT job_id, count(*)::BIGINT AS candidates, count(*) FILTER (is_inlier)::BIGINT AS inliers, (count(*) FILTER (is_inlier))::DOUBLE / count(*) AS inlier_ratio, sqrt(avg(residual_px * residual_px) FILTER (is_inlier)) AS rmse_px, quantile_cont(residual_px, 0.5) FILTER (is_inlier) AS median_px, quantile_cont(residual_px, 0.9) FILTER (is_inlier) AS p90_px FROM t GROUP BY job_id)"
@@ -351,12 +374,16 @@ def downsampled_mask(spark, d):
 _NB = f"WITH p AS ({PIXEL_SQL}), v AS (SELECT *, CASE WHEN valid THEN value END AS u FROM p), n AS (SELECT *, lag(u) OVER l AS w, lead(u) OVER l AS e, lag(u) OVER s AS n, lead(u) OVER s AS s FROM v WINDOW l AS (PARTITION BY image_id, line ORDER BY sample), s AS (PARTITION BY image_id, sample ORDER BY line))"
 
 
-@query(f"{_NB}, m AS (SELECT *, CASE WHEN valid THEN sqrt(((e - w) / 2) ** 2 + ((s - n) / 2) ** 2) END AS magnitude FROM n) SELECT image_id, line, sample, round(magnitude, 6) AS magnitude, round(CASE WHEN magnitude > 0 THEN atan2((s - n) / 2, (e - w) / 2) END, 6) AS orientation FROM m")
+_SC = f"""{_NB}, a AS (SELECT *, greatest(abs(u), abs(n), abs(s), abs(w), abs(e)) AS top, u IS NOT NULL AND n IS NOT NULL AND s IS NOT NULL AND w IS NOT NULL AND e IS NOT NULL AS whole FROM n),
+    c AS (SELECT image_id, line, sample, u / top AS cc, n / top AS n, s / top AS s, w / top AS w, e / top AS e FROM a WHERE whole), q AS (SELECT *, list_sort([abs(cc - n), abs(cc - s), abs(cc - w), abs(cc - e)]) AS k, sqrt(((e - w) / 2) ** 2 + ((s - n) / 2) ** 2) AS raw FROM c)"""
+
+
+@query(f"{_SC} SELECT v.image_id, v.line, v.sample, round(least(1, coalesce(raw / nullif(k[3] + 0.85 * (k[4] - k[3]), 0), 0 * raw)), 6) AS magnitude, round(CASE WHEN raw > 1e-12 THEN atan2((s - n) / 2, (e - w) / 2) END, 6) AS orientation FROM v LEFT JOIN q ON q.image_id = v.image_id AND q.line = v.line AND q.sample = v.sample".replace("least(1,", "if(raw IS NULL, NULL, 1) * least(1,"))
 def gradient_channels(spark, d):
     return raster.gradients(pixels(spark, d)).select("image_id", "line", "sample", _r(F.col("magnitude")).alias("magnitude"), _r(F.col("orientation")).alias("orientation"))
 
 
-@query(f"{_NB}, m AS (SELECT *, abs(4 * value - n - s - w - e) AS a, abs(value - n) + abs(value - s) + abs(value - w) + abs(value - e) AS b FROM n) SELECT image_id, line, sample, round(CASE WHEN valid AND b IS NOT NULL THEN CASE WHEN b = 0 THEN 0 ELSE a / b END END, 6) AS phase FROM m")
+@query(f"{_SC} SELECT v.image_id, v.line, v.sample, round(CASE WHEN cc IS NOT NULL THEN CASE WHEN list_sum(k) > 2.3e-16 THEN least(1, abs(4 * cc - n - s - w - e) / list_sum(k)) ELSE 0 END END, 6) AS phase FROM v LEFT JOIN q ON q.image_id = v.image_id AND q.line = v.line AND q.sample = v.sample")
 def phase_equivalent_channel(spark, d):
     return raster.phase_equivalent(pixels(spark, d)).select("image_id", "line", "sample", _r(F.col("phase")).alias("phase"))
 
@@ -497,10 +524,16 @@ def refined_covariances(spark, d):
 _PROD = "SELECT doc_id AS product_id, doc_id % 97 AS terrain_group, CASE lang WHEN 'en' THEN 'development' WHEN 'fr' THEN 'validation' WHEN 'de' THEN 'held_out' ELSE 'not_applicable' END AS split_role FROM documents"
 
 
-@query(f"WITH p AS ({_PROD}) SELECT terrain_group, string_agg(DISTINCT split_role, ',' ORDER BY split_role) AS splits, min(product_id) AS first_seen, count(*) AS products FROM p WHERE split_role IN ('development', 'validation', 'held_out') GROUP BY 1 HAVING count(DISTINCT split_role) >= 2")
+_SPLITS = ("development", "validation", "held_out")
+
+
+def _products(spark, d):
+    return _t(spark, d, "documents").selectExpr("doc_id AS product_id", "doc_id AS ordinal", "doc_id % 97 AS terrain_group", "CASE lang WHEN 'en' THEN 'development' WHEN 'fr' THEN 'validation' WHEN 'de' THEN 'held_out' ELSE 'not_applicable' END AS split_role")
+
+
+@query(f"WITH p AS ({_PROD}) SELECT terrain_group, string_agg(DISTINCT split_role, ',' ORDER BY split_role) FILTER (split_role <> 'not_applicable') AS splits, min(product_id) AS first_seen, count(*) FILTER (split_role <> 'not_applicable') AS products FROM p GROUP BY 1 HAVING count(DISTINCT split_role) FILTER (split_role <> 'not_applicable') >= 2")
 def split_leakage(spark, d):
-    p = _t(spark, d, "documents").selectExpr("doc_id AS product_id", "doc_id % 97 AS terrain_group", "CASE lang WHEN 'en' THEN 'development' WHEN 'fr' THEN 'validation' WHEN 'de' THEN 'held_out' ELSE 'not_applicable' END AS split_role")
-    return governance.split_leakage(p, ["development", "validation", "held_out"])
+    return governance.split_leakage(_products(spark, d), _SPLITS)
 
 
 @query("""WITH f AS (SELECT doc_id, sha256(text) AS sha, strlen(text) AS n FROM documents), m AS (SELECT doc_id AS path, CASE WHEN doc_id % 13 = 0 THEN 'x' || sha ELSE sha END AS ms, n + CASE WHEN doc_id % 7 = 0 THEN 1 ELSE 0 END AS mn FROM f WHERE doc_id % 17 <> 3), g AS (SELECT doc_id AS path, sha AS fs, n AS fn FROM f WHERE doc_id % 19 <> 5)
@@ -511,9 +544,9 @@ def manifest_integrity(spark, d):
     return governance.manifest_integrity(m, f.where("path % 19 <> 5"))
 
 
-@query("SELECT source, sha256(string_agg(sha256(text), ',' ORDER BY sha256(text))) AS digest FROM documents GROUP BY source")
+@query("""SELECT source, sha256('["' || string_agg(sha256(text), '","' ORDER BY sha256(text)) || '"]') AS digest FROM documents GROUP BY source""")
 def combined_digests(spark, d):
-    return governance.digest_many(_t(spark, d, "documents").select("source", F.sha2("text", 256).alias("h")), "source", "h")
+    return hashing.digest_many(_t(spark, d, "documents").select("source", F.sha2("text", 256).alias("h")), "source", "h")
 
 
 @query("SELECT o_orderkey AS id, o_custkey AS owner FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment <> 'BUILDING')")
