@@ -2,11 +2,12 @@
 
 A vector is approximated by a sum of full-dimensional codewords, one from each codebook. Codebooks start from residual
 k-means on a bounded sample and are refitted by least squares, book after book; every vector is encoded by beam search, and the norm
-of its approximation is stored. A query scores codes by lookup tables (inner products with codewords); the best of each
-part of the index are scored exactly on the original vectors, in double precision, and merged.
+of its approximation and that of what it leaves are stored. A query scores codes by lookup tables (inner products with codewords); the best of
+each part of the index are scored exactly on the original vectors, in double precision. The stored norms bound how far a lookup score may be
+from the true one, so that whatever could still reach the k-th exact score is scored exactly too: no near vector of a part is lost.
 
-Defined results: null, zero, or ragged vectors (other than the commonest length) and those with null or non-finite
-components take no part; ties go to the smaller id; repeated rows count each for itself, but never for a query of the same
+Defined results: null or zero vectors and those with null or non-finite components take no part; vectors of another length than the query's
+are no candidates of it; ties go to the smaller id; repeated rows count each for itself, but never for a query of the same
 id; an empty table gives an empty result. Columns other than vec_id and embedding are never read.
 """
 
@@ -24,9 +25,13 @@ from veldspar.llm.common import materialise
 BOOKS, WORDS, BEAM = 16, 256, 4
 #: Vectors that the codebooks are fitted on, at most about; all vectors are encoded.
 SAMPLE = 8_000
-#: Candidates of each part of the index that are scored exactly for a query.
+#: Candidates of each part of the index that are scored exactly first for a query.
 RERANK = 400
-PART_ROWS = (8_192, 262_144)
+PART_ROWS, PART_BYTES = (8_192, 262_144), 128 << 20
+#: Lookup scores are sums of 32-bit numbers: their rounding error, relative to the norms of both vectors.
+ROUNDING = 1e-5
+#: Lengths of vectors that one table may hold: each has an index of its own.
+MAX_LENGTHS = 64
 
 
 def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) -> np.ndarray:
@@ -94,8 +99,7 @@ def valid_vectors(rows: DataFrame) -> DataFrame:
     v = F.col("embedding").cast("array<double>")
     rows = rows.select(F.col("vec_id").cast("long"), v.alias("v")).where("vec_id is not null and v is not null and size(v) > 0")
     rows = rows.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0))
-    dims = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    return rows.where(F.size("v") == (dims[0]["d"] if dims else 0))
+    return rows
 
 
 def _matrix(column: pa.Array, n: int) -> np.ndarray:
@@ -104,17 +108,25 @@ def _matrix(column: pa.Array, n: int) -> np.ndarray:
 
 def search(rows: DataFrame, every: int = 20, k: int = 20, rerank: int = RERANK, sample: int = SAMPLE) -> DataFrame:
     """query_id, rank, vec_id, score: for rows whose id divides by `every`, the k nearest others by inner product."""
-    spark = rows.sparkSession
     base = materialise(valid_vectors(rows))
-    total = base.count()
-    empty = "query_id long, rank int, vec_id long, score double"
-    if not total:
-        return spark.createDataFrame([], empty)
+    lengths = sorted(r["d"] for r in base.select(F.size("v").alias("d")).distinct().limit(MAX_LENGTHS + 1).collect())
+    if len(lengths) > MAX_LENGTHS:
+        raise ValueError(f"vectors of more than {MAX_LENGTHS} lengths")
+    out = rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for d in lengths:
+        own = base if len(lengths) == 1 else materialise(base.where(F.size("v") == d))
+        out = out.unionByName(_search(own, d, every, k, rerank, sample))
+    return out
+
+
+def _search(base: DataFrame, length: int, every: int, k: int, rerank: int, sample: int) -> DataFrame:
+    """base: vec_id, v, all of one length; a table."""
+    spark, total = base.sparkSession, base.count()
     pick = base if total <= sample else base.where(F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000)) < int(sample / total * 1_000_000))
     found = pick.limit(4 * sample).toArrow()  # a bounded sample; the limit only guards it
     train = _matrix(found.column("v").combine_chunks(), len(found)) if len(found) else np.asarray(base.limit(1).toPandas().v.tolist())
     books = spark.sparkContext.broadcast(fit_books(train.astype(np.float64)).astype(np.float32))  # BOOKS x WORDS x dimensions
-    part_rows = min(max(total // 24, PART_ROWS[0]), PART_ROWS[1])
+    part_rows = min(max(total // 24, PART_ROWS[0]), PART_ROWS[1], max(1024, PART_BYTES // (8 * length)))
     parts = -(-total // part_rows)
 
     def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,13 +135,13 @@ def search(rows: DataFrame, every: int = 20, k: int = 20, rerank: int = RERANK,
                 p = b.slice(i, 4096)
                 c = encode(_matrix(p.column(1), p.num_rows).astype(np.float32), books.value)
                 approx = decode(c, books.value)
-                norm = (approx.astype(np.float64) ** 2).sum(1)
-                yield pa.record_batch([p.column(0), p.column(1), pa.array([x.tobytes() for x in c], pa.binary()), pa.array(norm)], ["vec_id", "v", "codes", "norm"])
+                norm, left = (np.sqrt((z.astype(np.float64) ** 2).sum(1)) for z in (approx, _matrix(p.column(1), p.num_rows) - approx))
+                yield pa.record_batch([p.column(0), p.column(1), pa.array([x.tobytes() for x in c], pa.binary()), pa.array(norm), pa.array(left)], ["vec_id", "v", "codes", "norm", "left"])
 
-    index = materialise(base.mapInArrow(codes, "vec_id long, v array<double>, codes binary, norm double"))
+    index = materialise(base.mapInArrow(codes, "vec_id long, v array<double>, codes binary, norm double, left double"))
     part = F.pmod(F.xxhash64("vec_id", "v"), F.lit(parts)).cast("int")
-    stored = index.select(part.alias("part"), F.lit(0).alias("kind"), "vec_id", "v", "codes")
-    queries = base.where(F.col("vec_id") % every == 0).select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(1).alias("kind"), "vec_id", "v", F.lit(None).cast("binary").alias("codes"))
+    stored = index.select(part.alias("part"), F.lit(0).alias("kind"), "vec_id", "v", "codes", (F.col("left") + ROUNDING * (F.col("norm") + F.col("left"))).alias("slack"))
+    queries = base.where(F.col("vec_id") % every == 0).select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(1).alias("kind"), "vec_id", "v", F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("double").alias("slack"))
     both = stored.unionByName(queries).repartition(min(parts, 4_096), "part").sortWithinPartitions("part", "kind", "vec_id")
     near = both.mapInArrow(_scan(books, k, rerank), "query_id long, vec_id long, score double")
     from pyspark.sql import Window
@@ -143,7 +155,7 @@ def _scan(books, k: int, rerank: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
-        ids = vecs = codes = None
+        ids = slack = vecs = codes = None
         for b in batches:
             part, kind = b.column("part").to_numpy(), b.column("kind").to_numpy()
             cuts = [0, *(np.flatnonzero((np.diff(part) != 0) | (np.diff(kind) != 0)) + 1), b.num_rows]
@@ -154,16 +166,16 @@ def _scan(books, k: int, rerank: int):
                 if part[i] != now:
                     now, held, ids = part[i], [], None
                 if kind[i] == 0:
-                    held.append((p.column("vec_id").to_numpy(), _matrix(p.column("v"), j - i), np.frombuffer(b"".join(p.column("codes").to_pylist()), np.uint8).reshape(j - i, -1)))
+                    held.append((p.column("vec_id").to_numpy(), p.column("slack").to_numpy(), _matrix(p.column("v"), j - i), np.frombuffer(b"".join(p.column("codes").to_pylist()), np.uint8).reshape(j - i, -1)))
                     continue
                 if ids is None:
                     if not held:
                         continue
-                    ids, vecs, codes = (np.concatenate(x) for x in zip(*held, strict=True))
+                    ids, slack, vecs, codes = (np.concatenate(x) for x in zip(*held, strict=True))
                     held = []
-                yield from answer(p, ids, vecs, codes.T.astype(np.intp))
+                yield from answer(p, ids, slack, vecs, codes.T.astype(np.intp))
 
-    def answer(p: pa.RecordBatch, ids, vecs, codes) -> Iterator[pa.RecordBatch]:
+    def answer(p: pa.RecordBatch, ids, slack, vecs, codes) -> Iterator[pa.RecordBatch]:
         q = _matrix(p.column("v"), p.num_rows)
         tables = np.einsum("qd,bkd->qbk", q.astype(np.float32), books.value)
         out = []
@@ -180,6 +192,12 @@ def _scan(books, k: int, rerank: int):
                 take = np.arange(len(ids))
             take = take[ids[take] != query]
             exact = (vecs[take] * q[i]).sum(1)
+            if len(take) < len(ids):  # whatever may still reach the k-th exact score
+                reach = np.partition(exact, len(exact) - k)[len(exact) - k] if len(exact) >= k else -np.inf
+                score[take] = -np.inf
+                more = np.flatnonzero((score > -np.inf) & (score + np.sqrt((q[i] * q[i]).sum()) * slack >= reach))
+                more = more[ids[more] != query]
+                take, exact = np.concatenate([take, more]), np.concatenate([exact, (vecs[more] * q[i]).sum(1)])
             best = np.lexsort((ids[take], -exact))[:k]
             out.append((np.full(len(best), query), ids[take][best], exact[best]))
         if out:

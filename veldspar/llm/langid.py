@@ -25,7 +25,7 @@ from veldspar.llm.common import _LOWER, _SPACE, mix, text_slices
 BUCKETS = 1 << 14
 #: Labelled documents that the model is fitted on at most (about; a hash of the id selects them).
 SAMPLE_DOCS = 50_000
-#: Languages a model may hold.
+#: Languages a model may hold; more are refused, none is left out.
 MAX_LANGS = 512
 ROUNDS = 4
 #: A language with a smaller share after the first rounds is left out at once.
@@ -84,7 +84,9 @@ def fit(docs: DataFrame, learn: Column, sample_docs: int = SAMPLE_DOCS, max_lang
 
     counted = rows.select("text", "lang").mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     lines = counted.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("bucket", "n"))).alias("c"))  # at most BUCKETS each
-    top = lines.orderBy(F.aggregate("c", F.lit(0).cast("long"), lambda a, x: a + x["n"]).desc(), "lang").limit(max_langs).collect()
+    top = lines.limit(max_langs + 1).collect()
+    if len(top) > max_langs:
+        raise ValueError(f"more than {max_langs} languages")
     model = {r["lang"]: r["c"] for r in top}
     langs = sorted(model)
     p = np.full((len(langs), BUCKETS), 0.5)

@@ -13,13 +13,10 @@ Columns other than doc_id, text and the site are never read.
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veldspar.llm.common import BROADCAST_ROWS, fits, let_go, materialise, sized
+from veldspar.llm.common import BROADCAST_ROWS, materialise, sized
 
 #: Distinct sites from which a line is boilerplate.
 MIN_SITES = 10
@@ -64,64 +61,29 @@ def _cut(text: Column, gone: Column) -> Column:
     return F.when(gone.isNull(), text).otherwise(F.array_join(left, "\n"))
 
 
-def _gone_of(bad: DataFrame):
-    """A function of (doc_id, hashes of a document's lines): positions of the lines to remove, null if there are none. bad is small."""
-    rows = bad.select("h", F.col("first_doc").isNull().alias("no_doc"), F.coalesce("first_doc", F.lit(0)).alias("first_doc"), "first_pos").toArrow()
-    order = np.argsort(rows["h"].to_numpy())
-    own = bad.sparkSession.sparkContext.broadcast(tuple(rows[n].to_numpy()[order] for n in ("h", "no_doc", "first_doc", "first_pos")))
-
-    @F.arrow_udf("array<int>")
-    def gone(doc_id: pa.Array, hashes: pa.Array) -> pa.Array:
-        let_go()
-        h, no_doc, first_doc, first_pos = own.value
-        offsets = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(hashes), 0).to_numpy(zero_copy_only=False))]).astype(np.int64)
-        flat = hashes.flatten()
-        value = flat.fill_null(0).to_numpy(zero_copy_only=False)
-        if not len(h) or not len(value):
-            return pa.nulls(len(doc_id), pa.list_(pa.int32()))
-        at = np.minimum(np.searchsorted(h, value), len(h) - 1)
-        hit = np.flatnonzero((h[at] == value) & flat.is_valid().to_numpy(zero_copy_only=False))
-        row = np.searchsorted(offsets, hit, "right") - 1
-        pos, at = hit - offsets[row], at[hit]
-        none, key = doc_id.is_null().to_numpy(zero_copy_only=False)[row], doc_id.fill_null(0).to_numpy(zero_copy_only=False)[row]
-        go = ~((none == no_doc[at]) & (key == first_doc[at]) & (pos == first_pos[at]))
-        n = np.bincount(row[go], minlength=len(doc_id))
-        ends = np.concatenate([[0], np.cumsum(n)])
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(pos[go], pa.int32()), mask=pa.array(n == 0))
-
-    return gone.asNondeterministic()  # so that no filter above computes it again
-
-
-def _joined(docs: DataFrame, site: str, min_sites: int, least_words: int, limit: int = BROADCAST_ROWS * 5) -> DataFrame:
-    """docs as struct __doc with __key, text, gone and n_worded (lines with a word).
-
-    Few boilerplate lines (at most limit, of 32 bytes) go to all tasks, so that no text is shuffled; more come by a join of the lists of lines."""
-    bad = boilerplate(_lines(docs, site, least_words), min_sites)
-    bare = lambda x: F.btrim(x, F.lit(_BLANK))
-    worded = lambda x: F.length(bare(x)) > 0
-    counts = lambda x: F.size(F.split(bare(x), _BLANKS, least_words)) >= least_words if least_words > 1 else F.lit(True)
-    key = lambda x: F.when(worded(x), F.when(counts(x), F.xxhash64(bare(x), F.length(bare(x)))).otherwise(0))
-    rows = docs.select(F.struct(*docs.columns).alias("__doc"), F.col("doc_id").cast("long").alias("__key"), "text")
-    if fits(bad, limit):
-        rows = rows.withColumn("__lines", F.transform(F.split("text", "\n"), key))
-        rows = rows.select("__doc", "__key", "__lines", _gone_of(bad)("__key", "__lines").alias("gone"))
-        return rows.select("__doc", "__key", F.col("__doc.text").alias("text"), "gone", F.size(F.filter("__lines", lambda h: h.isNotNull())).alias("n_worded"))
-    gone = materialise(removals(docs, bad, site, least_words)).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), "gone")
-    rows = rows.drop("text").join(gone, F.col("__key").eqNullSafe(F.col("__id")) & (F.xxhash64("__doc.text") == F.col("__th")), "left")
-    rows = rows.select("__doc", "__key", F.col("__doc.text").alias("text"), "gone")
-    return rows.withColumn("n_worded", F.when(F.col("gone").isNotNull(), F.size(F.filter(F.split("text", "\n"), worded))))
-
-
-def line_dedup(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, least_words: int = LEAST_WORDS, limit: int = BROADCAST_ROWS * 5) -> DataFrame:
+def _joined(docs: DataFrame, site: str, min_sites: int, least_words: int, limit: int = 5 * BROADCAST_ROWS) -> DataFrame:
+    """docs as struct __doc with __key, text and gone (positions of the lines to remove; null if there are none).
+
+    The lists of lines go to the documents: by broadcast if they are few (counted, in rows and bytes), so that no text is shuffled, else by a
+    hash join that shuffles each text once."""
+    gone = materialise(removals(docs, boilerplate(_lines(docs, site, least_words), min_sites), site, least_words))
+    gone = sized(gone.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), "gone"), limit)
+    rows = docs.select(F.struct(*docs.columns).alias("__doc"), F.col("doc_id").cast("long").alias("__key"))
+    rows = rows.join(gone, F.col("__key").eqNullSafe(F.col("__id")) & (F.xxhash64("__doc.text") == F.col("__th")), "left")
+    return rows.select("__doc", "__key", F.col("__doc.text").alias("text"), "gone")
+
+
+def line_dedup(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, least_words: int = LEAST_WORDS, limit: int = 5 * BROADCAST_ROWS) -> DataFrame:
     """doc_id, n_lines, n_removed, clean_chars (null for a null text), clean_text."""
     rows = _joined(docs, site, min_sites, least_words, limit).withColumn("clean", _cut(F.col("text"), F.col("gone")))
     n = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long")
     return rows.select(F.col("__key").alias("doc_id"), n.alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"), F.length("clean").cast("long").alias("clean_chars"), F.col("clean").alias("clean_text"))
 
 
-def without_boilerplate(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, least_words: int = LEAST_WORDS, limit: int = BROADCAST_ROWS * 5) -> DataFrame:
+def without_boilerplate(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, least_words: int = LEAST_WORDS, limit: int = 5 * BROADCAST_ROWS) -> DataFrame:
     """The documents with their texts cleaned (n_chars follows, if there); those that lose all their words go."""
-    rows = _joined(docs, site, min_sites, least_words, limit).where(F.col("gone").isNull() | (F.size("gone") < F.col("n_worded")))
+    worded = F.size(F.filter(F.split("text", "\n"), lambda x: F.length(F.btrim(x, F.lit(_BLANK))) > 0))
+    rows = _joined(docs, site, min_sites, least_words, limit).where(F.col("gone").isNull() | (F.size("gone") < worded))
     rows = rows.withColumn("clean", _cut(F.col("text"), F.col("gone")))
     own = [F.col("clean").alias(c) if c == "text" else F.when(F.col("gone").isNull(), F.col("__doc.n_chars")).otherwise(F.length("clean").cast("long")).alias(c) if c == "n_chars" else F.col(f"__doc.`{c}`").alias(c) for c in docs.columns]
     return rows.select(*own)

@@ -49,7 +49,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: in
     return rows.select("source", "source_size", F.least("most", F.coalesce(F.col("w") * level, F.col("most"))).alias("target"))
 
 
-def _newton(hist: DataFrame, state: DataFrame, hint, tolerance: float = 1e-6, rounds: int = 60) -> DataFrame:
+def _newton(hist: DataFrame, state: DataFrame, hint, tolerance: float = 1e-6, rounds: int = 200) -> DataFrame:
     """hist: source, size, n. state: source, source_size, target, mean. Adds lam; null where every rate is the cap."""
     full = F.col("target") >= CAP * F.col("source_size") * (1 - 1e-9)
     cur = materialise(state.withColumn("lam", F.when(full, None).otherwise(F.lit(0.0))).withColumn("lo", F.lit(-1e9)).withColumn("hi", F.lit(1e9)).withColumn("done", full))
@@ -79,6 +79,8 @@ def _newton(hist: DataFrame, state: DataFrame, hint, tolerance: float = 1e-6, ro
             F.when(F.col("done"), F.col("hi")).otherwise(F.col("u")).alias("hi"),
             (F.col("done") | met).alias("done"),
         ))
+    else:
+        raise RuntimeError(f"the dual has not converged in {rounds} Newton steps")
     return cur.select("source", "source_size", "target", "mean", "lam")
 
 
