@@ -81,8 +81,8 @@ def test_first_triples_against_a_plain_version(spark):
     for job in range(4):
         n = int(rng.integers(3, 14))
         for i in range(n):
-            x, y = rng.uniform(0, 100, 2)
-            off = rng.uniform(-20, 20, 2) if rng.random() < 0.4 else rng.uniform(-0.4, 0.4, 2)
+            x, y = rng.uniform(0, 100, 2).tolist()
+            off = (rng.uniform(-20, 20, 2) if rng.random() < 0.4 else rng.uniform(-0.4, 0.4, 2)).tolist()
             rows.append((job, f"m{i:02}", x, y, 1.01 * x + 0.02 * y + 3 + off[0], -0.03 * x + 0.98 * y - 2 + off[1], 1.0, i))
     got = {(r["job_id"], r["match_id"]): r for r in tiepoints.robust_affine(spark.createDataFrame(rows, _SCHEMA), 1.5, trials=20).collect()}
     for job in range(4):
