@@ -40,3 +40,29 @@ def test_malformed_field_fails(spark):
         from pyspark.sql import functions as F
 
         cs.nested(rows.withColumn("raw_score", F.lit("much"))).collect()
+
+
+def test_documents_and_bundles(spark, tmp_path):
+    import json
+
+    from veldspar.sources import documents
+
+    (tmp_path / "m.json").write_text(json.dumps({"schema_version": "1", "manifest_id": "m1", "products": [{"product_id": "p", "role": "source", "split_role": "development", "files": [{"relative_path": "a.img", "sha256": "0" * 64, "size_bytes": 3}]}, {"product_id": "q", "role": "reference"}]}, indent=1))
+    products = documents.read_manifest(spark, str(tmp_path / "m.json"))
+    assert [(r["ordinal"], r["product_id"]) for r in products.orderBy("ordinal").collect()] == [(0, "p"), (1, "q")]
+    assert [tuple(r) for r in documents.manifest_files(products).collect()] == [("a.img", "0" * 64, 3)]
+    (tmp_path / "l.json").write_text('{"schema_version": "1", "claims": []}')
+    assert documents.read_claim_ledger(spark, str(tmp_path / "l.json")).count() == 0
+    (tmp_path / "bad.json").write_text("{nothing")
+    with pytest.raises(Exception, match="(?i)malformed"):
+        documents.read_run_manifest(spark, str(tmp_path / "bad.json")).collect()
+    out = str(tmp_path / "bundle")
+    made = documents.write_bundle({"points": spark.range(5), "masks": spark.range(2)}, out).collect()
+    assert {r["path"].split("/")[0] for r in made} == {"points", "masks"}
+    assert {r["status"] for r in documents.validate_bundle(spark, out, ["points", "masks"]).collect()} == {"ok"}
+    hit = next(p for p in (tmp_path / "bundle" / "points").glob("*.parquet"))
+    hit.write_bytes(hit.read_bytes() + b"x")
+    for crc in (tmp_path / "bundle" / "points").glob(".*.crc"):
+        crc.unlink()
+    (tmp_path / "bundle" / "masks" / "new.parquet").write_bytes(b"y")
+    assert {r["status"] for r in documents.validate_bundle(spark, out, ["points", "masks"]).collect()} == {"ok", "checksum_mismatch", "unknown"}

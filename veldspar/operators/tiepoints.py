@@ -111,12 +111,12 @@ def verify_forward_backward(forward: DataFrame, reverse: DataFrame, tolerance: f
 
     The reverse match nearest to the forward's reference point (then by round trip, then id) gives the round-trip error. "annotate"
     keeps rows and fills the error where it is small enough; "reject" adds a reason to misses and excesses."""
-    t = F.lit(tolerance)
-    cell = lambda c: F.floor(F.col(c) / t).cast("long")
-    near = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    left = forward.select("job_id", "match_id", "line", "sample", "ref_line", "ref_sample", cell("ref_line").alias("ci"), cell("ref_sample").alias("cj"), near.alias("d"))
-    left = left.withColumn("ci", F.col("ci") + F.col("d.i")).withColumn("cj", F.col("cj") + F.col("d.j")).drop("d")
-    right = reverse.select("job_id", "rev_id", *[F.col(c).alias(f"r_{c}") for c in ("ref_line", "ref_sample", "line", "sample")], cell("ref_line").alias("ci"), cell("ref_sample").alias("cj"))
+    # cells are twice as wide as the tolerance: what lies within it of a place is in at most two cells of each axis
+    cell = lambda x: F.floor(x / F.lit(2.0 * tolerance)).cast("long")
+    reach = lambda c: F.explode(F.array_distinct(F.array(cell(F.col(c) - tolerance), cell(F.col(c) + tolerance))))
+    left = forward.select("job_id", "match_id", "line", "sample", "ref_line", "ref_sample", reach("ref_line").alias("ci"))
+    left = left.select("*", reach("ref_sample").alias("cj"))
+    right = reverse.select("job_id", "rev_id", *[F.col(c).alias(f"r_{c}") for c in ("ref_line", "ref_sample", "line", "sample")], cell(F.col("ref_line")).alias("ci"), cell(F.col("ref_sample")).alias("cj"))
     both = left.join(right, ["job_id", "ci", "cj"])
     both = both.withColumn("anchor", F.hypot(F.col("ref_line") - F.col("r_ref_line"), F.col("ref_sample") - F.col("r_ref_sample"))).where(F.col("anchor") <= tolerance)
     both = both.withColumn("trip", F.hypot(F.col("line") - F.col("r_line"), F.col("sample") - F.col("r_sample")))
