@@ -22,7 +22,8 @@ from veldspar.llm.common import BROADCAST_ROWS, materialise
 
 CAP = 3
 WEIGHTS = (5, 2, 1)
-BINS = 1024
+#: Bins of the order of extra copies, and parts of the bin in which a source's target is met.
+BINS, SUB = 8192, 4096
 ROUNDS = 4
 _BLANK = " \t\n\x0b\f\r"
 
@@ -92,13 +93,15 @@ def _with_rate(rows: DataFrame, plan: DataFrame, hint) -> DataFrame:
     r = r.withColumn("rate", rate).withColumn("base", F.floor("rate").cast("long")).withColumn("frac", F.col("rate") - F.col("base"))
     u = (F.shiftrightunsigned(F.xxhash64("doc_id", "size"), 11) + 1) / F.lit(float(1 << 53))
     r = r.withColumn("v", F.when((F.col("frac") > 0) & (F.col("size") > 0), u / F.col("frac")))
-    return r.withColumn("bin", F.least(F.floor(F.col("v") * BINS), F.lit(8 * BINS)).cast("long"))
+    x = F.col("v") / (1 + F.col("v")) * BINS  # all of v in bins that grow with it
+    return r.withColumn("bin", F.floor(x).cast("long")).withColumn("sub", F.floor((x - F.floor(x)) * SUB).cast("long"))
 
 
 def _chosen() -> Column:
     """Whether the plan of the source gives a document its extra copy, before exchanges."""
     at = F.struct("v", "doc_id")
-    return F.coalesce((F.col("bin") < F.col("edge")) | ((F.col("bin") == F.col("edge")) & (at <= F.col("last"))), F.lit(False))
+    within = (F.col("sub") < F.col("sub_edge")) | ((F.col("sub") == F.col("sub_edge")) & F.coalesce(at <= F.col("last"), F.lit(False)))
+    return F.coalesce((F.col("bin") < F.col("edge")) | ((F.col("bin") == F.col("edge")) & within), F.lit(False))
 
 
 def mixing_plan(meta: DataFrame) -> tuple[DataFrame, Callable]:
@@ -110,20 +113,27 @@ def mixing_plan(meta: DataFrame) -> tuple[DataFrame, Callable]:
     state = source_targets(sizes.select("source", "source_size")).join(means, F.col("source").eqNullSafe(F.col("s"))).drop("s")
     plan = _newton(hist, state, hint)
     rated = _with_rate(meta, plan, hint)
-    # tokens of extra copies by bin of v, then exactly within the bin where the target is met
+    # tokens of extra copies by bin of v, then by part of the bin where the target is met, then exactly within that part
     bins = rated.groupBy("source", "bin").agg(F.sum(F.col("size") * F.col("base")).alias("fixed"), F.sum(F.when(F.col("v").isNotNull(), F.col("size")).otherwise(0)).alias("extra"))
     by = Window.partitionBy("source").orderBy(F.col("bin").asc_nulls_first())
     bins = materialise(bins.withColumn("upto", F.sum("extra").over(by)).withColumn("fixed", F.sum("fixed").over(Window.partitionBy("source"))))
     need = bins.join(hint(plan.select(F.col("source").alias("s"), "target")), F.col("source").eqNullSafe(F.col("s"))).withColumn("need", F.col("target") - F.col("fixed"))
     edges = need.groupBy("source").agg(
-        F.first("need").alias("need"), F.coalesce(F.min(F.when(F.col("upto") > F.col("need"), F.col("bin"))), F.lit(8 * BINS + 1)).alias("edge"),
+        F.first("need").alias("need"), F.coalesce(F.min(F.when(F.col("upto") > F.col("need"), F.col("bin"))), F.lit(BINS + 1)).alias("edge"),
         F.coalesce(F.max(F.when(F.col("upto") <= F.col("need"), F.col("upto"))), F.lit(0)).alias("before"),
     )
     edges = materialise(edges)
     at_edge = rated.join(hint(edges.select(F.col("source").alias("s"), "edge", "need", "before")), F.col("source").eqNullSafe(F.col("s")) & (F.col("bin") == F.col("edge")))
+    parts = at_edge.groupBy("source", "sub").agg(F.sum("size").alias("part"), F.first("need").alias("need"), F.first("before").alias("before"))
+    parts = parts.withColumn("upto", F.col("before") + F.sum("part").over(Window.partitionBy("source").orderBy("sub")))  # at most SUB rows a source
+    sub_edges = materialise(parts.groupBy("source").agg(
+        F.coalesce(F.min(F.when(F.col("upto") > F.col("need"), F.col("sub"))), F.lit(SUB)).alias("sub_edge"), F.coalesce(F.max(F.when(F.col("upto") <= F.col("need"), F.col("upto"))), F.first("before")).alias("reached"),
+    ))
     run = Window.partitionBy("source").orderBy("v", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    last = at_edge.withColumn("sum", F.col("before") + F.sum("size").over(run)).where(F.col("sum") <= F.col("need")).groupBy("source").agg(F.max(F.struct("v", "doc_id")).alias("last"))
+    there = at_edge.join(hint(sub_edges.select(F.col("source").alias("s2"), "sub_edge", "reached")), F.col("source").eqNullSafe(F.col("s2")) & (F.col("sub") == F.col("sub_edge")))
+    last = there.withColumn("sum", F.col("reached") + F.sum("size").over(run)).where(F.col("sum") <= F.col("need")).groupBy("source").agg(F.max(F.struct("v", "doc_id")).alias("last"))
     plan = plan.join(hint(edges.select(F.col("source").alias("s"), "edge")), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
+    plan = plan.join(hint(sub_edges.select(F.col("source").alias("s"), "sub_edge")), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
     plan = plan.join(hint(last.withColumnRenamed("source", "s")), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
     no = F.array().cast("array<struct<doc_id:bigint,size:bigint,by:bigint>>")
     plan = materialise(plan.withColumn("swaps", no))

@@ -28,12 +28,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veldspar.llm.common import BROADCAST_ROWS, materialise, shared_dir
+from veldspar.llm.common import fits, materialise, shared_dir
 
 #: Equal payloads below this many bytes stay responses.
 LEAST = 1000
 #: Records a file holds at most: keeps files small enough to be read one by one.
 FILE_RECORDS = 20_000
+#: Payload bytes of a file, about.
+FILE_BYTES = 64 << 20
+#: Tasks that share the pages of one payload where repeated payloads are too many for a broadcast.
+SALTS = 64
 _EMPTY_MEMBER = zlib.compressobj(9, zlib.DEFLATED, 31).flush()
 _DATE = "2024-01-01T00:00:00Z"
 
@@ -60,13 +64,18 @@ def _member(record: bytes) -> bytes:
 
 
 def write_warc(pages: DataFrame, path: str, least: int = LEAST, file_records: int = FILE_RECORDS) -> None:
-    """pages: page_id, url, html. Writes .gz archives under path; which record of equal payloads is the response is decided by a narrow aggregate."""
+    """pages: page_id, url, html. Writes archives of gzip members under path (each about FILE_BYTES of payload and at most file_records records); which record of equal payloads is
+    the response is decided by a narrow aggregate."""
     rows = pages.select(F.col("page_id").cast("long"), "url", F.coalesce(F.col("html"), F.lit("")).alias("html")).withColumn("digest", F.sha1("html"))
     long = rows.where(F.octet_length("html") >= least).groupBy("digest").agg(F.max("page_id").alias("newest"), F.count(F.lit(1)).alias("n"))
     twice = materialise(long.where("n > 1 and newest is not null").select("digest", "newest"))
-    if twice.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        twice = F.broadcast(twice)
-    rows = rows.join(twice, "digest", "left")
+    if fits(twice):
+        rows = rows.join(F.broadcast(twice), "digest", "left")
+    else:  # salted, so that the pages of the commonest payload don't meet in one task
+        twice = twice.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(twice, ["digest", "salt"], "left")
+    mean = pages.agg(F.avg(F.octet_length("html"))).first()[0] or 0.0
+    file_records = max(1, min(file_records, int(FILE_BYTES / max(mean, 1.0))))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
