@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +17,8 @@ BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 << 20
 
 _own_dir: list[str] = []
-_recorders: list[list[str]] = []
+#: The open recorders of this thread (or task) alone, outermost first.
+_recorders: ContextVar[tuple[list[str], ...]] = ContextVar("recorders", default=())
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,7 +38,7 @@ def materialise(df: DataFrame, compression: str = "snappy") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
-    for made in _recorders:
+    for made in _recorders.get():
         made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -45,11 +47,11 @@ def materialise(df: DataFrame, compression: str = "snappy") -> DataFrame:
 def recorded() -> Iterator[list[str]]:
     """Collects the paths of the tables that are materialised within the block."""
     made: list[str] = []
-    _recorders.append(made)
+    mark = _recorders.set((*_recorders.get(), made))
     try:
         yield made
     finally:
-        _recorders.remove(made)
+        _recorders.reset(mark)
 
 
 def drop_tables(spark: SparkSession, paths: list[str]) -> None:
