@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from veldspar.operators import refine
+from veldspar.operators import refine, subpixel
 from veldspar.plans.registry import _DENSE, _r, _t, dense_pixels, query
 
 _POINT = "l_orderkey * 10000 + l_linenumber * 1000 + l_suppkey % 1000 AS point_id, cast(l_suppkey % 10 AS bigint) AS image_id, (l_partkey % 90) / 2.0e0 AS line, (l_orderkey % 130) / 2.0e0 AS sample"
@@ -51,3 +51,67 @@ def label_bands(spark, d):
     of = lambda n, value, unit: F.when(F.col(n) > 0, F.transform(F.sequence(F.lit(0), F.col(n) - 1), lambda i: F.struct(value(i).cast("double").alias("value"), unit.alias("unit"))))
     rows = p.select("label_id", "declared_bands", of("c", lambda i: i + 500, F.col("unit")).alias("centers"), of("w", lambda i: F.lit(10.0), F.lit("nm")).alias("widths"), F.array(F.lit(True), F.lit(False)).alias("bad_bands"))
     return refine.label_bands(rows).withColumn("warnings", F.array_join("warnings", ","))
+
+
+# --- sub-pixel refinement ----------------------------------------------------------------------------------------
+
+#: Images of a few bumps, one a nation: heights come from the table, and the reference is the same pattern moved by a planted fraction of a pixel. The last
+#: images are flat. Points come from the suppliers, near the bumps or too near an edge, with a seed that is off by up to half a pixel.
+_PLANTED = "n_nationkey AS image_id, n_regionkey AS region, (n_nationkey * 7 % 19 - 9) / 20.0e0 AS dy, (n_nationkey * 5 % 17 - 8) / 20.0e0 AS dx, n_nationkey >= 23 AS flat"
+def _bump(y: float, x: float, height: str) -> str:
+    return f"({height}) * exp(-(({{y}} - {24 + y}e0) * ({{y}} - {24 + y}e0) + ({{x}} - {24 + x}e0) * ({{x}} - {24 + x}e0)) / 4.5e0)"
+
+
+_BUMPS = ((0.0, 0.0, "1.0e0"), (2.2, -1.5, "0.7e0 - 0.05e0 * (image_id % 5)"), (-1.8, 1.9, "-0.6e0"), (-2.0, -2.4, "0.4e0 + 0.03e0 * (image_id % 4)"))
+_PATTERN = f"CASE WHEN flat THEN 1.0e0 ELSE 3.0e0 + {' + '.join(_bump(*b) for b in _BUMPS)} END"
+_SEEDED = "s_suppkey AS point_id, s_nationkey AS image_id, s_nationkey AS ref_image_id, CAST(CASE WHEN s_suppkey % 10 = 3 THEN 6 ELSE 23 + s_suppkey % 3 END AS DOUBLE) AS line, CAST(23 + s_suppkey % 7 % 3 AS DOUBLE) AS sample"
+
+
+def _planted(spark, d):
+    """Source and reference pixels, points with their planted shift."""
+    images = _t(spark, d, "nation").selectExpr(*_PLANTED.replace("e0", "D").split(", "))
+    grid = images.selectExpr("*", "explode(sequence(0L, 47L)) AS line").selectExpr("*", "explode(sequence(0L, 47L)) AS sample")
+
+    def drawn(y, x):
+        return grid.selectExpr("image_id", "line", "sample", f"{_PATTERN.format(y=y, x=x).replace('e0', 'D')} AS value", "(line + sample) % 11 > 0 AS valid")
+
+    points = _t(spark, d, "supplier").selectExpr(*_SEEDED.split(", "))
+    points = points.join(F.broadcast(images.select("image_id", "dy", "dx")), "image_id")  # a row a nation
+    return drawn("line", "sample"), drawn("line - dy", "sample - dx"), points.withColumns({"ref_line": F.col("line"), "ref_sample": F.col("sample")})
+
+
+_CUT = f"""WITH im AS (SELECT {_PLANTED} FROM nation), g AS (SELECT im.*, l.i AS line, s.i AS sample FROM im, range(48) l(i), range(48) s(i)),
+    px AS (SELECT image_id, line, sample, {_PATTERN.format(y="line", x="sample")} AS a, {_PATTERN.format(y="line - dy", x="sample - dx")} AS b FROM g),
+    pt AS (SELECT {_SEEDED} FROM supplier), j AS (SELECT pt.*, dy, dx, flat, line >= 8 AND line <= 39 AS inside FROM pt JOIN im ON im.image_id = pt.image_id)"""
+
+
+@query(f"""{_CUT} SELECT point_id, CASE WHEN NOT inside THEN 'refinement patch extraction failed: source out_of_bounds; reference out_of_bounds' WHEN flat THEN 'refinement skipped: low patch texture' END AS rejection_reason,
+    CASE WHEN inside AND NOT flat THEN round(dy, 2) END AS planted_line, CASE WHEN inside AND NOT flat THEN round(dx, 2) END AS planted_sample, CASE WHEN inside AND NOT flat THEN true END AS ecc_near, CASE WHEN inside AND NOT flat THEN true END AS fourier_near,
+    CASE WHEN inside AND NOT flat THEN true END AS refined_near, CASE WHEN inside AND NOT flat THEN 2 ELSE 0 END::INT AS estimators, CASE WHEN inside AND NOT flat THEN true END AS agreed, CASE WHEN inside AND NOT flat THEN true END AS has_covariance FROM j""")
+def correspondences_refined(spark, d):
+    """Enhanced correlation finds each planted shift to 0.02 px, the upsampled peak and their mean to its grid."""
+    source, reference, points = _planted(spark, d)
+    rows = subpixel.refine_correspondences(points, source, reference, 8, 1e-6, noise_variance=F.lit(0.01))
+    off = lambda a, b: F.hypot(F.col(a) - F.col("dy"), F.col(b) - F.col("dx"))
+    ran = F.col("rejection_reason").isNull()
+    moved = F.hypot(F.col("refined_line") - F.col("coarse_line") - F.col("dy"), F.col("refined_sample") - F.col("coarse_sample") - F.col("dx"))
+    return rows.select(
+        "point_id", "rejection_reason", F.when(ran, _r(F.col("dy"), 2)).alias("planted_line"), F.when(ran, _r(F.col("dx"), 2)).alias("planted_sample"),
+        F.when(ran, off("ecc_line", "ecc_sample") <= 0.02).alias("ecc_near"), F.when(ran, off("fourier_line", "fourier_sample") <= 0.15).alias("fourier_near"), F.when(ran, moved <= 0.1).alias("refined_near"),
+        F.size("estimators").alias("estimators"), F.when(ran, F.col("estimator_disagreement_px") <= 0.17).alias("agreed"), F.when(ran, F.col("covariance").isNotNull()).alias("has_covariance"),
+    )
+
+
+@query(f"""{_CUT}, k AS (SELECT point_id, px.line - pt.line AS y, px.sample - pt.sample AS x, a, b FROM (SELECT pt.* FROM pt JOIN j USING (point_id) WHERE inside AND NOT flat) pt JOIN px ON px.image_id = pt.image_id AND px.line BETWEEN pt.line - 8 AND pt.line + 8 AND px.sample BETWEEN pt.sample - 8 AND pt.sample + 8),
+    s AS (SELECT point_id, a, b, CASE y WHEN -8 THEN lead(a) OVER v - a WHEN 8 THEN a - lag(a) OVER v ELSE (lead(a) OVER v - lag(a) OVER v) / 2 END AS gy, CASE x WHEN -8 THEN lead(a) OVER h - a WHEN 8 THEN a - lag(a) OVER h ELSE (lead(a) OVER h - lag(a) OVER h) / 2 END AS gx
+        FROM k WINDOW v AS (PARTITION BY point_id, x ORDER BY y), h AS (PARTITION BY point_id, y ORDER BY x)),
+    m AS (SELECT point_id, a - avg(a) OVER p AS t, b - avg(b) OVER p AS w, gy - avg(gy) OVER p AS gy, gx - avg(gx) OVER p AS gx FROM s WINDOW p AS (PARTITION BY point_id)),
+    q AS (SELECT point_id, sqrt(sum(t * t)) AS nt, sqrt(sum(w * w)) AS nw, sum(t * w) AS tw, sum(gy * gy) AS yy, sum(gy * gx) AS yx, sum(gx * gx) AS xx, sum(gy * t) AS yt, sum(gx * t) AS xt, sum(gy * w) AS yw, sum(gx * w) AS xw FROM m GROUP BY 1),
+    e AS (SELECT point_id, yy - yw * yw / (nw * nw) AS a, yx - yw * xw / (nw * nw) AS b, xx - xw * xw / (nw * nw) AS c, nw * yt / nt - tw / nt / nw * yw AS r, nw * xt / nt - tw / nt / nw * xw AS u FROM q)
+    SELECT point_id, round((c * r - b * u) / (a * c - b * b), 6) AS step_line, round((a * u - b * r) / (a * c - b * b), 6) AS step_sample FROM e""")
+def alignment_first_step(spark, d):
+    """One Gauss-Newton step from the seed, by the normal equations."""
+    source, reference, points = _planted(spark, d)
+    _, pairs = subpixel.patch_pairs(points.where("image_id < 23"), source, reference, 8, 0.5)
+    rows = subpixel.refine_ecc(pairs, iterations=1)
+    return rows.select("point_id", _r(F.col("ecc_line")).alias("step_line"), _r(F.col("ecc_sample")).alias("step_sample"))
