@@ -220,7 +220,7 @@ def parameter_problems(runs: DataFrame) -> DataFrame:
 #: Names whose values are never logged, links that carry a signature, and how much of a text or list is.
 SENSITIVE = r"(?i)(token|secret|password|passwd|credential|api[_-]?key|authorization|signature|signed[_-]?url|cookie|session)"
 SIGNED_URL = r"(?i)https?://\S*(?:[?&](?:X-Amz-Signature|Signature|AWSAccessKeyId|token|sig)=)\S*"
-REDACTED, LONGEST_TEXT, LONGEST_LIST = "[REDACTED]", 2000, 64
+REDACTED, LONGEST_TEXT, LONGEST_LIST = "[redacted]", 2048, 64
 
 
 def log_safe(key: Column, text: Column, longest: int = LONGEST_TEXT) -> Column:

@@ -61,7 +61,7 @@ def replay(commands: DataFrame) -> DataFrame:
 #: Fixed value: how long a stored response answers repeated commands.
 RETENTION = "INTERVAL 24 HOURS"
 #: Keys of an event's payload that only the store may set.
-RESERVED = ("actor_subject_id", "event_type", "execution_state", "from_execution_state", "run_id", "sequence", "state_version")
+RESERVED = ("actor_subject_id", "event_type", "execution_state", "from_execution_state", "run_id", "sequence", "state_version", "to_execution_state")
 
 
 def replay_within(commands: DataFrame, retention: str = RETENTION) -> DataFrame:

@@ -100,25 +100,41 @@ def terrain_references(sites: DataFrame, assets: DataFrame) -> DataFrame:
 
 #: What a route needs.
 LEAST_OVERLAP, MOST_GSD_RATIO, MOST_SEARCH_PX = 0.05, 8.0, 512.0
+VALIDATED, UNUSABLE = "externally_validated", ("unavailable", "invalid")
 
 
-def preflight(routes: DataFrame, least_overlap: float = LEAST_OVERLAP, most_ratio: float = MOST_GSD_RATIO, most_search: float = MOST_SEARCH_PX) -> DataFrame:
-    """routes: overlap, the gsd_line_m and gsd_sample_m of source (s_) and reference (r_), s_gsd_uncertainty_m, validation of both geometries (s_validation, r_validation), has_control,
-    has_qualified_control, prior_uncertainty_px (or null). Adds gsd_ratio, search_radius_px, reasons (codes in order) and state: inadmissible with any reason, limited
-    if a geometry isn't externally validated, else admissible."""
-    valid = [F.col("s_validation"), F.col("r_validation")]
-    either = lambda f: f(valid[0]) | f(valid[1])
+def _or_null(rows: DataFrame, name: str, kind: str) -> Column:
+    return F.col(name) if name in rows.columns else F.lit(None).cast(kind)
+
+
+def preflight(
+    routes: DataFrame, least_overlap: float = LEAST_OVERLAP, most_ratio: float = MOST_GSD_RATIO, most_search: float = MOST_SEARCH_PX,
+    require_external_geometry: bool = True, require_geodetic_control: bool = True,
+) -> DataFrame:
+    """routes: overlap, the gsd_line_m and gsd_sample_m of source (s_) and reference (r_), s_gsd_uncertainty_m, validations (array: of the sensor, both footprints and both local geometries),
+    has_control, has_qualified_control (over the source's latitudes); and, if there are such columns, sensor_limitations (array), prior_uncertainty_px (or null) and a warp prior (warp_validation, null without
+    one, warp_evidence, warp_provenance, warp_uncertainty_px), which goes ahead of the other uncertainties. Adds gsd_ratio, search_radius_px, limitations, reasons (codes in order) and state:
+    inadmissible with any reason, limited if a geometry isn't externally validated, else admissible. A missing control is always a limitation, and a reason where the policy demands control."""
+    if not 0 < least_overlap <= 1 or most_ratio < 1 or most_search <= 0:
+        raise ValueError("an overlap in (0, 1], a ratio of one at least and a positive search radius")
+    opened, unusable = (F.exists("validations", f) for f in (lambda v: F.coalesce(v != VALIDATED, F.lit(True)), lambda v: F.coalesce(v.isin(*UNUSABLE), F.lit(True))))
     gsd = [F.col(f"{s}_gsd_{k}_m") for s in "sr" for k in ("line", "sample")]
-    scale = F.greatest(*gsd[:2]) / F.least(*gsd[2:])
-    unsure = F.coalesce(F.col("prior_uncertainty_px"), 3.0 * F.col("s_gsd_uncertainty_m") / F.greatest(*gsd[2:]))
-    bad = F.isnan(unsure) | (F.abs(unsure) == float("inf")) | (unsure < 0)
-    radius, ratio = F.greatest(F.lit(2.0), unsure * F.greatest(F.lit(1.0), scale)), F.greatest(*gsd) / F.least(*gsd)
+    scale = F.try_divide(F.greatest(*gsd[:2]), F.least(*gsd[2:]))
+    warp, evidence, provenance = (_or_null(routes, f"warp_{c}", "string") for c in ("validation", "evidence", "provenance"))
+    prior = F.coalesce(_or_null(routes, "prior_uncertainty_px", "double"), 3.0 * F.try_divide(F.col("s_gsd_uncertainty_m"), F.greatest(*gsd[2:])))
+    unsure = F.when(warp.isNotNull(), _or_null(routes, "warp_uncertainty_px", "double")).otherwise(prior)
+    bad = F.coalesce(F.isnan(unsure) | (F.abs(unsure) == float("inf")) | (unsure < 0), F.lit(True))
+    loose = warp.isNotNull() & ((warp != VALIDATED) | evidence.isNull() | (F.trim(F.coalesce(provenance, F.lit(""))) == ""))
+    radius, ratio = F.greatest(F.lit(2.0), unsure * F.greatest(F.lit(1.0), scale)), F.try_divide(F.greatest(*gsd), F.least(*gsd))
+    control = F.when(~F.col("has_control"), "no_geodetic_control").when(~F.col("has_qualified_control"), "control_not_qualified")
+    demand = lambda on, reason: reason if on else F.lit(None).cast("string")
     reasons = F.array_compact(F.array(
-        F.when(either(lambda v: v.isin("unavailable", "invalid")), "geometry_unavailable"), F.when(either(lambda v: v != "externally_validated"), "geometry_not_validated"), F.when(F.col("overlap") < least_overlap, "overlap_too_small"),
-        F.when(~F.col("has_control"), "no_geodetic_control").when(~F.col("has_qualified_control"), "control_not_qualified"), F.when(bad, "search_uncertainty_invalid"), F.when(ratio > most_ratio, "gsd_ratio_too_large"), F.when(radius > most_search, "search_radius_too_large"),
-    ))
-    state = F.when(F.size("reasons") > 0, "inadmissible").when(either(lambda v: v != "externally_validated"), "limited").otherwise("admissible")
-    return routes.withColumns({"gsd_ratio": ratio, "search_radius_px": radius, "reasons": reasons}).withColumn("state", state)
+        F.when(unusable, "geometry_unavailable"), demand(require_external_geometry, F.when(opened, "geometry_not_validated")), F.when(F.col("overlap") < least_overlap, "overlap_too_small"), demand(require_geodetic_control, control),
+        F.when(loose, "warp_prior_not_validated"), F.when(bad, "search_uncertainty_invalid"), F.when(ratio > most_ratio, "gsd_ratio_too_large"), F.when(radius > most_search, "search_radius_too_large"),
+    ))
+    limits = F.array_compact(F.concat(F.coalesce(_or_null(routes, "sensor_limitations", "array<string>"), F.array().cast("array<string>")), F.array(control)))
+    state = F.when(F.size("reasons") > 0, "inadmissible").when(opened, "limited").otherwise("admissible")
+    return routes.withColumns({"gsd_ratio": ratio, "search_radius_px": radius, "limitations": limits, "reasons": reasons}).withColumn("state", state)
 
 
 # --- adjustment diagnostics --------------------------------------------------------------------------------------
@@ -151,21 +167,20 @@ def noise_variance(rows: DataFrame, keys: list[str], template: str, warped: str)
     return rows.groupBy(*keys).agg(F.var_samp(F.col(template) - F.col(warped)).alias("noise_variance"))
 
 
-def mahalanobis_share(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """rows: dy, dx and a covariance (yy, yx, xx). Share of errors within one sigma of their covariance."""
+def mahalanobis_share(rows: DataFrame, keys: list[str], scale: Column | None = None) -> DataFrame:
+    """rows: dy, dx and a covariance (yy, yx, xx). Share of errors within one sigma of their covariance, times a scale if one is given: the quadratic form is compared with it."""
     det = F.col("yy") * F.col("xx") - F.col("yx") * F.col("yx")
     d2 = F.try_divide(F.col("dy") * F.col("dy") * F.col("xx") - 2 * F.col("dy") * F.col("dx") * F.col("yx") + F.col("dx") * F.col("dx") * F.col("yy"), det)
-    return rows.groupBy(*keys).agg(F.avg((d2 <= 1).cast("double")).alias("within_1sigma"))
+    return rows.groupBy(*keys).agg(F.avg((d2 <= (F.lit(1.0) if scale is None else scale)).cast("double")).alias("within_1sigma"))
 
 
 def covariance_scale(trials: DataFrame, keys: list[str]) -> DataFrame:
     """trials: errors dy, dx of noisy repetitions and their analytic covariance (yy, yx, xx). scale: trace of the errors' covariance over the analytic trace; and the share of errors
-    within one sigma before and after scaling."""
+    within one sigma before and after scaling. An error on the scaled ellipse is within it."""
     agg = trials.groupBy(*keys).agg((F.var_samp("dy") + F.var_samp("dx")).alias("_seen"), F.avg(F.col("yy") + F.col("xx")).alias("_said"), F.count(F.lit(1)).alias("n_trials"))
     scale = agg.select(*keys, "n_trials", F.try_divide("_seen", "_said").alias("scale"))
-    rows = trials.join(scale, keys)
-    scaled = rows.withColumns({c: F.col(c) * F.col("scale") for c in ("yy", "yx", "xx")})
-    before, after = mahalanobis_share(rows, keys).withColumnRenamed("within_1sigma", "coverage"), mahalanobis_share(scaled, keys).withColumnRenamed("within_1sigma", "calibrated_coverage")
+    before = mahalanobis_share(trials, keys).withColumnRenamed("within_1sigma", "coverage")
+    after = mahalanobis_share(trials.join(scale, keys), keys, F.col("scale")).withColumnRenamed("within_1sigma", "calibrated_coverage")
     return scale.join(before, keys).join(after, keys)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from veldspar.operators import governance, routes
@@ -130,12 +132,12 @@ def stage_reuse(spark, d):
     return governance.reusable_stages(rows, results, outputs, found).select("id", "fingerprint", "reusable")
 
 
-@query("""SELECT p_partkey AS id, CASE WHEN p_size % 2 = 0 THEN 'x' ELSE '' END AS unknown, CASE WHEN p_size % 3 = 0 THEN 'a' ELSE '' END AS missing, CASE WHEN p_size % 4 = 0 THEN '[REDACTED]' WHEN p_size % 4 = 1 THEN 'see [REDACTED] now' WHEN p_size % 4 = 2 THEN repeat('y', 20) || '... [' || 20 + p_size || ' chars]' ELSE p_name END AS logged,
+@query("""SELECT p_partkey AS id, CASE WHEN p_size % 2 = 0 THEN 'x' ELSE '' END AS unknown, CASE WHEN p_size % 3 = 0 THEN 'a' ELSE '' END AS missing, CASE WHEN p_size % 4 = 0 THEN '[redacted]' WHEN p_size % 4 = 1 THEN 'see [redacted] now' WHEN p_size % 4 = 2 THEN repeat('y', 20) || '... [' || 20 + p_size || ' chars]' WHEN p_size % 8 = 3 THEN repeat('z', 2048) || CASE WHEN p_size % 16 = 3 THEN '... [2049 chars]' ELSE '' END ELSE p_name END AS logged,
     CASE WHEN p_size > 10 THEN 11 ELSE p_size END AS items FROM part""")
 def parameters_and_logs(spark, d):
     p = _t(spark, d, "part").selectExpr("p_partkey AS id", "p_size AS k", "p_name", "CASE WHEN p_size % 2 = 0 THEN array('x', 'b') ELSE array('b') END AS base")
     p = p.withColumn("supplied", F.when(F.col("k") % 3 == 0, F.col("base")).otherwise(F.concat("base", F.array(F.lit("a"))))).withColumn("declared", F.array(F.lit("a"), F.lit("b")))
-    text = F.when(F.col("k") % 4 == 1, "see https://h/x?a=1&sig=abc now").when(F.col("k") % 4 == 2, F.repeat(F.lit("y"), 20 + F.col("k"))).otherwise(F.col("p_name"))
+    text = F.when(F.col("k") % 4 == 1, "see https://h/x?a=1&sig=abc now").when(F.col("k") % 4 == 2, F.repeat(F.lit("y"), 20 + F.col("k"))).when(F.col("k") % 8 == 3, F.repeat(F.lit("z"), F.when(F.col("k") % 16 == 3, 2049).otherwise(2048))).otherwise(F.col("p_name"))
     key = F.when(F.col("k") % 4 == 0, "Api-Key").otherwise("note")
     limit = F.when(F.col("k") % 4 == 2, governance.log_safe(key, text, 20)).otherwise(governance.log_safe(key, text))
     items = governance.log_safe_list(F.transform(F.sequence(F.lit(1), F.col("k")), lambda x: x.cast("string")), 10)
@@ -190,17 +192,40 @@ def terrain_references(spark, d):
     return routes.terrain_references(sites, _assets(spark, d)).select("site", _r(F.col("latitude"), 3).alias("latitude"), "identifier", "kind", "available")
 
 
-_ROUTE = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_discount AS overlap, l_quantity AS s_gsd_line_m, l_quantity / 2 + 1 AS s_gsd_sample_m, 5 + l_tax * 100 AS r_gsd_line_m, 6.0e0 AS r_gsd_sample_m, l_quantity AS s_gsd_uncertainty_m, CASE WHEN l_suppkey % 3 = 0 THEN 'synthetic' ELSE 'externally_validated' END AS s_validation, CASE WHEN l_partkey % 11 = 0 THEN 'invalid' ELSE 'externally_validated' END AS r_validation, l_partkey % 2 = 0 AS has_control, l_partkey % 4 = 0 AS has_qualified_control, CASE WHEN l_linenumber < 4 THEN l_linenumber * 40.0e0 - 41 END AS prior_uncertainty_px"
+_ROUTE = """l_orderkey, l_linenumber, l_partkey, l_suppkey, l_discount AS overlap, l_quantity AS s_gsd_line_m, l_quantity / 2 + 1 AS s_gsd_sample_m, 5 + l_tax * 100 AS r_gsd_line_m, 6.0e0 AS r_gsd_sample_m, l_quantity AS s_gsd_uncertainty_m,
+    CASE WHEN l_suppkey % 3 = 0 THEN 'synthetic' ELSE 'externally_validated' END AS s_validation, CASE WHEN l_partkey % 11 = 0 THEN 'invalid' ELSE 'externally_validated' END AS r_validation, CASE WHEN l_suppkey % 7 = 0 THEN 'self_consistent' ELSE 'externally_validated' END AS local_validation,
+    l_partkey % 2 = 0 AS has_control, l_partkey % 4 = 0 AS has_qualified_control, CASE WHEN l_linenumber < 4 THEN l_linenumber * 40.0e0 - 41 END AS prior_uncertainty_px, l_suppkey % 5 = 0 AS limited_sensor,
+    CASE WHEN l_linenumber > 5 THEN CASE WHEN l_suppkey % 2 = 0 THEN 'externally_validated' ELSE 'synthetic' END END AS warp_validation, CASE WHEN l_partkey % 3 = 0 THEN 'survey' END AS warp_evidence, CASE WHEN l_partkey % 5 = 0 THEN ' ' ELSE 'fit' END AS warp_provenance, l_quantity / 4 AS warp_uncertainty_px"""
+
+
+def _preflight_sql(external: bool, control: bool) -> str:
+    policy = lambda on, case: f"CASE WHEN {str(on).lower()} THEN {case} END"
+    unsure = "CASE WHEN NOT has_control THEN 'no_geodetic_control' WHEN NOT has_qualified_control THEN 'control_not_qualified' END"
+    return f"""WITH q AS (SELECT {_ROUTE} FROM lineitem), u AS (SELECT *, CASE WHEN warp_validation IS NOT NULL THEN warp_uncertainty_px ELSE coalesce(prior_uncertainty_px, 3 * s_gsd_uncertainty_m / greatest(r_gsd_line_m, r_gsd_sample_m)) END AS unc, greatest(s_gsd_line_m, s_gsd_sample_m) / least(r_gsd_line_m, r_gsd_sample_m) AS scale,
+    greatest(s_gsd_line_m, s_gsd_sample_m, r_gsd_line_m, r_gsd_sample_m) / least(s_gsd_line_m, s_gsd_sample_m, r_gsd_line_m, r_gsd_sample_m) AS ratio, s_validation = 'synthetic' OR r_validation = 'invalid' OR local_validation = 'self_consistent' AS open FROM q), v AS (SELECT *, greatest(2, unc * greatest(1, scale)) AS radius FROM u),
+    w AS (SELECT *, concat_ws(';', CASE WHEN r_validation = 'invalid' THEN 'geometry_unavailable' END, {policy(external, "CASE WHEN open THEN 'geometry_not_validated' END")}, CASE WHEN overlap < 0.05 THEN 'overlap_too_small' END, {policy(control, unsure)},
+    CASE WHEN warp_validation = 'synthetic' OR (warp_validation IS NOT NULL AND (warp_evidence IS NULL OR trim(warp_provenance) = '')) THEN 'warp_prior_not_validated' END, CASE WHEN unc < 0 THEN 'search_uncertainty_invalid' END, CASE WHEN ratio > 8 THEN 'gsd_ratio_too_large' END, CASE WHEN radius > 512 THEN 'search_radius_too_large' END) AS reasons,
+    concat_ws(';', CASE WHEN limited_sensor THEN 'approximate pointing' END, {unsure}) AS limitations FROM v)
+    SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(ratio, 5) AS gsd_ratio, round(radius, 4) AS search_radius_px, reasons, limitations, CASE WHEN reasons <> '' THEN 'inadmissible' WHEN open THEN 'limited' ELSE 'admissible' END AS state FROM w"""
+
 
+def _preflight(spark, d, **policy):
+    q = _t(spark, d, "lineitem").selectExpr(*re.split(r",\s+", _ROUTE.replace("e0", "D")))
+    q = q.withColumn("validations", F.array("s_validation", F.lit("externally_validated"), "r_validation", "local_validation", F.lit("externally_validated")))
+    q = q.withColumn("sensor_limitations", F.when(F.col("limited_sensor"), F.array(F.lit("approximate pointing"))).otherwise(F.array().cast("array<string>")))
+    rows = routes.preflight(q, **policy)
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", _r(F.col("gsd_ratio"), 5).alias("gsd_ratio"), _r(F.col("search_radius_px"), 4).alias("search_radius_px"), F.array_join("reasons", ";").alias("reasons"), F.array_join("limitations", ";").alias("limitations"), "state")
 
-@query(f"""WITH q AS (SELECT {_ROUTE} FROM lineitem), u AS (SELECT *, coalesce(prior_uncertainty_px, 3 * s_gsd_uncertainty_m / greatest(r_gsd_line_m, r_gsd_sample_m)) AS unc, greatest(s_gsd_line_m, s_gsd_sample_m) / least(r_gsd_line_m, r_gsd_sample_m) AS scale,
-    greatest(s_gsd_line_m, s_gsd_sample_m, r_gsd_line_m, r_gsd_sample_m) / least(s_gsd_line_m, s_gsd_sample_m, r_gsd_line_m, r_gsd_sample_m) AS ratio FROM q), v AS (SELECT *, greatest(2, unc * greatest(1, scale)) AS radius FROM u),
-    w AS (SELECT *, concat_ws(';', CASE WHEN r_validation = 'invalid' THEN 'geometry_unavailable' END, CASE WHEN s_validation = 'synthetic' OR r_validation = 'invalid' THEN 'geometry_not_validated' END, CASE WHEN overlap < 0.05 THEN 'overlap_too_small' END, CASE WHEN NOT has_control THEN 'no_geodetic_control' WHEN NOT has_qualified_control THEN 'control_not_qualified' END,
-    CASE WHEN unc < 0 THEN 'search_uncertainty_invalid' END, CASE WHEN ratio > 8 THEN 'gsd_ratio_too_large' END, CASE WHEN radius > 512 THEN 'search_radius_too_large' END) AS reasons FROM v)
-    SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(ratio, 5) AS gsd_ratio, round(radius, 4) AS search_radius_px, reasons, CASE WHEN reasons <> '' THEN 'inadmissible' ELSE 'admissible' END AS state FROM w""")
+
+@query(_preflight_sql(True, True))
 def route_preflight(spark, d):
-    q = _t(spark, d, "lineitem").selectExpr(*_ROUTE.replace("e0", "D").split(", "))
-    return routes.preflight(q).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", _r(F.col("gsd_ratio"), 5).alias("gsd_ratio"), _r(F.col("search_radius_px"), 4).alias("search_radius_px"), F.array_join("reasons", ";").alias("reasons"), "state")
+    return _preflight(spark, d)
+
+
+@query(_preflight_sql(False, False))
+def route_preflight_exploratory(spark, d):
+    """Without the demands for validated geometry and control: routes whose geometry is open are limited, not inadmissible."""
+    return _preflight(spark, d, require_external_geometry=False, require_geodetic_control=False)
 
 
 # --- adjustment diagnostics and candidates -----------------------------------------------------------------------
@@ -223,7 +248,7 @@ def adjustment_diagnostics(spark, d):
     return rows.select("job_id", "n", *[_r(F.col(c), k).alias(c) for c, k in digits.items()])
 
 
-@query(f"""WITH r AS (SELECT {_RES} FROM lineitem), s AS (SELECT job_id, count(*) AS n_trials, (var_samp(dy) + var_samp(dx)) / 0.5 AS k FROM r GROUP BY 1), d AS (SELECT r.job_id, n_trials, k, (dy * dy * 0.2 - 2 * dy * dx * 0.1 + dx * dx * 0.3) / 0.05 AS q FROM r JOIN s ON s.job_id = r.job_id)
+@query(f"""WITH r AS (SELECT {_RES} FROM lineitem), s AS (SELECT job_id, count(*) AS n_trials, (var_samp(dy) + var_samp(dx)) / 0.5 AS k FROM r GROUP BY 1), d AS (SELECT r.job_id, n_trials, k, (dy * dy * 0.2e0 - 2 * dy * dx * 0.1e0 + dx * dx * 0.3e0) / (0.3e0 * 0.2e0 - 0.1e0 * 0.1e0) AS q FROM r JOIN s ON s.job_id = r.job_id)
     SELECT job_id, n_trials, round(max(k), 6) AS scale, round(avg((q <= 1)::INT), 6) AS coverage, round(avg((q <= k)::INT), 6) AS calibrated_coverage FROM d WHERE k > 0 GROUP BY 1, 2""")
 def covariance_calibration(spark, d):
     r = _residuals(spark, d).withColumns({"yy": F.lit(0.3), "yx": F.lit(0.1), "xx": F.lit(0.2)})
