@@ -27,7 +27,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """edges: u, v (of one orderable type). Gives node, root (the least node of its component) for every node of an edge but the roots.
 
     Each round's links are a table; rounds grow with the logarithm of the longest chain. Raises if they don't suffice."""
-    cur = materialise(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct())
+    with recorded() as held:
+        cur = materialise(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct())
     mark = None
     for _ in range(rounds):
         new = cur.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -36,6 +37,6 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         mark = new
         with recorded() as made:
             cur = materialise(_star(materialise(_star(cur, True)), False))
-            spent = made[:1]
-        drop_tables(cur.sparkSession, spent)
+        drop_tables(cur.sparkSession, held + made[:-1])  # only this round's links are read on
+        held = made[-1:]
     raise RuntimeError(f"components have not converged in {rounds} rounds")

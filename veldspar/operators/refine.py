@@ -58,13 +58,26 @@ def to_nm(value: Column, unit: Column) -> Column:
     return value * F.try_element_at(F.create_map(*[F.lit(x) for kv in NM.items() for x in kv]), F.lower(F.trim(unit)))
 
 
+#: Terms of a band's spectral regime.
+REGIMES = {"reflected": "reflected", "reflectance": "reflected", "solar reflected": "reflected", "emitted": "emitted", "emission": "emitted", "thermal": "emitted", "thermal emitted": "emitted"}
+
+
 def label_bands(labels: DataFrame) -> DataFrame:
-    """labels: label_id, declared_bands (or null), centers and widths (arrays of structs value, unit), bad_bands (array of booleans). A row per band: label_id, band_number,
-    center_wavelength_nm, fwhm_nm, is_bad_band, warnings. Without a declared count the longest array tells it; short arrays leave nulls."""
-    longest = F.greatest(*[F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0)) for c in ("centers", "widths", "bad_bands")])
+    """labels: label_id, declared_bands (or null), centers and widths (arrays of structs value, unit), bad_bands (array of booleans) and, if there are such columns, filters and regimes (arrays of
+    texts). A row per band: label_id, band_number, center_wavelength_nm, fwhm_nm, is_bad_band, spectral_regime (if regimes are given; unknown without a known term) and warnings. Without a declared
+    count the longest array tells it; short arrays leave nulls."""
+    with_regime = "regimes" in labels.columns
+    arrays = ["centers", "widths", "bad_bands", *(c for c in ("filters", "regimes") if c in labels.columns)]
+    longest = F.greatest(*[F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0)) for c in arrays])
     n = F.coalesce(F.col("declared_bands"), longest)
-    rows = labels.withColumn("_n", n).where("_n > 0").withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    rows = labels.withColumn("_n", n).where("_n > 0").withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_n").cast("int") - 1)))
     center, width = F.get("centers", F.col("_i")), F.get("widths", F.col("_i"))
     nm = [to_nm(q["value"], q["unit"]) for q in (center, width)]
     warn = [F.when(q["value"].isNotNull() & v.isNull(), F.when(q["unit"].isNull(), f"{name}_without_unit").otherwise(f"{name}_unit_unknown")) for name, q, v in zip(("center", "width"), (center, width), nm, strict=True)]
-    return rows.select("label_id", (F.col("_i") + 1).alias("band_number"), nm[0].alias("center_wavelength_nm"), nm[1].alias("fwhm_nm"), F.get("bad_bands", F.col("_i")).alias("is_bad_band"), F.array_compact(F.array(*warn, F.when(F.col("declared_bands").isNull(), "count_inferred"))).alias("warnings"))
+    term = F.regexp_replace(F.lower(F.trim(F.get("regimes", F.col("_i")))), "[_-]", " ") if with_regime else F.lit(None).cast("string")
+    regime = F.try_element_at(F.create_map(*[F.lit(x) for kv in REGIMES.items() for x in kv]), term)
+    warn.append(F.when((term != "") & regime.isNull(), "regime_unsupported"))
+    out = [(F.col("_i") + 1).alias("band_number"), nm[0].alias("center_wavelength_nm"), nm[1].alias("fwhm_nm"), F.get("bad_bands", F.col("_i")).alias("is_bad_band")]
+    if with_regime:
+        out.append(F.coalesce(regime, F.lit("unknown")).alias("spectral_regime"))
+    return rows.select("label_id", *out, F.array_compact(F.array(*warn, F.when(F.col("declared_bands").isNull(), "count_inferred"))).alias("warnings"))

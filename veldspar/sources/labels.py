@@ -47,11 +47,12 @@ def _running(label: str = "label_id") -> Window:
 
 def _nested(rows: DataFrame, opens: Column, closes: Column, facts: list[Column], depth: int) -> DataFrame:
     """rows (label_id, n) with depth after each row, before (the depth around a row: inside what it is in, or closes), and stack: the facts of the row that opened each level,
-    those of the levels up to the limit."""
+    as far as the table's deepest label goes and the limit allows."""
     run = _running()
-    rows = rows.withColumn("depth", F.sum(opens.cast("int") - closes.cast("int")).over(run))
+    rows = materialise(rows.withColumn("depth", F.sum(opens.cast("int") - closes.cast("int")).over(run)))
+    deepest = min(max(1, rows.agg(F.max("depth")).first()[0] or 1), depth)
     at = lambda level: F.last(F.when(opens & (F.col("depth") == level), F.struct("n", *facts)), ignorenulls=True).over(run)
-    rows = rows.withColumn("stack", F.array(*(at(level) for level in range(1, depth + 1))))
+    rows = rows.withColumn("stack", F.array(*(at(level) for level in range(1, deepest + 1))))
     return rows.withColumn("before", F.col("depth") + closes.cast("int") - opens.cast("int"))
 
 
@@ -121,8 +122,8 @@ def _statements(checked: DataFrame) -> DataFrame:
 
 
 def keyword_labels(labels: DataFrame, limits: KeywordLimits = KeywordLimits()) -> tuple[DataFrame, DataFrame]:
-    """Status (label_id, code) and fields of sound labels: label_id, n (its place), path (names of the blocks around it), keyword, is_list, items (structs of kind, value, unit), and effective:
-    whether no later statement or block of the same name in the same block replaces it or a block around it."""
+    """Status (label_id, code) and fields of sound labels: label_id, n (its place), path (names of the blocks around it), keyword, is_list, items (structs of kind, value, unit; null for a block, whose
+    keyword is its name), and effective: whether no later statement or block of the same name in the same block replaces it or a block around it."""
     checked = _text(labels, limits.size, None)
     like = lambda pattern: F.regexp_like("shape", F.lit(f"^{pattern}$"))
     opens, closes, assigns = like(rf"[OG]={_NAME}"), F.regexp_like("shape", F.lit("^[XY]")) & (F.length("shape") != 2), like(_ASSIGN)
@@ -156,7 +157,7 @@ def keyword_labels(labels: DataFrame, limits: KeywordLimits = KeywordLimits()) -
     last = F.max("n").over(Window.partitionBy("label_id", "keyword", F.coalesce(F.try_element_at("inside", F.lit(-1)), F.lit(-1))))
     writes = writes.withColumn("replaced", F.col("n") < last)
     gone = writes.where("block and replaced").groupBy("label_id").agg(F.collect_set("opened").alias("gone"))  # blocks of one label
-    fields = writes.where("not block").join(gone, "label_id", "left")
+    fields = writes.join(gone, "label_id", "left")
     effective = ~F.col("replaced") & ~F.coalesce(F.arrays_overlap("inside", "gone"), F.lit(False))
     return status, fields.select("label_id", "n", "path", "keyword", "is_list", "items", effective.alias("effective"))
 
