@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from veldspar.operators import matching
+from veldspar.operators import matching, tiling
 from veldspar.streaming import lifecycle
 
 
@@ -20,39 +20,6 @@ def test_phase_correlation_finds_a_circular_shift(spark):
     assert np.hypot(near["dy"], near["dx"]) <= 2
 
 
-def test_reference_selection(spark):
-    scenes = spark.createDataFrame([(1, -10.0, 20.0), (2, 70.0, 80.0), (3, 50.0, 89.0)], "scene_id int, lat_low double, lat_high double")
-    refs = [("low", 1, 1, -60.0, 60.0), ("polar", 2, 2, 60.0, 90.0), ("polar2", 2, 1, 75.0, 90.0), ("global", 3, 1, -85.0, 85.0)]
-    got = matching.select_reference(scenes, spark.createDataFrame(refs, "reference_id string, priority int, ordinal int, min_lat double, max_lat double"))
-    assert {r["scene_id"]: r["reference_id"] for r in got.collect()} == {1: "low", 2: "polar", 3: None}
-
-
-def _observations(spark, wild: int):
-    rng = np.random.default_rng(5)
-    rows = []
-    for i in range(200):
-        a = rng.normal(size=(2, 3))
-        b = a @ [2.0, -1.0, 0.5] + (50.0 if i < wild else 0.0)
-        rows.append((i, float(b[0]), float(b[1]), a.tolist(), 0.04, 0.01, 0.09, i % 10 != 9))
-    return spark.createDataFrame(rows, "id int, residual_y double, residual_x double, design array<array<double>>, cov_yy double, cov_xy double, cov_xx double, fitting boolean").repartition(5)
-
-
-def test_adjustment_withstands_outliers(spark):
-    p, rows = matching.huber_adjustment(_observations(spark, 8), 3, rounds=60)
-    assert np.abs(p - [2, -1, 0.5]).max() < 0.1
-    got = {r["id"]: r for r in rows.collect()}
-    assert len(got) == 200 and all(got[i]["weight"] < 0.1 for i in range(8)) and got[9]["mahalanobis"] is not None
-    exact, _ = matching.huber_adjustment(_observations(spark, 0), 3)
-    assert np.abs(exact - [2, -1, 0.5]).max() < 1e-9
-
-
-def test_adjustment_refuses_a_rank_deficient_system(spark):
-    rows = [(i, 1.0, 1.0, [[1.0 * i, 2.0 * i], [1.0, 2.0]], 1.0, 0.0, 1.0, True) for i in range(1, 9)]
-    flat = spark.createDataFrame(rows, "id int, residual_y double, residual_x double, design array<array<double>>, cov_yy double, cov_xy double, cov_xx double, fitting boolean")
-    with pytest.raises(ValueError):
-        matching.huber_adjustment(flat, 2)
-
-
 def test_streams_agree_with_batches(spark, tmp_path):
     events = spark.createDataFrame([("r1", 1, "queued"), ("r1", 3, "done"), ("r2", 1, "queued"), ("r1", 2, "running")], "run_id string, version int, state string")
     events.repartition(4).write.parquet(str(tmp_path / "in"))
@@ -74,3 +41,35 @@ def test_ncc_search_rejects_and_follows_the_prior(spark):
     none = matching.ncc_search(source, spark.createDataFrame(px(False, 0, 0), cols), 8, 2, 2.0).collect()
     assert len(none) == len(found) == 4 and all(not r["is_candidate"] and r["score"] == -1 and r["agreement"] is None for r in none)
     assert matching.ncc_search(source.limit(0), source.limit(0), 8, 2, 2.0).count() == 0
+
+
+def test_tiles_and_priors(spark):
+    levels = spark.createDataFrame([("p", 1, 50, 30), ("p", 0, 100, 60)], "pair_id string, level int, lines long, samples long")
+    tiles = tiling.plan_tiles(levels, 32, 4)
+    got = {(r["level"], r["tile_id"]): (r["origin_line"], r["origin_sample"], r["lines"], r["samples"]) for r in tiles.collect()}
+    assert got[1, "r0000c0000"] == (0, 0, 36, 30) and got[1, "r0001c0000"] == (28, 0, 22, 30) and got[0, "r0001c0001"] == (28, 28, 40, 32) and len(got) == 2 + 8
+    records = spark.createDataFrame([("p", 10.0, 5.0, 12.0, 4.0, None), ("p", 10.0, 25.0, 14.0, 24.0, None), ("p", 9.0, 5.0, 99.0, 99.0, "no")], "job_id string, line double, sample double, ref_line double, ref_sample double, rejection_reason string")
+    down = {r["tile_id"]: (r["prior_line"], r["prior_sample"]) for r in tiling.passed_down(records, tiles.where("level = 0"), 2.0).collect()}
+    assert down == {"r0000c0000": (4.0, -2.0), "r0000c0001": (8.0, -2.0)}  # the first lies at (20, 10), the other at (20, 50)
+    for bad in (tiles.union(tiles.limit(1)), tiles.selectExpr("pair_id", "level", "' ' AS tile_id", "origin_line", "origin_sample", "lines", "samples")):
+        with pytest.raises(ValueError):
+            tiling.checked_tiles(bad)
+    with pytest.raises(ValueError, match="budget"):
+        tiling.checked_tiles(tiles, 1000)
+
+
+def test_tiles_follow_their_priors(spark):
+    rng = np.random.default_rng(4)
+    image = rng.normal(size=(40, 40))
+    rows = [("p", 0, i, j, float(image[i, j]), True) for i in range(40) for j in range(40)]
+    source = spark.createDataFrame(rows, "pair_id string, level int, line long, sample long, value double, valid boolean")
+    reference = source.withColumns({"line": source.line + 6, "sample": source["sample"] - 4})
+    tiles = tiling.plan_tiles(spark.createDataFrame([("p", 0, 40, 40)], "pair_id string, level int, lines long, samples long"), 20, 6)
+    priors = tiles.selectExpr("pair_id", "level", "tile_id", "6.0D AS prior_line", "-4.0D AS prior_sample")
+    found = lambda p: tiling.match_tiles(source, reference, tiles, lambda s, r, q: matching.ncc_search(s, r, 5, 2, 1.0, priors=q), priors=p)
+    with_prior = found(priors).collect()
+    sure = [r for r in with_prior if r["score"] > 0.99]  # the others' places lie outside their tile
+    assert len(sure) > 10 and all((r["ref_line"], r["ref_sample"]) == (r["line"] + 6, r["sample"] - 4) for r in sure)
+    assert all(r["score"] < 0.99 for r in found(None).collect())
+    counts = tiling.tile_counts(tiles, found(priors)).first()
+    assert counts["tiles_attempted"] == counts["tiles_with_candidates"] == 4 and counts["accepted"] == sum(r["rejection_reason"] is None for r in with_prior) and counts["accepted"] + counts["rejected"] == len(with_prior)

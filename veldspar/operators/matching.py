@@ -1,4 +1,4 @@
-"""Matching operators: phase correlation per tile, terrain reference selection, robust adjustment."""
+"""Matching operators: correlation searches around grid points and phase correlation per tile."""
 
 from __future__ import annotations
 
@@ -6,11 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: References that a catalogue may hold: it is broadcast as one row.
-MAX_REFERENCES = 10_000
+from veldspar.tables import sized
 
 
 def phase_correlation(tiles: DataFrame, radius: float) -> DataFrame:
@@ -40,121 +39,53 @@ def phase_correlation(tiles: DataFrame, radius: float) -> DataFrame:
     return tiles.groupBy("tile_id").applyInPandas(match, f"tile_id {dict(tiles.dtypes)['tile_id']}, dy double, dx double, score double")
 
 
-def select_reference(scenes: DataFrame, references: DataFrame) -> DataFrame:
-    """scenes: scene_id, lat_low, lat_high. references (a catalogue): reference_id, priority, ordinal, min_lat, max_lat. Gives each scene the
-    reference of the best priority (then order) that covers both latitudes, or null."""
-    if references.limit(MAX_REFERENCES + 1).count() > MAX_REFERENCES:
-        raise ValueError("more references than a hand-kept catalogue holds")
-    catalogue = references.groupBy().agg(F.sort_array(F.collect_list(F.struct("priority", "ordinal", "reference_id", "min_lat", "max_lat"))).alias("_refs"))  # a hand-kept list
-    fits = F.filter("_refs", lambda r: (F.col("lat_low") >= r["min_lat"]) & (F.col("lat_high") <= r["max_lat"]))
-    return scenes.join(F.broadcast(catalogue)).withColumn("reference_id", F.get(fits, F.lit(0))["reference_id"]).drop("_refs")
-
-
-def _stacked(rows: pd.DataFrame, params: np.ndarray, delta: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Whitened rows [A | b], two per observation, the norms of their residuals, and Huber weights."""
-    a = np.stack([np.stack(list(map(np.asarray, x))) for x in rows.design]).astype(float)
-    b = rows[["residual_y", "residual_x"]].to_numpy(float)
-    l11 = np.sqrt(rows.cov_yy.to_numpy(float))
-    l21 = rows.cov_xy.to_numpy(float) / l11
-    l22 = np.sqrt(rows.cov_xx.to_numpy(float) - l21**2)
-    both = np.concatenate([a, b[:, :, None]], 2)
-    first = both[:, 0] / l11[:, None]
-    white = np.stack([first, (both[:, 1] - l21[:, None] * first) / l22[:, None]], 1)
-    norm = np.linalg.norm(white[:, :, -1] - white[:, :, :-1] @ params, axis=1)
-    return white, norm, np.where(norm <= delta, 1.0, delta / np.maximum(norm, 1e-300))
-
-
-def huber_adjustment(observations: DataFrame, n_params: int, delta: float = 1.345, rounds: int = 30, tolerance: float = 1e-10, rank_limit: float = 1e-12, condition_limit: float = 1e10) -> tuple[np.ndarray, DataFrame]:
-    """observations: residual_y, residual_x, design (2 x n_params), cov_yy, cov_xy, cov_xx, fitting. Iteratively reweighted least squares on
-    the whitened system over the fitting rows; every partition sends a triangular factor (n_params + 1 square), so that the rank
-    and condition tests see the system itself, not its square. Gives the parameters, and all rows with mahalanobis and weight."""
-    used = ["residual_y", "residual_x", "design", "cov_yy", "cov_xy", "cov_xx"]
-    fitting = observations.where("fitting").select(*used)
-    p, width = np.zeros(n_params), n_params + 1
-
-    def factors(params: np.ndarray):
-        def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            r = np.zeros((0, width))
-            for rows in parts:
-                if len(rows):
-                    white, _, weight = _stacked(rows, params, delta)
-                    r = np.linalg.qr(np.concatenate([r, (white * np.sqrt(weight)[:, None, None]).reshape(-1, width)]), mode="r")
-            if len(r):
-                yield pd.DataFrame({"r": [list(map(float, x)) for x in r]})
-
-        return run
-
-    def merge(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        r = np.zeros((0, width))
-        for rows in parts:
-            if len(rows):
-                r = np.linalg.qr(np.concatenate([r, np.stack(list(rows.r))]), mode="r")
-        if len(r):
-            yield pd.DataFrame({"r": [list(map(float, x)) for x in r]})
-
-    for _ in range(rounds):
-        found = fitting.mapInPandas(factors(p), "r array<double>").repartition(16).mapInPandas(merge, "r array<double>").collect()  # at most 16 small triangles
-        system = np.asarray([x["r"] for x in found]).reshape(-1, width)
-        scale = np.abs(system[:, :-1]).max(0, initial=0)
-        if len(system) < n_params or not scale.all():
-            raise ValueError("the adjustment lacks rank")
-        u, s, vt = np.linalg.svd(system[:, :-1] / scale, full_matrices=False)
-        if s[-1] <= rank_limit * s[0] or s[0] / s[-1] > condition_limit:
-            raise ValueError("the adjustment is rank deficient or ill conditioned")
-        new = vt.T @ ((u.T @ system[:, -1]) / s) / scale
-        done = np.abs(new - p).max() <= tolerance * max(1.0, np.abs(new).max())
-        p = new
-        if done:
-            break
-    else:
-        raise RuntimeError(f"the adjustment has not converged in {rounds} rounds")
-
-    def judged(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in parts:
-            if len(rows):
-                _, norm, weight = _stacked(rows, p, delta)
-                rows = rows.assign(mahalanobis=norm, weight=weight)
-                yield rows
-
-    schema = ", ".join(f"`{c}` {t}" for c, t in observations.dtypes) + ", mahalanobis double, weight double"
-    return p, observations.mapInPandas(judged, schema)
-
-
 #: A template or candidate needs more than this share of valid pixels.
 LEAST_VALID = 0.5
 
 
-def _window_score(a: np.ndarray, b: np.ndarray, ok: np.ndarray) -> float | None:
-    if ok.mean() <= LEAST_VALID:
-        return None
-    x, y = a[ok] - a[ok].mean(), b[ok] - b[ok].mean()
-    scale = float(np.sqrt((x @ x) * (y @ y)))
-    return float(x @ y) / scale if scale > np.finfo(float).eps else None
+def _disc_scores(a: np.ndarray, ok: np.ndarray, b: np.ndarray, sound: np.ndarray, there: np.ndarray, ys: np.ndarray, xs: np.ndarray) -> np.ndarray:
+    """Masked correlations of a template with the window's patches that begin at (ys, xs), all at once; nan where there is none."""
+    patches = [np.lib.stride_tricks.sliding_window_view(x, a.shape)[ys, xs].reshape(len(ys), -1) for x in (b, sound, there)]
+    both = patches[1] & ok.ravel()
+    n = np.maximum(both.sum(1), 1)[:, None]
+    sides = []
+    for v in (np.broadcast_to(a.ravel(), both.shape), patches[0]):
+        v = np.where(both, v, 0.0)
+        sides.append(np.where(both, v - v.sum(1, keepdims=True) / n, 0.0))
+    scale = np.sqrt((sides[0] ** 2).sum(1) * (sides[1] ** 2).sum(1))
+    usable = patches[2].all(1) & (both.mean(1) > LEAST_VALID) & (scale > np.finfo(float).eps)
+    return np.where(usable, (sides[0] * sides[1]).sum(1) / np.where(usable, scale, 1.0), np.nan)
 
 
-def ncc_search(source: DataFrame, reference: DataFrame, grid: int, half: int, radius: float, prior: tuple[float, float] = (0.0, 0.0)) -> DataFrame:
+def ncc_search(source: DataFrame, reference: DataFrame, grid: int, half: int, radius: float, prior: tuple[float, float] = (0.0, 0.0), priors: DataFrame | None = None) -> DataFrame:
     """Both: image_id, line, sample, value, valid. A row per grid point of the source whose template lies in the image and is valid
     enough: image_id, line, sample, ref_line, ref_sample, score, agreement, is_candidate.
 
     The best masked correlation within the disc around the prior wins, the first in line order on ties; without any, the row has
-    score -1 at the expected place and is no candidate. Pixels are dealt to the grid points that can see them, so that one group
-    holds one search window, whatever the image's size."""
+    score -1 at the expected place and is no candidate. priors (image_id, prior_line, prior_sample) go ahead of the common prior. Pixels are
+    dealt to the grid points that can see them, so that one group holds one search window, whatever the image's size."""
     reach = half + int(np.ceil(radius)) + 1
+    common = {"prior_line": F.lit(float(prior[0])), "prior_sample": F.lit(float(prior[1]))}
 
-    def seen(pixels: DataFrame, side: int, by: int, shift: tuple[int, int]) -> DataFrame:
+    def seen(pixels: DataFrame, side: int, by: int) -> DataFrame:
         rows = pixels.select("image_id", F.col("line").cast("long"), F.col("sample").cast("long"), F.col("value").cast("double"), F.coalesce("valid", F.lit(False)).alias("valid"), F.lit(side).alias("side"))
-        for axis, d in zip(("line", "sample"), shift, strict=True):
+        if priors is None:
+            rows = rows.withColumns(common)
+        else:
+            rows = rows.join(sized(priors.select("image_id", *common)), "image_id", "left").withColumns({k: F.coalesce(k, v) for k, v in common.items()})
+        for axis in ("line", "sample"):
+            d = F.rint(f"prior_{axis}") if side else F.lit(0.0)
             lo, hi = F.greatest(F.ceil((F.col(axis) - d - by) / grid), F.lit(0)).cast("long"), F.floor((F.col(axis) - d + by) / grid).cast("long")
             steps = F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<bigint>"))
             rows = rows.withColumn(f"at_{axis}", F.explode(F.transform(steps, lambda k: k * grid)))
         return rows
 
-    near = tuple(int(np.rint(p)) for p in prior)
-    both = seen(source, 0, half, (0, 0)).unionByName(seen(reference, 1, reach, near))
+    both = seen(source, 0, half).unionByName(seen(reference, 1, reach))
     pixel = F.struct("line", "sample", "value", "valid")
     windows = both.groupBy("image_id", "at_line", "at_sample").agg(
         F.collect_list(F.when(F.col("side") == 0, pixel)).alias("template"),  # at most the template's area
         F.collect_list(F.when(F.col("side") == 1, pixel)).alias("window"),  # at most the window's area
+        *(F.first(k).alias(k) for k in common),
     ).where(F.size("template") == (2 * half + 1) ** 2)
     flat = [F.col(f"{side}.{c}").alias(f"{side}_{c}") for side in ("template", "window") for c in ("line", "sample", "value", "valid")]
     width, size = 2 * half + 1, 2 * (reach + 1) + 1
@@ -169,30 +100,44 @@ def ncc_search(source: DataFrame, reference: DataFrame, grid: int, half: int, ra
                 ok &= np.isfinite(a)
                 if ok.sum() <= width * width * LEAST_VALID:
                     continue
-                top, left = r.at_line + near[0] - reach - 1, r.at_sample + near[1] - reach - 1
+                want = r.at_line + r.prior_line, r.at_sample + r.prior_sample
+                top, left = (int(np.rint(p)) + at - reach - 1 for p, at in zip((r.prior_line, r.prior_sample), (r.at_line, r.at_sample), strict=True))
                 b, there, sound = np.zeros((size, size)), np.zeros((size, size), bool), np.zeros((size, size), bool)
                 at = np.asarray(r.window_line, int) - top, np.asarray(r.window_sample, int) - left
                 b[at], there[at], sound[at] = np.asarray(r.window_value, float), True, np.asarray(r.window_valid, bool)
                 sound &= np.isfinite(b)
-                want = r.at_line + prior[0], r.at_sample + prior[1]
-                found = {}
-                for y in range(int(np.ceil(want[0] - radius)), int(np.floor(want[0] + radius)) + 1):
-                    for x in range(int(np.ceil(want[1] - radius)), int(np.floor(want[1] + radius)) + 1):
-                        box = np.s_[y - top - half : y - top + half + 1, x - left - half : x - left + half + 1]
-                        if (y - want[0]) ** 2 + (x - want[1]) ** 2 <= radius**2 and there[box].all():
-                            score = _window_score(a, b[box], ok & sound[box])
-                            if score is not None:
-                                found[y, x] = score
-                if not found:
+                ys, xs = np.meshgrid(*(np.arange(int(np.ceil(p - radius)), int(np.floor(p + radius)) + 1) for p in want), indexing="ij")
+                disc = (ys - want[0]) ** 2 + (xs - want[1]) ** 2 <= radius**2
+                ys, xs = ys[disc], xs[disc]
+                scores = _disc_scores(a, ok, np.where(sound, b, 0.0), sound, there, ys - top - half, xs - left - half) if len(ys) else np.zeros(0)
+                found = np.flatnonzero(~np.isnan(scores))
+                if not len(found):
                     out.append((r.image_id, r.at_line, r.at_sample, *want, -1.0, None, False))
                     continue
-                (y, x), best = max(found.items(), key=lambda kv: kv[1])
-                ring = lambda p: max(abs(p[0] - y), abs(p[1] - x))  # noqa: B023, E731
-                far, close = [s for p, s in found.items() if ring(p) > 1], [s for p, s in found.items() if ring(p) == 1]
-                share = lambda others, by: min(max((best - by(others)) / best, 0.0), 1.0) if others and best > 0 else 0.0  # noqa: B023, E731
-                out.append((r.image_id, r.at_line, r.at_sample, float(y), float(x), best, min(share(far, max), share(close, np.mean)), True))
+                ys, xs, scores = ys[found], xs[found], scores[found]
+                k = int(scores.argmax())
+                best, ring = float(scores[k]), np.maximum(np.abs(ys - ys[k]), np.abs(xs - xs[k]))
+                share = lambda others, by: min(max((best - by(others)) / best, 0.0), 1.0) if len(others) and best > 0 else 0.0  # noqa: B023, E731
+                out.append((r.image_id, r.at_line, r.at_sample, float(ys[k]), float(xs[k]), best, min(share(scores[ring > 1], np.max), share(scores[ring == 1], np.mean)), True))
             yield pd.DataFrame(out, columns=["image_id", "line", "sample", "ref_line", "ref_sample", "score", "agreement", "is_candidate"])
 
     kind = source.schema["image_id"].dataType.simpleString()
     schema = f"image_id {kind}, line long, sample long, ref_line double, ref_sample double, score double, agreement double, is_candidate boolean"
-    return windows.select("image_id", "at_line", "at_sample", *flat).mapInPandas(search, schema)
+    return windows.select("image_id", "at_line", "at_sample", "prior_line", "prior_sample", *flat).mapInPandas(search, schema)
+
+
+def gradient_magnitude(pixels: DataFrame) -> DataFrame:
+    """The images' own slopes in place of their values: central differences, one-sided at the edges, valid or not."""
+
+    def slope(axis: str, other: str):
+        w = Window.partitionBy("image_id", other).orderBy(axis)
+        before, after, v = F.lag("value").over(w), F.lead("value").over(w), F.col("value")
+        return F.when(before.isNull(), after - v).when(after.isNull(), v - before).otherwise((after - before) / 2)
+
+    rows = pixels.withColumn("_y", slope("line", "sample")).withColumn("_x", slope("sample", "line"))
+    return rows.withColumn("value", F.hypot("_y", "_x")).drop("_y", "_x")
+
+
+def structural_search(source: DataFrame, reference: DataFrame, grid: int, half: int, radius: float, prior: tuple[float, float] = (0.0, 0.0), priors: DataFrame | None = None) -> DataFrame:
+    """ncc_search on gradient magnitudes: finds what differs in contrast, reversed contrast included."""
+    return ncc_search(gradient_magnitude(source), gradient_magnitude(reference), grid, half, radius, prior, priors)

@@ -99,11 +99,11 @@ def tile_duplicates(rows: DataFrame, radius: float) -> DataFrame:
     return out.withColumns({"rejection_reason": reason, **flags}).drop("_tile", "_winner")
 
 
-def in_level_frame(rows: DataFrame, tiles: DataFrame) -> DataFrame:
-    """rows in the pixels of their tile -> pixels of the level: adds the tile's window origin (tiles: tile_id, level, origin_line, origin_sample, and the same for the reference)."""
-    at = tiles.select("level", "tile_id", *[F.col(c).alias(f"_{c}") for c in ("origin_line", "origin_sample", "ref_origin_line", "ref_origin_sample")])
+def in_level_frame(rows: DataFrame, tiles: DataFrame, keys: list[str] | tuple = ()) -> DataFrame:
+    """rows in the pixels of their tile -> pixels of the level: adds the tile's window origin (tiles: tile_id, level, origin_line, origin_sample, and the same for the reference). keys: further columns that name a tile."""
+    at = tiles.select("level", "tile_id", *keys, *[F.col(c).alias(f"_{c}") for c in ("origin_line", "origin_sample", "ref_origin_line", "ref_origin_sample")])
     moved = {"line": "_origin_line", "sample": "_origin_sample", "ref_line": "_ref_origin_line", "ref_sample": "_ref_origin_sample"}
-    return rows.join(at, ["level", "tile_id"]).withColumns({c: F.col(c) + F.col(o) for c, o in moved.items()}).drop(*moved.values())
+    return rows.join(at, ["level", "tile_id", *keys]).withColumns({c: F.col(c) + F.col(o) for c, o in moved.items()}).drop(*moved.values())
 
 
 def verify_forward_backward(forward: DataFrame, reverse: DataFrame, tolerance: float, most: float, mode: str = "annotate") -> DataFrame:

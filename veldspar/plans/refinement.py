@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from veldspar.operators import refine, subpixel
+from veldspar.operators import matching, pyramid, refine, subpixel, tiling
 from veldspar.plans.registry import _DENSE, _r, _t, dense_pixels, query
 
 _POINT = "l_orderkey * 10000 + l_linenumber * 1000 + l_suppkey % 1000 AS point_id, cast(l_suppkey % 10 AS bigint) AS image_id, (l_partkey % 90) / 2.0e0 AS line, (l_orderkey % 130) / 2.0e0 AS sample"
@@ -115,3 +115,42 @@ def alignment_first_step(spark, d):
     _, pairs = subpixel.patch_pairs(points.where("image_id < 23"), source, reference, 8, 0.5)
     rows = subpixel.refine_ecc(pairs, iterations=1)
     return rows.select("point_id", _r(F.col("ecc_line")).alias("step_line"), _r(F.col("ecc_sample")).alias("step_sample"))
+
+
+# --- tiled and structural matching -------------------------------------------------------------------------------
+
+#: The reference is the source two lines down and a sample to the left; tiles of 24 pixels with halos of 8, the reference's windows moved likewise.
+_TILES = """t AS (SELECT h.image_id, r, c, greatest(r * 24 - 8, 0) AS l0, least(r * 24 + 32, h) AS l1, greatest(c * 24 - 8, 0) AS s0, least(c * 24 + 32, w) AS s1 FROM h, range(2) a(r), range(3) b(c) WHERE r * 24 < h),
+    p AS (SELECT t.*, l0 + 8 * i AS line, s0 + 8 * j AS sample FROM t, range(6) a(i), range(6) b(j) WHERE 8 * i >= 2 AND 8 * j >= 2 AND l0 + 8 * i + 2 < l1 AND s0 + 8 * j + 2 < s1),
+    q AS (SELECT p.*, count(*) FILTER (d.valid) OVER () AS n FROM p JOIN d ON d.image_id = p.image_id AND d.line BETWEEN p.line - 2 AND p.line + 2 AND d.sample BETWEEN p.sample - 2 AND p.sample + 2)"""
+
+
+def _two_line_images(spark, d):
+    p = dense_pixels(spark, d).where("line < 48").select(F.col("image_id").alias("pair_id"), F.lit(0).alias("level"), "line", "sample", "value", F.lit(True).alias("valid"))
+    return p, p.withColumns({"line": F.col("line") + 2, "sample": F.col("sample") - 1})
+
+
+@query(f"""WITH {_DENSE}, g AS (SELECT image_id, least(h, 48) AS h, w FROM h), {_TILES.replace("h.image_id", "g.image_id").replace("FROM h,", "FROM g,").split(", q AS")[0].rstrip().rstrip(",")},
+    k AS (SELECT image_id AS job_id, 'r' || lpad(r::VARCHAR, 4, '0') || 'c' || lpad(c::VARCHAR, 4, '0') AS tile_id, line, sample, lpad((line - l0)::VARCHAR, 6, '0') || ':' || lpad((sample - s0)::VARCHAR, 6, '0') AS place FROM p),
+    w AS (SELECT *, first_value(tile_id || ':' || place) OVER (PARTITION BY job_id, line, sample ORDER BY tile_id) AS win, first_value(tile_id) OVER (PARTITION BY job_id, line, sample ORDER BY tile_id) AS win_tile FROM k)
+    SELECT job_id, tile_id, tile_id || ':' || place AS match_id, line, sample, line + 2.0e0 AS ref_line, sample - 1.0e0 AS ref_sample, win_tile = tile_id AS is_candidate,
+    CASE WHEN win_tile <> tile_id THEN 'tiled overlap duplicate; retained ' || win_tile || ':' || win || ' by deterministic score order' END AS rejection_reason FROM w""")
+def tiles_matched(spark, d):
+    """Every grid point of every tile finds its place; points of several tiles stay once."""
+    source, reference = _two_line_images(spark, d)
+    levels = source.groupBy("pair_id", "level").agg((F.max("line") + 1).alias("lines"), (F.max("sample") + 1).alias("samples"))
+    tiles = tiling.plan_tiles(levels, 24, 8).withColumns({"ref_origin_line": F.col("origin_line") + 2, "ref_origin_sample": F.col("origin_sample") - 1})
+    rows = tiling.match_tiles(source, reference, tiles, lambda s, r, p: matching.ncc_search(s, r, 8, 2, 1.5, priors=p), budget_bytes=1 << 20)
+    return rows.select("job_id", "tile_id", "match_id", "line", "sample", "ref_line", "ref_sample", "is_candidate", "rejection_reason")
+
+
+@query(f"""WITH {_DENSE}, k AS (SELECT t.image_id, t.line, t.sample, h, w FROM d t JOIN h ON h.image_id = t.image_id WHERE t.line % 8 = 0 AND t.sample % 8 = 0 AND t.line >= 2 AND t.sample >= 2 AND t.line + 2 < h AND t.sample + 2 < w)
+    SELECT image_id, line, sample, true AS is_candidate, CASE WHEN line >= 4 AND sample >= 4 AND line + 4 < h AND sample + 4 < w THEN line + 1.0e0 END AS ref_line, CASE WHEN line >= 4 AND sample >= 4 AND line + 4 < h AND sample + 4 < w THEN sample + 2.0e0 END AS ref_sample FROM k""")
+def reversed_contrast_matched(spark, d):
+    """Gradients find a reference of reversed contrast (correlation of values would be -1 there); points near an edge, whose slopes are one-sided, are only counted."""
+    p = dense_pixels(spark, d).withColumn("valid", F.lit(True))
+    moved = p.select("image_id", (F.col("line") + 1).alias("line"), (F.col("sample") + 2).alias("sample"), (3 - 2 * F.col("value")).alias("value"), "valid")
+    size = p.groupBy("image_id").agg((F.max("line") + 1).alias("h"), (F.max("sample") + 1).alias("w"))
+    rows = matching.structural_search(p, moved, 8, 2, 3.0).join(F.broadcast(size), "image_id")  # a row an image
+    inner = "line >= 4 and sample >= 4 and line + 4 < h and sample + 4 < w"
+    return rows.select("image_id", "line", "sample", "is_candidate", F.expr(f"case when {inner} then ref_line end").alias("ref_line"), F.expr(f"case when {inner} then ref_sample end").alias("ref_sample"))
