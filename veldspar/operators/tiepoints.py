@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations, islice
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,29 +41,73 @@ def remove_duplicates(rows: DataFrame, radius: float) -> DataFrame:
     name = lambda c: F.struct("job_id", F.col(c).alias("match_id"))
     roots = components(within(rows, radius, both_ways=False).select(name("a_match_id").alias("u"), name("b_match_id").alias("v")))
     named = roots.select(F.col("node.job_id").alias("job_id"), F.col("node.match_id").alias("match_id"), F.col("root.match_id").alias("_label"))
-    w = Window.partitionBy("job_id", "_label").orderBy(F.desc("score"), "match_id")
-    rows = rows.join(named, ["job_id", "match_id"], "left").withColumn("_label", F.coalesce("_label", "match_id"))
-    return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_label")
+    nodes = named.unionByName(named.select("job_id", F.col("_label").alias("match_id"), "_label").distinct())  # a cluster's label is a row of it
+    met = materialise(rows.select("job_id", "match_id", "score").join(nodes, ["job_id", "match_id"]))
+    best = met.groupBy("job_id", "_label").agg(F.min_by("match_id", F.struct((-F.col("score")).alias("s"), "match_id")).alias("_best"))
+    lost = met.join(best, ["job_id", "_label"]).where("match_id != _best").select("job_id", "match_id")
+    return rows.join(lost, ["job_id", "match_id"], "left_anti")
+
+
+#: Rounds of a greedy pass before what is left is parted into components, and pairs of a component that one task decides.
+ROUNDS, COMPONENT = 8, 200_000
+
+
+def _decided(pairs: list[tuple]) -> list:
+    """The losers of one component's greedy pass: nodes are decided once all their better neighbours are, each pair is looked at once."""
+    worse, waits = {}, {}
+    for b, w in pairs:
+        worse.setdefault(b, []).append(w)
+        waits[w] = waits.get(w, 0) + 1
+    ready, lost = [n for n in worse if n not in waits], set()
+    while ready:
+        node = ready.pop()
+        for w in worse.get(node, ()):
+            if node not in lost:
+                lost.add(w)
+            waits[w] -= 1
+            if not waits[w]:
+                ready.append(w)
+    return list(lost)
 
 
 def greedy_losers(pairs: DataFrame) -> DataFrame:
     """pairs: better, worse (distinct, of one total order). The nodes that a greedy pass in that order would suppress, as `loser`.
 
-    In each round a node without a better undecided neighbour survives and its worse neighbours lose; decided nodes leave. Every chain of
-    better neighbours shortens, so that the rounds end; each round's pairs are a table."""
+    In each round a node without a better undecided neighbour survives and its worse neighbours lose; decided nodes leave. After ROUNDS rounds the pairs that are
+    left fall into components, and those of at most COMPONENT pairs are decided by one task each, however long their chains; what is larger goes on in rounds. Rounds and losers are tables."""
     spark = pairs.sparkSession
+    kind = T.StructType([T.StructField("loser", pairs.schema["worse"].dataType)])
     with recorded() as made:
         left = materialise(pairs.select("better", "worse").distinct())
-    out = spark.createDataFrame([], T.StructType([T.StructField("loser", left.schema["worse"].dataType)]))
+    out, n = [], 0
+
+    def decide(rows: pd.DataFrame) -> pd.DataFrame:
+        node = lambda x: tuple(x.values()) if isinstance(x, dict) else tuple(x)
+        return pd.DataFrame({"loser": pd.Series([list(x) for x in _decided([(node(b), node(w)) for b, w in zip(rows.better, rows.worse, strict=True)])], dtype=object)})
+
+    fields = kind["loser"].dataType.fields if isinstance(kind["loser"].dataType, T.StructType) else None
     while not left.isEmpty():
-        spent = made[-1:]
+        spent, n = made[-1:], n + 1
         with recorded() as made:
-            top = left.select("better").distinct().join(left.select(F.col("worse").alias("better")), "better", "left_anti")
-            gone = materialise(left.join(top, "better", "left_semi").select(F.col("worse").alias("loser")).distinct())
-            left = materialise(left.join(gone, F.col("worse") == F.col("loser"), "left_anti").join(gone, F.col("better") == F.col("loser"), "left_anti"))
-        drop_tables(spark, spent)
-        out = out.unionByName(gone)
-    return out
+            if n % (ROUNDS + 1) or fields is None:
+                top = left.select("better").distinct().join(left.select(F.col("worse").alias("better")), "better", "left_anti")
+                gone = materialise(left.join(top, "better", "left_semi").select(F.col("worse").alias("loser")).distinct())
+                left = materialise(left.join(gone, F.col("worse") == F.col("loser"), "left_anti").join(gone, F.col("better") == F.col("loser"), "left_anti"))
+                keep = [made[0]]
+            else:
+                roots = components(left.select(F.col("better").alias("u"), F.col("worse").alias("v")))
+                named = left.join(roots.withColumnRenamed("node", "better"), "better", "left").withColumn("root", F.coalesce("root", "better"))
+                named = materialise(named.select("better", "worse", F.struct(*(F.col(f"root.{f.name}").alias(f.name) for f in fields)).alias("root")))
+                keep = made[-1:]
+                small = materialise(named.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= COMPONENT).select("root"))
+                flat = [T.StructField(f.name, f.dataType) for f in fields]
+                found = named.join(small, "root", "left_semi").groupBy("root").applyInPandas(lambda rows: pd.DataFrame(decide(rows).loser.tolist(), columns=[f.name for f in flat]), T.StructType(flat))
+                gone = materialise(found.select(F.struct(*(f.name for f in flat)).alias("loser")))
+                keep = [made[-1]]
+                left = materialise(named.join(small, "root", "left_anti").select("better", "worse"))
+            out.append(gone)
+        drop_tables(spark, spent + [p for p in made[:-1] if p not in keep])
+    return reduce(DataFrame.unionByName, out) if out else spark.createDataFrame([], kind)
 
 
 def _node(side: str) -> Column:
@@ -185,22 +232,78 @@ def _through_three(trials: DataFrame) -> DataFrame:
     return rows.select("job_id", "trial", *_COEFFICIENTS)
 
 
+#: Rows of a job that one task meets with the job's models.
+PART = 50_000
+
+
+def _inliers(rows: DataFrame, jobs: DataFrame, models: DataFrame, threshold: float) -> DataFrame:
+    """job_id, trial, inliers and their total residual: each part of a job's rows comes after the job's models in one sorted stream, and gives one row per trial."""
+    place = ("line", "sample", "ref_line", "ref_sample")
+    parts = jobs.select("job_id", F.ceil(F.col("n") / PART).alias("parts"))
+    none = lambda names, kind: {c: F.lit(None).cast(kind) for c in names}
+    own = models.join(parts, "job_id").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts").withColumns({"kind": F.lit(0), **none(place, "double")})
+    seen = rows.join(parts, "job_id").select("job_id", *place, F.pmod(F.xxhash64("match_id"), F.col("parts")).alias("part"), F.lit(1).alias("kind")).withColumns({"trial": F.lit(None).cast("int"), **none(_COEFFICIENTS, "double")})
+    both = own.unionByName(seen).select("job_id", "part", "kind", "trial", *_COEFFICIENTS, *place).repartition("job_id", "part").sortWithinPartitions("job_id", "part", "kind")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, trial, fits, n, total, name = None, [], [], None, None, None
+
+        def ended():
+            if n is not None and len(n):
+                yield pa.record_batch([pa.array([name] * len(n), kind_of), pa.array(np.concatenate(trial).astype(np.int32)), pa.array(n), pa.array(total)], ["job_id", "trial", "inliers", "total"])
+
+        for b in batches:
+            kind_of = b.schema.field("job_id").type
+            keys = list(zip(b.column("job_id").to_pylist(), b.column("part").to_pylist(), strict=True))
+            kinds = b.column("kind").to_numpy()
+            cuts = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1] or kinds[i] != kinds[i - 1]), len(keys)]
+            for i, j in zip(cuts, cuts[1:], strict=False):
+                if i == j:
+                    continue
+                if keys[i] != now:
+                    yield from ended()
+                    now, name, trial, fits, n, total = keys[i], keys[i][0], [], [], None, None
+                part = b.slice(i, j - i)
+                if kinds[i] == 0:
+                    trial.append(part.column("trial").to_numpy())
+                    fits.append(np.stack([part.column(c).to_numpy() for c in _COEFFICIENTS], 1))
+                    continue
+                if not fits:
+                    continue
+                m = np.concatenate(fits)
+                if n is None:
+                    n, total = np.zeros(len(m), np.int64), np.zeros(len(m))
+                x, y, u, v = (part.column(c).to_numpy(zero_copy_only=False) for c in place)
+                for s in range(0, len(x), 8192):
+                    a, c, p, q = (z[s : s + 8192, None] for z in (x, y, u, v))
+                    off = np.hypot(m[:, 0] * a + m[:, 1] * c + m[:, 2] - p, m[:, 3] * a + m[:, 4] * c + m[:, 5] - q)
+                    near = off <= threshold
+                    n, total = n + near.sum(0), total + np.where(near, off, 0.0).sum(0)
+        yield from ended()
+
+    counted = both.mapInArrow(count, f"job_id {dict(rows.dtypes)['job_id']}, trial int, inliers long, total double")
+    return counted.where("inliers > 0").groupBy("job_id", "trial").agg(F.sum("inliers").alias("inliers"), F.sum("total").alias("total"))
+
+
 def robust_affine(rows: DataFrame, threshold: float, trials: int = 128, min_inliers: int = 3, seed: int | None = None) -> DataFrame:
     """Per job: affines through triples of points, the one with most inliers (then least sum of residuals, then the first), refit on its inliers.
 
-    Row order (ord, then match_id) is part of the semantics. Without a seed the triples are the first `trials` combinations and inliers are told anew by the
-    refit; with one they are seeded choices and the trial's inliers stay. Every trial meets every row of its job by a join and a partial
-    aggregation, so that no job has to fit in a task. Gives job_id, match_id, residual_px, is_inlier, rejection_reason and the affine."""
+    Row order (ord, then match_id) is part of the semantics. Without a seed the triples are the first `trials` combinations, for which a job's first rows are ranked alone, and inliers are told anew by the
+    refit; with one they are seeded choices and the trial's inliers stay. A job's rows are dealt in parts of at most about PART rows, and stream past its models (a part of each task), so that
+    no job has to fit in a task. Gives job_id, match_id, residual_px, is_inlier, rejection_reason and the affine."""
     place = {"x": "line", "y": "sample", "u": "ref_line", "v": "ref_sample"}
     w = Window.partitionBy("job_id").orderBy("ord", "match_id")
-    rows = materialise(rows.select("job_id", "match_id", *[F.col(c).cast("double") for c in place.values()], (F.row_number().over(w) - 1).alias("at")))
-    jobs = rows.groupBy("job_id").agg(F.count(F.lit(1)).alias("n"))
-    picks = jobs.select("job_id", F.posexplode(trial_triples(F.col("n").cast("int"), trials, seed)).alias("trial", "three")).select("job_id", "trial", F.posexplode("three").alias("k", "at"))
-    points = picks.join(rows, ["job_id", "at"]).groupBy("job_id", "trial").agg(F.sort_array(F.collect_list(F.struct("k", *[F.col(c).alias(n) for n, c in place.items()]))).alias("p"))  # three points each
+    rows = materialise(rows.select("job_id", "match_id", "ord", *[F.col(c).cast("double") for c in place.values()]))
+    jobs = materialise(rows.groupBy("job_id").agg(F.count(F.lit(1)).alias("n")))
+    picks = jobs.select("job_id", F.posexplode(trial_triples(F.col("n").cast("int") if seed is not None else F.least(F.col("n"), F.lit(trials + 3)).cast("int"), trials, seed)).alias("trial", "three")).select("job_id", "trial", F.posexplode("three").alias("k", "at"))
+    ranked = rows.withColumn("at", F.row_number().over(w))
+    if seed is None:  # the first combinations use no row beyond
+        ranked = ranked.where(F.col("at") <= trials + 3)
+    ranked = ranked.withColumn("at", F.col("at") - 1)
+    points = picks.join(ranked, ["job_id", "at"]).groupBy("job_id", "trial").agg(F.sort_array(F.collect_list(F.struct("k", *[F.col(c).alias(n) for n, c in place.items()]))).alias("p"))  # three points each
     models = materialise(_through_three(points))
     r = affine_residual(*map(F.col, place.values()))
-    met = rows.join(models, "job_id").withColumn("r", r).where(F.col("r") <= threshold)
-    scored = met.groupBy("job_id", "trial").agg(F.count(F.lit(1)).alias("inliers"), F.sum("r").alias("total"))
+    scored = _inliers(rows, jobs, models, threshold)
     none = models.select("job_id", "trial").join(scored, ["job_id", "trial"], "left").withColumn("inliers", F.coalesce("inliers", F.lit(0)))
     best = none.groupBy("job_id").agg(F.min(F.struct((-F.col("inliers")).alias("less"), F.coalesce("total", F.lit(0.0)).alias("total"), "trial")).alias("b")).select("job_id", F.col("b.trial").alias("trial"), (-F.col("b.less")).alias("inliers"))
     chosen = materialise(best.join(models, ["job_id", "trial"]))
