@@ -23,10 +23,10 @@ def normalize_longitude(deg: Column) -> Column:
 
 
 def ground_distance(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
-    """Haversine distance in metres."""
+    """Haversine distance in metres; null if a coordinate is."""
     dlat, dlon = F.radians(lat2 - lat1), F.radians(lon2 - lon1)
     a = F.pow(F.sin(dlat / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(dlon / 2), 2)
-    return 2 * RADIUS_M * F.asin(F.sqrt(F.least(F.lit(1.0), a)))
+    return 2 * RADIUS_M * F.asin(F.sqrt(F.when(a > 1, 1.0).otherwise(a)))  # least would skip a null
 
 
 def eigenvalues(xx: Column, xy: Column, yy: Column) -> tuple[Column, Column]:

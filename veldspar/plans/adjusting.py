@@ -53,7 +53,7 @@ _REWEIGHTED = """WITH RECURSIVE {rows}, o AS (SELECT job_id, list(ry) FILTER (NO
     s(job_id, k, y, x, a, b) AS (SELECT job_id, 0, y, x, list_avg(y), list_avg(x) FROM o UNION ALL
         SELECT job_id, k + 1, y, x, list_sum(list_transform(w, lambda v, i: v * y[i])) / list_sum(w), list_sum(list_transform(w, lambda v, i: v * x[i])) / list_sum(w)
         FROM (SELECT *, list_transform(y, lambda v, i: least(1.0e0, 1.5e0 / greatest(1e-300, sqrt((v - a) ** 2 / 0.3e0 + (x[i] - b) ** 2 / 0.2e0)))) AS w FROM s) WHERE k < 60)
-    SELECT job_id, round(a, 5) AS shift_line, round(b, 5) AS shift_sample FROM s WHERE k = 60"""
+    SELECT job_id, round(a, 8) AS shift_line, round(b, 8) AS shift_sample FROM s WHERE k = 60"""
 
 
 @query(_REWEIGHTED.format(rows=_ROWS))
@@ -61,5 +61,5 @@ def adjusted_robustly(spark, d):
     """Huber weights at 1.5 sigma; the SQL goes through the same fixed-point iteration a set number of times."""
     records, rows = _tables(spark, d, 0.0)
     design = F.array(F.array(F.lit(1.0), F.lit(0.0)), F.array(F.lit(0.0), F.lit(1.0)))
-    jobs = adjustment.fit_adjustment(records, rows.withColumn("design", design), adjustment.TRANSLATION, adjustment.Options(delta=1.5, rounds=60, tolerance=1e-7, weight_tolerance=1e-7)).jobs.where("accepted")
-    return jobs.select("job_id", _r(F.get("p", F.lit(0)), 5).alias("shift_line"), _r(F.get("p", F.lit(1)), 5).alias("shift_sample"))
+    jobs = adjustment.fit_adjustment(records, rows.withColumn("design", design), adjustment.TRANSLATION, adjustment.Options(delta=1.5, rounds=60, tolerance=1e-11, weight_tolerance=1e-10)).jobs.where("accepted")
+    return jobs.select("job_id", _r(F.get("p", F.lit(0)), 8).alias("shift_line"), _r(F.get("p", F.lit(1)), 8).alias("shift_sample"))
