@@ -2,8 +2,9 @@
 
 A text is a bag of byte n-grams (n = 1 to 3, A-Z lower-cased, white space runs as one blank), hashed into BUCKETS.
 Each language has smoothed n-gram probabilities learned from labelled texts. The proportions of languages in a text are
-found by expectation-maximisation over its distinct n-grams; then languages are dropped one by one while that does
-not lower the penalised likelihood (penalty: half a logarithm of the number of n-grams for each language).
+found by expectation-maximisation over its distinct n-grams. Penalised likelihood alone says which stay (penalty: half a logarithm of the
+number of n-grams for each language): first all those of least share go whose loss, by their responsibilities, is known to be no more than
+their penalties; texts with several languages left go on to convergence, and lose languages one by one while that does not lower the penalised likelihood.
 
 Defined results: null texts and texts without a letter are `und` with score 0; rows without a language aren't learned
 from; with no labelled row at all everything is `und`; ties go to the first language in order; repeated rows are judged
@@ -27,9 +28,8 @@ BUCKETS = 1 << 14
 SAMPLE_DOCS = 50_000
 #: Languages a model may hold; more are refused, none is left out.
 MAX_LANGS = 512
-ROUNDS = 4
-#: A language with a smaller share after the first rounds is left out at once.
-LEAST_SHARE = 0.02
+#: Rounds for all texts; those with several languages left go on in STEPs until no share moves by more than MOVED (or FURTHER rounds have passed: each raises the likelihood).
+ROUNDS, STEP, FURTHER, MOVED = 6, 4, 40, 1e-3
 #: Likelihoods of overlapping n-grams aren't independent: each counts with this weight in the penalised likelihood.
 TEMPER = 0.1
 
@@ -96,63 +96,95 @@ def fit(docs: DataFrame, learn: Column, sample_docs: int = SAMPLE_DOCS, max_lang
     return langs, np.log(p / p.sum(1, keepdims=True)) if langs else p
 
 
-def _em(logp: np.ndarray, row: np.ndarray, bucket: np.ndarray, count: np.ndarray, n: int):
-    L = len(logp)
-    like = logp[:, bucket].astype(np.float32)
-    like = np.exp(like - like.max(0))  # languages x distinct grams; scaled by gram, which EM ignores
-    begin = np.searchsorted(row, np.arange(n + 1))
-    has = begin[1:] > begin[:-1]
-    total = np.bincount(row, count, n)
-    live = np.flatnonzero(has)
-
-    def sums(x: np.ndarray) -> np.ndarray:
-        out = np.zeros(x.shape[:-1] + (n,))
-        if len(live):
-            out[..., live] = np.add.reduceat(x, begin[:-1][live], axis=-1)
+class _Mixtures:
+    """Texts of one slice: distinct grams (row, bucket, count) and what languages make of them."""
+
+    def __init__(self, logp: np.ndarray, row: np.ndarray, bucket: np.ndarray, count: np.ndarray, n: int):
+        like = logp[:, bucket].astype(np.float32)
+        self.like = np.exp(like - like.max(0))  # languages x distinct grams; scaled by gram, which the rounds ignore
+        self.row, self.bucket, self.count, self.n, self.logp = row, bucket, count, n, logp
+        begin = np.searchsorted(row, np.arange(n + 1))
+        self.has = begin[1:] > begin[:-1]
+        self.total = np.bincount(row, count, n)
+        self.penalty = 0.5 * np.log(np.maximum(self.total, 2))
+        self.live, self.begin = np.flatnonzero(self.has), begin[:-1][self.has]
+
+    def of(self, rows: np.ndarray) -> _Mixtures:
+        new = np.full(self.n, -1)
+        new[rows] = np.arange(len(rows))
+        own = new[self.row] >= 0
+        return _Mixtures(self.logp, new[self.row[own]], self.bucket[own], self.count[own], len(rows))
+
+    def sums(self, x: np.ndarray) -> np.ndarray:
+        out = np.zeros(x.shape[:-1] + (self.n,))
+        if len(self.live):
+            out[..., self.live] = np.add.reduceat(x, self.begin, axis=-1)
         return out
 
-    def em(pi: np.ndarray, rounds: int) -> np.ndarray:
-        for _ in range(rounds):
-            part = pi.astype(np.float32)[:, row] * like
-            pi = sums(part * (count / np.maximum(part.sum(0), np.float32(1e-30))).astype(np.float32)) / np.maximum(total, 1)
+    def parts(self, pi: np.ndarray) -> np.ndarray:
+        return pi.astype(np.float32)[:, self.row] * self.like
+
+    def rounds(self, pi: np.ndarray, n: int) -> np.ndarray:
+        for _ in range(n):
+            part = self.parts(pi)
+            pi = self.sums(part * (self.count / np.maximum(part.sum(0), np.float32(1e-30))).astype(np.float32)) / np.maximum(self.total, 1)
+        return pi
+
+    def converged(self, pi: np.ndarray) -> np.ndarray:
+        for _ in range(FURTHER // STEP):
+            before, pi = pi, self.rounds(pi, STEP)
+            if np.abs(pi - before).max(initial=0) <= MOVED:
+                break
         return pi
 
-    def loglik(pi: np.ndarray) -> np.ndarray:
-        return sums(np.log(np.maximum((pi.astype(np.float32)[:, row] * like).sum(0), np.float32(1e-30))) * count)
+    def loglik(self, pi: np.ndarray) -> np.ndarray:
+        return self.sums(np.log(np.maximum(self.parts(pi).sum(0), np.float32(1e-30))) * self.count)
+
+    def affordable(self, pi: np.ndarray) -> np.ndarray:
+        """Which languages stay once the most of least share have gone together whose loss is no more than their penalties. Without them the likelihood of a gram falls by
+        their responsibility at most (the others' shares grow, and further rounds only help)."""
+        order = pi.argsort(0, kind="stable")
+        part = self.parts(pi)
+        share = np.take_along_axis(part / np.maximum(part.sum(0), np.float32(1e-30)), order[:, self.row], 0)
+        gone = np.cumsum(share, 0, dtype=np.float64)[:-1]
+        loss = self.sums(-np.log(np.maximum(1 - gone, 1e-30)) * self.count)
+        there = np.cumsum(np.take_along_axis(pi, order, 0) > 0, 0)[:-1]  # what has gone before pays no penalty
+        free = TEMPER * loss <= self.penalty * there
+        most = np.where(free.any(0), len(free) - free[::-1].argmax(0), 0) if len(free) else np.zeros(self.n, int)
+        keep = np.zeros(pi.shape, bool)
+        np.put_along_axis(keep, order, np.arange(len(pi))[:, None] >= most, 0)
+        return keep
+
 
-    pi = em(np.full((L, n), 1.0 / L, np.float32), ROUNDS)
-    keep = (pi >= LEAST_SHARE) | (pi == pi.max(0))
-    pi = np.where(keep, pi, 0)
-    pi /= np.maximum(pi.sum(0), 1e-30)
-    return pi, keep, has, total, em, loglik
+def _scaled(pi: np.ndarray, keep: np.ndarray) -> np.ndarray:
+    pi = np.where(keep, np.maximum(pi, 1e-12), 0)
+    return pi / pi.sum(0)
 
 
 def infer(logp: np.ndarray, row: np.ndarray, bucket: np.ndarray, count: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Proportions (n x languages; 0 for languages left out) and whether a row has n-grams."""
-    pi, keep, has, _, _, _ = _em(logp, row, bucket, count, n)
+    texts = _Mixtures(logp, row, bucket, count, n)
+    pi = texts.rounds(np.full((len(logp), n), 1.0 / len(logp), np.float32), ROUNDS)
+    keep = texts.affordable(pi)
+    pi = _scaled(pi, keep)
     some = np.flatnonzero(keep.sum(0) > 1)
-    if not len(some):
-        return pi, has
-    # rows that may hold several languages: penalised likelihood decides which stay
-    new = np.full(n, -1)
-    new[some] = np.arange(len(some))
-    own = new[row] >= 0
-    sub_pi, sub_keep, _, total, em, loglik = _em(logp, new[row[own]], bucket[own], count[own], len(some))
-    penalty = 0.5 * np.log(np.maximum(total, 2))
-    fit_now = loglik(sub_pi)
-    for _ in range(len(logp) - 1):
-        least = np.where(sub_keep, sub_pi, np.inf).argmin(0)
-        trial = sub_keep.copy()
-        trial[least, np.arange(len(some))] = False
-        start = np.where(trial, np.maximum(sub_pi, 1e-12), 0)
-        sub_t = em(start / np.maximum(start.sum(0), 1e-30), 2)
-        fit_t = loglik(sub_t)
-        better = (sub_keep.sum(0) > 1) & (TEMPER * (fit_t - fit_now) + penalty >= 0)
-        if not better.any():
-            break
-        sub_keep[:, better], sub_pi[:, better], fit_now[better] = trial[:, better], sub_t[:, better], fit_t[better]
-    pi[:, some] = np.where(sub_keep, sub_pi, 0)
-    return pi, has
+    while len(some):  # texts that may hold several languages, until none loses one
+        own = texts.of(some)
+        now = own.converged(pi[:, some])
+        before = keep[:, some]
+        stay = before & own.affordable(np.where(before, now, 0))
+        stay |= now == np.where(before, now, -1).max(0)
+        trial = before.copy()
+        trial[np.where(before, now, np.inf).argmin(0), np.arange(len(some))] = False
+        some_gone = (stay != before).any(0)
+        trial = np.where(some_gone, stay & before, trial)
+        then = own.converged(_scaled(now, trial))
+        fewer = before.sum(0) - trial.sum(0)
+        better = some_gone | (TEMPER * (own.loglik(then) - own.loglik(now)) + own.penalty * fewer >= 0)
+        keep[:, some] = np.where(better, trial, before)
+        pi[:, some] = np.where(better, then, now)
+        some = some[better & (trial.sum(0) > 1)]
+    return np.where(keep, pi, 0), texts.has
 
 
 def predict(docs: DataFrame, langs: list[str], logp: np.ndarray) -> DataFrame:
