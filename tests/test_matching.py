@@ -9,15 +9,31 @@ from veldspar.operators import matching, tiling
 from veldspar.streaming import lifecycle
 
 
-def test_phase_correlation_finds_a_circular_shift(spark):
+def test_phase_correlation_against_whole_transforms(spark):
     rng = np.random.default_rng(3)
-    image = rng.random((23, 31))
-    rows = [(t, i, j, float(image[i, j]), float(np.roll(image, (3, -2), (0, 1))[i, j]) if t == 1 else 0.5, True) for t in (1, 2) for i in range(23) for j in range(31)]
-    tiles = spark.createDataFrame(rows, "tile_id int, line int, sample int, source double, reference double, valid boolean")
-    got = {r["tile_id"]: r for r in matching.phase_correlation(tiles, 6.0).collect()}
-    assert (got[1]["dy"], got[1]["dx"]) == (3, -2) and got[1]["score"] > 10 and got[2]["score"] is None
-    near = matching.phase_correlation(tiles, 2.0).where("tile_id = 1").first()
-    assert np.hypot(near["dy"], near["dx"]) <= 2
+    image = rng.random((23, 30))
+    pairs = {1: (image, np.roll(image, (3, -2), (0, 1))), 2: (image, rng.random((23, 30))), 3: (image, image), 4: (image, image)}
+    valid = {k: (rng.random((23, 30)) > 0.2, rng.random((23, 30)) > 0.1) for k in pairs}
+    valid[3] = (np.zeros((23, 30), bool), valid[3][1])
+    rows = [(t, i, j, float(a[i, j]), float(b[i, j]), bool(valid[t][0][i, j]), bool(valid[t][1][i, j])) for t, (a, b) in pairs.items() for i in range(23) for j in range(30)]
+    tiles = spark.createDataFrame(rows, "tile_id int, line int, sample int, source double, reference double, source_valid boolean, reference_valid boolean").repartition(3)
+    priors = spark.createDataFrame([(2, 4.0, 1.0, 3.0), (4, 0.5, 0.5, 0.1)], "tile_id int, prior_line double, prior_sample double, radius double")
+    got = {r["tile_id"]: r for r in matching.phase_correlation(tiles, priors).collect()}
+    for t, disc in ((1, None), (2, (4.0, 1.0, 3.0))):
+        waves = [np.fft.fft2(np.where(v, x - x[v].mean(), 0.0)) for x, v in zip(pairs[t], valid[t], strict=True)]
+        cross = waves[1] * np.conj(waves[0])
+        size = np.abs(cross)
+        surface = np.abs(np.fft.ifft2(np.where(size > np.finfo(float).eps, cross / size, 0)))
+        dy, dx = (np.where(np.arange(n) <= n // 2, np.arange(n), np.arange(n) - n) for n in (23, 30))
+        near = np.ones_like(surface, bool) if disc is None else (dy[:, None] - disc[0]) ** 2 + (dx[None, :] - disc[1]) ** 2 <= disc[2] ** 2
+        i, j = np.unravel_index(np.where(near, surface, -1).argmax(), surface.shape)
+        rest = surface[near].copy()
+        rest[rest.argmax()] = 0
+        r = got[t]
+        assert (r["dy"], r["dx"], r["status"]) == (dy[i], dx[j], "ok") and r["score"] == pytest.approx(surface[i, j] / rest.mean(), rel=1e-6) and r["ref_line"] == 11 + dy[i]
+        assert r["residual"] == (None if disc is None else pytest.approx(np.hypot(dy[i] - disc[0], dx[j] - disc[1])))
+    assert (got[1]["dy"], got[1]["dx"]) == (3, -2) and got[3]["status"] == "no_valid_pixel" and got[4]["status"] == "no_displacement" and got[4]["dy"] is None
+    assert matching.phase_correlation(tiles.limit(0)).count() == 0
 
 
 def test_streams_agree_with_batches(spark, tmp_path):

@@ -6,37 +6,78 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veldspar.tables import sized
-
-
-def phase_correlation(tiles: DataFrame, radius: float) -> DataFrame:
-    """tiles: tile_id, line, sample, source, reference, valid (a tile is bounded by its grid). Gives tile_id, dy, dx (reference minus
-    source), score = peak over the mean of the other magnitudes; null where nothing is valid or either side is constant."""
-
-    def match(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        at = (rows.line - rows.line.min()).to_numpy(), (rows["sample"] - rows["sample"].min()).to_numpy()
-        shape = at[0].max() + 1, at[1].max() + 1
-        ok = rows.valid.fillna(False).to_numpy(bool)
-        spectra = []
-        for c in ("source", "reference"):
-            image, v = np.zeros(shape), rows[c].to_numpy(float)
-            image[at] = np.where(ok, v - (v[ok].mean() if ok.any() else 0.0), 0.0)
-            spectra.append(np.fft.fft2(image))
-        power = spectra[1] * np.conj(spectra[0])
-        size = np.abs(power)
-        if size.max(initial=0) < 1e-12:
-            return pd.DataFrame([[key[0], None, None, None]], columns=["tile_id", "dy", "dx", "score"])
-        peak = np.abs(np.fft.ifft2(np.where(size > 1e-12, power / np.maximum(size, 1e-12), 0)))
-        dy, dx = (np.rint(np.fft.fftfreq(n) * n).astype(int) for n in shape)
-        inside = np.where(np.hypot(dy[:, None], dx[None, :]) <= radius, peak, -1.0)
-        i, j = np.unravel_index(inside.argmax(), shape)
-        rest = (peak.sum() - peak[i, j]) / max(peak.size - 1, 1)
-        return pd.DataFrame([[key[0], float(dy[i]), float(dx[j]), float(peak[i, j] / max(rest, 1e-12))]], columns=["tile_id", "dy", "dx", "score"])
-
-    return tiles.groupBy("tile_id").applyInPandas(match, f"tile_id {dict(tiles.dtypes)['tile_id']}, dy double, dx double, score double")
+from veldspar.tables import materialise, sized
+
+
+def _rows(rows: DataFrame, by: str, along: str, values: tuple[str, ...]) -> DataFrame:
+    """tile_id, by, and the values of a line of a tile as arrays in the order of `along`."""
+    held = rows.groupBy("tile_id", by).agg(F.sort_array(F.collect_list(F.struct(along, *values))).alias("c"))  # one line
+    return held.select("tile_id", by, *(F.col(f"c.{v}").alias(v) for v in values))
+
+
+def _transformed(rows: DataFrame, by: str, to: str, arrays: tuple[str, ...], out: tuple[str, ...], step) -> DataFrame:
+    """Every line's arrays through step (numpy arrays to numpy arrays), opened again: tile_id, by, `to` (the place along the line) and the values that come out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [step(*(np.asarray(b.column(c)[i].values.to_numpy(zero_copy_only=False), float) for c in arrays)) for i in range(b.num_rows)]
+            if found:
+                lists = [pa.array([f[k].tolist() for f in found], pa.list_(pa.float64())) for k in range(len(out))]
+                yield pa.record_batch([b.column("tile_id"), b.column(by), *lists], ["tile_id", by, *out])
+
+    kind = dict(rows.dtypes)
+    done = rows.mapInArrow(run, f"tile_id {kind['tile_id']}, {by} {kind[by]}, " + ", ".join(f"{c} array<double>" for c in out))
+    return done.select("tile_id", by, F.posexplode(F.arrays_zip(*out)).alias(to, "v")).select("tile_id", by, to, *(F.col(f"v.{c}").alias(c) for c in out))
+
+
+def phase_correlation(tiles: DataFrame, priors: DataFrame | None = None) -> DataFrame:
+    """tiles: tile_id, line, sample (whole grids from 0), source, reference, source_valid, reference_valid. priors: tile_id, prior_line, prior_sample, radius (at the tile's centre). Gives tile_id, status (ok; no_valid_pixel where a side has
+    none; no_displacement where the disc around the prior holds no whole one), dy, dx (reference minus source), line and sample (the centre), ref_line, ref_sample, score = peak over the mean of the other
+    magnitudes of the disc (the peak counts as zero), residual (distance of the displacement from the prior).
+
+    Transforms go line by line: rows, then columns, the normalised cross power, columns back, rows back. A task holds a line of a tile, never the tile."""
+    sides = {"source": "source_valid", "reference": "reference_valid"}
+    on = {s: F.coalesce(F.col(v), F.lit(False)) & F.col(s).isNotNull() & ~F.isnan(s) for s, v in sides.items()}
+    mean = tiles.groupBy("tile_id").agg(*(F.avg(F.when(on[s], F.col(s))).alias(f"m_{s}") for s in sides), (F.max("line") + 1).alias("h"), (F.max("sample") + 1).alias("w"))
+    mean = materialise(mean)
+    at = tiles.join(sized(mean.where("m_source is not null and m_reference is not null")), "tile_id")
+    centred = at.select("tile_id", "line", "sample", *(F.when(on[s], F.col(s).cast("double") - F.col(f"m_{s}")).otherwise(0.0).alias(s) for s in sides))
+    eps = float(np.finfo(np.float64).eps)
+
+    def across(a, b):
+        fa, fb = np.fft.fft(a), np.fft.fft(b)
+        return fa.real, fa.imag, fb.real, fb.imag
+
+    def down_and_back(ar, ai, br, bi):
+        cross = np.fft.fft(br + 1j * bi) * np.conj(np.fft.fft(ar + 1j * ai))
+        size = np.abs(cross)
+        back = np.fft.ifft(np.divide(cross, size, out=np.zeros_like(cross), where=size > eps))
+        return back.real, back.imag
+
+    wave = ("ar", "ai", "br", "bi")
+    rows = _transformed(_rows(centred, "line", "sample", ("source", "reference")), "line", "u", ("source", "reference"), wave, across)
+    columns = _transformed(_rows(rows, "u", "line", wave), "u", "y", wave, ("re", "im"), down_and_back)
+    surface = _transformed(_rows(columns, "y", "u", ("re", "im")), "y", "x", ("re", "im"), ("value",), lambda re, im: (np.abs(np.fft.ifft(re + 1j * im)),))
+    signed = lambda c, n: F.when(F.col(c) <= F.floor(F.col(n) / 2), F.col(c)).otherwise(F.col(c) - F.col(n))
+    surface = surface.join(sized(mean.select("tile_id", "h", "w")), "tile_id").withColumns({"dy": signed("y", "h"), "dx": signed("x", "w")})
+    none = {c: F.lit(None).cast("double") for c in ("prior_line", "prior_sample", "radius")}
+    surface = surface.withColumns(none) if priors is None else surface.join(sized(priors.select("tile_id", *none)), "tile_id", "left")
+    off = lambda c, p: F.col(c) - F.coalesce(F.col(p), F.lit(0.0))
+    inside = F.col("radius").isNull() | (off("dy", "prior_line") * off("dy", "prior_line") + off("dx", "prior_sample") * off("dx", "prior_sample") <= F.col("radius") * F.col("radius"))
+    near = surface.where(inside)
+    best = near.groupBy("tile_id").agg(F.min(F.struct((-F.col("value")).alias("v"), "y", "x", "dy", "dx", *none)).alias("b"), F.sum("value").alias("total"), F.count(F.lit(1)).alias("n"))
+    peak = -F.col("b.v")
+    out = mean.join(best, "tile_id", "left")
+    status = F.when(F.col("m_source").isNull() | F.col("m_reference").isNull(), "no_valid_pixel").when(F.col("n").isNull(), "no_displacement").otherwise("ok")
+    centre = {"line": (F.col("h") - 1) / 2, "sample": (F.col("w") - 1) / 2}
+    return out.select(
+        "tile_id", status.alias("status"), F.col("b.dy").cast("double").alias("dy"), F.col("b.dx").cast("double").alias("dx"), *(v.alias(k) for k, v in centre.items()), (centre["line"] + F.col("b.dy")).alias("ref_line"), (centre["sample"] + F.col("b.dx")).alias("ref_sample"),
+        F.when(F.col("n").isNotNull(), peak / F.greatest((F.col("total") - peak) / F.col("n"), F.lit(eps))).alias("score"), F.hypot(F.col("b.dy") - F.col("b.prior_line"), F.col("b.dx") - F.col("b.prior_sample")).alias("residual"),
+    )
 
 
 #: A template or candidate needs more than this share of valid pixels.

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from veldspar.tables import materialise, sized
+
 _ALL = (Window.unboundedPreceding, Window.unboundedFollowing)
 
 
@@ -79,6 +81,52 @@ def resample_mask(pixels: DataFrame, lines: int, samples: int) -> DataFrame:
     return rows.groupBy("image_id", F.col("to_line").alias("line"), F.col("to_sample").alias("sample")).agg(F.bool_and("valid").alias("valid"))
 
 
+def resampled(pixels: DataFrame, ratio: float, sigma: float | None = None) -> DataFrame:
+    """Images on a grid whose pixels are `ratio` times as large (1 at least), edges aligned: blurred (by the instrument's sigma, else 0.5 sqrt(ratio^2 - 1)), then sampled between the centres; an output pixel is valid if all
+    that it covers is. Raises if an image's extent isn't a whole number of such pixels."""
+    if ratio < 1:
+        raise ValueError("a common grid is not finer than the image's own")
+    if ratio == 1:
+        return pixels.select("image_id", "line", "sample", "value", "valid")
+    size = materialise(pixels.groupBy("image_id").agg((F.max("line") + 1).alias("h"), (F.max("sample") + 1).alias("w")))
+    odd = lambda c: F.abs(F.col(c) / ratio - F.round(F.col(c) / ratio)) > 1e-9
+    bad = size.where(odd("h") | odd("w")).first()
+    if bad:
+        raise ValueError(f"image {bad['image_id']!r}: {bad['h']} x {bad['w']} pixels are no whole number of pixels {ratio} times as large")
+    soft = gaussian_blur(pixels, sigma or 0.5 * math.sqrt(ratio * ratio - 1))
+
+    def targets(c: str, n: str) -> Column:
+        """The output pixels that a pixel weighs in, and its weight: those whose centre lies within a pixel of it, clamped at the edges."""
+        centre = lambda o: F.least(F.greatest((o + 0.5) * ratio - 0.5, F.lit(0.0)), (F.col(n) - 1).cast("double"))
+        top = F.round(F.col(n) / ratio).cast("long") - 1
+        low, high = F.greatest(F.floor((F.col(c) - 0.5) / ratio - 0.5), F.lit(0)).cast("long"), F.least(F.ceil((F.col(c) + 1.5) / ratio - 0.5), top).cast("long")
+        near = F.transform(F.sequence(F.least(low, top), F.greatest(high, F.lit(0))), lambda o: F.struct(o.alias("to"), (1 - F.abs(F.col(c) - centre(o))).alias("weight")))
+        return F.explode(F.filter(near, lambda s: s["weight"] > 0))
+
+    rows = soft.join(sized(size), "image_id").withColumn("_l", targets("line", "h")).withColumn("_s", targets("sample", "w"))
+    values = rows.groupBy("image_id", F.col("_l.to").alias("line"), F.col("_s.to").alias("sample")).agg(F.sum(F.col("value") * F.col("_l.weight") * F.col("_s.weight")).alias("value"))
+    cover = lambda c: F.explode(F.sequence(F.floor(F.col(c) / ratio), F.ceil((F.col(c) + 1) / ratio) - 1))
+    masks = pixels.select("image_id", "line", "sample", "valid").withColumn("_l", cover("line")).withColumn("_s", cover("sample"))
+    masks = masks.groupBy("image_id", F.col("_l").alias("line"), F.col("_s").alias("sample")).agg(F.bool_and(F.coalesce("valid", F.lit(False))).alias("valid"))
+    return values.join(masks, ["image_id", "line", "sample"])
+
+
+def paired_pyramid(source: DataFrame, reference: DataFrame, source_gsd: float, reference_gsd: float, levels: int = 1, source_sigma: float | None = None, reference_sigma: float | None = None) -> tuple[DataFrame, list[dict]]:
+    """Both sides of image pairs at common ground sampling distances: the coarser of both, doubled at each level. Gives the pixels (level, side, image_id, line, sample, value, valid), and for each level and side its gsd_m, ratio, method,
+    provenance of the blur and the place of its first centre (origin_m)."""
+    if levels < 1 or source_gsd <= 0 or reference_gsd <= 0:
+        raise ValueError("one level at least and positive distances")
+    out, facts = [], []
+    for level in range(levels):
+        target = max(source_gsd, reference_gsd) * 2**level
+        for side, pixels, gsd, sigma in (("source", source, source_gsd, source_sigma), ("reference", reference, reference_gsd, reference_sigma)):
+            ratio = target / gsd
+            out.append(resampled(pixels, ratio, sigma).select(F.lit(level).alias("level"), F.lit(side).alias("side"), "image_id", "line", "sample", "value", "valid"))
+            blurred = ratio > 1
+            facts.append({"level": level, "side": side, "gsd_m": target, "ratio": ratio, "method": "gaussian_blur_before_resample" if blurred else "none", "provenance": ("instrument_psf" if sigma else "gaussian_fallback") if blurred else "none", "origin_m": (target - gsd) / 2})
+    return reduce(DataFrame.unionByName, out), facts
+
+
 def combine_masks(*masks: DataFrame) -> DataFrame:
     """image_id, line, sample, eligible: valid in every mask; a pixel that a mask lacks is not eligible. One shuffle for any number of masks."""
     rows = reduce(DataFrame.unionByName, [m.select("image_id", "line", "sample", "valid") for m in masks])

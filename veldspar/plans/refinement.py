@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from veldspar.operators import matching, pyramid, refine, subpixel, tiling
-from veldspar.plans.registry import _DENSE, _r, _t, dense_pixels, query
+from veldspar.plans.registry import _DENSE, _blur_sql, _r, _t, dense_pixels, query
 
 _POINT = "l_orderkey * 10000 + l_linenumber * 1000 + l_suppkey % 1000 AS point_id, cast(l_suppkey % 10 AS bigint) AS image_id, (l_partkey % 90) / 2.0e0 AS line, (l_orderkey % 130) / 2.0e0 AS sample"
 _POINTS_SQL = f"pt AS (SELECT point_id, min(image_id) AS image_id, min(line) AS line, min(sample) AS sample FROM (SELECT {_POINT} FROM lineitem) GROUP BY 1)"
@@ -154,3 +154,38 @@ def reversed_contrast_matched(spark, d):
     rows = matching.structural_search(p, moved, 8, 2, 3.0).join(F.broadcast(size), "image_id")  # a row an image
     inner = "line >= 4 and sample >= 4 and line + 4 < h and sample + 4 < w"
     return rows.select("image_id", "line", "sample", "is_candidate", F.expr(f"case when {inner} then ref_line end").alias("ref_line"), F.expr(f"case when {inner} then ref_sample end").alias("ref_sample"))
+
+
+# --- whole tiles and paired pyramids -----------------------------------------------------------------------------
+
+
+@query(f"""WITH {_DENSE} SELECT image_id AS tile_id, CASE WHEN image_id % 5 = 4 THEN 'no_valid_pixel' ELSE 'ok' END AS status, CASE WHEN image_id % 5 < 4 THEN 3.0e0 END AS dy, CASE WHEN image_id % 5 < 4 THEN -2.0e0 END AS dx, CASE WHEN image_id % 5 < 4 THEN (h - 1) / 2 + 3 END AS ref_line,
+    CASE WHEN image_id % 5 < 4 THEN (w - 1) / 2 - 2 END AS ref_sample, CASE WHEN image_id % 5 < 4 THEN true END AS sure, CASE WHEN image_id % 2 = 0 AND image_id % 5 < 4 THEN round(sqrt(2), 6) END AS residual FROM h""")
+def tiles_phase_correlated(spark, d):
+    """The reference is the tile turned round by three lines and two samples; every other tile has a prior near that, one in five has no valid pixel."""
+    p = dense_pixels(spark, d).select("image_id", "line", "sample", "value")
+    size = p.groupBy("image_id").agg((F.max("line") + 1).alias("h"), (F.max("sample") + 1).alias("w"))
+    turned = p.join(F.broadcast(size), "image_id").select("image_id", F.pmod(F.col("line") + 3, "h").alias("line"), F.pmod(F.col("sample") - 2, "w").alias("sample"), F.col("value").alias("reference"))  # a row an image
+    tiles = p.withColumnRenamed("value", "source").join(turned, ["image_id", "line", "sample"]).withColumnRenamed("image_id", "tile_id")
+    tiles = tiles.withColumns({"source_valid": F.col("tile_id") % 5 < 4, "reference_valid": F.lit(True)})
+    priors = size.where("image_id % 2 = 0").select(F.col("image_id").alias("tile_id"), F.lit(2.0).alias("prior_line"), F.lit(-1.0).alias("prior_sample"), F.lit(3.0).alias("radius"))
+    rows = matching.phase_correlation(tiles, priors)
+    return rows.select("tile_id", "status", "dy", "dx", "ref_line", "ref_sample", F.when(F.col("dy").isNotNull(), F.col("score") > 10).alias("sure"), _r(F.col("residual")).alias("residual"))
+
+
+def _resampled_sql(ratio: int, lines: int, samples: int) -> str:
+    """SQL of images cut to lines x samples on a grid of pixels `ratio` times as large: an even ratio samples between the two middle pixels of each block."""
+    cut = f"d AS (SELECT * FROM dd WHERE line < {lines} AND sample < {samples}), h AS (SELECT image_id, max(line) + 1 AS h, max(sample) + 1 AS w FROM d GROUP BY 1)"
+    base = _DENSE.split(",\n    h AS")[0].replace("d AS (", "dd AS (", 1)
+    if ratio == 1:
+        return f"SELECT image_id, line, sample, value, valid FROM (WITH {base}, {cut} SELECT * FROM d)"
+    mid = f"% {ratio} IN ({ratio // 2 - 1}, {ratio // 2})"
+    return f"""SELECT image_id, line, sample, value, valid FROM (WITH {base}, {cut}, {_blur_sql(0.5 * (ratio * ratio - 1) ** 0.5)} SELECT image_id, line // {ratio} AS line, sample // {ratio} AS sample, avg(value) FILTER (line {mid} AND sample {mid}) AS value, bool_and(valid) AS valid FROM b GROUP BY 1, 2, 3)"""
+
+
+@query(" UNION ALL ".join(f"SELECT {level} AS level, '{side}' AS side, image_id, line, sample, round(value, 6) AS value, valid FROM ({_resampled_sql(r, n, m)})" for level, side, r, n, m in ((0, "source", 2, 16, 64), (0, "reference", 1, 8, 32), (1, "source", 4, 16, 64), (1, "reference", 2, 8, 32))))
+def paired_pyramids(spark, d):
+    """Sources of half a metre, references of one: two common levels."""
+    p = dense_pixels(spark, d)
+    rows, _ = pyramid.paired_pyramid(p.where("line < 16"), p.where("line < 8 and sample < 32"), 0.5, 1.0, 2)
+    return rows.withColumn("value", _r(F.col("value")))
