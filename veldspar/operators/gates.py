@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veldspar.operators.raster import quantiles
+from veldspar.tables import sized
+
 
 def compare(comparison: Column, value: Column, threshold: Column) -> Column:
     return F.when(comparison == "lt", value < threshold).when(comparison == "le", value <= threshold).when(comparison == "gt", value > threshold).when(comparison == "ge", value >= threshold)
@@ -12,7 +15,7 @@ def compare(comparison: Column, value: Column, threshold: Column) -> Column:
 
 def evaluate_gates(evidence: DataFrame, gates: DataFrame) -> DataFrame:
     """A row per scene and gate. Not applicable: passed is null; a metric missing from an applicable gate: passed is false."""
-    rows = evidence.join(F.broadcast(gates))  # gates: a handful of rules
+    rows = evidence.join(sized(gates))  # a handful of rules
     value = F.try_element_at("metrics", F.col("metric_name"))
     na = (
         F.when(F.col("route_qualification_only") & ~F.col("route_qualified"), "route_not_qualified")
@@ -35,14 +38,13 @@ def scene_verdicts(results: DataFrame) -> DataFrame:
 def scene_metrics(points: DataFrame, key: str = "job_id") -> DataFrame:
     """Inlier ratio, RMSE, median and P90 of residuals; empty denominators give null."""
     e = F.when(F.col("is_inlier"), F.col("residual_px"))
-    return points.groupBy(key).agg(
+    counts = points.groupBy(key).agg(
         F.count(F.lit(1)).alias("candidates"),
         F.count_if("is_inlier").alias("inliers"),
         F.try_divide(F.count_if("is_inlier").cast("double"), F.count(F.lit(1)).cast("double")).alias("inlier_ratio"),
         F.sqrt(F.avg(e * e)).alias("rmse_px"),
-        F.percentile(e, 0.5).alias("median_px"),
-        F.percentile(e, 0.9).alias("p90_px"),
     )
+    return counts.join(quantiles(points.select(key, e.alias("e")), [key], "e", {"median_px": 0.5, "p90_px": 0.9}), key, "left")
 
 
 def scene_evidence(points: DataFrame, coverage: DataFrame, cells: int, key: str = "job_id") -> DataFrame:

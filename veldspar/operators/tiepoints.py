@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veldspar.operators.components import components
-from veldspar.tables import drop_tables, materialise, recorded
+from veldspar.tables import drop_tables, materialise, recorded, sized
 
 
 def within(rows: DataFrame, radius: float, line: str = "line", sample: str = "sample", both_ways: bool = True, carry: tuple[str, ...] = ("score",)) -> DataFrame:
@@ -377,7 +377,7 @@ def with_cells(rows: DataFrame, height: float, width: float, grid: int = 8) -> D
 
 def select_grid_coverage(rows: DataFrame, eligible: DataFrame, floor: float) -> DataFrame:
     """rows: with cells and is_inlier. Of the inliers of each eligible cell the best by (score, id) is selected if it meets the floor; the rest is annotated."""
-    rows = rows.join(F.broadcast(eligible.select("row", "col", "eligible")), ["row", "col"], "left")  # a grid: at most its cells
+    rows = rows.join(sized(eligible.select("row", "col", "eligible")), ["row", "col"], "left")
     takes_part = F.coalesce(F.col("is_inlier") & F.col("eligible"), F.lit(False))
     w = Window.partitionBy("job_id", "row", "col", takes_part).orderBy(F.desc("score"), "match_id")
     rows = rows.withColumn("_n", F.row_number().over(w)).withColumn("_part", takes_part)

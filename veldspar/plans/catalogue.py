@@ -23,12 +23,18 @@ def children(spark, d, name):
 
 
 def _child_page(name, ts):
+    """The page after the newest child of the run that has most of them."""
+
     def run(spark, d):
-        page = catalogue.child_page(children(spark, d, name), runs(spark, d).select("id"), "run_id", 3, ts, "id", 2)
+        rows, parents = children(spark, d, name), runs(spark, d).select("id")
+        parent = rows.join(parents.withColumnRenamed("id", "run_id"), "run_id", "left_semi").groupBy("run_id").count().orderBy(F.desc("count"), "run_id").first()["run_id"]
+        newest = rows.where(F.col("run_id") == parent).orderBy(F.desc(ts), F.desc("id")).first()
+        page = catalogue.child_page(rows, parents, "run_id", parent, ts, "id", 2, (newest[ts], newest["id"]))
         return page.select("id", "run_id", F.col(ts).alias("at"))
 
     run.__name__ = f"list_{name}_page"
-    sql = f"SELECT id, run_id, created_at AS at FROM ({_CHILD}) WHERE {_CHILDREN[name]} AND run_id = 3 ORDER BY created_at DESC, id DESC LIMIT 3"
+    most = f"(SELECT run_id FROM ({_CHILD}) WHERE {_CHILDREN[name]} AND run_id IN (SELECT o_orderkey FROM orders) GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)"
+    sql = f"SELECT id, run_id, created_at AS at FROM ({_CHILD}) WHERE {_CHILDREN[name]} AND run_id = {most} ORDER BY created_at DESC, id DESC LIMIT 3 OFFSET 1"
     return query(sql)(run)
 
 
