@@ -232,3 +232,16 @@ _DOC = """'{"run" : ' || o_orderkey || ', "b":null, "a": [ ' || o_custkey || ',
 def canonical_digests(spark, d):
     rows = _t(spark, d, "orders").selectExpr("o_orderkey AS id", f"{_DOC} AS doc")
     return rows.select("id", hashing.digest_json(F.col("doc")).alias("digest"), hashing.digest_json(F.col("doc"), ascii_only=True, drop_nulls=True).alias("request_digest"), F.array_join(hashing.server_paths(F.col("doc")), ",").alias("server_paths"))
+
+
+# --- runs as documents -------------------------------------------------------------------------------------------
+
+@query(f"""WITH k AS ({_CHILD}), s AS (SELECT run_id, {', '.join(f"count(*) FILTER ({where})::BIGINT AS {name}" for name, where in _CHILDREN.items())}, max(created_at) FILTER (n % 2 = 0) AS newest_artifact FROM k GROUP BY 1), e AS (SELECT user_id, count(*)::BIGINT AS events, min(ts) AS first_event FROM events GROUP BY 1)
+    SELECT o_orderkey AS id, {', '.join(f"coalesce({name}, 0) AS {name}" for name in _CHILDREN)}, coalesce(events, 0) AS events, newest_artifact, first_event, o_orderkey % 3 > 0 AS parameter_manifest_available FROM orders LEFT JOIN s ON s.run_id = o_orderkey LEFT JOIN e ON user_id = o_orderkey""")
+def run_details(spark, d):
+    """A run with all five of its child collections, in order, and whether its parameters are on record."""
+    ev = _t(spark, d, "events").selectExpr("user_id AS id", "ts AS at", "event_id AS event")
+    kids = {name: (children(spark, d, name).withColumnRenamed("id", "child").withColumnRenamed("run_id", "id").withColumnRenamed("recorded_at" if name == "reviews" else "created_at", "at"), ["at", "child"]) for name in _CHILDREN}
+    rows = runs(spark, d).select("id", F.when(F.col("id") % 3 > 0, F.lit("{}")).alias("parameter_manifest"))
+    rows = catalogue.run_documents(catalogue.nested_children(rows, "id", {**kids, "events": (ev, ["at", "event"])}))
+    return rows.select("id", *(F.coalesce(F.size(c), F.lit(0)).cast("long").alias(c) for c in (*_CHILDREN, "events")), F.array_max(F.transform("artifacts", lambda x: x["at"])).alias("newest_artifact"), F.get("events", F.lit(0))["at"].alias("first_event"), "parameter_manifest_available")

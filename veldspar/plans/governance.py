@@ -274,3 +274,9 @@ def flow_candidates(spark, d):
     v = spark.range(20 * 300 * 64).select((n % 20).alias("image_id"), (F.floor(n / 20) % 300).alias("line"), F.floor(n / 6000).alias("sample")).withColumn("valid", (F.col("line") * 3 + F.col("sample") * 5) % 4 > 0)
     rows = routes.flow_candidates(f, v, 3, 3.0)
     return rows.select("image_id", "line", "sample", _r(F.col("ref_line"), 4).alias("ref_line"), _r(F.col("ref_sample"), 4).alias("ref_sample"))
+
+
+@query("SELECT l_partkey AS job_id, round(var_samp(l_quantity - l_discount * 100), 6) AS noise_variance FROM lineitem GROUP BY 1")
+def residual_noise(spark, d):
+    rows = _t(spark, d, "lineitem").selectExpr("l_partkey AS job_id", "l_quantity AS template", "l_discount * 100 AS warped")
+    return routes.noise_variance(rows, ["job_id"], "template", "warped").select("job_id", _r(F.col("noise_variance")).alias("noise_variance"))

@@ -57,7 +57,8 @@ def _files(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
     out = None
     for name in names:
         rows = digest_files(spark, f"{path}/{name}").where("path NOT LIKE '%/\\\\_%'")
-        rows = rows.select(F.concat(F.lit(f"{name}/"), F.substring_index("path", "/", -1)).alias("path"), F.col("size_bytes").alias("size"), "sha256")
+        below = F.substring_index("path", f"{path.rstrip('/').rsplit('/', 1)[-1]}/{name}/", -1)  # partitions may hold files of one name
+        rows = rows.select(F.concat(F.lit(f"{name}/"), below).alias("path"), F.col("size_bytes").alias("size"), "sha256")
         out = rows if out is None else out.unionByName(rows)
     return out
 
