@@ -6,9 +6,13 @@ of its approximation and that of what it leaves are stored. A query scores codes
 each part of the index are scored exactly on the original vectors, in double precision. The stored norms bound how far a lookup score may be
 from the true one, so that whatever could still reach the k-th exact score is scored exactly too: no near vector of a part is lost.
 
+The first codebook is a coarse quantiser: a part is sorted by first codeword, and of each such cell the largest distance of a member from the codeword is known. A query looks
+at the cells with the highest bounds first (inner product with the codeword, plus its own norm times that distance); once it has a k-th exact
+score, cells whose bound is below it are skipped whole, exactly.
+
 Defined results: null or zero vectors and those with null or non-finite components take no part; vectors of another length than the query's
-are no candidates of it; ties go to the smaller id; repeated rows count each for itself, but never for a query of the same
-id; an empty table gives an empty result. Columns other than vec_id and embedding are never read.
+are no candidates of it; ties go to the smaller id; every row counts for itself, so that rows of one repeated id are queries each with an answer of its own, and
+candidates of each other; an empty table gives an empty result. Columns other than vec_id and embedding are never read.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veldspar.llm.common import materialise
@@ -95,11 +99,11 @@ def fit_books(x: np.ndarray, books: int = BOOKS, words: int = WORDS, seed: int =
 
 
 def valid_vectors(rows: DataFrame) -> DataFrame:
-    """vec_id, v (array<double>): what takes part."""
+    """vec_id, v (array<double>), row (a number of its own): what takes part."""
     v = F.col("embedding").cast("array<double>")
     rows = rows.select(F.col("vec_id").cast("long"), v.alias("v")).where("vec_id is not null and v is not null and size(v) > 0")
     rows = rows.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0))
-    return rows
+    return rows.withColumn("row", F.monotonically_increasing_id())
 
 
 def _matrix(column: pa.Array, n: int) -> np.ndarray:
@@ -107,7 +111,7 @@ def _matrix(column: pa.Array, n: int) -> np.ndarray:
 
 
 def search(rows: DataFrame, every: int = 20, k: int = 20, rerank: int = RERANK, sample: int = SAMPLE) -> DataFrame:
-    """query_id, rank, vec_id, score: for rows whose id divides by `every`, the k nearest others by inner product."""
+    """query_id, rank, vec_id, score: for rows whose id divides by `every`, the k nearest other rows by inner product."""
     base = materialise(valid_vectors(rows))
     lengths = sorted(r["d"] for r in base.select(F.size("v").alias("d")).distinct().limit(MAX_LENGTHS + 1).collect())
     if len(lengths) > MAX_LENGTHS:
@@ -136,71 +140,106 @@ def _search(base: DataFrame, length: int, every: int, k: int, rerank: int, sampl
                 c = encode(_matrix(p.column(1), p.num_rows).astype(np.float32), books.value)
                 approx = decode(c, books.value)
                 norm, left = (np.sqrt((z.astype(np.float64) ** 2).sum(1)) for z in (approx, _matrix(p.column(1), p.num_rows) - approx))
-                yield pa.record_batch([p.column(0), p.column(1), pa.array([x.tobytes() for x in c], pa.binary()), pa.array(norm), pa.array(left)], ["vec_id", "v", "codes", "norm", "left"])
+                yield pa.record_batch([p.column(0), p.column(1), p.column(2), pa.array([x.tobytes() for x in c], pa.binary()), pa.array(norm), pa.array(left)], ["vec_id", "v", "row", "codes", "norm", "left"])
 
-    index = materialise(base.mapInArrow(codes, "vec_id long, v array<double>, codes binary, norm double, left double"))
-    part = F.pmod(F.xxhash64("vec_id", "v"), F.lit(parts)).cast("int")
-    stored = index.select(part.alias("part"), F.lit(0).alias("kind"), "vec_id", "v", "codes", (F.col("left") + ROUNDING * (F.col("norm") + F.col("left"))).alias("slack"))
-    queries = base.where(F.col("vec_id") % every == 0).select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(1).alias("kind"), "vec_id", "v", F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("double").alias("slack"))
+    index = materialise(base.select("vec_id", "v", "row").mapInArrow(codes, "vec_id long, v array<double>, row long, codes binary, norm double, left double"))
+    part = F.pmod(F.xxhash64("row"), F.lit(parts)).cast("int")
+    stored = index.select(part.alias("part"), F.lit(0).alias("kind"), "vec_id", "v", "row", "codes", (F.col("left") + ROUNDING * (F.col("norm") + F.col("left"))).alias("slack"))
+    queries = base.where(F.col("vec_id") % every == 0).select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(1).alias("kind"), "vec_id", "v", "row", F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("double").alias("slack"))
     both = stored.unionByName(queries).repartition(min(parts, 4_096), "part").sortWithinPartitions("part", "kind", "vec_id")
-    near = both.mapInArrow(_scan(books, k, rerank), "query_id long, vec_id long, score double")
-    from pyspark.sql import Window
-
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    near = both.mapInArrow(_scan(books, k, rerank), "query long, query_id long, row long, vec_id long, score double")
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id", "row"))
     return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+class Part:
+    """A part of the index, sorted by first codeword, then id and row."""
+
+    def __init__(self, books: np.ndarray, ids: np.ndarray, rows: np.ndarray, slack: np.ndarray, vecs: np.ndarray, codes: np.ndarray):
+        order = np.lexsort((rows, ids, codes[:, 0]))
+        self.ids, self.rows, self.slack, self.vecs = ids[order], rows[order], slack[order], vecs[order]
+        self.codes = codes[order].T.astype(np.intp)
+        self.cells, begin = np.unique(self.codes[0], return_index=True)
+        self.begin, self.end = begin, np.append(begin[1:], len(ids))
+        self.books, self.centres = books, books[0][self.cells].astype(np.float64)
+        off = np.sqrt(((self.vecs - self.centres[np.repeat(np.arange(len(begin)), self.end - begin)]) ** 2).sum(1))
+        self.reach = np.maximum.reduceat(off, begin) if len(begin) else off  # the largest distance of a member of each cell
+
+    def bounds(self, q: np.ndarray) -> np.ndarray:
+        """What no member of a cell can exceed: queries x cells."""
+        norm = np.sqrt((q * q).sum(1))[:, None]
+        size = np.sqrt((self.centres**2).sum(1)) + self.reach
+        return q @ self.centres.T + norm * (self.reach + 1e-12 * size)  # with what rounding may add
+
+    def members(self, cells: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.arange(self.begin[c], self.end[c]) for c in cells]) if len(cells) else np.zeros(0, np.intp)
+
+    def looked_up(self, table: np.ndarray, at: np.ndarray) -> np.ndarray:
+        score = np.zeros(len(at), np.float32)
+        for t, c in zip(table, self.codes, strict=True):
+            score += t[c[at]]
+        return score
+
+    def nearest(self, q: np.ndarray, table: np.ndarray, bound: np.ndarray, own: int, k: int, rerank: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """Places and exact scores of the k nearest rows but the query's own, and how many rows were looked up."""
+        order = np.argsort(-bound, kind="stable")
+        enough = int(np.searchsorted(np.cumsum(self.end[order] - self.begin[order]), rerank + 1)) + 1
+        first, rest = order[:enough], order[enough:]
+        exact = lambda at: (self.vecs[at] * q).sum(1)
+        norm = float(np.sqrt((q * q).sum()))
+
+        def kth(scores: np.ndarray) -> float:
+            return float(np.partition(scores, len(scores) - k)[len(scores) - k]) if len(scores) >= k else -np.inf
+
+        at = self.members(first)
+        at = at[self.rows[at] != own]
+        score = self.looked_up(table, at)
+        if len(at) > rerank:
+            take = np.argpartition(-score, rerank - 1)[:rerank]
+            found, scores = at[take], exact(at[take])
+            score[take] = -np.inf
+            more = at[(score > -np.inf) & (score + norm * self.slack[at] >= kth(scores))]
+            found, scores = np.append(found, more), np.append(scores, exact(more))
+        else:
+            found, scores = at, exact(at)
+        looked = len(at)
+        after = self.members(rest[bound[rest] >= kth(scores)])
+        after = after[self.rows[after] != own]
+        if len(after):
+            looked += len(after)
+            more = after[self.looked_up(table, after) + norm * self.slack[after] >= kth(scores)]
+            found, scores = np.append(found, more), np.append(scores, exact(more))
+        best = np.lexsort((self.rows[found], self.ids[found], -scores))[:k]
+        return found[best], scores[best], looked
+
+
 def _scan(books, k: int, rerank: int):
     """Over rows sorted by part and kind: holds a part of the index, then answers its queries as they come."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
-        ids = slack = vecs = codes = None
+        now, held, part = None, [], None
         for b in batches:
-            part, kind = b.column("part").to_numpy(), b.column("kind").to_numpy()
-            cuts = [0, *(np.flatnonzero((np.diff(part) != 0) | (np.diff(kind) != 0)) + 1), b.num_rows]
+            key, kind = b.column("part").to_numpy(), b.column("kind").to_numpy()
+            cuts = [0, *(np.flatnonzero((np.diff(key) != 0) | (np.diff(kind) != 0)) + 1), b.num_rows]
             for i, j in zip(cuts, cuts[1:], strict=False):
                 if i == j:
                     continue
                 p = b.slice(i, j - i)
-                if part[i] != now:
-                    now, held, ids = part[i], [], None
+                if key[i] != now:
+                    now, held, part = key[i], [], None
+                ids, rows, vecs = p.column("vec_id").to_numpy(), p.column("row").to_numpy(), _matrix(p.column("v"), j - i)
                 if kind[i] == 0:
-                    held.append((p.column("vec_id").to_numpy(), p.column("slack").to_numpy(), _matrix(p.column("v"), j - i), np.frombuffer(b"".join(p.column("codes").to_pylist()), np.uint8).reshape(j - i, -1)))
+                    held.append((ids, rows, p.column("slack").to_numpy(), vecs, np.frombuffer(b"".join(p.column("codes").to_pylist()), np.uint8).reshape(j - i, -1)))
                     continue
-                if ids is None:
+                if part is None:
                     if not held:
                         continue
-                    ids, slack, vecs, codes = (np.concatenate(x) for x in zip(*held, strict=True))
-                    held = []
-                yield from answer(p, ids, slack, vecs, codes.T.astype(np.intp))
-
-    def answer(p: pa.RecordBatch, ids, slack, vecs, codes) -> Iterator[pa.RecordBatch]:
-        q = _matrix(p.column("v"), p.num_rows)
-        tables = np.einsum("qd,bkd->qbk", q.astype(np.float32), books.value)
-        out = []
-        for i, query in enumerate(p.column("vec_id").to_numpy()):
-            score = np.zeros(len(ids), np.float32)
-            for t, c in zip(tables[i], codes, strict=True):
-                score += t[c]
-            score[ids == query] = -np.inf
-            if len(ids) > rerank:
-                least = np.partition(score, len(ids) - rerank)[len(ids) - rerank]
-                above = np.flatnonzero(score > least)
-                take = np.concatenate([above, np.flatnonzero(score == least)[: rerank - len(above)]])  # ids ascend: ties to the smaller
-            else:
-                take = np.arange(len(ids))
-            take = take[ids[take] != query]
-            exact = (vecs[take] * q[i]).sum(1)
-            if len(take) < len(ids):  # whatever may still reach the k-th exact score
-                reach = np.partition(exact, len(exact) - k)[len(exact) - k] if len(exact) >= k else -np.inf
-                score[take] = -np.inf
-                more = np.flatnonzero((score > -np.inf) & (score + np.sqrt((q[i] * q[i]).sum()) * slack >= reach))
-                more = more[ids[more] != query]
-                take, exact = np.concatenate([take, more]), np.concatenate([exact, (vecs[more] * q[i]).sum(1)])
-            best = np.lexsort((ids[take], -exact))[:k]
-            out.append((np.full(len(best), query), ids[take][best], exact[best]))
-        if out:
-            yield pa.record_batch([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["query_id", "vec_id", "score"])
+                    part, held = Part(books.value, *(np.concatenate(x) for x in zip(*held, strict=True))), []
+                tables = np.einsum("qd,bkd->qbk", vecs.astype(np.float32), books.value)
+                out = []
+                for n, bound in enumerate(part.bounds(vecs)):
+                    at, scores, _ = part.nearest(vecs[n], tables[n], bound, int(rows[n]), k, rerank)
+                    out.append((np.full(len(at), rows[n]), np.full(len(at), ids[n]), part.rows[at], part.ids[at], scores))
+                yield pa.record_batch([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["query", "query_id", "row", "vec_id", "score"])
 
     return run
