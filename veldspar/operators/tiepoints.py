@@ -295,12 +295,17 @@ def robust_affine(rows: DataFrame, threshold: float, trials: int = 128, min_inli
     w = Window.partitionBy("job_id").orderBy("ord", "match_id")
     rows = materialise(rows.select("job_id", "match_id", "ord", *[F.col(c).cast("double") for c in place.values()]))
     jobs = materialise(rows.groupBy("job_id").agg(F.count(F.lit(1)).alias("n")))
-    picks = jobs.select("job_id", F.posexplode(trial_triples(F.col("n").cast("int") if seed is not None else F.least(F.col("n"), F.lit(trials + 3)).cast("int"), trials, seed)).alias("trial", "three")).select("job_id", "trial", F.posexplode("three").alias("k", "at"))
     ranked = rows.withColumn("at", F.row_number().over(w))
-    if seed is None:  # the first combinations use no row beyond
-        ranked = ranked.where(F.col("at") <= trials + 3)
-    ranked = ranked.withColumn("at", F.col("at") - 1)
-    points = picks.join(ranked, ["job_id", "at"]).groupBy("job_id", "trial").agg(F.sort_array(F.collect_list(F.struct("k", *[F.col(c).alias(n) for n, c in place.items()]))).alias("p"))  # three points each
+    spot = F.struct("at", *[F.col(c).alias(n) for n, c in place.items()])
+    if seed is None:  # the first combinations use none but a job's first rows
+        first = ranked.where(F.col("at") <= trials + 3).groupBy("job_id").agg(F.sort_array(F.collect_list(spot)).alias("a"))
+        three = trial_triples(F.least(F.col("n"), F.lit(trials + 3)).cast("int"), trials, None)
+        picks = jobs.join(first, "job_id").withColumn("three", three)
+        points = picks.select("job_id", F.posexplode(F.transform("three", lambda t: F.transform(t, lambda i: F.get("a", i)))).alias("trial", "p"))
+    else:
+        picks = jobs.select("job_id", F.posexplode(trial_triples(F.col("n").cast("int"), trials, seed)).alias("trial", "three")).select("job_id", "trial", F.posexplode("three").alias("k", "at"))
+        met = picks.join(ranked.withColumn("at", F.col("at") - 1), ["job_id", "at"])
+        points = met.groupBy("job_id", "trial").agg(F.sort_array(F.collect_list(F.struct("k", *[F.col(c).alias(n) for n, c in place.items()]))).alias("p"))  # three points each
     models = materialise(_through_three(points))
     r = affine_residual(*map(F.col, place.values()))
     scored = _inliers(rows, jobs, models, threshold)
