@@ -38,6 +38,18 @@ def test_poses_between_their_neighbours_only(spark):
     assert narrow[155.0] is None and narrow[256.0] is None and narrow[10.0] == 100 and narrow[300.0] == 3000 and narrow[5.0] == 50
 
 
+def test_poses_of_pixels_whose_order_varies(spark):
+    """Each evaluation of the pixels deals their rows anew, as a shuffle may."""
+
+    def dealt(batches):
+        for b in batches:
+            yield b.sample(frac=1)
+
+    rows = _pixels(spark, [(x / 4, 5) for x in range(400)]).coalesce(1).mapInPandas(dealt, "model_id string, line double, sample double")
+    got = {r["line"]: r["z"] for r in sensors.poses_at(rows, _poses(spark, range(0, 110, 10))).collect()}
+    assert len(got) == 400 and all(z == pytest.approx(10 * line) for line, z in got.items())
+
+
 def test_rays_and_geometry(spark):
     ground = sensors.ground_at(_pixels(spark, [(0, 5)]), _poses(spark, [0])).first()
     assert ground["latitude_deg"] == 0 and ground["longitude_deg"] == 0

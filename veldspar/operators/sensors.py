@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veldspar.functions.geometry import RADIUS_M, ground_distance, unwrap_longitudes, view_angle
+from veldspar.tables import sized
 
 #: Lines of a block by which pixels and pose segments meet.
 BLOCK = 256
@@ -28,15 +29,14 @@ def segments(poses: DataFrame, most_lines: float) -> DataFrame:
 
 
 def poses_at(pixels: DataFrame, poses: DataFrame, most_lines: float = 1e6) -> DataFrame:
-    """pixels (model_id, line, sample among others, rows of their own) with the pose at their line, null columns where there is none."""
-    rows = pixels.withColumns({"_row": F.monotonically_increasing_id(), "_block": F.floor(F.col("line") / BLOCK)})
-    seg = segments(poses, most_lines).select("model_id", "_block", F.col("line").alias("_from"), F.col("to_line").alias("_to"), *(F.col(c).alias(f"_a_{c}") for c in _POSE), *(F.col(f"n_{c}").alias(f"_b_{c}") for c in _POSE), "attitude_source", "covariance_m2")
+    """pixels (model_id, line, sample among others) with the pose at their line, null columns where there is none. One join: a pixel meets one segment of its model at most."""
+    rows = pixels.withColumn("_block", F.floor(F.col("line") / BLOCK))
+    seg = segments(poses, most_lines).select(F.col("model_id").alias("_model"), F.col("_block").alias("_of"), F.col("line").alias("_from"), F.col("to_line").alias("_to"), *(F.col(c).alias(f"_a_{c}") for c in _POSE), *(F.col(f"n_{c}").alias(f"_b_{c}") for c in _POSE), "attitude_source", "covariance_m2")
     inside = (F.col("line") == F.col("_from")) | ((F.col("line") > F.col("_from")) & (F.col("line") < F.col("_to")))
-    met = rows.join(seg, ["model_id", "_block"]).where(inside)
+    met = rows.join(sized(seg), (F.col("model_id") == F.col("_model")) & (F.col("_block") == F.col("_of")) & inside, "left")
     share = F.when(F.col("_to") > F.col("_from"), (F.col("line") - F.col("_from")) / (F.col("_to") - F.col("_from"))).otherwise(0.0)
     mean = {c: F.when(share == 0, F.col(f"_a_{c}")).otherwise(F.col(f"_a_{c}") * (1 - share) + F.col(f"_b_{c}") * share) for c in _POSE}
-    found = met.select("model_id", "_row", *(v.alias(k) for k, v in mean.items()), "attitude_source", "covariance_m2")
-    return rows.join(found, ["model_id", "_row"], "left").drop("_row", "_block")
+    return met.select(*(F.col(c) for c in pixels.columns), *(v.alias(k) for k, v in mean.items()), "attitude_source", "covariance_m2")
 
 
 def ground_at(pixels: DataFrame, poses: DataFrame, most_lines: float = 1e6, radius: float = RADIUS_M) -> DataFrame:
