@@ -7,6 +7,7 @@ import threading
 
 import pytest
 
+from veldspar import tables
 from veldspar.tables import drop_tables, materialise, recorded
 
 
@@ -43,3 +44,9 @@ def test_threads_do_not_record_each_other(spark):
         other.start()
         other.join()
     assert outer == []
+
+
+def test_what_is_too_large_is_not_broadcast(spark):
+    """The planner's own estimate would broadcast these few rows."""
+    plan = lambda right: spark.range(10).join(right, "id")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan(tables.sized(spark.range(5))) and "Broadcast" not in plan(tables.sized(spark.range(5), rows=2))
