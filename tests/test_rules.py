@@ -171,3 +171,20 @@ def test_self_similarity_against_a_plain_version(spark):
         own = patch(i, j)
         want = max(math.exp(-((own - patch(i + a, j + b)) ** 2).mean() / max(own.var(), 1e-12)) for a, b in offsets)
         assert abs(s - want) < 1e-9
+
+
+def test_terrain_of_many_sites_against_a_search(spark):
+    """Assets of any length, beyond the poles and of equal bounds, against every pair; no pair is met that the cells settle."""
+    rng = np.random.default_rng(5)
+    kinds = ["sldem2015", "polar_dem", "lola", "image"]
+    assets = []
+    for i in range(600):
+        low = float(rng.choice([rng.uniform(-95, 90), rng.integers(-90, 90)]))
+        assets.append((int(rng.integers(3)), i, f"a{i}", kinds[rng.integers(4)], "terrain" if rng.integers(4) else "control", low, low + float(rng.choice([0.0, 0.05, rng.uniform(0, 150)]))))
+    sites = [(i, int(rng.integers(4)), float(rng.choice([rng.uniform(-90, 90), rng.integers(-90, 91)]))) for i in range(500)] + [(500, 1, None), (501, 1, 90.0), (502, 2, -90.0)]
+    tables = spark.createDataFrame(sites, "site long, bundle_id int, latitude double"), spark.createDataFrame(assets, "bundle_id int, ordinal int, identifier string, kind string, role string, lat_low double, lat_high double")
+    got = {r["site"]: r["identifier"] for r in routes.terrain_references(*tables).collect()}
+    for site, bundle, lat in sites:
+        fit = [(kinds.index(k), n, name) for b, n, name, k, role, lo, hi in assets if lat is not None and b == bundle and role == "terrain" and lo <= lat <= hi and (k in kinds[1:3] or (k == "sldem2015" and abs(lat) <= 60))]
+        assert got[site] == (min(fit)[2] if fit else None)
+    assert len(got) == len(sites)

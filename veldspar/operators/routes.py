@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from veldspar.functions.geometry import ground_distance
 from veldspar.operators.raster import quantiles
+from veldspar.tables import sized
 
 # --- footprints --------------------------------------------------------------------------------------------------
 
@@ -86,13 +87,28 @@ def control_of(assets: DataFrame, low: Column, high: Column) -> DataFrame:
 
 #: Fixed value: latitude up to which the mid-latitude terrain model is taken.
 MID_LATITUDE = 60.0
+#: Cells of latitude, and those of a block.
+LEAVES, LEAVES_OF_BLOCK = 1024, 32
 
 
 def terrain_references(sites: DataFrame, assets: DataFrame) -> DataFrame:
     """sites: site, bundle_id, latitude. assets: bundle_id, ordinal, identifier, kind, role, lat_low, lat_high. Of the terrain assets that cover a site: the mid-latitude model up to
-    60 degrees, else a polar model, else the altimeter's; the first in order of each kind. identifier and kind are null where none covers it."""
-    a = assets.where("role = 'terrain'").select("bundle_id", "ordinal", "identifier", "kind", "lat_low", "lat_high")
-    both = sites.join(a, "bundle_id", "left").where(F.col("latitude").between(F.col("lat_low"), F.col("lat_high")))
+    60 degrees, else a polar model, else the altimeter's; the first in order of each kind. identifier and kind are null where none covers it.
+
+    Latitudes fall into LEAVES cells, and these into blocks: for cells and blocks that assets cover whole, the first of each kind is known beforehand; only assets that end within a site's cell are met one by one."""
+    a = assets.where("role = 'terrain' AND kind IN ('sldem2015', 'polar_dem', 'lola')").groupBy("bundle_id", "kind", "lat_low", "lat_high").agg(F.min("ordinal").alias("ordinal"), F.min_by("identifier", "ordinal").alias("identifier"))
+    leaf = lambda c: F.floor(F.least(F.greatest((F.col(c) + 90.0) / 180.0 * LEAVES, F.lit(0.0)), F.lit(LEAVES - 1.0))).cast("long")
+    upto = lambda lo, hi: F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<bigint>"))
+    cells = lambda level, at: F.transform(at, lambda x: F.struct(F.lit(level).alias("level"), x.alias("cell")))
+    first, last = F.ceil((F.col("_a") + 1) / LEAVES_OF_BLOCK).cast("long"), F.floor(F.col("_b") / LEAVES_OF_BLOCK).cast("long") - 1
+    lone = F.when(first <= last, F.concat(upto(F.col("_a") + 1, first * LEAVES_OF_BLOCK - 1), upto((last + 1) * LEAVES_OF_BLOCK, F.col("_b") - 1))).otherwise(upto(F.col("_a") + 1, F.col("_b") - 1))
+    a = a.where("lat_low is not null and lat_high is not null").withColumns({"_a": leaf("lat_low"), "_b": leaf("lat_high")})
+    whole = a.select("bundle_id", "kind", "ordinal", "identifier", F.explode(F.concat(cells(0, lone), cells(1, upto(first, last)))).alias("at"))
+    whole = whole.groupBy("bundle_id", "at.level", "at.cell", "kind").agg(F.min("ordinal").alias("ordinal"), F.min_by("identifier", "ordinal").alias("identifier")).withColumns({c: F.lit(None).cast("double") for c in ("lat_low", "lat_high")})
+    ends = a.select("bundle_id", F.lit(0).alias("level"), F.explode(F.array_distinct(F.array("_a", "_b"))).alias("cell"), "kind", "ordinal", "identifier", *(F.col(c).cast("double").alias(c) for c in ("lat_low", "lat_high")))
+    known = whole.unionByName(ends)
+    looked = sites.select("site", "bundle_id", "latitude", leaf("latitude").alias("_l")).select("site", "bundle_id", "latitude", F.inline(F.array(F.struct(F.lit(0).alias("level"), F.col("_l").alias("cell")), F.struct(F.lit(1).alias("level"), F.floor(F.col("_l") / LEAVES_OF_BLOCK).cast("long").alias("cell")))))
+    both = looked.join(sized(known), ["bundle_id", "level", "cell"]).where(F.col("lat_low").isNull() | F.col("latitude").between(F.col("lat_low"), F.col("lat_high")))
     rank = F.when((F.col("kind") == "sldem2015") & (F.abs("latitude") <= MID_LATITUDE), 1).when(F.col("kind") == "polar_dem", 2).when(F.col("kind") == "lola", 3)
     best = both.withColumn("_rank", rank).where("_rank IS NOT NULL").groupBy("site").agg(F.min_by(F.struct("identifier", "kind"), F.struct("_rank", "ordinal")).alias("b"))
     return sites.join(best, "site", "left").select(*sites.columns, F.col("b.identifier").alias("identifier"), F.col("b.kind").alias("kind"), F.col("b").isNotNull().alias("available"))
