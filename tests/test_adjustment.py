@@ -112,3 +112,22 @@ def test_inputs_that_are_refused(spark):
         adj.fit_adjustment(*_tables(spark, [good]), [adj.Parameter("a", "px"), adj.Parameter("a", "px")])
     with pytest.raises(ValueError):
         adj.Options(condition_limit=1.0)
+
+
+def test_jobs_decided_whole_against_rounds_over_all(spark, monkeypatch):
+    """The same states whether one task decides a job or every round passes over all observations; long jobs beside short ones."""
+    dependent = lambda i: [[1.0, 0.0, 0.0], [0.0, 1.0, 3.0]]
+    jobs = [_job(f"j{i}", 3 + 7 * i, [2.0, -1.0, 0.5], i, wild=i // 4, noise=0.2) for i in range(14)] + [_job("flat", 30, [1.0, 2.0, 0.0], 2, design=dependent), _job("short", 2, [1.0, 2.0, 3.0], 3)]
+    seen = []
+    for whole in (4096, 0, 40):
+        monkeypatch.setattr(adj, "WHOLE", whole)
+        for rounds in (3, 60):
+            rows = adj.fit_adjustment(*_tables(spark, jobs), _three((2,)), adj.Options(rounds=rounds, drop_optional=True)).jobs.collect()
+            seen.append({r["job_id"]: (r["accepted"], r["rejection_reason"], r["parameters"], r["dropped"], r["rank"], r["iterations"], [(t["reason"], t["rank"], t["iterations"]) for t in r["attempts"]], r["p"], r["information"]) for r in rows})
+            assert len(rows) == len(jobs)
+    for other in seen[2:]:
+        for job, (*state, p, information) in other.items():
+            *want, q, expected = seen[seen.index(other) % 2][job]
+            assert abs(state[5] - want[5]) <= 1 and state[:5] == want[:5]
+            assert (p is None) == (q is None) and (p is None or np.allclose(p, q, atol=1e-8) and np.allclose(information, expected, rtol=1e-5))
+    assert {r[1] for r in seen[0].values()} == {None, adj.ROUNDS}

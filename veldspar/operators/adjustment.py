@@ -1,6 +1,6 @@
 """Robust adjustment of many jobs at once: whitened linear systems, Huber weights, reduction of optional parameters.
 
-Every round is one pass over the observations of the jobs that aren't decided. A task reduces its rows of a job to a triangular factor (parameters + 1 square), so that rank and
+A job of at most WHOLE fitting records is decided by one task, many of them side by side in arrays, whatever rounds it takes. For larger ones every round is one pass over the observations of the jobs that aren't decided. A task reduces its rows of a job to a triangular factor (parameters + 1 square), so that rank and
 condition are those of the system itself, never of its square; a job's factors meet in one row, whose size depends on the number of tasks, not of observations. A job's state
 is a row of a table: iteration, parameters, what is still active and what was tried. A job may have any number of observations.
 """
@@ -28,6 +28,8 @@ FITTING, WITHHELD, SOURCE_FRAME = "fitting_inlier", "withheld_check_point", "sou
 RANK, CONDITION, ROUNDS, INPUT = "rank_deficient", "ill_conditioned", "did_not_converge", "invalid_input"
 #: Jobs whose factors a task holds before it sends them on.
 HELD = 20_000
+#: Fitting records up to which one task decides a job, and numbers that it holds in an array of jobs of one size.
+WHOLE, NUMBERS = 4096, 1 << 20
 
 
 class Parameter(NamedTuple):
@@ -201,6 +203,93 @@ def advance(state: dict, factors: list[list[float]], moved: float, parameters: l
     return {**state, "done": True, "p": None, "before": None}
 
 
+def _decided(white: np.ndarray, counts: np.ndarray, parameters: list[Parameter], o: Options) -> list[dict]:
+    """States of jobs whose whitened rows follow one another: the rounds of `advance` on all of them at once, empty rows filling up what is shorter."""
+    n, states = len(parameters), [{} for _ in counts]
+    m = int(max(counts.max(), n + 1))
+    job = np.repeat(np.arange(len(counts)), counts)
+    place = np.arange(len(white)) - np.repeat(np.cumsum(counts) - counts, counts)
+    held, there = np.zeros((len(counts), m, 2, n + 1)), np.zeros((len(counts), m), bool)
+    held[job, place], there[job, place] = white, True
+    attempts: list[list] = [[] for _ in counts]
+    todo = [(tuple(range(n)), np.arange(len(counts)))]
+    while todo:
+        active, live = todo.pop()
+        k, t = len(active), 0
+        p, before = np.zeros((len(live), k)), np.zeros((len(live), k))
+        dropped: dict[tuple, list] = {}
+        rows, real = held[live][..., [*active, n]], there[live]
+
+        def weights(q, rows=rows):
+            norm = np.linalg.norm(rows[..., -1] - (rows[..., :-1] @ q[:, None, :, None])[..., 0], axis=2)
+            return np.where(norm <= o.delta, 1.0, o.delta / np.maximum(norm, 1e-300))
+
+        old = np.ones(real.shape)
+        while len(live):
+            now = weights(p, rows) if t else np.ones(real.shape)
+            moved = np.where(real, np.abs(now - old), 0.0).max(1)
+            r = np.linalg.qr((rows * np.sqrt(now)[:, :, None, None]).reshape(len(live), -1, k + 1), mode="r")
+            a, b = r[:, :, :-1], r[:, :, -1]
+            size = np.sqrt((a**2).sum(1))
+            size = np.where(size > 0, size, 1.0)
+            u, s, vt = np.linalg.svd(a / size[:, None, :], full_matrices=False)
+            rank = (s > o.rank_tolerance * s[:, :1]).sum(1)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                condition = s[:, 0] / s[:, -1]
+                v = vt.transpose(0, 2, 1)
+                found = (v @ (((u.transpose(0, 2, 1) @ b[:, :, None])[..., 0] / s)[..., None]))[..., 0] / size
+                information = (v / s[:, None, :] ** 2) @ vt / size[:, :, None] / size[:, None, :]
+            settled = (t >= 1) & (np.linalg.norm(p - before, axis=1) <= o.tolerance * np.maximum(1.0, np.linalg.norm(p, axis=1))) & (moved <= o.weight_tolerance)
+            poor, loose = rank < k, condition > o.condition_limit
+            ended = poor | loose | settled | (t >= o.rounds)
+            for i in np.flatnonzero(ended):
+                at = int(live[i])
+                reason = RANK if poor[i] else CONDITION if loose[i] else None if settled[i] else ROUNDS
+                told = {"reason": reason, "rank": int(rank[i]), "condition": None if poor[i] else float(condition[i]), "iterations": t}
+                attempts[at].append({"parameters": [parameters[j].name for j in active], **told})
+                optional = [j for j in active if parameters[j].optional]
+                if o.drop_optional and reason in (RANK, CONDITION) and optional and k > 1:
+                    dropped.setdefault(tuple(j for j in active if j != optional[-1]), []).append(at)
+                    continue
+                done = {"p": found[i].tolist(), "information": information[i].tolist()} if reason is None else {"p": None, "information": None}
+                states[at] = {"t": t, "before": None, "active": list(active), "done": True, "attempts": attempts[at], **told, **done}
+            on = ~ended
+            live, rows, real, old, before, p, t = live[on], rows[on], real[on], now[on], p[on], found[on], t + 1
+        todo += [(a, np.asarray(jobs)) for a, jobs in dropped.items()]
+    return states
+
+
+def _whole(n: int, parameters: list[Parameter], o: Options, arrow: pa.Schema):
+    """Over fitting records sorted by job: the state of every job, decided."""
+
+    def decided(b: pa.RecordBatch, cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        white, counts, names = _white(b, n), np.diff(cuts), b.column("job").take(pa.array(cuts[:-1])).to_pylist()
+        width = np.ceil(np.log2(np.maximum(counts, n + 1))).astype(int)
+        for w in np.unique(width):
+            alike = np.flatnonzero(width == w)
+            step = max(1, NUMBERS // ((2 << int(w)) * (n + 1)))
+            for jobs in (alike[i : i + step] for i in range(0, len(alike), step)):
+                at = np.concatenate([np.arange(cuts[j], cuts[j + 1]) for j in jobs])
+                states = _decided(white[at], counts[jobs], parameters, o)
+                yield pa.RecordBatch.from_pylist([{"job": names[j], **s} for j, s in zip(jobs, states, strict=True)], schema=arrow)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carry = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            b = b if carry is None else pa.Table.from_batches([carry, b]).combine_chunks().to_batches()[0]
+            code = pd.factorize(b.column("job").to_numpy(zero_copy_only=False))[0]
+            cuts = np.flatnonzero(np.diff(code, prepend=-1))
+            carry = b.slice(int(cuts[-1]))
+            if len(cuts) > 1:
+                yield from decided(b.slice(0, int(cuts[-1])), cuts)
+        if carry is not None:
+            yield from decided(carry, np.array([0, carry.num_rows]))
+
+    return run
+
+
 def fit_adjustment(records: DataFrame, observations: DataFrame, parameters: list[Parameter] | tuple[Parameter, ...] = TRANSLATION, options: Options = Options()) -> Adjustment:
     """records and observations as of input_problems, of any number of jobs. jobs: job_id, accepted, rejection_reason (invalid_input with its problems, or why a system was refused), problems, parameters (names used), p, information
     (inverse of the conditional information), iterations, rank, condition, attempts, dropped, loss, the metrics of fitting and withheld records (fit_, check_) and the correlation of residuals with lines.
@@ -218,13 +307,21 @@ def fit_adjustment(records: DataFrame, observations: DataFrame, parameters: list
     fitting = rows.where(F.col("role") == FITTING).select(F.col("job_id").alias("job"), "residual_y", "residual_x", "design", "cov_yy", "cov_xy", "cov_xx")
     kind = rows.schema["job_id"].dataType
     none = lambda t: F.lit(None).cast(t)
+    schema = T.StructType([T.StructField("job", kind), *T._parse_datatype_string(_STATE).fields])
+    arrow, columns = to_arrow_schema(schema), schema.names
+    large = materialise(fitting.groupBy("job").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > WHOLE).select("job"))
+    few, large = fitting, None if large.isEmpty() else sized(large)
+    if large is not None:
+        few, fitting = fitting.join(large, "job", "left_anti"), fitting.join(large, "job", "left_semi")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    known = materialise(few.repartition(parts, "job").sortWithinPartitions("job").mapInArrow(_whole(n, parameters, options, arrow), schema))
+    if large is None:
+        return Adjustment(*_results(rows, known, bad, names, options))
     with recorded() as held:
-        state = materialise(rows.select(F.col("job_id").alias("job")).distinct().select(
+        state = materialise(fitting.select("job").distinct().select(
             "job", F.lit(0).alias("t"), none("array<double>").alias("p"), none("array<double>").alias("before"), F.array(*map(F.lit, range(n))).alias("active"), F.lit(False).alias("done"), none("string").alias("reason"), F.lit(0).alias("rank"),
             none("double").alias("condition"), none("array<array<double>>").alias("information"), F.lit(0).alias("iterations"), F.array().cast(_TRIED).alias("attempts"),
         ))
-    schema = T.StructType([T.StructField("job", kind), *T._parse_datatype_string(_STATE).fields])
-    arrow, columns = to_arrow_schema(schema), schema.names
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -243,7 +340,7 @@ def fit_adjustment(records: DataFrame, observations: DataFrame, parameters: list
             state = materialise(live.join(whole, "job").mapInArrow(decide, schema).unionByName(state.where("done")))
         drop_tables(spark, held)
         held = made
-    return Adjustment(*_results(rows, state, bad, names, options))
+    return Adjustment(*_results(rows, known.unionByName(state), bad, names, options))
 
 
 def _results(rows: DataFrame, state: DataFrame, bad: DataFrame, names: list[str], o: Options) -> tuple[DataFrame, DataFrame]:
