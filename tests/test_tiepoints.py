@@ -93,3 +93,12 @@ def test_robust_affine_in_parts(spark, monkeypatch, part):
         for r, o in zip(own, off, strict=True):
             assert got[job, r[1]]["residual_px"] == pytest.approx(o, abs=1e-6) and got[job, r[1]]["is_inlier"] == (o <= 1.0)
     assert all("fewer than three" in got[3, m]["rejection_reason"] for m in ("m00", "m01"))
+
+
+def test_a_job_of_one_part_gives_its_best_trial_alone(spark):
+    """Neither models nor counts of all trials become rows."""
+    rows = [(j, f"m{i}", float(i), float(i * i % 7), float(i) + (9.0 if i == 1 else 0.0), float(i * i % 7)) for j in (1, 2) for i in range(8)]
+    df = spark.createDataFrame(rows, "job_id long, match_id string, line double, sample double, ref_line double, ref_sample double")
+    spots = df.selectExpr("job_id", "struct(cast(line AS long) AS at, line AS x, sample AS y, ref_line AS u, ref_sample AS v) AS s").groupBy("job_id").agg({"s": "collect_list"}).toDF("job_id", "spots").selectExpr("job_id", "8L AS n", "spots")
+    got = tiepoints._inliers(df, spots, 0.5, 30, 7).collect()
+    assert len(got) == 2 and all(r["inliers"] == 7 and abs(r["u_line"] - 1) < 1e-9 for r in got)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 from itertools import combinations, islice
 
 import numpy as np
@@ -200,89 +200,105 @@ def affine_residual(line: Column, sample: Column, ref_line: Column, ref_sample:
     return F.hypot(c("u_line") * line + c("u_sample") * sample + c("u_shift") - ref_line, c("v_line") * line + c("v_sample") * sample + c("v_shift") - ref_sample)
 
 
-def trial_triples(n: Column, trials: int, seed: int | None) -> Column:
+@lru_cache(maxsize=1024)
+def _triples(n: int, trials: int, seed: int | None) -> np.ndarray:
     """Rows (from 0) of each trial's three points among n: the first combinations in order, or seeded random choices."""
+    if n < 3:
+        return np.zeros((0, 3), np.int64)
+    if seed is None:
+        return np.array(list(islice(combinations(range(n), 3), trials)), np.int64)
+    rng = np.random.default_rng(seed)
+    return np.array([rng.choice(n, size=3, replace=False) for _ in range(trials)], np.int64).reshape(-1, 3)
 
-    @F.arrow_udf("array<array<int>>")
-    def triples(sizes: pa.Array) -> pa.Array:
-        out = []
-        for n in sizes.to_pylist():
-            if n < 3:
-                out.append([])
-            elif seed is None:
-                out.append(list(map(list, islice(combinations(range(n), 3), trials))))
-            else:
-                rng = np.random.default_rng(seed)
-                out.append([rng.choice(n, size=3, replace=False).tolist() for _ in range(trials)])
-        return pa.array(out, pa.list_(pa.list_(pa.int32())))
 
-    return triples(n)
+def trial_rows(n: Column, trials: int, seed: int | None) -> Column:
+    """The rows (from 0) among n that any trial takes, each once."""
 
+    @F.arrow_udf("array<int>")
+    def rows(sizes: pa.Array) -> pa.Array:
+        return pa.array([np.unique(_triples(n, trials, seed)).tolist() for n in sizes.to_pylist()], pa.list_(pa.int32()))
+
+    return rows(n)
 
-def _through_three(trials: DataFrame) -> DataFrame:
-    """trials: job_id, trial, p (three structs x, y, u, v). The affine through the points; collinear trials leave."""
-    at = lambda i, f: F.get("p", F.lit(i))[f]
-    d = lambda i, f: at(i, f) - at(0, f)
-    det = d(1, "x") * d(2, "y") - d(2, "x") * d(1, "y")
-    size = F.greatest(*[F.abs(d(i, f)) for i in (1, 2) for f in "xy"])
-    rows = trials.withColumn("det", det).where(F.abs("det") > 1e-12 * size * size)
-    for t in "uv":
-        rows = rows.withColumns({f"{t}_line": (d(1, t) * d(2, "y") - d(2, t) * d(1, "y")) / F.col("det"), f"{t}_sample": (d(1, "x") * d(2, t) - d(2, "x") * d(1, t)) / F.col("det")})
-        rows = rows.withColumn(f"{t}_shift", at(0, t) - F.col(f"{t}_line") * at(0, "x") - F.col(f"{t}_sample") * at(0, "y"))
-    return rows.select("job_id", "trial", *_COEFFICIENTS)
+
+def _through_three(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """p: trials x 3 points x (x, y, u, v). The affines through the points, and the trials they are of: collinear ones have none."""
+    d1, d2 = (p[:, i] - p[:, 0] for i in (1, 2))
+    det = d1[:, 0] * d2[:, 1] - d2[:, 0] * d1[:, 1]
+    size = np.maximum(np.abs(d1[:, :2]).max(1, initial=0), np.abs(d2[:, :2]).max(1, initial=0))
+    trial = np.flatnonzero(np.abs(det) > 1e-12 * size * size)
+    d1, d2, det, at, fits = d1[trial], d2[trial], det[trial], p[trial, 0], []
+    for t in (2, 3):
+        a, b = (d1[:, t] * d2[:, 1] - d2[:, t] * d1[:, 1]) / det, (d1[:, 0] * d2[:, t] - d2[:, 0] * d1[:, t]) / det
+        fits += [a, b, at[:, t] - a * at[:, 0] - b * at[:, 1]]
+    return np.stack(fits, 1), trial
 
 
 #: Rows of a job that one task meets with the job's models.
 PART = 50_000
 
 
-def _inliers(rows: DataFrame, jobs: DataFrame, models: DataFrame, threshold: float) -> DataFrame:
-    """job_id, trial, inliers and their total residual: each part of a job's rows comes after the job's models in one sorted stream, and gives one row per trial."""
+def _inliers(rows: DataFrame, spots: DataFrame, threshold: float, trials: int, seed: int | None) -> DataFrame:
+    """spots: job_id, n, spots (the rows that trials take: at, x, y, u, v). job_id, trial, inliers, their total residual and the affine: each part of a job's rows comes after the
+    job's spots in one sorted stream, whose task makes the models. A job of one part gives its best trial alone, parts of larger ones a row per trial."""
     place = ("line", "sample", "ref_line", "ref_sample")
-    parts = jobs.select("job_id", F.ceil(F.col("n") / PART).alias("parts"))
-    none = lambda names, kind: {c: F.lit(None).cast(kind) for c in names}
-    own = models.join(parts, "job_id").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts").withColumns({"kind": F.lit(0), **none(place, "double")})
-    seen = rows.join(parts, "job_id").select("job_id", *place, F.pmod(F.xxhash64("match_id"), F.col("parts")).alias("part"), F.lit(1).alias("kind")).withColumns({"trial": F.lit(None).cast("int"), **none(_COEFFICIENTS, "double")})
-    both = own.unionByName(seen).select("job_id", "part", "kind", "trial", *_COEFFICIENTS, *place).repartition("job_id", "part").sortWithinPartitions("job_id", "part", "kind")
+    fields = ("at", "x", "y", "u", "v")
+    sizes = spots.select("job_id", "n", F.ceil(F.col("n") / PART).alias("parts"), *(F.col(f"spots.{f}").alias(f) for f in fields))
+    own = sizes.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).withColumns({"kind": F.lit(0), **{c: F.lit(None).cast("double") for c in place}})
+    seen = rows.join(sizes.select("job_id", "parts"), "job_id").select("job_id", *place, F.pmod(F.xxhash64("match_id"), F.col("parts")).alias("part"), F.lit(1).alias("kind"))
+    both = own.unionByName(seen, allowMissingColumns=True).select("job_id", "part", "kind", "n", "parts", *fields, *place).repartition("job_id", "part").sortWithinPartitions("job_id", "part", "kind")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, trial, fits, n, total, name = None, [], [], None, None, None
+        now, one, m, trial, n, total, out = None, True, None, None, None, None, []
 
         def ended():
-            if n is not None and len(n):
-                yield pa.record_batch([pa.array([name] * len(n), kind_of), pa.array(np.concatenate(trial).astype(np.int32)), pa.array(n), pa.array(total)], ["job_id", "trial", "inliers", "total"])
+            if n is None or not len(n):
+                return
+            best = np.lexsort((trial, total, -n))[:1] if one else np.arange(len(n))
+            out.append(([now[0]] * len(best), trial[best], n[best], total[best], m[best]))
+
+        def sent():
+            cells = [pa.array([j for o in out for j in o[0]], kind_of), pa.array(np.concatenate([o[1] for o in out]).astype(np.int32)), *(pa.array(np.concatenate([o[i] for o in out])) for i in (2, 3))]
+            fits = np.concatenate([o[4] for o in out])
+            out.clear()
+            return pa.record_batch([*cells, *(pa.array(fits[:, i]) for i in range(6))], ["job_id", "trial", "inliers", "total", *_COEFFICIENTS])
 
         for b in batches:
             kind_of = b.schema.field("job_id").type
             keys = list(zip(b.column("job_id").to_pylist(), b.column("part").to_pylist(), strict=True))
             kinds = b.column("kind").to_numpy()
             cuts = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1] or kinds[i] != kinds[i - 1]), len(keys)]
+            values = [b.column(c).to_numpy(zero_copy_only=False) for c in place]
             for i, j in zip(cuts, cuts[1:], strict=False):
                 if i == j:
                     continue
                 if keys[i] != now:
-                    yield from ended()
-                    now, name, trial, fits, n, total = keys[i], keys[i][0], [], [], None, None
-                part = b.slice(i, j - i)
+                    ended()
+                    now, m, n, total = keys[i], None, None, None
                 if kinds[i] == 0:
-                    trial.append(part.column("trial").to_numpy())
-                    fits.append(np.stack([part.column(c).to_numpy() for c in _COEFFICIENTS], 1))
+                    at, *xyuv = (b.column(c)[i].values.to_numpy(zero_copy_only=False) for c in fields)
+                    triples = _triples(b.column("n")[i].as_py(), trials, seed)
+                    order = np.argsort(at)
+                    m, trial = _through_three(np.stack(xyuv, 1)[order[np.searchsorted(at[order], triples)]])
+                    one = b.column("parts")[i].as_py() == 1
                     continue
-                if not fits:
+                if m is None:
                     continue
-                m = np.concatenate(fits)
                 if n is None:
                     n, total = np.zeros(len(m), np.int64), np.zeros(len(m))
-                x, y, u, v = (part.column(c).to_numpy(zero_copy_only=False) for c in place)
-                for s in range(0, len(x), 8192):
-                    a, c, p, q = (z[s : s + 8192, None] for z in (x, y, u, v))
+                for s in range(i, j, 8192):
+                    a, c, p, q = (z[s : min(s + 8192, j), None] for z in values)
                     off = np.hypot(m[:, 0] * a + m[:, 1] * c + m[:, 2] - p, m[:, 3] * a + m[:, 4] * c + m[:, 5] - q)
                     near = off <= threshold
                     n, total = n + near.sum(0), total + np.where(near, off, 0.0).sum(0)
-        yield from ended()
+            if out:
+                yield sent()
+        ended()
+        if out:
+            yield sent()
 
-    counted = both.mapInArrow(count, f"job_id {dict(rows.dtypes)['job_id']}, trial int, inliers long, total double")
-    return counted.where("inliers > 0").groupBy("job_id", "trial").agg(F.sum("inliers").alias("inliers"), F.sum("total").alias("total"))
+    counted = both.mapInArrow(count, f"job_id {dict(rows.dtypes)['job_id']}, trial int, inliers long, total double, " + ", ".join(f"{c} double" for c in _COEFFICIENTS))
+    return counted.groupBy("job_id", "trial").agg(F.sum("inliers").alias("inliers"), F.sum("total").alias("total"), *(F.first(c).alias(c) for c in _COEFFICIENTS))
 
 
 def robust_affine(rows: DataFrame, threshold: float, trials: int = 128, min_inliers: int = 3, seed: int | None = None) -> DataFrame:
@@ -296,22 +312,17 @@ def robust_affine(rows: DataFrame, threshold: float, trials: int = 128, min_inli
     rows = materialise(rows.select("job_id", "match_id", "ord", *[F.col(c).cast("double") for c in place.values()]))
     jobs = materialise(rows.groupBy("job_id").agg(F.count(F.lit(1)).alias("n")))
     ranked = rows.withColumn("at", F.row_number().over(w))
-    spot = F.struct("at", *[F.col(c).alias(n) for n, c in place.items()])
     if seed is None:  # the first combinations use none but a job's first rows
-        first = ranked.where(F.col("at") <= trials + 3).groupBy("job_id").agg(F.sort_array(F.collect_list(spot)).alias("a"))
-        three = trial_triples(F.least(F.col("n"), F.lit(trials + 3)).cast("int"), trials, None)
-        picks = jobs.join(first, "job_id").withColumn("three", three)
-        points = picks.select("job_id", F.posexplode(F.transform("three", lambda t: F.transform(t, lambda i: F.get("a", i)))).alias("trial", "p"))
+        first = ranked.where(F.col("at") <= trials + 3)
     else:
-        picks = jobs.select("job_id", F.posexplode(trial_triples(F.col("n").cast("int"), trials, seed)).alias("trial", "three")).select("job_id", "trial", F.posexplode("three").alias("k", "at"))
-        met = picks.join(ranked.withColumn("at", F.col("at") - 1), ["job_id", "at"])
-        points = met.groupBy("job_id", "trial").agg(F.sort_array(F.collect_list(F.struct("k", *[F.col(c).alias(n) for n, c in place.items()]))).alias("p"))  # three points each
-    models = materialise(_through_three(points))
+        picks = jobs.select("job_id", F.explode(trial_rows(F.col("n").cast("int"), trials, seed)).alias("at"))
+        first = ranked.join(picks.withColumn("at", F.col("at") + 1), ["job_id", "at"])
+    spot = F.struct((F.col("at") - 1).cast("long").alias("at"), *[F.col(c).alias(n) for n, c in place.items()])
+    spots = jobs.where("n >= 3").join(first.groupBy("job_id").agg(F.collect_list(spot).alias("spots")), "job_id")  # at most three rows a trial
     r = affine_residual(*map(F.col, place.values()))
-    scored = _inliers(rows, jobs, models, threshold)
-    none = models.select("job_id", "trial").join(scored, ["job_id", "trial"], "left").withColumn("inliers", F.coalesce("inliers", F.lit(0)))
-    best = none.groupBy("job_id").agg(F.min(F.struct((-F.col("inliers")).alias("less"), F.coalesce("total", F.lit(0.0)).alias("total"), "trial")).alias("b")).select("job_id", F.col("b.trial").alias("trial"), (-F.col("b.less")).alias("inliers"))
-    chosen = materialise(best.join(models, ["job_id", "trial"]))
+    scored = _inliers(rows, spots, threshold, trials, seed)
+    best = scored.groupBy("job_id").agg(F.min_by(F.struct("inliers", "trial", *_COEFFICIENTS), F.struct((-F.col("inliers")).alias("less"), "total", "trial")).alias("b"))
+    chosen = materialise(best.select("job_id", "b.*"))
     inside = rows.join(chosen.where(F.col("inliers") >= min_inliers), "job_id").withColumn("r", r)
     refit = affine_normal_fit(inside.where(F.col("r") <= threshold).select("job_id", *place.values()), ["job_id"]).drop("n")
     tried = chosen.select("job_id", "inliers", *[F.col(c).alias(f"t_{c}") for c in _COEFFICIENTS])
