@@ -2,37 +2,88 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-def patches(points: DataFrame, pixels: DataFrame, half: int, least_valid: float) -> tuple[DataFrame, DataFrame]:
-    """points: point_id, image_id, line, sample (fractional; the centre is rounded half to even). Gives a row per point with status (ok, out_of_bounds, too_few_valid) and
-    valid_fraction, and the pixels (point_id, dy, dx, value, valid) of the points that are ok. A window is met by an equi-join on its pixels."""
-    span = F.sequence(F.lit(-half), F.lit(half))
-    at = points.select("point_id", "image_id", F.bround("line").cast("long").alias("_l"), F.bround("sample").cast("long").alias("_s"))
-    wide = at.select("*", F.explode(span).alias("dy")).select("*", F.explode(span).alias("dx"))
-    wide = wide.withColumn("line", F.col("_l") + F.col("dy")).withColumn("sample", F.col("_s") + F.col("dx"))
-    met = wide.join(pixels.select("image_id", F.col("line").cast("long"), F.col("sample").cast("long"), "value", "valid"), ["image_id", "line", "sample"])
-    area = (2 * half + 1) ** 2
-    found = met.groupBy("point_id").agg(F.count(F.lit(1)).alias("_n"), F.count_if("valid").alias("_v"))
-    whole = F.coalesce(F.col("_n"), F.lit(0)) == area
-    share = F.col("_v") / F.lit(float(area))
+from veldspar.tables import materialise, sized
+
+
+#: Lines and samples of the blocks that windows are cut from.
+BLOCK = 32
+_PLACE = ["image_id", "_l", "_s"]
+
+
+def _placed(points: DataFrame) -> DataFrame:
+    return points.select("point_id", "image_id", F.bround("line").cast("long").alias("_l"), F.bround("sample").cast("long").alias("_s"))
+
+
+def _blocks(pixels: DataFrame, half: int) -> DataFrame:
+    """A row per block of an image (image_id, _bl, _bs): its pixels and those up to half around it as cells (value, valid) of the rectangle _l0.._l1, _s0.._s1 by line, then sample; null where there is no pixel."""
+    reach = lambda c: F.explode(F.sequence(F.floor((F.col(c) - half) / F.lit(float(BLOCK))).cast("long"), F.floor((F.col(c) + half) / F.lit(float(BLOCK))).cast("long")))
+    rows = pixels.select("image_id", F.col("line").cast("long").alias("line"), F.col("sample").cast("long").alias("sample"), "value", "valid")
+    rows = rows.select("*", reach("line").alias("_bl")).select("*", reach("sample").alias("_bs"))
+    held = rows.groupBy("image_id", "_bl", "_bs").agg(*[f(c).alias(n) for n, f, c in (("_l0", F.min, "line"), ("_l1", F.max, "line"), ("_s0", F.min, "sample"), ("_s1", F.max, "sample"))], F.sort_array(F.collect_list(F.struct("line", "sample", "value", "valid"))).alias("_c"))
+    width = F.col("_s1") - F.col("_s0") + 1
+    area = (F.col("_l1") - F.col("_l0") + 1) * width
+    at = F.transform("_c", lambda c: (c["line"] - F.col("_l0")) * width + c["sample"] - F.col("_s0"))
+    cells = F.transform("_c", lambda c: F.struct(c["value"].alias("value"), c["valid"].alias("valid")))
+    held = held.withColumns({"_at": at, "_c": cells})
+    holes = F.transform(F.sequence(F.lit(0).cast("long"), area - 1), lambda i: F.get("_c", (F.array_position("_at", i) - 1).cast("int")))
+    return held.withColumn("cells", F.when(F.size("_c") == area, F.col("_c")).otherwise(holes)).drop("_at", "_c")
+
+
+def _seen(placed: DataFrame, pixels: DataFrame, half: int, least_valid: float) -> DataFrame:
+    """Each distinct place of points (image_id, _l, _s) once, however many points it has: status, valid_fraction, and cells, the (2 half + 1)^2 cells (value, valid) around it by line, then sample (null
+    unless ok). A place meets the one block that holds its window, a row on each side."""
+    block = lambda c: F.floor(F.col(c) / F.lit(float(BLOCK))).cast("long")
+    places = placed.select(*_PLACE).distinct().withColumns({"_bl": block("_l"), "_bs": block("_s")})
+    met = places.join(_blocks(pixels, half).hint("merge"), ["image_id", "_bl", "_bs"], "left")
+    inside = (F.col("_l") - half >= F.col("_l0")) & (F.col("_l") + half <= F.col("_l1")) & (F.col("_s") - half >= F.col("_s0")) & (F.col("_s") + half <= F.col("_s1"))
+    start = lambda dy: ((F.col("_l") + dy - F.col("_l0")) * (F.col("_s1") - F.col("_s0") + 1) + F.col("_s") - half - F.col("_s0") + 1).cast("int")
+    side = 2 * half + 1
+    cut = F.when(inside, F.concat(*[F.slice("cells", F.when(inside, start(dy)).otherwise(1), side) for dy in range(-half, half + 1)]))
+    met = met.select(*_PLACE, cut.alias("cells"))
+    whole = F.coalesce(F.forall("cells", lambda c: c.isNotNull()), F.lit(False))
+    share = F.size(F.filter("cells", lambda c: c["valid"])) / F.lit(float(side * side))
     status = F.when(~whole, "out_of_bounds").when(share < least_valid, "too_few_valid").otherwise("ok")
-    judged = points.join(found, "point_id", "left").select("point_id", status.alias("status"), F.when(whole, share).alias("valid_fraction"))
-    return judged, met.join(judged.where("status = 'ok'").select("point_id"), "point_id", "left_semi").select("point_id", "dy", "dx", "value", "valid")
+    return met.select(*_PLACE, status.alias("status"), F.when(whole, share).alias("valid_fraction"), F.when(status == "ok", F.col("cells")).alias("cells"))
+
+
+def _of_places(placed: DataFrame, seen: DataFrame, how: str) -> DataFrame:
+    return placed.join(sized(materialise(seen)), _PLACE, how).drop(*_PLACE)
+
+
+def patches(points: DataFrame, pixels: DataFrame, half: int, least_valid: float, with_cells: bool = True) -> DataFrame:
+    """points: point_id, image_id, line, sample (fractional; the centre is rounded half to even). pixels: one row a pixel. Gives a row per point with status (ok, out_of_bounds, too_few_valid),
+    valid_fraction and, if asked, cells: the (value, valid) of the window by line, then sample, of the points that are ok."""
+    placed = _placed(points)
+    seen = _seen(placed, pixels, half, least_valid)
+    rows = _of_places(placed, seen if with_cells else seen.drop("cells"), "left")
+    return rows.withColumn("status", F.coalesce("status", F.lit("out_of_bounds")))  # a point without a place
+
+
+def texture(cells: Column, half: int) -> Column:
+    """Mean squared gradient of a patch's cells: central differences, one-sided at its edges."""
+    side = 2 * half + 1
+
+    def slope(i: Column, along: Column, step: int) -> Column:
+        value = lambda k: F.get(cells, k)["value"]
+        before, after = F.when(along > 0, value(i - step)), F.when(along < side - 1, value(i + step))
+        return F.when(before.isNull(), after - value(i)).when(after.isNull(), value(i) - before).otherwise((after - before) / 2)
 
+    def squared(i: Column) -> Column:
+        y, x = slope(i, F.floor(i / F.lit(side)), side), slope(i, i % side, 1)
+        return y * y + x * x
 
-def texture(patch_pixels: DataFrame) -> DataFrame:
-    """Mean squared gradient of each patch: central differences, one-sided at its edges."""
+    found = F.filter(F.transform(F.sequence(F.lit(0), F.lit(side * side - 1)), squared), lambda v: v.isNotNull())
+    return F.try_divide(F.aggregate(found, F.lit(0.0), lambda s, v: s + v), F.size(found))
 
-    def slope(axis: str, other: str) -> Column:
-        w = Window.partitionBy("point_id", other).orderBy(axis)
-        before, after = F.lag("value").over(w), F.lead("value").over(w)
-        return F.when(before.isNull(), after - F.col("value")).when(after.isNull(), F.col("value") - before).otherwise((after - before) / 2)
 
-    rows = patch_pixels.withColumn("_y", slope("dy", "dx")).withColumn("_x", slope("dx", "dy"))
-    return rows.groupBy("point_id").agg(F.avg(F.col("_y") * F.col("_y") + F.col("_x") * F.col("_x")).alias("texture"))
+def textures(points: DataFrame, pixels: DataFrame, half: int, least_valid: float) -> DataFrame:
+    """point_id, texture of the points (as of patches) whose patch is ok; reckoned once a place."""
+    placed = _placed(points)
+    seen = _seen(placed, pixels, half, least_valid).where("status = 'ok'").select(*_PLACE, texture(F.col("cells"), half).alias("texture"))
+    return _of_places(placed, seen, "inner")
 
 
 def bilinear_samples(points: DataFrame, pixels: DataFrame) -> DataFrame:

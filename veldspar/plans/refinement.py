@@ -22,7 +22,7 @@ _PATCH = f"""WITH {_DENSE}, {_POINTS_SQL}, c AS (SELECT point_id, image_id, roun
 
 @query(f"{_PATCH} SELECT point_id, status, round(f, 6) AS valid_fraction FROM j")
 def patches_extracted(spark, d):
-    rows, _ = refine.patches(_points(spark, d), dense_pixels(spark, d), 2, 0.7)
+    rows = refine.patches(_points(spark, d), dense_pixels(spark, d), 2, 0.7, with_cells=False)
     return rows.select("point_id", "status", _r(F.col("valid_fraction")).alias("valid_fraction"))
 
 
@@ -31,8 +31,7 @@ def patches_extracted(spark, d):
         JOIN q lo_x ON lo_x.point_id = a.point_id AND lo_x.dy = a.dy AND lo_x.dx = greatest(a.dx - 1, -2) JOIN q hi_x ON hi_x.point_id = a.point_id AND hi_x.dy = a.dy AND hi_x.dx = least(a.dx + 1, 2))
     SELECT point_id, round(avg(gy * gy + gx * gx), 8) AS texture FROM g GROUP BY 1""")
 def patch_texture(spark, d):
-    _, pixels = refine.patches(_points(spark, d), dense_pixels(spark, d), 2, 0.7)
-    return refine.texture(pixels).select("point_id", _r(F.col("texture"), 8).alias("texture"))
+    return refine.textures(_points(spark, d), dense_pixels(spark, d), 2, 0.7).select("point_id", _r(F.col("texture"), 8).alias("texture"))
 
 
 @query(f"""WITH {_DENSE}, {_POINTS_SQL}, c AS (SELECT point_id, pt.image_id, least(greatest(line - 0.25, 0), h - 1) AS y, least(greatest(sample - 0.6, 0), w - 1) AS x, h, w FROM pt JOIN h ON h.image_id = pt.image_id), f AS (SELECT *, floor(y)::BIGINT AS y0, floor(x)::BIGINT AS x0, y - floor(y) AS fy, x - floor(x) AS fx FROM c)
