@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 
 import pytest
@@ -47,3 +48,22 @@ def test_patches_and_texture(spark):
             slopes = [(((v[high(y)][x] - v[low(y)][x]) / (high(y) - low(y))) ** 2 + ((v[y][high(x)] - v[y][low(x)]) / (high(x) - low(x))) ** 2) for y in range(5) for x in range(5)]
             assert textures[n] == pytest.approx(sum(slopes) / 25)
     assert seen == {"out_of_bounds", "too_few_valid", "ok"}
+
+
+def test_bilinear_samples(spark):
+    rng = random.Random(6)
+    image = {k: v for k, v in _image(rng).items() if k[0] == 1}
+    pixels, points, table = _tables(spark, rng, image)
+    points = [p for p in points if p[2] is not None]
+    rows = refine.bilinear_samples(table.where("line is not null"), pixels)
+    assert "Generate" not in rows._jdf.queryExecution().executedPlan().toString()  # a point stays one row
+    got = {r["point_id"]: r["value"] for r in rows.collect()}
+    assert set(got) == {p[0] for p in points if p[1] == 1}
+    for n, i, line, sample in points:
+        if i == 1:
+            y, x = min(max(line, 0), 69), min(max(sample, 0), 44)
+            y0, x0 = math.floor(y), math.floor(x)
+            at = lambda a, b: image[1, min(a, 69), min(b, 44)][0]
+            fy, fx = y - y0, x - x0
+            want = (1 - fy) * ((1 - fx) * at(y0, x0) + fx * at(y0, x0 + 1)) + fy * ((1 - fx) * at(y0 + 1, x0) + fx * at(y0 + 1, x0 + 1))
+            assert got[n] == pytest.approx(want)

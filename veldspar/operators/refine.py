@@ -87,17 +87,29 @@ def textures(points: DataFrame, pixels: DataFrame, half: int, least_valid: float
 
 
 def bilinear_samples(points: DataFrame, pixels: DataFrame) -> DataFrame:
-    """Value of the image at each point (point_id, image_id, line, sample), clamped to its edges: a weighted sum over four pixels met by an equi-join."""
+    """Value of the image at each point (point_id, image_id, line, sample), clamped to its edges: a weighted sum over four pixels. Each pixel's row holds its neighbours below and to the right, so that a point meets one row."""
     size = pixels.groupBy("image_id").agg(F.max("line").cast("double").alias("_h"), F.max("sample").cast("double").alias("_w"))
-    rows = points.join(size, "image_id")
+    corners = F.array(*[F.struct(F.lit(k).alias("k"), (F.col("line").cast("long") - k // 2).alias("l"), (F.col("sample").cast("long") - k % 2).alias("s")) for k in range(4)])
+    four = pixels.select("image_id", "value", F.explode(corners).alias("c")).groupBy("image_id", F.col("c.l").alias("_l"), F.col("c.s").alias("_s"))
+    four = four.agg(*[F.sum(F.when(F.col("c.k") == k, F.col("value"))).alias(f"_v{k}") for k in range(4)], *[F.bool_or(F.col("c.k") == k).alias(f"_p{k}") for k in range(4)])
+    corner = F.array(*[F.struct(F.col(f"_v{k}").alias("value"), F.col(f"_p{k}").alias("present")) for k in range(4)])
+    rows = points.join(sized(size), "image_id")
     y, x = (F.least(F.greatest(F.col(c), F.lit(0.0)), F.col(e)) for c, e in (("line", "_h"), ("sample", "_w")))
-    rows = rows.select("point_id", "image_id", y.alias("_y"), x.alias("_x"), "_h", "_w")
-    part = lambda c: F.col(c) - F.floor(c)
-    ends = lambda c, e: F.array(F.struct(F.floor(c).cast("long").alias("i"), (1 - part(c)).alias("w")), F.struct(F.least(F.floor(c) + 1, F.col(e).cast("long")).cast("long").alias("i"), part(c).alias("w")))
-    four = rows.select("point_id", "image_id", F.explode(ends("_y", "_h")).alias("a"), "_x", "_w").select("point_id", "image_id", "a", F.explode(ends("_x", "_w")).alias("b"))
-    four = four.select("point_id", "image_id", F.col("a.i").alias("line"), F.col("b.i").alias("sample"), (F.col("a.w") * F.col("b.w")).alias("w"))
-    met = four.join(pixels.select("image_id", F.col("line").cast("long"), F.col("sample").cast("long"), "value"), ["image_id", "line", "sample"])
-    return met.groupBy("point_id").agg(F.sum(F.col("w") * F.col("value")).alias("value"))
+    rows = rows.select("point_id", "image_id", y.alias("_y"), x.alias("_x"), (F.floor(y) + 1 > F.col("_h")).alias("_low"), (F.floor(x) + 1 > F.col("_w")).alias("_right"), F.floor(y).cast("long").alias("_l"), F.floor(x).cast("long").alias("_s"))
+    met = rows.join(sized(materialise(four)), ["image_id", "_l", "_s"])
+    fy, fx = F.col("_y") - F.floor("_y"), F.col("_x") - F.floor("_x")
+
+    total, there, known = F.lit(0.0), F.lit(False), F.lit(False)
+    for k, w in enumerate(((1 - fy) * (1 - fx), (1 - fy) * fx, fy * (1 - fx), fy * fx)):
+        of = F.lit(k)  # a corner beyond the edge is another one of the four
+        if k > 1:
+            of = F.when(F.col("_low"), of - 2).otherwise(of)
+        if k % 2:
+            of = F.when(F.col("_right"), of - 1).otherwise(of)
+        own = F.get(corner, of)
+        total = total + F.coalesce(w * own["value"], F.lit(0.0))
+        there, known = there | own["present"], known | own["value"].isNotNull()
+    return met.where(there).select("point_id", F.when(known, total).alias("value"))
 
 
 #: Nanometres of a unit of length.
