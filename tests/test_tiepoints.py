@@ -102,3 +102,18 @@ def test_a_job_of_one_part_gives_its_best_trial_alone(spark):
     spots = df.selectExpr("job_id", "struct(cast(line AS long) AS at, line AS x, sample AS y, ref_line AS u, ref_sample AS v) AS s").groupBy("job_id").agg({"s": "collect_list"}).toDF("job_id", "spots").selectExpr("job_id", "8L AS n", "spots")
     got = tiepoints._inliers(df, spots, 0.5, 30, 7).collect()
     assert len(got) == 2 and all(r["inliers"] == 7 and abs(r["u_line"] - 1) < 1e-9 for r in got)
+
+
+def test_pairs_within_a_radius_from_one_shuffle_of_the_rows(spark):
+    rng = random.Random(9)
+    rows = [(rng.randrange(2), f"m{i:03d}", rng.uniform(-50, 50), rng.uniform(-50, 50), 1.0) for i in range(200)]
+    rows += [(3, f"g{y}:{x}", 5.0 * y, 5.0 * x, 1.0) for y in range(-6, 7) for x in range(-6, 7)]  # on the corners of cells, exactly a radius apart
+    rows += [(4, "n1", None, 1.0, 1.0), (4, "n2", 1.0, 1.0, 1.0)]
+    want = {(a[0], a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and a[1] != b[1] and None not in (a[2], b[2]) and math.hypot(a[2] - b[2], a[3] - b[3]) <= 5}
+    df = spark.createDataFrame(rows, "job_id int, match_id string, line double, sample double, score double").repartition(3)
+    pairs = tiepoints.within(df, 5.0)
+    found = [(r["job_id"], r["a_match_id"], r["b_match_id"]) for r in pairs.collect()]
+    assert len(found) == len(set(found)) and set(found) == want
+    assert "ReusedExchange" in pairs._jdf.queryExecution().executedPlan().toString()
+    once = [(r["job_id"], *sorted((r["a_match_id"], r["b_match_id"]))) for r in tiepoints.within(df, 5.0, both_ways=False).collect()]
+    assert len(once) == len(set(once)) == len(want) / 2

@@ -17,19 +17,24 @@ from veldspar.operators.components import components
 from veldspar.tables import drop_tables, materialise, recorded, sized
 
 
+#: Radii that a cell of a spatial join is wide.
+CELL = 4.0
+
+
 def within(rows: DataFrame, radius: float, line: str = "line", sample: str = "sample", both_ways: bool = True, carry: tuple[str, ...] = ("score",)) -> DataFrame:
-    """Pairs of rows of a job within radius, with the columns to carry: an equi-join on hash cells of the radius.
+    """Pairs of rows of a job within radius, with the columns to carry: an equi-join on cells of CELL radii.
 
-    Each unordered pair is met once (a row looks in its own cell and four of the eight around it) and mirrored if both ways are asked."""
-    cell = lambda c: F.floor(F.col(c) / F.lit(radius)).cast("long")
-    near = F.array(*[F.struct(F.lit(i).cast("long").alias("i"), F.lit(j).cast("long").alias("j")) for i, j in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))])
+    A row goes to the cells that the square of one radius around it touches, hardly more than one; two rows within radius share a cell. Both sides of the join are the same rows, shuffled once, and a pair
+    counts in the first of the cells that both are in alone. Each unordered pair is met once, and mirrored if both ways are asked."""
     cols = ("match_id", line, sample, *carry)
-    left = rows.select("job_id", *[F.col(c).alias(f"a_{c}") for c in cols], cell(line).alias("ci"), cell(sample).alias("cj"), F.explode(near).alias("d"))
-    left = left.withColumn("same", (F.col("d.i") == 0) & (F.col("d.j") == 0)).withColumn("ci", F.col("ci") + F.col("d.i")).withColumn("cj", F.col("cj") + F.col("d.j")).drop("d")
-    right = rows.select("job_id", *[F.col(c).alias(f"b_{c}") for c in cols], cell(line).alias("ci"), cell(sample).alias("cj"))
+    cell = lambda c, off: F.floor((F.col(c) + F.lit(off * 0.5000001 * radius)) / F.lit(CELL * radius)).cast("long")
+    held = rows.select("job_id", *cols, cell(line, -1).alias("li"), cell(sample, -1).alias("lj"), F.explode(F.sequence(cell(line, -1), cell(line, 1))).alias("ci"))
+    held = held.select("*", F.explode(F.sequence(cell(sample, -1), cell(sample, 1))).alias("cj"))
+    side = lambda s: held.select("job_id", "ci", "cj", *[F.col(c).alias(f"{s}_{c}") for c in (*cols, "li", "lj")])
     gap = F.hypot(F.col(f"a_{line}") - F.col(f"b_{line}"), F.col(f"a_{sample}") - F.col(f"b_{sample}"))
-    once = F.when(F.col("same"), F.col("a_match_id") < F.col("b_match_id")).otherwise(F.col("a_match_id") != F.col("b_match_id"))
-    pairs = left.join(right, ["job_id", "ci", "cj"]).where(once & (gap <= radius)).drop("ci", "cj", "same")
+    first = (F.greatest("a_li", "b_li") == F.col("ci")) & (F.greatest("a_lj", "b_lj") == F.col("cj"))
+    pairs = side("a").hint("merge").join(side("b"), ["job_id", "ci", "cj"]).where((F.col("a_match_id") < F.col("b_match_id")) & first & (gap <= radius))
+    pairs = pairs.select("job_id", *[f"{s}_{c}" for s in "ab" for c in cols])
     if not both_ways:
         return pairs
     sides = F.array(*[F.struct(*[F.col(f"{s}_{c}").alias(f"{o}_{c}") for s, o in zip(order, "ab", strict=True) for c in cols]) for order in ("ab", "ba")])
@@ -39,13 +44,14 @@ def within(rows: DataFrame, radius: float, line: str = "line", sample: str = "sa
 def remove_duplicates(rows: DataFrame, radius: float) -> DataFrame:
     """Transitive clusters within radius; the survivor has the highest score, then the least id. A chain of any length is one cluster."""
     name = lambda c: F.struct("job_id", F.col(c).alias("match_id"))
-    roots = components(within(rows, radius, both_ways=False).select(name("a_match_id").alias("u"), name("b_match_id").alias("v")))
-    named = roots.select(F.col("node.job_id").alias("job_id"), F.col("node.match_id").alias("match_id"), F.col("root.match_id").alias("_label"))
-    nodes = named.unionByName(named.select("job_id", F.col("_label").alias("match_id"), "_label").distinct())  # a cluster's label is a row of it
-    met = materialise(rows.select("job_id", "match_id", "score").join(nodes, ["job_id", "match_id"]))
-    best = met.groupBy("job_id", "_label").agg(F.min_by("match_id", F.struct((-F.col("score")).alias("s"), "match_id")).alias("_best"))
-    lost = met.join(best, ["job_id", "_label"]).where("match_id != _best").select("job_id", "match_id")
-    return rows.join(lost, ["job_id", "match_id"], "left_anti")
+    pairs = materialise(within(rows, radius, both_ways=False).select(name("a_match_id").alias("u"), name("b_match_id").alias("v"), F.col("a_score").alias("us"), F.col("b_score").alias("vs")))
+    roots = components(pairs.select("u", "v"))
+    scored = pairs.select(F.explode(F.array(F.struct("u", "us"), F.struct(F.col("v").alias("u"), F.col("vs").alias("us")))).alias("n"))  # only rows with a neighbour go on
+    scored = scored.select(F.col("n.u").alias("node"), F.col("n.us").alias("score")).groupBy("node").agg(F.max("score").alias("score"))
+    met = materialise(scored.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "score"))
+    best = met.groupBy("root").agg(F.min_by("node", F.struct((-F.col("score")).alias("s"), F.col("node.match_id").alias("m"))).alias("_best"))
+    lost = materialise(met.join(best, "root").where("node != _best").select("node.job_id", "node.match_id"))
+    return rows.join(sized(lost), ["job_id", "match_id"], "left_anti")
 
 
 #: Rounds of a greedy pass before what is left is parted into components, and pairs of a component that one task decides.
