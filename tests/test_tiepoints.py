@@ -117,3 +117,26 @@ def test_pairs_within_a_radius_from_one_shuffle_of_the_rows(spark):
     assert "ReusedExchange" in pairs._jdf.queryExecution().executedPlan().toString()
     once = [(r["job_id"], *sorted((r["a_match_id"], r["b_match_id"]))) for r in tiepoints.within(df, 5.0, both_ways=False).collect()]
     assert len(once) == len(set(once)) == len(want) / 2
+
+
+def test_round_trips_whose_forward_rows_stay_in_one_cell(spark):
+    rng = random.Random(12)
+    spot = lambda: rng.choice((rng.uniform(-60, 60), 24.0 * rng.randrange(-2, 3)))  # noqa: E731  within cells and on their edges
+    forward = [(rng.randrange(2), f"m{i:03d}", spot(), spot(), spot(), spot()) for i in range(200)]
+    reverse = []
+    for i, f in enumerate(forward[:150]):
+        reverse.append((f[0], f"r{i}", f[4] + rng.choice((-1.5, 0, 1.5, 0.9)), f[5] + rng.choice((0, 0, 1.1)), f[2] + rng.uniform(-1, 1), f[3] + rng.uniform(-1, 1)))
+    forward += [forward[0], (0, "none", 1.0, 1.0, None, 2.0)]  # a row twice, a row without a place
+    f = spark.createDataFrame(forward, "job_id int, match_id string, line double, sample double, ref_line double, ref_sample double")
+    r = spark.createDataFrame(reverse, "job_id int, rev_id string, ref_line double, ref_sample double, line double, sample double")
+    want = []
+    for x in forward:
+        near = [(math.hypot(x[4] - y[2], x[5] - y[3]), math.hypot(x[2] - y[4], x[3] - y[5]), y[1]) for y in reverse if x[4] is not None and x[0] == y[0]]
+        near = [n for n in near if n[0] <= 1.5]
+        want.append((*x, min(near)[1] if near else None, None if near and min(near)[1] <= 1 else "round_trip_exceeded" if near else "no_reverse_match"))
+    rows = tiepoints.verify_forward_backward(f, r, 1.5, 1.0, "reject")
+    key = lambda x: (x[0], x[1])
+    got = sorted((tuple(x) for x in rows.collect()), key=key)
+    assert [(*x[:6], x[7]) for x in got] == [(*x[:6], x[7]) for x in sorted(want, key=key)]
+    assert [x[6] for x in got] == pytest.approx([x[6] for x in sorted(want, key=key)])
+    assert rows._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("Exchange hash") == 2  # each side is shuffled once

@@ -164,17 +164,19 @@ def verify_forward_backward(forward: DataFrame, reverse: DataFrame, tolerance: f
 
     The reverse match nearest to the forward's reference point (then by round trip, then id) gives the round-trip error. "annotate"
     keeps rows and fills the error where it is small enough; "reject" adds a reason to misses and excesses."""
-    # cells are twice as wide as the tolerance: what lies within it of a place is in at most two cells of each axis
-    cell = lambda x: F.floor(x / F.lit(2.0 * tolerance)).cast("long")
-    reach = lambda c: F.explode(F.array_distinct(F.array(cell(F.col(c) - tolerance), cell(F.col(c) + tolerance))))
-    left = forward.select("job_id", "match_id", "line", "sample", "ref_line", "ref_sample", reach("ref_line").alias("ci"))
-    left = left.select("*", reach("ref_sample").alias("cj"))
-    right = reverse.select("job_id", "rev_id", *[F.col(c).alias(f"r_{c}") for c in ("ref_line", "ref_sample", "line", "sample")], cell(F.col("ref_line")).alias("ci"), cell(F.col("ref_sample")).alias("cj"))
-    both = left.join(right, ["job_id", "ci", "cj"])
-    both = both.withColumn("anchor", F.hypot(F.col("ref_line") - F.col("r_ref_line"), F.col("ref_sample") - F.col("r_ref_sample"))).where(F.col("anchor") <= tolerance)
-    both = both.withColumn("trip", F.hypot(F.col("line") - F.col("r_line"), F.col("sample") - F.col("r_sample")))
-    best = both.groupBy("job_id", "match_id").agg(F.min(F.struct("anchor", "trip", "rev_id")).alias("m"))
-    out = forward.join(best, ["job_id", "match_id"], "left")
+    # a forward row stays whole in its own cell; reverse rows go to the cells (sixteen tolerances wide) that they reach, hardly more than one; all steps share the partitioning by cell
+    cell = lambda x: F.floor(x / F.lit(16.0 * tolerance)).cast("long")
+    reach = lambda c: F.explode(F.sequence(cell(F.col(c) - 1.0000001 * tolerance), cell(F.col(c) + 1.0000001 * tolerance)))
+    at = ["job_id", "_ci", "_cj"]
+    left = forward.select("job_id", "match_id", F.struct(*(F.col(f"`{c}`") for c in forward.columns)).alias("_f"), cell(F.col("ref_line")).alias("_ci"), cell(F.col("ref_sample")).alias("_cj")).repartition(*at)
+    left = left.withColumn("_nth", F.row_number().over(Window.partitionBy(*at, "match_id").orderBy("match_id")))  # of rows that share an id
+    right = reverse.select("job_id", "rev_id", *[F.col(c).alias(f"_r_{c}") for c in ("ref_line", "ref_sample", "line", "sample")], reach("ref_line").alias("_ci")).select("*", reach("_r_ref_sample").alias("_cj"))
+    gap = lambda line, sample: F.hypot(F.col(f"_f.{line}") - F.col(f"_r_{line}"), F.col(f"_f.{sample}") - F.col(f"_r_{sample}"))
+    anchor = gap("ref_line", "ref_sample")
+    both = left.join(right.withColumnsRenamed({c: f"_r{c}" for c in at}), [F.col(c) == F.col(f"_r{c}") for c in at] + [anchor <= tolerance], "left")
+    m = F.struct(anchor.alias("anchor"), gap("line", "sample").alias("trip"), F.col("rev_id"))
+    best = both.groupBy(*at, "match_id", "_nth").agg(F.first("_f").alias("_f"), F.min(F.when(F.col("_rjob_id").isNotNull(), m)).alias("m"))
+    out = best.select(*[F.col(f"_f.`{c}`").alias(c) for c in forward.columns], "m")
     fine = F.col("m.trip") <= most
     if mode == "annotate":
         return out.withColumn("forward_backward_error_px", F.when(fine, F.col("m.trip"))).drop("m")
