@@ -188,3 +188,13 @@ def test_terrain_of_many_sites_against_a_search(spark):
         fit = [(kinds.index(k), n, name) for b, n, name, k, role, lo, hi in assets if lat is not None and b == bundle and role == "terrain" and lo <= lat <= hi and (k in kinds[1:3] or (k == "sldem2015" and abs(lat) <= 60))]
         assert got[site] == (min(fit)[2] if fit else None)
     assert len(got) == len(sites)
+
+
+def test_inputs_of_fits(spark):
+    """Repeated inputs, roles against the manifest, products listed twice or not at all; no last pass over all rows."""
+    inputs = spark.createDataFrame([(1, 1, "development"), (1, 1, "validation"), (1, 2, "development"), (1, 3, "held_out_test"), (1, 4, "validation"), (2, 5, "development"), (2, 6, None)], "fit_id long, product_id long, split_role string")
+    products = spark.createDataFrame([(1, "development"), (2, "development"), (2, "validation"), (3, "held_out_test"), (4, "development"), (6, None)], "product_id long, split_role string")
+    rows = governance.fit_violations(inputs, products)
+    want = [(1, 1, "repeated_input"), (1, 2, "role_differs_from_manifest"), (1, 3, "split_not_for_fitting"), (1, 4, "role_differs_from_manifest"), (2, 5, "role_differs_from_manifest"), (2, 6, "role_differs_from_manifest")]
+    assert sorted(tuple(r) for r in rows.collect()) == want
+    assert "Window" not in rows._jdf.queryExecution().executedPlan().toString()

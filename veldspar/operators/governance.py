@@ -143,11 +143,15 @@ def checkpoint_rules(records: DataFrame) -> DataFrame:
 def fit_violations(inputs: DataFrame, products: DataFrame, splits: tuple[str, ...] = FIT_SPLITS) -> DataFrame:
     """inputs: fit_id, product_id, split_role. products: product_id, split_role of the manifest. fit_id, product_id, rule of inputs that are repeated, stated with another role than
     the manifest's, or from a split that parameters may not be fitted on."""
-    n = F.count(F.lit(1)).over(Window.partitionBy("fit_id", "product_id"))
-    own = products.select("product_id", F.col("split_role").alias("_role"))
-    rows = inputs.withColumn("_n", n).join(own, "product_id", "left")
-    rule = F.when(F.col("_n") > 1, "repeated_input").when(~F.coalesce(F.col("_role") == F.col("split_role"), F.lit(False)), "role_differs_from_manifest").when(~F.col("_role").isin(*splits), "split_not_for_fitting")
-    return rows.withColumn("rule", rule).where("rule IS NOT NULL").select("fit_id", "product_id", "rule").distinct()
+    one = inputs.groupBy("fit_id", "product_id").agg(F.count(F.lit(1)).alias("_n"), F.max("split_role").alias("split_role"))  # a row for each input; the role counts only of one that isn't repeated
+    own = products.groupBy("product_id").agg(F.collect_set(F.struct(F.col("split_role").alias("role"))).alias("_roles"))  # those of a product that is listed twice are all held against it
+    unlisted = F.array(F.struct(F.lit(None).cast("string").alias("role")))
+
+    def judged(r: Column) -> Column:
+        return F.when(F.col("_n") > 1, "repeated_input").when(~F.coalesce(r["role"] == F.col("split_role"), F.lit(False)), "role_differs_from_manifest").when(~r["role"].isin(*splits), "split_not_for_fitting")
+
+    rules = F.array_compact(F.array_distinct(F.transform(F.coalesce("_roles", unlisted), judged)))
+    return one.join(own, "product_id", "left").select("fit_id", "product_id", F.explode(rules).alias("rule"))
 
 
 def claim_violations(claims: DataFrame, reports: DataFrame, checkpoints: DataFrame, metrics: DataFrame, manifests: DataFrame) -> DataFrame:
