@@ -198,3 +198,12 @@ def test_inputs_of_fits(spark):
     want = [(1, 1, "repeated_input"), (1, 2, "role_differs_from_manifest"), (1, 3, "split_not_for_fitting"), (1, 4, "role_differs_from_manifest"), (2, 5, "role_differs_from_manifest"), (2, 6, "role_differs_from_manifest")]
     assert sorted(tuple(r) for r in rows.collect()) == want
     assert "Window" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_scores_of_images_leave_pixels_where_they_are(spark):
+    pixels = spark.createDataFrame([(i, y, x, float(y * x % 7 + i), (y + x) % 5 > 0) for i in (1, 2) for y in range(6) for x in range(6)], "image_id long, line long, sample long, value double, valid boolean")
+    rows = raster.z_score(pixels, "value", F.col("valid"), "z")
+    assert "SortMergeJoin" not in rows._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0] and "BroadcastHashJoin" in rows._jdf.queryExecution().executedPlan().toString()
+    for i in (1, 2):
+        own = [r["z"] for r in rows.where(f"image_id = {i} and valid").collect()]
+        assert abs(sum(own)) < 1e-9 and abs(sum(v * v for v in own) / len(own) - 1) < 1e-9

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veldspar.tables import materialise, sized
+
 
 def downsample_mask(pixels: DataFrame, factor: int) -> DataFrame:
     """A block is valid if all its pixels are."""
@@ -198,11 +200,11 @@ def shadows(pixels: DataFrame, **how) -> DataFrame:
 
 
 def z_score(pixels: DataFrame, value: str, ok: Column, name: str) -> DataFrame:
-    """Adds a column of masked z-scores per image; 0 where not ok, and for images without spread."""
+    """Adds a column of masked z-scores per image; 0 where not ok, and for images without spread. A row an image goes to the pixels, which stay where they are."""
     v = F.when(ok, F.col(value))
-    stats = pixels.groupBy("image_id").agg(F.avg(v).alias("_m"), F.stddev_pop(v).alias("_d"))
+    stats = materialise(pixels.groupBy("image_id").agg(F.avg(v).alias("_m"), F.stddev_pop(v).alias("_d")))
     z = F.when(ok & (F.col("_d") > EPS), F.try_divide(F.col(value) - F.col("_m"), F.col("_d"))).otherwise(0.0)
-    return pixels.join(stats, "image_id", "left").withColumn(name, F.coalesce(z, F.lit(0.0))).drop("_m", "_d")
+    return pixels.join(sized(stats), "image_id", "left").withColumn(name, F.coalesce(z, F.lit(0.0))).drop("_m", "_d")
 
 
 def derivative(pixels: DataFrame, value: str, axis: str, name: str) -> DataFrame:
@@ -227,14 +229,15 @@ def box_mean(pixels: DataFrame, value: str, name: str, radius: int = 1) -> DataF
 
 
 def learned_channels(pixels: DataFrame) -> DataFrame:
-    """The fixed channels in order: normalised, d_line, d_sample, magnitude, contrast; 0 where a pixel isn't valid."""
-    rows = z_score(pixels, "value", F.col("valid"), "normalised")
+    """The fixed channels in order: normalised, d_line, d_sample, magnitude, contrast; 0 where a pixel isn't valid. What a score is taken of is a table, so that
+    no step is made twice and a task sorts a few columns of pixels."""
+    rows = z_score(materialise(pixels), "value", F.col("valid"), "normalised")
     for axis in ("line", "sample"):
-        rows = derivative(rows, "normalised", axis, f"_{axis}")
+        rows = materialise(derivative(rows, "normalised", axis, f"_{axis}"))
         rows = z_score(rows, f"_{axis}", F.col(f"_{axis}_ok"), f"d_{axis}")
     rows = rows.withColumn("_mag", F.hypot("d_line", "d_sample"))
     rows = z_score(rows, "_mag", F.col("_line_ok") & F.col("_sample_ok"), "magnitude")
-    rows = box_mean(rows, "normalised", "_mean").withColumn("_off", F.col("normalised") - F.col("_mean"))
+    rows = materialise(box_mean(rows, "normalised", "_mean").withColumn("_off", F.col("normalised") - F.col("_mean")))
     rows = z_score(rows, "_off", F.col("valid"), "contrast")
     names = ["normalised", "d_line", "d_sample", "magnitude", "contrast"]
     return rows.select(*pixels.columns, *[F.when(F.col("valid"), F.col(c)).otherwise(0.0).alias(c) for c in names])
