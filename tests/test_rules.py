@@ -207,3 +207,12 @@ def test_scores_of_images_leave_pixels_where_they_are(spark):
     for i in (1, 2):
         own = [r["z"] for r in rows.where(f"image_id = {i} and valid").collect()]
         assert abs(sum(own)) < 1e-9 and abs(sum(v * v for v in own) / len(own) - 1) < 1e-9
+
+
+def test_overlap_reckons_its_areas_once(spark):
+    """The plan of an overlap of given outlines names each of them a few times, not once for every use of an area."""
+    box = "array(named_struct('x', 0D, 'y', 0D), named_struct('x', 4D, 'y', 0D), named_struct('x', 4D, 'y', 4D), named_struct('x', 0D, 'y', 4D))"
+    df = spark.sql(f"SELECT {box} AS a, transform({box}, p -> named_struct('x', p.x + 1D, 'y', p.y + s)) AS b FROM VALUES (1D), (5D) AS t(s)")
+    rows = df.select(routes.overlap_share(F.col("a"), F.col("b")).alias("share"))
+    assert [r["share"] for r in rows.collect()] == [0.5625, 0.0]
+    assert str(routes.overlap_share(F.col("a"), F.col("b"))).count("signum") <= 2

@@ -46,30 +46,42 @@ def is_convex(ring: Column) -> Column:
 def overlap_share(first: Column, second: Column) -> Column:
     """Share of the first outline's area that the second covers; both are arrays of structs (x, y). 0 for outlines without area or not convex.
 
-    The common region of convex outlines has for corners the corners of each that lie in the other, and the crossings of their edges; sorted around their middle they are a ring."""
-    area_a, area_b = signed_area(first), signed_area(second)
+    The common region of convex outlines has for corners the corners of each that lie in the other, and the crossings of their edges; sorted around their middle they are a ring.
+    Edges, areas and the middle are bound to names of an array of one, so that no loop reckons them anew."""
+    once = lambda c, f: F.transform(F.array(c), f)[0]
+    outline = lambda ring: F.struct(ring.alias("ring"), _pairs(ring).alias("edges"), signed_area(ring).alias("area"))
+    sided = lambda o: F.struct(o["ring"].alias("ring"), o["edges"].alias("edges"), o["area"].alias("area"), F.signum(o["area"]).alias("sign"))
 
-    def within(points: Column, ring: Column, area: Column) -> Column:
-        return F.filter(points, lambda p: F.forall(_pairs(ring), lambda e: F.signum(area) * _cross(e["a"], e["b"], p) >= 0))
+    def within(points: Column, o: Column) -> Column:
+        return F.filter(points, lambda p: F.forall(o["edges"], lambda e: o["sign"] * _cross(e["a"], e["b"], p) >= 0))
 
     def crossing(e: Column, f: Column) -> Column:
         dx, dy, gx, gy = e["b"]["x"] - e["a"]["x"], e["b"]["y"] - e["a"]["y"], f["b"]["x"] - f["a"]["x"], f["b"]["y"] - f["a"]["y"]
-        det = dx * gy - dy * gx
-        t = F.try_divide((f["a"]["x"] - e["a"]["x"]) * gy - (f["a"]["y"] - e["a"]["y"]) * gx, det)
-        u = F.try_divide((f["a"]["x"] - e["a"]["x"]) * dy - (f["a"]["y"] - e["a"]["y"]) * dx, det)
-        return F.when((F.abs(det) >= 1e-15) & t.between(0, 1) & u.between(0, 1), F.struct((e["a"]["x"] + t * dx).alias("x"), (e["a"]["y"] + t * dy).alias("y")))
 
-    met = F.flatten(F.transform(_pairs(first), lambda e: F.filter(F.transform(_pairs(second), lambda f: crossing(e, f)), lambda p: p.isNotNull())))
-    corners = F.concat(within(first, second, area_b), within(second, first, area_a), met)
-    middle = lambda ps, c: F.aggregate(ps, F.lit(0.0), lambda s, p: s + p[c]) / F.size(ps)
+        def meets(d: Column) -> Column:
+            t = F.try_divide((f["a"]["x"] - e["a"]["x"]) * gy - (f["a"]["y"] - e["a"]["y"]) * gx, d)
+            u = F.try_divide((f["a"]["x"] - e["a"]["x"]) * dy - (f["a"]["y"] - e["a"]["y"]) * dx, d)
+            return once(t, lambda t: F.when((F.abs(d) >= 1e-15) & t.between(0, 1) & u.between(0, 1), F.struct((e["a"]["x"] + t * dx).alias("x"), (e["a"]["y"] + t * dy).alias("y"))))
+
+        return once(dx * gy - dy * gx, meets)
+
+    middle = lambda ps, c: F.try_divide(F.aggregate(ps, F.lit(0.0), lambda s, p: s + p[c]), F.size(ps))
 
     def around(ps: Column) -> Column:
-        at = F.transform(ps, lambda p: F.struct(F.atan2(p["y"] - middle(ps, "y"), p["x"] - middle(ps, "x")).alias("t"), p["x"].alias("x"), p["y"].alias("y")))
-        return F.abs(signed_area(F.sort_array(at)))
+        def ring(m: Column) -> Column:
+            return F.transform(ps, lambda p: F.struct(F.atan2(p["y"] - m["y"], p["x"] - m["x"]).alias("t"), p["x"].alias("x"), p["y"].alias("y")))
+
+        at = once(F.struct(middle(ps, "x").alias("x"), middle(ps, "y").alias("y")), ring)
+        return once(F.sort_array(at), lambda r: F.abs(signed_area(r)))
+
+    def share(both: Column) -> Column:
+        a, b = both["a"], both["b"]
+        met = F.flatten(F.transform(a["edges"], lambda e: F.filter(F.transform(b["edges"], lambda f: crossing(e, f)), lambda p: p.isNotNull())))
+        common = once(F.concat(within(a["ring"], b), within(b["ring"], a), met), around)
+        sound = (F.abs(a["area"]) >= 1e-12) & (F.abs(b["area"]) >= 1e-12) & is_convex(a["ring"]) & is_convex(b["ring"])
+        return F.when(a["ring"] == b["ring"], 1.0).when(sound, F.coalesce(F.least(F.lit(1.0), F.try_divide(common, F.abs(a["area"]))), F.lit(0.0))).otherwise(0.0)
 
-    common = F.transform(F.array(corners), around)[0]  # corners once
-    sound = (F.abs(area_a) >= 1e-12) & (F.abs(area_b) >= 1e-12) & is_convex(first) & is_convex(second)
-    return F.when(first == second, 1.0).when(sound, F.coalesce(F.least(F.lit(1.0), F.try_divide(common, F.abs(area_a))), F.lit(0.0))).otherwise(0.0)
+    return once(F.struct(once(outline(first), sided).alias("a"), once(outline(second), sided).alias("b")), share)
 
 
 # --- references --------------------------------------------------------------------------------------------------
