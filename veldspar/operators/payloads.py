@@ -6,11 +6,11 @@ the warnings, never guessed. An adapter is data: a payload's instrument names. l
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veldspar.operators.refine import label_bands
-from veldspar.sources.labels import HOSTILE, TOO_LARGE, UNPARSEABLE, UNSUPPORTED, KeywordLimits, XmlLimits, keyword_labels, xml_labels
+from veldspar.sources.labels import HOSTILE, TOO_LARGE, UNPARSEABLE, UNSUPPORTED, KeywordLimits, XmlLimits, dealt, keyword_parsed, xml_parsed
 from veldspar.tables import materialise
 
 #: Names under which labels give each payload's instrument, and why no geometry is ever validated here.
@@ -59,56 +59,87 @@ def _interval(rows: DataFrame, missing: Column) -> tuple[dict[str, Column], list
     return {"start_utc": F.when(sound, start), "stop_utc": F.when(sound, stop)}, [warning]
 
 
-def xml_facts(elements: DataFrame) -> DataFrame:
-    """A row per label: product_id, mission, start_utc, stop_utc, lines, samples, bands, warnings. Of several children of a name the first counts, at every step; of several axes of a name the last."""
-    path = F.array_join(F.slice("path", 2, F.greatest(F.size("path") - 1, F.lit(0))), "/")
-    rows = elements.where(F.size("path") <= 5).select("label_id", "n", "parent", "text", path.alias("at"))
-    w, chosen = Window.partitionBy("label_id"), {"": "_root"}
-    rows = rows.withColumn("_root", F.min(F.when(F.col("at") == "", F.col("n"))).over(w))
-    steps = sorted({"/".join(p.split("/")[: k + 1]) for p in XML_RULES.values() for k in range(p.count("/") + 1)}, key=lambda p: (p.count("/"), p))
-    for i, p in enumerate(steps):
-        above = F.col(chosen[p.rpartition("/")[0]])
-        rows = rows.withColumn(f"_c{i}", F.min(F.when((F.col("at") == p) & (F.col("parent") == above), F.col("n"))).over(w))
-        chosen[p] = f"_c{i}"
-    rows = materialise(rows)
-    there = {f"has_{i}": F.bool_or(F.col(chosen[p]).isNotNull()) for i, p in enumerate(steps)}
-    texts = {name: F.max(F.when(F.col("n") == F.col(chosen[p]), F.col("text"))) for name, p in XML_RULES.items() if name != "image"}
-    facts = rows.groupBy("label_id").agg(*(c.alias(k) for k, c in {**there, **texts}.items()))
-    has = {p: F.col(f"has_{i}") for i, p in enumerate(steps)}
-
-    axis_path = XML_RULES["image"] + "/Axis_Array"
-    axes = rows.where((F.col("at") == axis_path) & (F.col("parent") == F.col(chosen[XML_RULES["image"]]))).select("label_id", F.col("n").alias("axis"))
-    inner = rows.where(F.col("at").isin(f"{axis_path}/axis_name", f"{axis_path}/elements")).select("label_id", F.col("parent").alias("axis"), "n", "text", F.substring_index("at", "/", -1).alias("what"))
-    first = lambda what: F.min_by(F.struct("text"), F.when(F.col("what") == what, F.col("n")))["text"]
-    one = axes.join(inner.groupBy("label_id", "axis").agg(first("axis_name").alias("name"), first("elements").alias("count")), ["label_id", "axis"], "left")
-    one = one.withColumn("whole", F.coalesce(F.regexp_like(_said(F.col("count")), F.lit(_WHOLE)), F.lit(False)))
-    given = F.col("name").isNotNull() & (F.coalesce(F.col("count"), F.lit("")) != "")
-    last = lambda axis: F.max_by(_said(F.col("count")).try_cast("bigint"), F.when(F.col("whole") & (_said(F.col("name")) == axis), F.col("axis")))
-    counts = one.groupBy("label_id").agg(*(last(k).alias(v) for k, v in AXES.items()), F.count(F.lit(1)).alias("axes"), F.bool_or(given & ~F.col("whole")).alias("odd_axis"))
-
-    rows = facts.join(counts, "label_id", "left")
+def _first(elements: str, at: str | Column) -> Column:
+    """The first of a label's elements at a place."""
+    return F.get(F.filter(elements, lambda e: e["at"] == at), 0)
+
+
+_AXES = "struct<axis:int,named:boolean,name:string,counted:boolean,count:string,axes:int,odd:boolean,lines:bigint,samples:bigint,bands:bigint>"
+
+
+def _axes(elements: str, image: Column) -> Column:
+    """Struct of axes (how many), odd (whether a count is no whole number) and the counts, by one walk over the elements of the image's axes in order."""
+    path = XML_RULES["image"] + "/Axis_Array"
+
+    def noted(s: Column) -> Column:  # the axis that was read, if any
+        whole = F.coalesce(F.regexp_like(_said(s["count"]), F.lit(_WHOLE)), F.lit(False))
+        odd = s["odd"] | (s["name"].isNotNull() & (F.coalesce(s["count"], F.lit("")) != "") & ~whole)
+        counts = {v: F.when(whole & F.coalesce(_said(s["name"]) == k, F.lit(False)), _said(s["count"]).try_cast("bigint")).otherwise(s[v]) for k, v in AXES.items()}
+        return F.struct(odd.alias("odd"), *(c.alias(k) for k, c in counts.items()))
+
+    def step(s: Column, e: Column) -> Column:
+        own = e["parent"] == s["axis"]
+        n, none = noted(s), F.lit(None).cast("string")
+        begun = F.struct(e["n"].alias("axis"), F.lit(False).alias("named"), none.alias("name"), F.lit(False).alias("counted"), none.alias("count"), (s["axes"] + 1).alias("axes"), *(n[k].alias(k) for k in ("odd", *AXES.values())))
+        told = lambda **new: F.struct(*(new.get(k, s[k]).alias(k) for k in ("axis", "named", "name", "counted", "count", "axes", "odd", *AXES.values())))
+        name, count = own & ~s["named"] & (e["at"] == f"{path}/axis_name"), own & ~s["counted"] & (e["at"] == f"{path}/elements")
+        return F.when((e["at"] == path) & (e["parent"] == image["n"]), begun).when(name, told(named=F.lit(True), name=e["text"])).when(count, told(counted=F.lit(True), count=e["text"])).otherwise(s)
+
+    none = F.lit(None)
+    start = F.struct(none.alias("axis"), F.lit(False).alias("named"), none.alias("name"), F.lit(False).alias("counted"), none.alias("count"), F.lit(0).alias("axes"), F.lit(False).alias("odd"), *(none.alias(v) for v in AXES.values())).cast(_AXES)
+    inside = F.filter(elements, lambda e: F.startswith(e["at"], F.lit(path)))
+    return F.aggregate(inside, start, step, lambda s: F.struct(s["axes"].alias("axes"), *(noted(s)[k].alias(k) for k in ("odd", *AXES.values()))))
+
+
+_FACTS = ("product_id", "mission", "instrument_id", "start_utc", "stop_utc", "lines", "samples", "bands", "warnings")
+_FACTS_TYPE = "struct<product_id:string,mission:string,instrument_id:string,start_utc:timestamp,stop_utc:timestamp,lines:bigint,samples:bigint,bands:bigint,warnings:array<string>>"
+
+
+def _facts(**of: Column) -> Column:
+    return F.struct(*(of.get(k, F.lit(None)).alias(k) for k in _FACTS)).cast(_FACTS_TYPE)
+
+
+def xml_facts(labels: DataFrame) -> DataFrame:
+    """labels (with elements, as of xml_parsed) with xml_facts: product_id, mission, start_utc, stop_utc, lines, samples, bands, warnings. Of several children of a name the first counts, at every step; of several
+    axes of a name the last. The first element of a path, in the label's order, is the one that the steps lead to, or there is none: elements under later parents come later."""
+    at = lambda e: F.array_join(F.slice(e["path"], 2, F.size(e["path"])), "/")
+    near = F.transform(F.filter("elements", lambda e: F.size(e["path"]) <= 5), lambda e: F.struct(*(e[k].alias(k) for k in ("n", "parent", "text")), at(e).alias("at")))
+    steps = sorted({"/".join(p.split("/")[: k + 1]) for p in XML_RULES.values() for k in range(p.count("/") + 1)})
+    rows = labels.withColumn("_near", near).withColumn("_root", _first("_near", ""))
+    rows = rows.withColumns({f"_s{i}": _first("_near", p) for i, p in enumerate(steps)})
+    chosen = {"": "_root"}
+    for depth in sorted({p.count("/") for p in steps}):
+        new = {f"_c{i}": p for i, p in enumerate(steps) if p.count("/") == depth}
+        rows = rows.withColumns({c: F.when(F.col(f"_s{c[2:]}.parent") == F.col(f"{chosen[p.rpartition('/')[0]]}.n"), F.col(f"_s{c[2:]}")) for c, p in new.items()})
+        chosen |= {p: c for c, p in new.items()}
+    rows = rows.withColumns({"_axes": _axes("_near", F.col(chosen[XML_RULES["image"]])), **{name: F.col(f"{chosen[p]}.text") for name, p in XML_RULES.items() if name != "image"}})
+    has = {p: F.col(c).isNotNull() for p, c in chosen.items()}
     area, times = has["Observation_Area"], has["Observation_Area/Time_Coordinates"]
     interval, times_warning = _interval(rows, ~times)
     mission = F.coalesce(_said(F.col("investigation")), _said(F.col("mission_area")))
     warnings = [
         F.when(~has["Identification_Area"], "identification_missing").when(_said(F.col("product_id")).isNull(), "product_id_missing"), F.when(~area, "observation_missing"), F.when(area & ~times, "times_missing"), *times_warning,
-        F.when(area & mission.isNull(), "mission_missing"), F.when(F.col("axes").isNull(), "axes_missing"), F.when(F.col("odd_axis"), "axis_not_whole"), F.lit("instrument_not_in_scope"), F.lit("calibration_not_in_scope"),
+        F.when(area & mission.isNull(), "mission_missing"), F.when(F.col("_axes.axes") == 0, "axes_missing"), F.when(F.col("_axes.odd"), "axis_not_whole"), F.lit("instrument_not_in_scope"), F.lit("calibration_not_in_scope"),
     ]
-    return rows.select("label_id", _said(F.col("product_id")).alias("product_id"), mission.alias("mission"), F.lit(None).cast("string").alias("instrument_id"), *(c.alias(k) for k, c in interval.items()), "lines", "samples", "bands", F.array_compact(F.array(*warnings)).alias("warnings"))
-
-
-def keyword_facts(fields: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """A row per label as of xml_facts, with instrument_id; and bands as label_bands gives them."""
-    rows = fields.where("effective").select("label_id", "n", F.array_join(F.concat("path", F.array("keyword")), "/").alias("at"), "is_list", "items")
-    one = F.when(~F.col("is_list"), F.get("items", 0))
-    text = F.when(one["kind"] != "number", one["value"])
-    count = F.when((one["kind"] == "number") & one["value"].rlike(_WHOLE), one["value"].try_cast("bigint"))
-    of = lambda path, c: F.max(F.when(F.col("at") == path, c))
-    block = {f"has_{name}": F.coalesce(F.bool_or((F.col("at") == path) & F.col("items").isNull()), F.lit(False)) for name, path in {"cube": "IsisCube", "instrument": INSTRUMENT, "dimensions": DIMENSIONS, "band_bin": BANDS}.items()}
-    facts = materialise(rows.groupBy("label_id").agg(
-        *(c.alias(k) for k, c in block.items()), *(of(p, text).alias(k) for k, p in WORDS.items()), *(of(p, count).alias(k) for k, p in COUNTS.items()),
-        *(F.max_by(F.when(F.col("at") == p, F.col("items")), F.when(F.col("at") == p, F.col("n"))).alias(k) for k, p in LISTS.items()),
-    ))
+    facts = _facts(product_id=_said(F.col("product_id")), mission=mission, **interval, **{v: F.col(f"_axes.{v}") for v in AXES.values()}, warnings=F.array_compact(F.array(*warnings)))
+    return rows.withColumn("xml_facts", F.when(F.col("elements").isNotNull(), facts)).select(*labels.columns, "xml_facts")
+
+
+def keyword_facts(labels: DataFrame) -> DataFrame:
+    """labels (with fields, as of keyword_parsed) with keyword_facts as of xml_facts, with instrument_id; and band_lists: what label_bands reads, null without a block of bands."""
+    at = lambda f: F.array_join(F.concat(f["path"], F.array(f["keyword"])), "/")
+    one = lambda f: F.when(~f["is_list"], F.get(f["items"], 0))
+    text = lambda f: F.when(one(f)["kind"] != "number", one(f)["value"])
+    count = lambda f: F.when((one(f)["kind"] == "number") & one(f)["value"].rlike(_WHOLE), one(f)["value"].try_cast("bigint"))
+    rows = labels.withColumn("_kept", F.transform(F.filter("fields", lambda f: f["effective"]), lambda f: F.struct(at(f).alias("at"), f["is_list"].alias("is_list"), f["items"].alias("items"))))
+    here = lambda path: F.filter("_kept", lambda f: f["at"] == path)
+    of = lambda path, c: F.array_max(F.transform(here(path), c))
+    is_block = lambda path: F.exists("_kept", lambda f: (f["at"] == path) & f["items"].isNull())
+    block = {f"has_{name}": is_block(path) for name, path in {"cube": "IsisCube", "instrument": INSTRUMENT, "dimensions": DIMENSIONS, "band_bin": BANDS}.items()}
+    facts = rows.withColumns({
+        **block, **{k: of(p, text) for k, p in WORDS.items()}, **{k: of(p, count) for k, p in COUNTS.items()},
+        **{k: F.try_element_at(here(p), F.lit(-1))["items"] for k, p in LISTS.items()},
+    })
     cube, dims = F.col("has_cube"), F.col("has_dimensions")
     interval, times_warning = _interval(facts, ~F.col("has_instrument"))
     named = {k: F.when(F.col("has_instrument"), _said(F.col(k))) for k in ("mission", "instrument_id")}
@@ -122,44 +153,53 @@ def keyword_facts(fields: DataFrame) -> tuple[DataFrame, DataFrame]:
             F.when(~F.col("has_band_bin"), "band_bin_missing").when(number == 0, "band_count_unknown"), F.lit("product_id_not_in_scope"), F.lit("calibration_not_in_scope"),
         ),
     ]
-    out = facts.select("label_id", F.lit(None).cast("string").alias("product_id"), *(c.alias(k) for k, c in named.items()), *(c.alias(k) for k, c in interval.items()), "lines", "samples", "bands", F.array_compact(F.array(*warnings)).alias("warnings"))
+    out = _facts(**named, **interval, lines=F.col("lines"), samples=F.col("samples"), bands=F.col("bands"), warnings=F.array_compact(F.array(*warnings)))
+    lists = F.struct(F.col("bands").alias("declared_bands"), *LISTS)
+    return facts.withColumns({"keyword_facts": F.when(F.col("fields").isNotNull(), out), "band_lists": F.when(cube & F.col("has_band_bin"), lists)}).select(*labels.columns, "keyword_facts", "band_lists")
+
+
+def _bands(rows: DataFrame) -> DataFrame:
+    """Bands of the labels with band_lists, as label_bands gives them."""
     with_unit = lambda k: F.transform(k, lambda i: F.struct(F.when(i["kind"] == "number", i["value"].try_cast("double")).alias("value"), i["unit"].alias("unit")))
     yes, no = ("yes", "true", "1"), ("no", "false", "0")
     whole = lambda i: (i["kind"] == "number") & i["value"].rlike(_WHOLE) & i["unit"].isNull()
     flag = lambda i: F.when(whole(i), i["value"].try_cast("bigint") != 0).when((i["kind"] != "number") & F.lower(F.trim(i["value"])).isin(*yes), True).when((i["kind"] != "number") & F.lower(F.trim(i["value"])).isin(*no), False)
     terms = lambda k: F.transform(k, lambda i: F.when(i["kind"] != "number", i["value"]))
-    bands = label_bands(facts.where("has_cube and has_band_bin").select(
-        "label_id", F.col("bands").alias("declared_bands"), with_unit("centers").alias("centers"), with_unit("widths").alias("widths"), F.transform("bad", flag).alias("bad_bands"), terms("filters").alias("filters"), terms("regimes").alias("regimes"),
+    lists = rows.where("band_lists is not null").select("label_id", "band_lists.*")
+    return label_bands(lists.select(
+        "label_id", "declared_bands", with_unit("centers").alias("centers"), with_unit("widths").alias("widths"), F.transform("bad", flag).alias("bad_bands"), terms("filters").alias("filters"), terms("regimes").alias("regimes"),
     ))
-    return out, bands
+
+
+def _extracted(labels: DataFrame, xml: XmlLimits, keyword: KeywordLimits) -> DataFrame:
+    """labels (without data) with format, code, the facts and band_lists: a label stays one row throughout."""
+    rows = xml_parsed(dealt(labels), xml).withColumn("data", F.when(F.col("xml_code").isNotNull(), F.col("data")))  # the keyword reader gets what the first one refused
+    rows = keyword_facts(keyword_parsed(xml_facts(rows), keyword))
+    kind = F.when(F.col("xml_code").isNull(), "xml").when(F.col("keyword_code").isNull(), "keyword")
+    either = lambda code: (F.col("xml_code") == code) | (F.col("keyword_code") == code)
+    code = F.when(kind.isNotNull(), None).when(either(HOSTILE), HOSTILE).when(either(TOO_LARGE), TOO_LARGE).otherwise(UNPARSEABLE)
+    facts = F.coalesce("xml_facts", "keyword_facts")
+    warnings = F.coalesce(facts["warnings"], F.array().cast("array<string>"))
+    kept = [c for c in labels.columns if c != "data"]
+    return rows.select(*kept, kind.alias("format"), code.alias("code"), *(facts[k].alias(k) for k in _FACTS if k != "warnings"), warnings.alias("warnings"), "band_lists")
 
 
 def extract(labels: DataFrame, xml: XmlLimits = XmlLimits(), keyword: KeywordLimits = KeywordLimits()) -> tuple[DataFrame, DataFrame]:
     """A row per label: label_id, format (xml, keyword or null), code (why neither reader took it: hostile ahead of too large ahead of unparseable), the facts; and the bands of its label."""
-    xml_status, elements = xml_labels(labels, xml)
-    rest = labels.join(xml_status.where("code is not null").select("label_id"), "label_id", "left_semi")
-    kw_status, fields = keyword_labels(rest, keyword)
-    kw_facts, bands = keyword_facts(fields)
-    status = xml_status.withColumnRenamed("code", "xml_code").join(kw_status.withColumnRenamed("code", "kw_code"), "label_id", "left")
-    kind = F.when(F.col("xml_code").isNull(), "xml").when(F.col("kw_code").isNull(), "keyword")
-    either = lambda code: (F.col("xml_code") == code) | (F.col("kw_code") == code)
-    code = F.when(kind.isNotNull(), None).when(either(HOSTILE), HOSTILE).when(either(TOO_LARGE), TOO_LARGE).otherwise(UNPARSEABLE)
-    found = status.select("label_id", kind.alias("format"), code.alias("code")).join(xml_facts(elements).unionByName(kw_facts), "label_id", "left")
-    empty = F.when(F.col("format") == "keyword", F.array(F.lit("cube_missing")))  # a label without a statement
-    return found.withColumn("warnings", F.coalesce("warnings", empty, F.array().cast("array<string>"))), bands
+    rows = materialise(_extracted(labels.select("label_id", "data"), xml, keyword))
+    return rows.drop("band_lists"), _bands(rows)
 
 
 def validate_products(labels: DataFrame, family: Column, xml: XmlLimits = XmlLimits(), keyword: KeywordLimits = KeywordLimits()) -> tuple[DataFrame, DataFrame]:
     """extract() with payload_family (family: an expression over columns of labels, a key of INSTRUMENTS), reason (null if accepted; an instrument of another payload is unsupported), revalidatable,
     calibration_state, geometry_validated (never) and why; and the bands of accepted products."""
-    facts, bands = extract(labels, xml, keyword)
-    rows = facts.join(labels.select("label_id", family.alias("payload_family")), "label_id")
+    rows = _extracted(labels.select("label_id", "data", family.alias("payload_family")), xml, keyword)
     expected = F.create_map(*[x for k, v in INSTRUMENTS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
     other = F.col("instrument_id").isNotNull() & ~F.coalesce(F.array_contains(F.try_element_at(expected, F.col("payload_family")), F.upper("instrument_id")), F.lit(False))
     reason = F.coalesce("code", F.when(other, UNSUPPORTED))
     rows = rows.withColumns({"reason": reason, "revalidatable": F.when(reason.isNotNull(), reason.isin(*MENDABLE)), "calibration_state": F.lit("unknown"), "geometry_validated": F.lit(False), "geometry_note": F.lit(GEOMETRY_NOTE)}).drop("code")
     rows = materialise(rows)
-    return rows, bands.join(rows.where("reason is null").select("label_id"), "label_id", "left_semi")
+    return rows.drop("band_lists"), _bands(rows.where("reason is null"))
 
 
 def revalidate(records: DataFrame, labels: DataFrame) -> DataFrame:

@@ -1,8 +1,8 @@
 """Product labels, XML and keyword/value, read as tables under limits: a status for each label and a row for each element or statement.
 
-A label is taken apart into tokens by one regular expression (linear in its length, every quantifier on a group possessive), tokens become rows,
-and nesting is a running sum over a label's rows: the block that is open at a level is the last one opened there. All steps after the tokens share one
-partitioning by label; a label is as large as its limit at most. Nothing is ever fetched or expanded: a document type or entity declaration is refused before any token is read.
+A label stays one row: it is taken apart into an array of tokens by one regular expression (linear in its length, every quantifier on a group possessive), and one walk over
+that array keeps the blocks that are open, finds the first fault and gives what is read. Labels are dealt once, by label_id, and nothing else is shuffled, sorted or joined; a label
+is as large as its limit at most. Nothing is ever fetched or expanded: a document type or entity declaration is refused before any token is read.
 
 A status is null (sound) or a code. Of several faults the first in the label counts. Labels: label_id (unique), data (binary). Defined results: null data can't be parsed;
 empty data is a sound keyword/value label without statements, but no XML; text that isn't UTF-8 can't be parsed; an empty table gives empty results. Other columns are left alone.
@@ -10,9 +10,10 @@ empty data is a sound keyword/value label without statements, but no XML; text t
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veldspar.tables import materialise
@@ -41,43 +42,44 @@ def _any(*parts: str) -> str:
     return "(?:" + "|".join(parts) + ")"
 
 
-def _running(label: str = "label_id") -> Window:
-    return Window.partitionBy(label).orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+#: Items that a walk takes at a time, on each of LEVELS levels: the state of an aggregate is copied at every step, so the rows that it gathers are kept few.
+CHUNK, LEVELS = 10, 3
 
 
-def _nested(rows: DataFrame, opens: Column, closes: Column, facts: list[Column], depth: int) -> DataFrame:
-    """rows (label_id, n) with depth after each row, before (the depth around a row: inside what it is in, or closes), and stack: the facts of the row that opened each level,
-    as far as the table's deepest label goes and the limit allows."""
-    run = _running()
-    rows = materialise(rows.withColumn("depth", F.sum(opens.cast("int") - closes.cast("int")).over(run)))
-    deepest = min(max(1, rows.agg(F.max("depth")).first()[0] or 1), depth)
-    at = lambda level: F.last(F.when(opens & (F.col("depth") == level), F.struct("n", *facts)), ignorenulls=True).over(run)
-    rows = rows.withColumn("stack", F.array(*(at(level) for level in range(1, deepest + 1))))
-    return rows.withColumn("before", F.col("depth") + closes.cast("int") - opens.cast("int"))
+def _walk(items: str, state: Column, kind: str, step: Callable[[Column, Column], Column], row: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
+    """Struct of the state after all of a column's items (step: the state before an item, the item) and all rows of type `kind` (by the same arguments: whether there is one, and the row) in order."""
+    both = lambda state, rows: F.struct(state.alias("state"), rows.alias("rows"))
+    none, n = F.array().cast(f"array<{kind}>"), F.size(items)
+    grown = lambda rows, there, one: F.when(there, F.concat(rows, F.array(one))).otherwise(rows)
 
+    def level(at: Column, state: Column, k: int) -> Column:
+        if k == 0:
+            return F.aggregate(F.slice(items, at + 1, F.lit(CHUNK)), both(state, none), lambda a, x: both(step(a["state"], x), grown(a["rows"], *row(a["state"], x))))
+        to = n if k == LEVELS else F.least(n, at + CHUNK ** (k + 1))
+        part = lambda a, i: F.get(F.transform(F.array(level(i, a["state"], k - 1)), lambda r: both(r["state"], F.concat(a["rows"], r["rows"]))), 0)
+        return F.aggregate(F.sequence(at, to - 1, F.lit(CHUNK**k)), both(state, none), part)
 
-def _first_fault(rows: DataFrame) -> DataFrame:
-    """label_id, fault (the code of the first row with one, or of what is open at the end), last."""
-    return rows.groupBy("label_id").agg(
-        F.coalesce(F.min_by("fault", F.when(F.col("fault").isNotNull(), F.col("n"))), F.when(F.max_by("depth", "n") != 0, UNPARSEABLE)).alias("fault"), F.count(F.lit(1)).alias("rows")
-    )
+    return F.when(n > 0, level(F.lit(0), state, LEVELS)).otherwise(both(state, none))
+
+
+def _updated(state: Column, names: tuple[str, ...], **new: Column) -> Column:
+    return F.struct(*(new.get(k, state[k]).alias(k) for k in names))
 
 
 def _text(labels: DataFrame, size: int, hostile: str | None) -> DataFrame:
-    """label_id, text of what may be parsed, refused (a code)."""
+    """labels with _text (of what may be parsed) and _refused (a code)."""
     data = F.col("data").cast("binary")
     text = data.cast("string")
     refused = F.when(F.octet_length(data) > size, TOO_LARGE)
     if hostile:
         refused = refused.when(F.regexp_like(text, F.lit(hostile)), HOSTILE)
     refused = refused.when(data.isNull() | ~F.is_valid_utf8(text), UNPARSEABLE)
-    return labels.select("label_id", refused.alias("refused"), F.when(refused.isNull(), text).alias("text"))
+    return labels.withColumn("_refused", refused).withColumn("_text", F.when(F.col("_refused").isNull(), text))
 
 
-def _status(checked: DataFrame, faults: DataFrame, least_rows: int) -> DataFrame:
-    found = checked.select("label_id", "refused").join(faults, "label_id", "left")
-    empty = F.when(F.coalesce(F.col("rows"), F.lit(0)) < least_rows, UNPARSEABLE)
-    return found.select("label_id", F.coalesce("refused", "fault", empty).alias("code"))
+def dealt(labels: DataFrame) -> DataFrame:
+    """labels over all partitions: a file of few blocks would keep all of them in few tasks."""
+    return labels.repartition(int(labels.sparkSession.conf.get("spark.sql.shuffle.partitions")), "label_id")
 
 
 # --- keyword/value labels ----------------------------------------------------------------------------------------
@@ -92,12 +94,14 @@ _ASSIGN = rf"I={_any(_SCALAR, rf'[(](?:{_LIST})?[)]', rf'[{{](?:{_LIST})?[}}]')}
 _STATEMENT = _any("E.*+", rf"[XY](?:={_NAME})?", rf"[OG]={_NAME}", _ASSIGN, ".++")
 
 
+_SPECIAL = {"END": "E", "END_OBJECT": "X", "END_GROUP": "Y", "OBJECT": "O", "GROUP": "G"}
+
+
 def _kind(token: Column) -> Column:
-    word = F.upper(token)
-    special = F.when(word == "END", "E").when(word == "END_OBJECT", "X").when(word == "END_GROUP", "Y").when(word == "OBJECT", "O").when(word == "GROUP", "G").otherwise("I")
-    quoted = F.regexp_like(token, F.lit("^[\"']")) & (F.length(token) > 1)
-    kind = F.when(quoted, "S").when(F.regexp_like(token, F.lit(f"^{_NUMBER}")), "N").when(F.regexp_like(token, F.lit("^[A-Za-z_^]")), special)
-    return kind.when(F.regexp_like(token, F.lit("^[=(){},]")), token).otherwise("B")
+    special = F.try_element_at(F.create_map(*[F.lit(x) for kv in _SPECIAL.items() for x in kv]), F.upper(token))
+    first = F.substring(token, 1, 1)
+    kind = F.when(F.regexp_like(token, F.lit("^[A-Za-z_^]")), F.coalesce(special, F.lit("I"))).when(first.isin(*"=(){},"), first).when(first.isin('"', "'") & (F.length(token) > 1), "S")
+    return kind.when(F.regexp_like(token, F.lit(f"^{_NUMBER}")), "N").otherwise("B")
 
 
 def _scalar(kind: Column, token: Column) -> Column:
@@ -109,57 +113,81 @@ def _scalar(kind: Column, token: Column) -> Column:
     return F.struct(name.alias("kind"), value.alias("value"), F.when(with_unit, unit).alias("unit"))
 
 
-def _statements(checked: DataFrame) -> DataFrame:
-    """label_id, n, shape (the kinds of its tokens), tokens: a row per statement; what follows a fault is one statement."""
-    tokens = F.filter(F.regexp_extract_all("text", F.lit(_PVL_TOKEN), 0), lambda t: ~F.regexp_like(t, F.lit(r"^(?:/\*|#)")))
-    rows = checked.where("text is not null").select("label_id", tokens.alias("tokens")).withColumn("kinds", F.transform("tokens", _kind))
-    shapes = F.regexp_extract_all(F.array_join("kinds", ""), F.lit(_STATEMENT), 0)
-    number = F.flatten(F.transform(shapes, lambda s, i: F.array_repeat(i, F.length(s))))
-    rows = rows.select("label_id", F.posexplode(F.arrays_zip("kinds", "tokens", number.alias("number"))).alias("at", "t"))
-    rows = rows.repartition("label_id").select("label_id", F.col("t.number").alias("n"), F.struct("at", F.col("t.kinds").alias("kind"), F.col("t.tokens").alias("token")).alias("t"))
-    held = rows.groupBy("label_id", "n").agg(F.sort_array(F.collect_list("t")).alias("tokens"))  # a statement's tokens
-    return held.withColumn("shape", F.array_join(F.transform("tokens", lambda t: t["kind"]), ""))
+_BLOCK = "struct<n:int,name:string,block:string>"
+_ITEM = "struct<kind:string,value:string,unit:string>"
+_WRITE = f"struct<n:int,opened:int,keyword:string,inside:array<int>,path:array<string>,is_list:boolean,items:array<{_ITEM}>>"
+_KW_STATE = ("n", "at", "depth", "counted", "stack", "fault")
+
+
+def keyword_parsed(labels: DataFrame, limits: KeywordLimits = KeywordLimits()) -> DataFrame:
+    """labels with keyword_code (null: sound) and fields, an array of what keyword_labels gives for a sound label (null for others)."""
+    rows = _text(labels, limits.size, None)
+    tokens = F.filter(F.regexp_extract_all("_text", F.lit(_PVL_TOKEN), 0), lambda t: ~(F.startswith(t, F.lit("/*")) | F.startswith(t, F.lit("#"))))
+    rows = rows.withColumn("_tokens", tokens).withColumn("_kinds", F.transform("_tokens", _kind))
+    shapes = F.regexp_extract_all(F.array_join("_kinds", ""), F.lit(_STATEMENT), 0)
+    is_ = lambda s, pattern: F.regexp_like(s, F.lit(f"^{pattern}$"))
+    what = lambda s: F.when(F.startswith(s, F.lit("E")), "ends").when(F.regexp_like(s, F.lit("^[XY]")), "closes").when(is_(s, rf"[OG]={_NAME}"), "opens").when(is_(s, _ASSIGN), "assigns").otherwise("loose")
+    rows = rows.withColumn("_statements", F.transform(shapes, lambda s: F.struct(s.alias("shape"), F.length(s).alias("long"), what(s).alias("what"))))
+    token, kind = lambda i: F.get("_tokens", i), lambda i: F.get("_kinds", i)
+
+    def fault(s: Column, x: Column) -> Column:
+        opener = F.when(s["depth"].between(1, limits.depth), F.get(s["stack"], s["depth"] - 1)["block"])
+        wrong_end = ~F.coalesce(opener == F.when(F.startswith(x["shape"], F.lit("X")), "O").otherwise("G"), F.lit(False))
+        listed = F.regexp_extract(x["shape"], rf"^I=[({{]((?:{_SCALAR},)*+{_SCALAR}?)", 1)  # as far as a list is one
+        long = F.floor((F.length(listed) + 1) / 2) > limits.items
+        return (
+            F.when(x["what"] == "ends", None).when(x["what"] == "closes", F.when(wrong_end, UNPARSEABLE)).when(counts(x) & (s["counted"] >= limits.statements), TOO_LARGE)
+            .when(x["what"] == "opens", F.when(s["depth"] >= limits.depth, TOO_LARGE)).when((x["long"] > 3) & long, TOO_LARGE).when(x["what"] == "loose", UNPARSEABLE)
+        )
+
+    counts = lambda x: x["what"].isin("opens", "assigns") | ((x["what"] == "loose") & F.startswith(x["shape"], F.lit("I=")))
+
+    def step(s: Column, x: Column) -> Column:
+        name = _scalar(kind(s["at"] + 2), token(s["at"] + 2))["value"]
+        opened = F.concat(s["stack"], F.array(F.struct(s["n"].alias("n"), name.alias("name"), F.substring(x["shape"], 1, 1).alias("block"))))
+        opens, closes = x["what"] == "opens", x["what"] == "closes"
+        new = _updated(
+            s, _KW_STATE, n=s["n"] + 1, at=s["at"] + x["long"], depth=s["depth"] + F.when(opens, 1).when(closes, -1).otherwise(0), counted=s["counted"] + F.when(counts(x), 1).otherwise(0),
+            stack=F.when(opens & (s["depth"] < limits.depth), opened).when(closes, F.slice(s["stack"], 1, F.greatest(s["depth"] - 1, F.lit(0)))).otherwise(s["stack"]), fault=fault(s, x),
+        )
+        return F.when(s["fault"].isNotNull(), s).otherwise(new)
+
+    def writes(s: Column, x: Column) -> tuple[Column, Column]:
+        closes = x["what"] == "closes"
+        own, around = F.get(s["stack"], s["depth"] - 1), F.when(closes, F.slice(s["stack"], 1, F.greatest(s["depth"] - 1, F.lit(0)))).otherwise(s["stack"])
+        alone = x["long"] == 3
+        at, n = s["at"] + F.when(alone, 3).otherwise(4), F.when(alone, 1).otherwise(F.greatest(x["long"] - 4, F.lit(0)))
+        pairs = F.zip_with(F.slice("_kinds", at, n), F.slice("_tokens", at, n), lambda k, t: F.struct(k.alias("k"), t.alias("t")))
+        items = F.transform(F.filter(pairs, lambda p: p["k"] != ","), lambda p: _scalar(p["k"], p["t"]))
+        one = F.struct(
+            s["n"].alias("n"), F.when(closes, own["n"]).alias("opened"), F.when(closes, own["name"]).otherwise(token(s["at"])).alias("keyword"), F.transform(around, lambda b: b["n"]).alias("inside"),
+            F.transform(around, lambda b: b["name"]).alias("path"), (~alone).alias("is_list"), F.when(~closes, items).alias("items"),
+        )
+        return s["fault"].isNull() & x["what"].isin("assigns", "closes"), one
+
+    first = F.struct(F.lit(0).alias("n"), F.lit(0).alias("at"), F.lit(0).alias("depth"), F.lit(0).alias("counted"), F.array().cast(f"array<{_BLOCK}>").alias("stack"), F.lit(None).cast("string").alias("fault"))
+    rows = rows.withColumn("_walk", F.when(F.col("_refused").isNull(), _walk("_statements", first, _WRITE, step, writes)))
+    end = F.col("_walk.state")
+    rows = rows.withColumn("keyword_code", F.coalesce("_refused", end["fault"], F.when(end["depth"] != 0, UNPARSEABLE))).withColumn("_writes", F.when(F.col("keyword_code").isNull(), F.col("_walk.rows")))
+    # of the writes of one keyword in one block the last counts: they stand side by side when sorted
+    keys = F.sort_array(F.transform("_writes", lambda w: F.struct(w["keyword"].alias("keyword"), F.coalesce(F.get(w["inside"], F.size(w["inside"]) - 1), F.lit(-1)).alias("in"), w["n"].alias("n"))))
+    rows = rows.withColumn("_keys", keys)
+    after = lambda i: F.get("_keys", i + 1)
+    marks = F.transform("_keys", lambda k, i: F.struct(k["n"].alias("n"), F.coalesce((after(i)["keyword"] == k["keyword"]) & (after(i)["in"] == k["in"]), F.lit(False)).alias("replaced")))
+    rows = rows.withColumn("_marks", F.sort_array(marks))
+    rows = rows.withColumn("_written", F.zip_with("_writes", "_marks", lambda w, m: F.struct(w.alias("w"), m["replaced"].alias("replaced"))))
+    gone = F.transform(F.filter("_written", lambda x: x["replaced"] & x["w"]["opened"].isNotNull()), lambda x: x["w"]["opened"])
+    rows = rows.withColumn("_gone", gone)
+    kept = lambda x: ~x["replaced"] & ((F.size("_gone") == 0) | ~F.arrays_overlap(x["w"]["inside"], "_gone"))
+    fields = F.transform("_written", lambda x: F.struct(*(x["w"][k].alias(k) for k in ("n", "path", "keyword", "is_list", "items")), kept(x).alias("effective")))
+    return rows.withColumn("fields", fields).select(*labels.columns, "keyword_code", "fields")
 
 
 def keyword_labels(labels: DataFrame, limits: KeywordLimits = KeywordLimits()) -> tuple[DataFrame, DataFrame]:
     """Status (label_id, code) and fields of sound labels: label_id, n (its place), path (names of the blocks around it), keyword, is_list, items (structs of kind, value, unit; null for a block, whose
     keyword is its name), and effective: whether no later statement or block of the same name in the same block replaces it or a block around it."""
-    checked = _text(labels, limits.size, None)
-    like = lambda pattern: F.regexp_like("shape", F.lit(f"^{pattern}$"))
-    opens, closes, assigns = like(rf"[OG]={_NAME}"), F.regexp_like("shape", F.lit("^[XY]")) & (F.length("shape") != 2), like(_ASSIGN)
-    rows = _statements(checked)
-    rows = rows.withColumns({"opens": opens, "closes": closes, "assigns": assigns, "ends": F.startswith("shape", F.lit("E"))})
-    name = _scalar(F.get("tokens", 2)["kind"], F.get("tokens", 2)["token"])["value"]
-    rows = rows.withColumns({"name": F.when(F.col("opens"), name), "block": F.when(F.col("opens"), F.substring("shape", 1, 1))})
-    rows = _nested(rows, F.col("opens"), F.col("closes"), [F.col("name"), F.col("block")], limits.depth)
-    loose = ~(F.col("opens") | F.col("closes") | F.col("assigns") | F.col("ends"))
-    counted = F.col("opens") | F.col("assigns") | (loose & F.startswith("shape", F.lit("I=")))
-    many = F.sum(counted.cast("int")).over(_running()) > limits.statements
-    listed = F.regexp_extract("shape", rf"^I=[({{]((?:{_SCALAR},)*+{_SCALAR}?)", 1)  # as far as a list is one
-    long = F.floor((F.length(listed) + 1) / 2) > limits.items
-    opener = F.when(F.col("before").between(1, limits.depth), F.get("stack", F.col("before") - 1)["block"])
-    wrong_end = ~F.coalesce(opener == F.when(F.startswith("shape", F.lit("X")), "O").otherwise("G"), F.lit(False))
-    fault = (
-        F.when(F.col("closes"), F.when(wrong_end, UNPARSEABLE)).when(counted & many, TOO_LARGE).when(F.col("opens"), F.when(F.col("depth") > limits.depth, TOO_LARGE))
-        .when((F.col("assigns") | loose) & long, TOO_LARGE).when(loose, UNPARSEABLE)
-    )
-    rows = materialise(rows.withColumn("fault", fault).select("label_id", "n", "shape", "tokens", "name", "opens", "closes", "assigns", "depth", "before", "stack", "fault"))
-    status = materialise(_status(checked, _first_fault(rows), 0))
-    sound = rows.join(status.where("code is null").select("label_id"), "label_id", "left_semi").where("assigns or closes")
-    around = F.slice("stack", 1, F.col("before") - F.col("closes").cast("int"))
-    own = F.get("stack", F.col("before") - 1)
-    values = F.filter(F.when(F.length("shape") == 3, F.slice("tokens", 3, 1)).otherwise(F.slice("tokens", 4, F.greatest(F.size("tokens") - 4, F.lit(0)))), lambda t: t["kind"].rlike(f"^{_SCALAR}$"))
-    writes = sound.select(
-        "label_id", "n", F.col("closes").alias("block"), F.when(F.col("closes"), own["n"]).alias("opened"), F.when(F.col("closes"), own["name"]).otherwise(F.get("tokens", 0)["token"]).alias("keyword"),
-        F.transform(around, lambda s: s["n"]).alias("inside"), F.transform(around, lambda s: s["name"]).alias("path"), (F.length("shape") != 3).alias("is_list"),
-        F.when(~F.col("closes"), F.transform(values, lambda t: _scalar(t["kind"], t["token"]))).alias("items"),
-    )
-    last = F.max("n").over(Window.partitionBy("label_id", "keyword", F.coalesce(F.try_element_at("inside", F.lit(-1)), F.lit(-1))))
-    writes = writes.withColumn("replaced", F.col("n") < last)
-    gone = writes.where("block and replaced").groupBy("label_id").agg(F.collect_set("opened").alias("gone"))  # blocks of one label
-    fields = writes.join(gone, "label_id", "left")
-    effective = ~F.col("replaced") & ~F.coalesce(F.arrays_overlap("inside", "gone"), F.lit(False))
-    return status, fields.select("label_id", "n", "path", "keyword", "is_list", "items", effective.alias("effective"))
+    rows = materialise(keyword_parsed(dealt(labels.select("label_id", "data")), limits).select("label_id", "keyword_code", "fields"))
+    return rows.select("label_id", F.col("keyword_code").alias("code")), rows.select("label_id", F.inline("fields"))
 
 
 # --- XML labels --------------------------------------------------------------------------------------------------
@@ -187,53 +215,94 @@ def _decoded(text: Column) -> Column:
     return F.when(F.contains(text, F.lit("&")), F.array_join(F.transform(parts, one), "")).otherwise(text)
 
 
+_OPEN = "struct<n:int,name:string,bound:array<string>>"
+_TAG = "struct<n:int,kind:string,parent:int,path:array<string>,name:string>"
+_XML_STATE = ("depth", "elements", "roots", "stack", "fault")
+
+
+def _token_kind(t: Column) -> Column:
+    """What a token is; loose: none of these."""
+    whole = lambda begin, end, kind: F.when(F.endswith(t, F.lit(end)) & (F.length(t) >= len(begin + end)), kind).otherwise("loose")
+    starts = lambda begin: F.startswith(t, F.lit(begin))
+    return (
+        F.when(~starts("<"), "text").when(starts("</"), F.when(F.regexp_like(t, F.lit(rf"^</{_XML_NAME}\s*+>$")), "end").otherwise("loose")).when(starts("<?"), whole("<?", "?>", "instruction"))
+        .when(starts("<!--"), whole("<!--", "-->", "comment")).when(starts("<![CDATA["), whole("<![CDATA[", "]]>", "cdata"))
+        .when(F.regexp_like(t, F.lit(rf"^(?:{_START})$")), F.when(F.endswith(t, F.lit("/>")), "single").otherwise("start")).otherwise("loose")
+    )
+
+
+def xml_parsed(labels: DataFrame, limits: XmlLimits = XmlLimits()) -> DataFrame:
+    """labels with xml_code (null: sound) and elements, an array of what xml_labels gives for a sound label (null for others)."""
+    rows = _text(labels, limits.size, _HOSTILE_XML)
+    tokens = F.regexp_extract_all(F.regexp_replace("_text", "^\ufeff", ""), F.lit(_XML_TOKEN), 0)
+    rows = rows.withColumn("_kinds", F.transform(tokens, lambda t, i: F.struct(i.alias("n"), t.alias("token"), _token_kind(t).alias("kind"))))
+    loose = F.array_position(F.transform("_kinds", lambda t: t["kind"]), "loose").cast("int")
+    rows = rows.withColumn("_sure", F.slice("_kinds", 1, F.when(loose > 0, loose).otherwise(F.size("_kinds"))))  # nothing after a fault counts
+    empty = F.array().cast("array<string>")
+
+    def part(t: Column) -> Column:
+        tag = t["kind"].isin("start", "single")
+        heads = F.when(tag & F.contains(t["token"], F.lit("=")), F.regexp_extract_all(t["token"], F.lit(rf"\s({_XML_NAME})\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+')"), 1)).otherwise(empty)
+        name = F.when(tag, F.regexp_extract(t["token"], f"^<({_XML_NAME})", 1)).when(t["kind"] == "end", F.regexp_extract(t["token"], f"^</({_XML_NAME})", 1))
+        return F.struct(t["n"].alias("n"), t["token"].alias("token"), t["kind"].alias("kind"), name.alias("name"), heads.alias("heads"))
+
+    rows = rows.withColumn("_parts", F.transform("_sure", part))
+    # plain text after a start or ahead of an end is inside an element, or that tag is a fault of its own: the walk needn't see it
+    plain = lambda p, i: (p["kind"] == "text") & ~F.contains(p["token"], F.lit("&")) & ~F.contains(p["token"], F.lit("]]>")) & ((F.get("_parts", i - 1)["kind"] == "start") | (F.get("_parts", i + 1)["kind"] == "end"))
+    rows = rows.withColumn("_items", F.filter("_parts", lambda p, i: ~F.coalesce(plain(p, i), F.lit(False))))
+    bound = lambda heads: F.transform(F.filter(heads, lambda a: F.startswith(a, F.lit("xmlns:"))), lambda a: F.substring(a, 7, 1 << 20))
+    prefixes = lambda names: F.filter(F.transform(F.filter(names, lambda a: F.contains(a, F.lit(":")) & ~F.startswith(a, F.lit("xmlns:"))), lambda a: F.substring_index(a, ":", 1)), lambda p: p != "xml")
+    local = lambda c: F.substring_index(c, ":", -1)
+
+    def fault(s: Column, x: Column) -> Column:
+        token, outside = x["token"], s["depth"] == 0
+        has = lambda pattern: F.regexp_like(token, F.lit(pattern))
+        reference = F.contains(token, F.lit("&")) & has(_ENTITY)
+        known = F.concat(bound(x["heads"]), F.flatten(F.transform(s["stack"], lambda b: b["bound"])))
+        unbound = F.contains(token, F.lit(":")) & (F.size(F.array_except(prefixes(F.concat(F.array(x["name"]), x["heads"])), known)) > 0)
+        twice = (F.size(x["heads"]) > 1) & (F.size(F.array_distinct(x["heads"])) < F.size(x["heads"]))
+        too_large = (s["depth"] >= limits.depth) | (s["elements"] >= limits.elements) | (F.size(x["heads"]) > limits.attributes)
+        wrong_end = ~F.coalesce(F.when(s["depth"].between(1, limits.depth), F.get(s["stack"], s["depth"] - 1)["name"]) == x["name"], F.lit(False))
+        return (
+            F.when(x["kind"] == "text", F.when((outside & ~has(r"^[ \t\r\n]*+$")) | reference | F.contains(token, F.lit("]]>")), UNPARSEABLE))
+            .when(x["kind"].isin("start", "single"), F.when(twice | unbound | reference | (outside & (s["roots"] > 0)), UNPARSEABLE).when(too_large, TOO_LARGE)).when(x["kind"] == "end", F.when(wrong_end, UNPARSEABLE))
+            .when(x["kind"] == "cdata", F.when(outside, UNPARSEABLE)).when(x["kind"] == "comment", F.when(has(r"^<!--[\s\S]*?--(?!>$)[\s\S]*-->$") | has("--->$"), UNPARSEABLE))
+            .when(x["kind"] == "instruction", F.when(has(r"(?i)^<\?xml[\s?]") & ((x["n"] > 0) | ~has(r"^<\?xml\s+version\s*=")), UNPARSEABLE)).otherwise(UNPARSEABLE)
+        )
+
+    def step(s: Column, x: Column) -> Column:
+        opens, closes, tag = x["kind"] == "start", x["kind"] == "end", x["kind"].isin("start", "single")
+        opened = F.concat(s["stack"], F.array(F.struct(x["n"].alias("n"), x["name"].alias("name"), bound(x["heads"]).alias("bound"))))
+        moved = _updated(
+            s, _XML_STATE, depth=s["depth"] + F.when(opens, 1).when(closes, -1).otherwise(0), elements=s["elements"] + F.when(tag, 1).otherwise(0), roots=s["roots"] + F.when(tag & (s["depth"] == 0), 1).otherwise(0),
+            stack=F.when(opens & (s["depth"] < limits.depth), opened).when(closes, F.slice(s["stack"], 1, F.greatest(s["depth"] - 1, F.lit(0)))).otherwise(s["stack"]), fault=fault(s, x),
+        )
+        return F.when(s["fault"].isNotNull(), s).when(tag | closes, moved).otherwise(_updated(s, _XML_STATE, fault=fault(s, x)))
+
+    def tags(s: Column, x: Column) -> tuple[Column, Column]:
+        tag = x["kind"].isin("start", "single")
+        path = F.concat(F.transform(s["stack"], lambda b: local(b["name"])), F.array(local(x["name"])))
+        one = F.struct(x["n"].alias("n"), x["kind"].alias("kind"), F.when(tag, F.get(s["stack"], F.size(s["stack"]) - 1)["n"]).alias("parent"), F.when(tag, path).alias("path"), F.when(tag, local(x["name"])).alias("name"))
+        return s["fault"].isNull() & (tag | (x["kind"] == "end")), one
+
+    first = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("elements"), F.lit(0).alias("roots"), F.array().cast(f"array<{_OPEN}>").alias("stack"), F.lit(None).cast("string").alias("fault"))
+    rows = rows.withColumn("_walk", F.when(F.col("_refused").isNull(), _walk("_items", first, _TAG, step, tags)))
+    end = F.col("_walk.state")
+    rows = rows.withColumn("xml_code", F.coalesce("_refused", end["fault"], F.when((end["depth"] != 0) | (end["roots"] == 0), UNPARSEABLE))).withColumn("_tags", F.when(F.col("xml_code").isNull(), F.col("_walk.rows")))
+
+    def element(t: Column, i: Column) -> Column:
+        said = F.filter(F.slice("_parts", t["n"] + 2, F.get("_tags", i + 1)["n"] - t["n"] - 1), lambda p: p["kind"].isin("text", "cdata"))  # up to the next tag
+        text = F.array_join(F.transform(said, lambda p: F.when(p["kind"] == "cdata", F.substring(p["token"], 10, F.length(p["token"]) - 12)).otherwise(_decoded(p["token"]))), "")
+        return F.struct(*(t[k].alias(k) for k in ("n", "kind", "parent", "path", "name")), F.when((t["kind"] == "start") & (F.size(said) > 0), text).alias("text"))
+
+    elements = F.filter(F.transform("_tags", element), lambda e: e["kind"] != "end")
+    elements = F.transform(elements, lambda e: F.struct(*(e[k].alias(k) for k in ("n", "parent", "path", "name", "text"))))
+    return rows.withColumn("elements", elements).select(*labels.columns, "xml_code", "elements")
+
+
 def xml_labels(labels: DataFrame, limits: XmlLimits = XmlLimits()) -> tuple[DataFrame, DataFrame]:
     """Status (label_id, code) and elements of sound labels: label_id, n (its place), parent (its parent's, null for the root), path (local names from the root down, its own last), name (local), and text
     (ahead of its first child element, references replaced; null if there is none). A label that declares a document type or an entity is hostile, whatever else it holds.
     Well-formed means: one root, tags that match, quoted attributes without repeats, known references, bound prefixes; what a document type would define is never known."""
-    checked = _text(labels, limits.size, _HOSTILE_XML)
-    tokens = F.regexp_extract_all(F.regexp_replace("text", "^\ufeff", ""), F.lit(_XML_TOKEN), 0)
-    rows = checked.where("text is not null").select("label_id", F.posexplode(tokens).alias("n", "token")).repartition("label_id")
-    is_ = lambda pattern: F.regexp_like("token", F.lit(pattern))
-    rows = rows.withColumn("kind", (
-        F.when(is_(r"^<!--[\s\S]*-->$"), "comment").when(is_(r"^<!\[CDATA\[[\s\S]*\]\]>$"), "cdata").when(is_(r"^<\?[\s\S]*\?>$"), "instruction").when(is_("^</.*>$"), "end")
-        .when(is_(rf"^(?:{_START})$"), F.when(F.endswith("token", F.lit("/>")), "single").otherwise("start")).when(is_("^[^<]"), "text").otherwise("loose")
-    ))
-    tag = F.col("kind").isin("start", "single")
-    heads = F.when(tag, F.regexp_extract_all("token", F.lit(rf"\s({_XML_NAME})\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+')"), 1)).otherwise(F.array().cast("array<string>"))
-    name = F.when(tag, F.regexp_extract("token", f"^<({_XML_NAME})", 1)).when(F.col("kind") == "end", F.regexp_extract("token", f"^</({_XML_NAME})", 1))
-    bound = F.transform(F.filter(heads, lambda a: F.startswith(a, F.lit("xmlns:"))), lambda a: F.substring(a, 7, 1 << 20))
-    rows = rows.withColumns({"name": name, "heads": heads, "bound": bound})
-    opens, closes = F.col("kind") == "start", F.col("kind") == "end"
-    rows = _nested(rows, opens, closes, [F.col("name"), F.col("bound")], limits.depth)
-    run = _running()
-    rows = rows.withColumns({
-        "elements": F.sum(tag.cast("int")).over(run), "roots": F.sum((tag & (F.col("before") == 0)).cast("int")).over(run),
-        "led": F.last(F.when(tag | closes, F.struct("n", "kind")), ignorenulls=True).over(run),
-    })
-    inside = F.slice("stack", 1, F.greatest(F.lit(0), F.least(F.col("before"), F.lit(limits.depth))))
-    prefix_of = lambda names: F.filter(F.transform(F.filter(names, lambda a: F.contains(a, F.lit(":")) & ~F.startswith(a, F.lit("xmlns:"))), lambda a: F.substring_index(a, ":", 1)), lambda p: p != "xml")
-    unbound = F.size(F.array_except(prefix_of(F.concat(F.array("name"), "heads")), F.concat(F.col("bound"), F.flatten(F.transform(inside, lambda s: s["bound"]))))) > 0
-    wrong_end = ~F.coalesce(F.when(F.col("before").between(1, limits.depth), F.get("stack", F.col("before") - 1)["name"]) == F.col("name"), F.lit(False))
-    outside = F.col("before") == 0
-    blank = F.regexp_like("token", F.lit(r"^[ \t\r\n]*+$"))
-    too_large = (F.col("before") + 1 > limits.depth) | (F.col("elements") > limits.elements) | (F.size("heads") > limits.attributes)
-    bad_tag = (F.size(F.array_distinct("heads")) < F.size("heads")) | unbound | is_(_ENTITY) | ((outside) & (F.col("roots") > 1))
-    fault = (
-        F.when(tag, F.when(bad_tag, UNPARSEABLE).when(too_large, TOO_LARGE)).when(closes, F.when(wrong_end, UNPARSEABLE))
-        .when(F.col("kind") == "text", F.when((outside & ~blank) | is_(_ENTITY) | is_(r"\]\]>"), UNPARSEABLE)).when(F.col("kind") == "cdata", F.when(outside, UNPARSEABLE))
-        .when(F.col("kind") == "comment", F.when(is_(r"^<!--[\s\S]*?--(?!>$)[\s\S]*-->$") | is_("--->$"), UNPARSEABLE))
-        .when(F.col("kind") == "instruction", F.when(is_(r"(?i)^<\?xml[\s?]") & ((F.col("n") > 0) | ~is_(r"^<\?xml\s+version\s*=")), UNPARSEABLE)).otherwise(UNPARSEABLE)
-    )
-    rows = materialise(rows.withColumn("fault", fault).select("label_id", "n", "token", "kind", "name", "depth", "before", "led", "fault", "roots", F.transform(inside, lambda s: F.struct(s["n"].alias("n"), s["name"].alias("name"))).alias("inside")))
-    no_root = rows.groupBy("label_id").agg(F.max("roots").alias("roots")).where("roots = 0").select("label_id", F.lit(UNPARSEABLE).alias("none"))
-    faults = _first_fault(rows).join(no_root, "label_id", "left").select("label_id", F.coalesce("fault", "none").alias("fault"), "rows")
-    status = materialise(_status(checked, faults, 1))
-    sound = rows.join(status.where("code is null").select("label_id"), "label_id", "left_semi")
-    said = sound.where("kind in ('text', 'cdata') and led.kind = 'start'").withColumn("said", F.when(F.col("kind") == "cdata", F.substring("token", 10, F.length("token") - 12)).otherwise(_decoded(F.col("token"))))
-    texts = said.groupBy("label_id", F.col("led.n").alias("n")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.col("n").alias("at"), "said"))), lambda t: t["said"]), "").alias("text"))
-    local = lambda c: F.substring_index(c, ":", -1)
-    elements = sound.where("kind in ('start', 'single')").select(
-        "label_id", "n", F.try_element_at("inside", F.lit(-1))["n"].alias("parent"), F.concat(F.transform("inside", lambda s: local(s["name"])), F.array(local(F.col("name")))).alias("path"), local(F.col("name")).alias("name")
-    )
-    return status, elements.join(texts, ["label_id", "n"], "left")
+    rows = materialise(xml_parsed(dealt(labels.select("label_id", "data")), limits).select("label_id", "xml_code", "elements"))
+    return rows.select("label_id", F.col("xml_code").alias("code")), rows.select("label_id", F.inline("elements"))
