@@ -43,7 +43,7 @@ def _any(*parts: str) -> str:
 
 
 #: Items that a walk takes at a time, on each of LEVELS levels: the state of an aggregate is copied at every step, so the rows that it gathers are kept few.
-CHUNK, LEVELS = 10, 3
+CHUNK, LEVELS = 20, 2
 
 
 def _walk(items: str, state: Column, kind: str, step: Callable[[Column, Column], Column], row: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
