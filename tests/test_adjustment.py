@@ -131,3 +131,40 @@ def test_jobs_decided_whole_against_rounds_over_all(spark, monkeypatch):
             assert abs(state[5] - want[5]) <= 1 and state[:5] == want[:5]
             assert (p is None) == (q is None) and (p is None or np.allclose(p, q, atol=1e-8) and np.allclose(information, expected, rtol=1e-5))
     assert {r[1] for r in seen[0].values()} == {None, adj.ROUNDS}
+
+
+def _shuffled(spark):
+    """Rows written to shuffles so far."""
+    context = spark.sparkContext
+    context._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = context._jsc.sc().statusStore().stageList(None, False, False, context._gateway.new_array(context._jvm.double, 0), context._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_both_tables_are_shuffled_once(spark):
+    """What the disk holds grows with the rows shuffled: each record and each observation goes once, whatever is asked of the jobs."""
+    jobs = [_job(f"j{i}", 50, [2.0, -1.0, 0.5], i) for i in range(40)]
+    records, observations = ([r for j in jobs for r in j[k]] for k in (0, 1))
+    tables = spark.createDataFrame(records, RECORD), spark.createDataFrame(observations, OBSERVATION)
+    before = _shuffled(spark)
+    rows = adj.fit_adjustment(*tables, _three()).jobs.collect()
+    assert len(rows) == 40 and all(r["accepted"] and r["fit_n"] == 40 and r["check_n"] == 10 for r in rows)
+    assert _shuffled(spark) - before < 1.5 * (len(records) + len(observations))
+
+
+def test_metrics_of_small_jobs_against_those_of_large_ones(spark, monkeypatch):
+    """Metrics that a task reckons for its jobs are those that aggregation gives; alike lines have no correlation."""
+    jobs = [_job(f"j{i}", 4 + 9 * i, [2.0, -1.0, 0.5], i, wild=i // 3, noise=0.2) for i in range(8)] + [_job("alike", 30, [2.0, -1.0, 0.5], 9)]
+    jobs[-1] = ([(*r[:3], 50000.3, *r[4:]) for r in jobs[-1][0]], jobs[-1][1])
+    jobs.append(([(*r[:2], adj.FITTING, *r[3:]) for r in _job("unchecked", 12, [2.0, -1.0, 0.5], 10)[0]], _job("unchecked", 12, [2.0, -1.0, 0.5], 10)[1]))
+    seen = []
+    for whole in (4096, 0):
+        monkeypatch.setattr(adj, "WHOLE", whole)
+        seen.append({r["job_id"]: r.asDict() for r in adj.fit_adjustment(*_tables(spark, jobs), _three(), adj.Options(rounds=60)).jobs.collect()})
+    names = [k for k in seen[0]["alike"] if k.startswith(("fit_", "check_")) or k in ("loss", "line_to_y", "line_to_x")]
+    assert len(names) == 15 and seen[0].keys() == seen[1].keys()
+    for job, row in seen[0].items():
+        for k in names:
+            a, b = row[k], seen[1][job][k]
+            assert (a is None) == (b is None) and (a is None or a == pytest.approx(b, rel=1e-6, abs=1e-9)), (job, k, a, b)
+    assert seen[0]["alike"]["line_to_y"] is None and seen[0]["unchecked"]["check_n"] is None and seen[0]["j7"]["line_to_y"] is not None

@@ -1,6 +1,6 @@
 """Robust adjustment of many jobs at once: whitened linear systems, Huber weights, reduction of optional parameters.
 
-A job of at most WHOLE fitting records is decided by one task, many of them side by side in arrays, whatever rounds it takes. For larger ones every round is one pass over the observations of the jobs that aren't decided. A task reduces its rows of a job to a triangular factor (parameters + 1 square), so that rank and
+A job of at most WHOLE records is decided by one task, many of them side by side in arrays, whatever rounds it takes, and its metrics are reckoned there. For larger ones every round is one pass over the observations of the jobs that aren't decided. A task reduces its rows of a job to a triangular factor (parameters + 1 square), so that rank and
 condition are those of the system itself, never of its square; a job's factors meet in one row, whose size depends on the number of tasks, not of observations. A job's state
 is a row of a table: iteration, parameters, what is still active and what was tried. A job may have any number of observations.
 """
@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -28,7 +29,7 @@ FITTING, WITHHELD, SOURCE_FRAME = "fitting_inlier", "withheld_check_point", "sou
 RANK, CONDITION, ROUNDS, INPUT = "rank_deficient", "ill_conditioned", "did_not_converge", "invalid_input"
 #: Jobs whose factors a task holds before it sends them on.
 HELD = 20_000
-#: Fitting records up to which one task decides a job, and numbers that it holds in an array of jobs of one size.
+#: Records up to which one task decides a job, and numbers that it holds in an array of jobs of one size.
 WHOLE, NUMBERS = 4096, 1 << 20
 
 
@@ -71,35 +72,66 @@ def _finite(values: Column) -> Column:
     return F.forall(values, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
 
 
-def input_problems(records: DataFrame, observations: DataFrame, n: int) -> DataFrame:
-    """records: job_id, match_id, role, line, cov_yy, cov_xy, cov_xx (null without covariance), covariance_frame, covariance_calibrated. observations: job_id, match_id, residual_y, residual_x, design (2 x n).
-    A row (job_id, match_id, problem) for everything that keeps a job from being adjusted."""
+#: Problems of one record and of one observation, by bit; what only both sides or a whole job show comes after them.
+_OWN = ("record_id_blank", "role_not_allowed", "covariance_missing", "covariance_uncalibrated", "covariance_frame", "covariance_unusable")
+_OBSERVED = ("design_shape", "design_not_finite", "residual_not_finite")
+PROBLEMS = (*_OWN, *_OBSERVED, "record_id_repeated", "observation_repeated", "observation_missing", "observation_unknown", "no_fitting_record")
+
+
+def _bits(cases: dict[str, Column]) -> Column:
+    said = [F.when(F.coalesce(c, F.lit(False)), F.lit(1 << PROBLEMS.index(name))).otherwise(F.lit(0)) for name, c in cases.items()]
+    return reduce(lambda a, x: a.bitwiseOR(x), said)
+
+
+def _sides(records: DataFrame, observations: DataFrame, n: int) -> DataFrame:
+    """Rows of both tables, one below the other: job_id, match_id, mask (bits of PROBLEMS), recorded or observed, fits, line, the covariance, whether it is in source pixels, the residual and the design, number by number (d0 ...)."""
     fitting = F.col("role") == FITTING
     bare = F.col("cov_yy").isNull() | F.col("cov_xy").isNull() | F.col("cov_xx").isNull()
     definite = _finite(F.array("cov_yy", "cov_xy", "cov_xx")) & (F.col("cov_yy") > 0) & (F.col("cov_yy") * F.col("cov_xx") - F.col("cov_xy") * F.col("cov_xy") > 0)
-    twice = F.count(F.lit(1)).over(Window.partitionBy("job_id", "match_id")) > 1
-    said = lambda cases: F.explode(F.array_compact(F.array(*(F.when(F.coalesce(c, F.lit(False)), name) for name, c in cases))))
-    own = records.withColumn("_twice", twice).select("job_id", "match_id", said([
-        ("record_id_blank", F.trim(F.coalesce(F.col("match_id").cast("string"), F.lit(""))) == ""), ("record_id_repeated", F.col("_twice")), ("role_not_allowed", ~F.coalesce(F.col("role").isin(FITTING, WITHHELD), F.lit(False))),
-        ("covariance_missing", fitting & bare), ("covariance_uncalibrated", fitting & ~bare & ~F.coalesce(F.col("covariance_calibrated"), F.lit(False))),
-        ("covariance_frame", fitting & ~bare & ~F.coalesce(F.col("covariance_frame") == SOURCE_FRAME, F.lit(False))), ("covariance_unusable", ~bare & (fitting | (F.col("covariance_frame") == SOURCE_FRAME)) & ~definite),
-    ]).alias("problem"))
+    source = F.coalesce(F.col("covariance_frame") == SOURCE_FRAME, F.lit(False))
+    own = _bits({
+        "record_id_blank": F.trim(F.coalesce(F.col("match_id").cast("string"), F.lit(""))) == "", "role_not_allowed": ~F.coalesce(F.col("role").isin(FITTING, WITHHELD), F.lit(False)), "covariance_missing": fitting & bare,
+        "covariance_uncalibrated": fitting & ~bare & ~F.coalesce(F.col("covariance_calibrated"), F.lit(False)), "covariance_frame": fitting & ~bare & ~source, "covariance_unusable": ~bare & (fitting | source) & ~definite,
+    })
     shape = F.coalesce((F.size("design") == 2) & F.forall("design", lambda r: F.coalesce(F.size(r) == n, F.lit(False))), F.lit(False))
     sound = F.coalesce(_finite(F.array("residual_y", "residual_x")), F.lit(False))
-    other = observations.withColumn("_twice", twice).select("job_id", "match_id", said([
-        ("observation_repeated", F.col("_twice")), ("design_shape", ~shape), ("design_not_finite", shape & ~F.coalesce(F.forall("design", _finite), F.lit(False))), ("residual_not_finite", ~sound),
-    ]).alias("problem"))
-    keys = ["job_id", "match_id"]
-    missing = records.join(observations, keys, "left_anti").select(*keys, F.lit("observation_missing").alias("problem"))
-    unknown = observations.join(records, keys, "left_anti").select(*keys, F.lit("observation_unknown").alias("problem"))
-    unfit = records.groupBy("job_id").agg(F.bool_or(fitting).alias("f")).where("not coalesce(f, false)").select("job_id", F.lit(None).cast(records.schema["match_id"].dataType).alias("match_id"), F.lit("no_fitting_record").alias("problem"))
-    return own.unionByName(other).unionByName(missing).unionByName(unknown).unionByName(unfit).distinct()
+    other = _bits({"design_shape": ~shape, "design_not_finite": shape & ~F.coalesce(F.forall("design", _finite), F.lit(False)), "residual_not_finite": ~sound})
+    keys, design = ["job_id", "match_id"], {f"d{i * n + j}": F.get(F.get("design", F.lit(i)), F.lit(j)).cast("double") for i in (0, 1) for j in range(n)}
+    left = records.select(*keys, own.alias("mask"), F.lit(1).alias("recorded"), F.coalesce(fitting, F.lit(False)).alias("fits"), "line", "cov_yy", "cov_xy", "cov_xx", source.alias("source"))
+    right = observations.select(*keys, other.alias("mask"), F.lit(1).alias("observed"), "residual_y", "residual_x", *(c.alias(k) for k, c in design.items()))
+    return left.unionByName(right, allowMissingColumns=True)
+
+
+def _met(sides: DataFrame) -> DataFrame:
+    """sides: of _sides. A row per job_id and match_id of either table, with all that its record and its observation say."""
+    values = [c for c in sides.columns if c not in ("job_id", "match_id", "mask", "recorded", "observed", "fits")]
+    rows = sides.groupBy("job_id", "match_id").agg(
+        F.bit_or("mask").alias("mask"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("recorded", "observed")), F.coalesce(F.max("fits"), F.lit(False)).alias("fits"), *(F.max(c).alias(c) for c in values),
+    )
+    r, o, apart = F.col("recorded") > 0, F.col("observed") > 0, F.col("job_id").isNull() | F.col("match_id").isNull()  # what has no key meets nothing
+    more = _bits({"record_id_repeated": F.col("recorded") > 1, "observation_repeated": F.col("observed") > 1, "observation_missing": r & (~o | apart), "observation_unknown": o & (~r | apart)})
+    return rows.withColumn("mask", F.col("mask").bitwiseOR(more)).withColumn("recorded", r).drop("observed")
+
+
+def _named(mask: Column) -> Column:
+    """The sorted names of a mask's problems."""
+    return F.array_compact(F.array(*(F.when(mask.bitwiseAND(F.lit(1 << PROBLEMS.index(p))) != 0, p) for p in sorted(PROBLEMS))))
+
+
+def _job_masks(rows: DataFrame) -> DataFrame:
+    """rows: of _met. job_id, mask of what keeps the job from being adjusted."""
+    jobs = rows.groupBy("job_id").agg(F.bit_or("mask").alias("mask"), F.bool_or("recorded").alias("r"), F.bool_or("fits").alias("f"))
+    return jobs.select("job_id", F.col("mask").bitwiseOR(_bits({"no_fitting_record": F.col("r") & ~F.col("f")})).alias("mask"))
+
+
+def _design(b: pa.RecordBatch, n: int) -> np.ndarray:
+    return np.stack([b.column(f"d{i}").to_numpy(zero_copy_only=False).astype(float) for i in range(2 * n)], 1).reshape(b.num_rows, 2, n)
 
 
 def _white(b: pa.RecordBatch, n: int) -> np.ndarray:
     """Whitened rows [design | residual] (rows x 2 x n + 1): the lower Cholesky factor of each covariance solved for both lines."""
     get = lambda c: b.column(c).to_numpy(zero_copy_only=False).astype(float)
-    design = b.column("design").flatten().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(b.num_rows, 2, n)
+    design = _design(b, n)
     both = np.concatenate([design, np.stack([get("residual_y"), get("residual_x")], 1)[:, :, None]], 2)
     l11 = np.sqrt(get("cov_yy"))
     l21 = get("cov_xy") / l11
@@ -180,6 +212,7 @@ def solve(r: np.ndarray, o: Options) -> _Solution:
 
 _TRIED = "array<struct<parameters:array<string>,reason:string,rank:int,condition:double,iterations:int>>"
 _STATE = f"t int, p array<double>, before array<double>, active array<int>, done boolean, reason string, rank int, condition double, information array<array<double>>, iterations int, attempts {_TRIED}"
+_TOLD = "problems array<string>, " + ", ".join(f"{p}_{m} {'long' if m == 'n' else 'double'}" for p in ("fit", "check") for m in ("n", "rmse_y_px", "rmse_x_px", "rmse_2d_px", "median_px", "p90_px")) + ", loss double, line_to_y double, line_to_x double"
 
 
 def advance(state: dict, factors: list[list[float]], moved: float, parameters: list[Parameter], o: Options) -> dict:
@@ -259,19 +292,96 @@ def _decided(white: np.ndarray, counts: np.ndarray, parameters: list[Parameter],
     return states
 
 
+_METRICS = ("n", "rmse_y_px", "rmse_x_px", "rmse_2d_px", "median_px", "p90_px")
+
+
+def _measured(code: np.ndarray, jobs: int, dy: np.ndarray, dx: np.ndarray) -> list[np.ndarray]:
+    """_METRICS of jobs whose rows are sorted by code; where a job has none, n is 0."""
+    n = np.bincount(code, minlength=jobs)
+    mean = lambda v: np.bincount(code, v, jobs) / np.maximum(n, 1)
+    e, begin = np.hypot(dy, dx), np.cumsum(n) - n
+    e = e[np.lexsort((e, code))]
+
+    def quantile(q: float) -> np.ndarray:
+        if not len(e):
+            return np.zeros(jobs)
+        at = q * np.maximum(n - 1, 0)
+        low, high = np.floor(at), np.ceil(at)
+        a, b = (e[np.minimum(begin + x.astype(int), len(e) - 1)] for x in (low, high))
+        return np.where(low == high, a, (high - at) * a + (at - low) * b)
+
+    return [n, np.sqrt(mean(dy * dy)), np.sqrt(mean(dx * dx)), np.sqrt(mean(dy * dy + dx * dx)), quantile(0.5), quantile(0.9)]
+
+
+def _correlated(code: np.ndarray, jobs: int, line: np.ndarray, values: tuple[np.ndarray, ...], least: float) -> list[np.ma.MaskedArray]:
+    """Correlation of lines with each of the values, job by job; masked below two rows or without variation."""
+    n = np.bincount(code, minlength=jobs)
+    begin = np.cumsum(n) - n
+
+    def centred(v: np.ndarray) -> np.ndarray:
+        v = v - v[begin[code]]  # alike values become zeros exactly
+        return v - (np.bincount(code, v, jobs) / np.maximum(n, 1))[code]
+
+    x = centred(line)
+    norm = lambda v: np.sqrt(np.bincount(code, v * v, jobs))
+    out = []
+    for v in map(centred, values):
+        a, b = norm(x), norm(v)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            out.append(np.ma.array(np.bincount(code, x * v, jobs) / (a * b), mask=~((n >= 2) & (a > least) & (b > least))))
+    return out
+
+
 def _whole(n: int, parameters: list[Parameter], o: Options, arrow: pa.Schema):
-    """Over fitting records sorted by job: the state of every job, decided."""
+    """Over rows of _met sorted by job: the state of every job, decided, with its metrics, or why its input is refused."""
+
+    def measured(b: pa.RecordBatch, code: np.ndarray, states: list[dict]) -> list[dict]:
+        """Metrics of accepted jobs; code: the job of each row, sorted."""
+        p = np.zeros((len(states), n))
+        for j, s in enumerate(states):
+            if s["reason"] is None:
+                p[j, s["active"]] = s["p"]
+        get = lambda c: b.column(c).to_numpy(zero_copy_only=False).astype(float)
+        rest = np.stack([get("residual_y"), get("residual_x")], 1) - np.einsum("rij,rj->ri", _design(b, n), p[code])
+        fits, line = b.column("fits").to_numpy(zero_copy_only=False).astype(bool), get("line")
+        found = {}
+        for prefix, own in (("fit", fits), ("check", ~fits)):
+            n_rows, *values = _measured(code[own], len(states), rest[own, 0], rest[own, 1])
+            none = n_rows == 0
+            found |= {f"{prefix}_{m}": np.ma.array(v, mask=none) for m, v in zip(_METRICS, (n_rows, *values), strict=True)}
+        dy, dx = rest[fits].T
+        l11 = np.sqrt(get("cov_yy")[fits])
+        l21 = get("cov_xy")[fits] / l11
+        norm = np.hypot(dy / l11, (dx - l21 * (dy / l11)) / np.sqrt(get("cov_xx")[fits] - l21 * l21))
+        found["loss"] = np.ma.array(np.bincount(code[fits], np.where(norm <= o.delta, 0.5 * norm * norm, o.delta * (norm - 0.5 * o.delta)), len(states)))
+        found["line_to_y"], found["line_to_x"] = _correlated(code[fits], len(states), line[fits], (dy, dx), o.least_norm)
+        lists = {k: v.tolist() for k, v in found.items()}
+        return [{k: v[j] for k, v in lists.items()} if s["reason"] is None else {} for j, s in enumerate(states)]
 
     def decided(b: pa.RecordBatch, cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        white, counts, names = _white(b, n), np.diff(cuts), b.column("job").take(pa.array(cuts[:-1])).to_pylist()
+        names = b.column("job").take(pa.array(cuts[:-1])).to_pylist()
+        mask = np.bitwise_or.reduceat(b.column("mask").to_numpy(), cuts[:-1])
+        any_of = lambda c: np.logical_or.reduceat(b.column(c).to_numpy(zero_copy_only=False).astype(bool), cuts[:-1])
+        mask = mask | np.where(any_of("recorded") & ~any_of("fits"), 1 << PROBLEMS.index("no_fitting_record"), 0)
+        refused = np.flatnonzero(mask)
+        if len(refused):
+            yield pa.RecordBatch.from_pylist([{"job": names[j], "reason": INPUT, "problems": sorted(p for i, p in enumerate(PROBLEMS) if mask[j] >> i & 1)} for j in refused], schema=arrow)
+        good = np.flatnonzero(mask == 0)
+        if not len(good):
+            return
+        code = np.repeat(np.arange(len(names)), np.diff(cuts))
+        fits = b.column("fits").to_numpy(zero_copy_only=False).astype(bool)
+        counts = np.bincount(code[fits], minlength=len(names))
         width = np.ceil(np.log2(np.maximum(counts, n + 1))).astype(int)
-        for w in np.unique(width):
-            alike = np.flatnonzero(width == w)
+        for w in np.unique(width[good]):
+            alike = good[width[good] == w]
             step = max(1, NUMBERS // ((2 << int(w)) * (n + 1)))
             for jobs in (alike[i : i + step] for i in range(0, len(alike), step)):
                 at = np.concatenate([np.arange(cuts[j], cuts[j + 1]) for j in jobs])
-                states = _decided(white[at], counts[jobs], parameters, o)
-                yield pa.RecordBatch.from_pylist([{"job": names[j], **s} for j, s in zip(jobs, states, strict=True)], schema=arrow)
+                own, fitted = b.take(pa.array(at)), b.take(pa.array(at[fits[at]]))
+                states = _decided(_white(fitted, n), counts[jobs], parameters, o)
+                extra = measured(own, np.repeat(np.arange(len(jobs)), np.diff(cuts)[jobs]), states)
+                yield pa.RecordBatch.from_pylist([{"job": names[j], "problems": [], **s, **m} for j, s, m in zip(jobs, states, extra, strict=True)], schema=arrow)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carry = None
@@ -279,7 +389,7 @@ def _whole(n: int, parameters: list[Parameter], o: Options, arrow: pa.Schema):
             if not b.num_rows:
                 continue
             b = b if carry is None else pa.Table.from_batches([carry, b]).combine_chunks().to_batches()[0]
-            code = pd.factorize(b.column("job").to_numpy(zero_copy_only=False))[0]
+            code = pd.factorize(b.column("job").to_numpy(zero_copy_only=False), use_na_sentinel=False)[0]
             cuts = np.flatnonzero(np.diff(code, prepend=-1))
             carry = b.slice(int(cuts[-1]))
             if len(cuts) > 1:
@@ -291,7 +401,9 @@ def _whole(n: int, parameters: list[Parameter], o: Options, arrow: pa.Schema):
 
 
 def fit_adjustment(records: DataFrame, observations: DataFrame, parameters: list[Parameter] | tuple[Parameter, ...] = TRANSLATION, options: Options = Options()) -> Adjustment:
-    """records and observations as of input_problems, of any number of jobs. jobs: job_id, accepted, rejection_reason (invalid_input with its problems, or why a system was refused), problems, parameters (names used), p, information
+    """records: job_id, match_id, role, line, cov_yy, cov_xy, cov_xx (null without covariance), covariance_frame, covariance_calibrated. observations: job_id, match_id, residual_y, residual_x, design (2 x n). Of any number of jobs.
+    Both tables are shuffled once, together and by job; a job with more than WHOLE of either goes through rounds of its own.
+     jobs: job_id, accepted, rejection_reason (invalid_input with its problems, or why a system was refused), problems, parameters (names used), p, information
     (inverse of the conditional information), iterations, rank, condition, attempts, dropped, loss, the metrics of fitting and withheld records (fit_, check_) and the correlation of residuals with lines.
     residuals: job_id, match_id, role, line, residual_y, residual_x (what the parameters leave), mahalanobis (null without a covariance in source pixels), weight (of fitting records)."""
     names = [p.name for p in parameters]
@@ -299,24 +411,28 @@ def fit_adjustment(records: DataFrame, observations: DataFrame, parameters: list
         raise ValueError("parameters need names of their own and units, one at least")
     n, parameters = len(names), list(parameters)
     spark = records.sparkSession
-    bad = input_problems(records, observations, n)
-    bad = materialise(bad.groupBy("job_id").agg(F.sort_array(F.collect_set("problem")).alias("problems")))  # codes: a handful
-    keys = ["job_id", "match_id"]
-    rows = records.select(*keys, "role", "line", "cov_yy", "cov_xy", "cov_xx", "covariance_frame").join(observations.select(*keys, "residual_y", "residual_x", "design"), keys)
-    rows = materialise(rows.join(sized(bad.select("job_id")), "job_id", "left_anti"))
-    fitting = rows.where(F.col("role") == FITTING).select(F.col("job_id").alias("job"), "residual_y", "residual_x", "design", "cov_yy", "cov_xy", "cov_xx")
+    sides = _sides(records, observations, n)
+    rows = _met(sides)
+    counts = records.select("job_id", F.lit(1).alias("r"), F.lit(0).alias("o")).unionByName(observations.select("job_id", F.lit(0).alias("r"), F.lit(1).alias("o"))).groupBy("job_id").agg(F.sum("r").alias("r"), F.sum("o").alias("o"))
+    large = materialise(counts.where(F.greatest("r", "o") > WHOLE).select(F.col("job_id").alias("_job")))
+    own = F.col("job_id").eqNullSafe(F.col("_job"))
+    values = ("line", "cov_yy", "cov_xy", "cov_xx", "residual_y", "residual_x", *(f"d{i}" for i in range(2 * n)))
     kind = rows.schema["job_id"].dataType
     none = lambda t: F.lit(None).cast(t)
     schema = T.StructType([T.StructField("job", kind), *T._parse_datatype_string(_STATE).fields])
+    told = T.StructType([*schema.fields, *T._parse_datatype_string(_TOLD).fields])
     arrow, columns = to_arrow_schema(schema), schema.names
-    large = materialise(fitting.groupBy("job").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > WHOLE).select("job"))
-    few, large = fitting, None if large.isEmpty() else sized(large)
-    if large is not None:
-        few, fitting = fitting.join(large, "job", "left_anti"), fitting.join(large, "job", "left_semi")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    known = materialise(few.repartition(parts, "job").sortWithinPartitions("job").mapInArrow(_whole(n, parameters, options, arrow), schema))
-    if large is None:
-        return Adjustment(*_results(rows, known, bad, names, options))
+    few = sides if large.isEmpty() else sides.join(sized(large), own, "left_anti")
+    few = _met(few.repartition("job_id")).select(F.col("job_id").alias("job"), "mask", "recorded", "fits", *values).sortWithinPartitions("job")  # dealt by job, so that its records meet without another shuffle
+    known = materialise(few.mapInArrow(_whole(n, parameters, options, to_arrow_schema(told)), told))
+    jobs, accepted = _jobs(known, names), known.where("reason is null").select(F.col("job").alias("job_id"), "p", "active")
+    if large.isEmpty():
+        return Adjustment(jobs, _residuals(rows, accepted, n, options))
+    apart = materialise(_met(sides.join(sized(large), own, "left_semi")))
+    masks = materialise(_job_masks(apart))
+    bad = masks.where("mask != 0").select("job_id", _named(F.col("mask")).alias("problems"))
+    apart = apart.join(sized(masks.where("mask = 0").select("job_id")), "job_id", "left_semi")
+    fitting = apart.where("fits").select(F.col("job_id").alias("job"), *values[1:])
     with recorded() as held:
         state = materialise(fitting.select("job").distinct().select(
             "job", F.lit(0).alias("t"), none("array<double>").alias("p"), none("array<double>").alias("before"), F.array(*map(F.lit, range(n))).alias("active"), F.lit(False).alias("done"), none("string").alias("reason"), F.lit(0).alias("rank"),
@@ -340,29 +456,42 @@ def fit_adjustment(records: DataFrame, observations: DataFrame, parameters: list
             state = materialise(live.join(whole, "job").mapInArrow(decide, schema).unionByName(state.where("done")))
         drop_tables(spark, held)
         held = made
-    return Adjustment(*_results(rows, known.unionByName(state), bad, names, options))
+    found = state.where("reason is null").select(F.col("job").alias("job_id"), "p", "active")
+    jobs = jobs.unionByName(_measured_apart(state, materialise(_residuals(apart, found, n, options)), names, options))
+    refused = bad.select("job_id", F.lit(False).alias("accepted"), F.lit(INPUT).alias("rejection_reason"), "problems")
+    return Adjustment(jobs.unionByName(refused, allowMissingColumns=True), _residuals(rows, accepted.unionByName(found), n, options))
 
 
-def _results(rows: DataFrame, state: DataFrame, bad: DataFrame, names: list[str], o: Options) -> tuple[DataFrame, DataFrame]:
-    name = F.array(*map(F.lit, names))
-    accepted = state.where("reason is null").select(F.col("job").alias("job_id"), "p", "active")
-    left = lambda line: F.aggregate(F.arrays_zip("active", "p"), F.lit(0.0), lambda a, z: a + F.get(F.get("design", F.lit(line)), z["active"]) * z["p"])
-    res = rows.join(sized(accepted), "job_id").withColumns({"residual_y": F.col("residual_y") - left(0), "residual_x": F.col("residual_x") - left(1)})
+def _residuals(rows: DataFrame, accepted: DataFrame, n: int, o: Options) -> DataFrame:
+    """rows: of _met. What the parameters of the accepted jobs leave."""
+    left = lambda line: F.aggregate(F.arrays_zip("active", "p"), F.lit(0.0), lambda a, z: a + F.get(F.col("design"), z["active"] + F.lit(line * n)) * z["p"])
+    res = rows.join(sized(accepted), "job_id").withColumn("design", F.array(*(f"d{i}" for i in range(2 * n))))
+    res = res.withColumns({"residual_y": F.col("residual_y") - left(0), "residual_x": F.col("residual_x") - left(1)})
     l11 = F.sqrt("cov_yy")
     first, l21 = F.col("residual_y") / l11, F.col("cov_xy") / l11
     norm = F.hypot(first, (F.col("residual_x") - l21 * first) / F.sqrt(F.col("cov_xx") - l21 * l21))
-    res = res.withColumn("mahalanobis", F.when(F.col("covariance_frame") == SOURCE_FRAME, norm))
-    res = res.withColumn("weight", F.when(F.col("role") == FITTING, F.when(F.col("mahalanobis") <= o.delta, 1.0).otherwise(o.delta / F.col("mahalanobis"))))
-    res = materialise(res.select("job_id", "match_id", "role", "line", "residual_y", "residual_x", "mahalanobis", "weight"))
-    parts = res.select("job_id", "role", "line", "mahalanobis", F.col("residual_y").alias("dy"), F.col("residual_x").alias("dx"))
-    jobs = state.select(
-        F.col("job").alias("job_id"), F.col("reason").isNull().alias("accepted"), F.col("reason").alias("rejection_reason"), F.array().cast("array<string>").alias("problems"), F.when(F.col("reason").isNull(), F.transform("active", lambda i: F.get(name, i))).alias("parameters"), "p", "information",
-        "iterations", "rank", "condition", "attempts", F.array_except(name, F.transform("active", lambda i: F.get(name, i))).alias("dropped"),
+    res = res.withColumn("mahalanobis", F.when(F.col("source"), norm)).withColumn("role", F.when(F.col("fits"), FITTING).otherwise(WITHHELD))
+    res = res.withColumn("weight", F.when(F.col("fits"), F.when(F.col("mahalanobis") <= o.delta, 1.0).otherwise(o.delta / F.col("mahalanobis"))))
+    return res.select("job_id", "match_id", "role", "line", "residual_y", "residual_x", "mahalanobis", "weight")
+
+
+def _jobs(state: DataFrame, names: list[str]) -> DataFrame:
+    """Decided states as rows of jobs, with the columns of _TOLD that they have."""
+    name = F.array(*map(F.lit, names))
+    told = [c for c in state.columns if c.startswith(("fit_", "check_")) or c in ("loss", "line_to_y", "line_to_x")]
+    problems = F.col("problems") if "problems" in state.columns else F.array().cast("array<string>")
+    return state.select(
+        F.col("job").alias("job_id"), F.col("reason").isNull().alias("accepted"), F.col("reason").alias("rejection_reason"), problems.alias("problems"), F.when(F.col("reason").isNull(), F.transform("active", lambda i: F.get(name, i))).alias("parameters"), "p", "information",
+        "iterations", "rank", "condition", "attempts", F.array_except(name, F.transform("active", lambda i: F.get(name, i))).alias("dropped"), *told,
     )
+
+
+def _measured_apart(state: DataFrame, res: DataFrame, names: list[str], o: Options) -> DataFrame:
+    """Rows of jobs with the metrics of their residuals, by aggregation."""
+    parts = res.select("job_id", "role", "line", "mahalanobis", F.col("residual_y").alias("dy"), F.col("residual_x").alias("dx"))
+    jobs = _jobs(state, names)
     for role, prefix in ((FITTING, "fit"), (WITHHELD, "check")):
         m = routes.residual_metrics(parts.where(F.col("role") == role), ["job_id"])
         jobs = jobs.join(m.select("job_id", *(F.col(c).alias(f"{prefix}_{c}") for c in m.columns if c != "job_id")), "job_id", "left")
     fit = parts.where(F.col("role") == FITTING)
-    jobs = jobs.join(fit.groupBy("job_id").agg(F.sum(routes.huber_loss(F.col("mahalanobis"), o.delta)).alias("loss")), "job_id", "left").join(routes.scan_line_correlation(fit, ["job_id"], o.least_norm), "job_id", "left")
-    refused = bad.select("job_id", F.lit(False).alias("accepted"), F.lit(INPUT).alias("rejection_reason"), "problems")
-    return jobs.unionByName(refused, allowMissingColumns=True), res
+    return jobs.join(fit.groupBy("job_id").agg(F.sum(routes.huber_loss(F.col("mahalanobis"), o.delta)).alias("loss")), "job_id", "left").join(routes.scan_line_correlation(fit, ["job_id"], o.least_norm), "job_id", "left")

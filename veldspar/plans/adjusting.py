@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from veldspar.operators import adjustment
 from veldspar.plans.registry import _r, _t, query
+from veldspar.tables import materialise
 
 _ROWS = """r AS (SELECT l_partkey AS job_id, concat_ws('-', l_orderkey, l_linenumber, l_suppkey) AS match_id, l_linenumber = 7 AS held, min(l_quantity) AS line,
     min(l_tax) * 10 + 0.01e0 * min(l_quantity) AS ry, min(l_discount) * 10 - 0.5e0 AS rx FROM lineitem GROUP BY 1, 2, 3)"""
@@ -14,7 +15,7 @@ _ROWS = """r AS (SELECT l_partkey AS job_id, concat_ws('-', l_orderkey, l_linenu
 def _tables(spark, d, cov_xy: float):
     """Records and observations without their design; one job in forty has an uncalibrated record."""
     _t(spark, d, "lineitem").createOrReplaceTempView("adjusted_items")
-    rows = spark.sql(f"WITH {_ROWS.replace('e0', 'D').replace('FROM lineitem', 'FROM adjusted_items')} SELECT * FROM r")
+    rows = materialise(spark.sql(f"WITH {_ROWS.replace('e0', 'D').replace('FROM lineitem', 'FROM adjusted_items')} SELECT * FROM r"))  # both tables are read from it
     records = rows.select(
         "job_id", "match_id", F.when(F.col("held"), adjustment.WITHHELD).otherwise(adjustment.FITTING).alias("role"), "line", F.lit(0.3).alias("cov_yy"), F.lit(cov_xy).alias("cov_xy"), F.lit(0.2).alias("cov_xx"),
         F.lit(adjustment.SOURCE_FRAME).alias("covariance_frame"), (F.col("job_id") % 40 != 7).alias("covariance_calibrated"),
