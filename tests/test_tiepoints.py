@@ -140,3 +140,25 @@ def test_round_trips_whose_forward_rows_stay_in_one_cell(spark):
     assert [(*x[:6], x[7]) for x in got] == [(*x[:6], x[7]) for x in sorted(want, key=key)]
     assert [x[6] for x in got] == pytest.approx([x[6] for x in sorted(want, key=key)])
     assert rows._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("Exchange hash") == 2  # each side is shuffled once
+
+
+def test_small_jobs_are_fitted_after_one_shuffle(spark, monkeypatch):
+    """Each row is shuffled once, and jobs that a task fits whole get what those in parts get."""
+    from tests.test_adjustment import _shuffled
+
+    rng = np.random.default_rng(5)
+    rows = []
+    for job in range(60):
+        for i in range(int(rng.integers(1, 40))):
+            x, y = rng.uniform(0, 100, 2)
+            off = rng.normal(size=2) * 0.3 + (30 if i % 6 == 5 else 0)
+            rows.append((job, f"m{i:02d}", float(x), float(y), float(2 * x - y + 3 + off[0]), float(x + 0.5 * y - 1 + off[1])))
+    df = spark.createDataFrame(rows, "job_id int, match_id string, line double, sample double, ref_line double, ref_sample double")
+    told = lambda: {(r["job_id"], r["match_id"]): r for r in tiepoints.robust_affine(df, 1.0, seed=3).collect()}
+    before = _shuffled(spark)
+    whole = told()
+    assert len(whole) == len(rows) and _shuffled(spark) - before < 1.5 * len(rows)
+    monkeypatch.setattr(tiepoints, "WHOLE", 0)
+    for k, r in told().items():
+        assert (r["is_inlier"], (r["rejection_reason"] or "")[:30]) == (whole[k]["is_inlier"], (whole[k]["rejection_reason"] or "")[:30])
+        assert (r["residual_px"] is None) == (whole[k]["residual_px"] is None) and (r["residual_px"] is None or r["residual_px"] == pytest.approx(whole[k]["residual_px"], abs=1e-6))

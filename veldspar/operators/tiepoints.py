@@ -309,17 +309,115 @@ def _inliers(rows: DataFrame, spots: DataFrame, threshold: float, trials: int, s
     return counted.groupBy("job_id", "trial").agg(F.sum("inliers").alias("inliers"), F.sum("total").alias("total"), *(F.first(c).alias(c) for c in _COEFFICIENTS))
 
 
+#: Rows of a job up to which one task fits it whole, and numbers that it holds in an array of jobs of one size.
+WHOLE, NUMBERS = 8192, 1 << 20
+
+
+def _fitted(points: np.ndarray, threshold: float, trials: int, min_inliers: int, seed: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """points: jobs x rows x (x, y, u, v), in order. Each job's inliers of its best trial (-1 without a trial), that trial's affine and the refit (NaN where there is none)."""
+    jobs, n = points.shape[:2]
+    inliers, tried, refit = np.full(jobs, -1), np.full((jobs, 6), np.nan), np.full((jobs, 6), np.nan)
+    if n < 3:
+        return inliers, tried, refit
+    p = points[:, _triples(n, trials, seed)].reshape(-1, 3, 4)
+    found, at = _through_three(p)
+    m = np.full((len(p), 6), np.nan)
+    m[at] = found
+    m = m.reshape(jobs, -1, 6)
+    x, y, u, v = (points[:, :, i, None] for i in range(4))
+    a, b, c, d, e, f = (m[:, None, :, i] for i in range(6))
+    off = np.hypot(a * x + b * y + c - u, d * x + e * y + f - v)
+    near = off <= threshold
+    count, total = np.where(np.isnan(m[:, :, 0]), -1, near.sum(1)), np.where(near, off, 0.0).sum(1)
+    total = np.where(count == count.max(1, keepdims=True), total, np.inf)
+    best, own = total.argmin(1), np.arange(jobs)
+    inliers, some = count[own, best], count[own, best] >= 0
+    tried[some] = m[own, best][some]
+    inside = near[own, :, best]
+    k = np.maximum(inside.sum(1), 1)
+    mean = lambda z: np.where(inside, z, 0.0).sum(1) / k
+    mx, my, mu, mv = (mean(points[:, :, i]) for i in range(4))
+    gx, gy, gu, gv = (points[:, :, i] - z[:, None] for i, z in enumerate((mx, my, mu, mv)))
+    vx, vy, vxy = mean(gx * gx), mean(gy * gy), mean(gx * gy)
+    det = vx * vy - vxy * vxy
+    with np.errstate(divide="ignore", invalid="ignore"):
+        for i, (g, z) in enumerate(((gu, mu), (gv, mv))):
+            xu, yu = mean(gx * g), mean(gy * g)
+            q, r = (xu * vy - yu * vxy) / det, (yu * vx - xu * vxy) / det
+            refit[:, 3 * i : 3 * i + 3] = np.stack([q, r, z - q * mx - r * my], 1)
+    refit[~((inliers >= max(min_inliers, 3)) & (det > 1e-12 * vx * vy))] = np.nan
+    return inliers, tried, refit
+
+
+def _fits(threshold: float, trials: int, min_inliers: int, seed: int | None):
+    """Over rows sorted by job and place in it: each row with its job's number of rows, inliers, trial and refit; jobs of one size go side by side."""
+
+    def fitted(b: pa.RecordBatch, cuts: np.ndarray) -> pa.RecordBatch:
+        points = np.stack([b.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("line", "sample", "ref_line", "ref_sample")], 1)
+        size = np.diff(cuts)
+        inliers, tried, refit = np.zeros(len(size), np.int64), np.full((len(size), 6), np.nan), np.full((len(size), 6), np.nan)
+        for n in np.unique(size):
+            alike = np.flatnonzero(size == n)
+            step = max(1, NUMBERS // (n * trials))
+            for jobs in (alike[i : i + step] for i in range(0, len(alike), step)):
+                at = cuts[:-1][jobs][:, None] + np.arange(n)
+                inliers[jobs], tried[jobs], refit[jobs] = _fitted(points[at], threshold, trials, min_inliers, seed)
+        whole = [np.repeat(z, size, 0) for z in (size.astype(np.int64), inliers, tried, refit)]
+        cells = [pa.array(z[:, i], mask=np.isnan(z[:, i])) for z in whole[2:] for i in range(6)]
+        return pa.RecordBatch.from_arrays([*b.columns, pa.array(whole[0]), pa.array(whole[1]), *cells], names=[*b.schema.names, "n", "inliers", *(f"t_{c}" for c in _COEFFICIENTS), *_COEFFICIENTS])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carry = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            b = b if carry is None else pa.Table.from_batches([carry, b]).combine_chunks().to_batches()[0]
+            code = pd.factorize(b.column("job_id").to_numpy(zero_copy_only=False))[0]
+            cuts = np.flatnonzero(np.diff(code, prepend=-1))
+            carry = b.slice(int(cuts[-1]))
+            if len(cuts) > 1:
+                yield fitted(b.slice(0, int(cuts[-1])), cuts)
+        if carry is not None:
+            yield fitted(carry, np.array([0, carry.num_rows]))
+
+    return run
+
+
 def robust_affine(rows: DataFrame, threshold: float, trials: int = 128, min_inliers: int = 3, seed: int | None = None) -> DataFrame:
     """Per job: affines through triples of points, the one with most inliers (then least sum of residuals, then the first), refit on its inliers.
 
-    Row order (ord, then match_id) is part of the semantics. Without a seed the triples are the first `trials` combinations, for which a job's first rows are ranked alone, and inliers are told anew by the
-    refit; with one they are seeded choices and the trial's inliers stay. A job's rows are dealt in parts of at most about PART rows, and stream past its models (a part of each task), so that
-    no job has to fit in a task. Gives job_id, match_id, residual_px, is_inlier, rejection_reason and the affine."""
+    Row order (ord if there is such a column, then match_id) is part of the semantics. Without a seed the triples are the first `trials` combinations, for which a job's first rows are ranked alone, and inliers are told anew by the
+    refit; with one they are seeded choices and the trial's inliers stay. Jobs of at most WHOLE rows are fitted whole, many side by side, after one shuffle of the rows. A larger job's rows are dealt in parts of at most about PART rows, and
+    stream past its models (a part of each task), so that no job has to fit in a task. Gives job_id, match_id, residual_px, is_inlier, rejection_reason and the affine."""
     place = {"x": "line", "y": "sample", "u": "ref_line", "v": "ref_sample"}
-    w = Window.partitionBy("job_id").orderBy("ord", "match_id")
-    rows = materialise(rows.select("job_id", "match_id", "ord", *[F.col(c).cast("double") for c in place.values()]))
-    jobs = materialise(rows.groupBy("job_id").agg(F.count(F.lit(1)).alias("n")))
-    ranked = rows.withColumn("at", F.row_number().over(w))
+    order = [c for c in ("ord", "match_id") if c in rows.columns]
+    rows = rows.where("job_id is not null").select("job_id", *reversed(order), *[F.col(c).cast("double") for c in place.values()])
+    large = materialise(rows.groupBy("job_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > min(WHOLE, PART)))
+    few = rows if large.isEmpty() else rows.join(sized(large.select("job_id")), "job_id", "left_anti")
+    few = few.repartition("job_id").sortWithinPartitions("job_id", *order).drop("ord")
+    fields = [*few.schema.fields, *(T.StructField(c, T.LongType()) for c in ("n", "inliers")), *(T.StructField(c, T.DoubleType()) for c in (*(f"t_{k}" for k in _COEFFICIENTS), *_COEFFICIENTS))]
+    out = few.mapInArrow(_fits(threshold, trials, min_inliers, seed), T.StructType(fields))
+    if not large.isEmpty():
+        apart = _fitted_apart(rows.join(sized(large.select("job_id")), "job_id", "left_semi"), order, large, threshold, trials, min_inliers, seed)
+        out = out.unionByName(apart.select(*out.columns))
+    fitted = F.col("u_line").isNotNull()
+    residual = F.when(fitted, affine_residual(*map(F.col, place.values())))
+    by_trial = affine_residual(*map(F.col, place.values()), of="t_") <= threshold
+    inlier = F.coalesce(fitted & ((F.col("residual_px") <= threshold) if seed is None else by_trial), F.lit(False))
+    reason = (
+        F.when(F.col("n") < 3, "robust affine fit did not converge: fewer than three candidate correspondences")
+        .when(F.coalesce(F.col("inliers"), F.lit(-1)) < min_inliers, "robust affine fit did not converge: insufficient geometrically consistent candidates")
+        .when(~fitted, "robust affine fit did not converge: inlier design is rank deficient")
+        .when(~F.col("is_inlier"), F.format_string(f"robust affine residual %.4fpx exceeds residual_threshold_px={threshold:.4f}", F.col("residual_px")))
+    )
+    return out.withColumn("residual_px", residual).withColumn("is_inlier", inlier).withColumn("rejection_reason", reason).select("job_id", "match_id", "residual_px", "is_inlier", "rejection_reason", *_COEFFICIENTS)
+
+
+def _fitted_apart(rows: DataFrame, order: list[str], jobs: DataFrame, threshold: float, trials: int, min_inliers: int, seed: int | None) -> DataFrame:
+    """rows of large jobs (jobs: job_id, n), each with what _fits adds."""
+    place = {"x": "line", "y": "sample", "u": "ref_line", "v": "ref_sample"}
+    rows = materialise(rows)
+    ranked = rows.withColumn("at", F.row_number().over(Window.partitionBy("job_id").orderBy(*order)))
     if seed is None:  # the first combinations use none but a job's first rows
         first = ranked.where(F.col("at") <= trials + 3)
     else:
@@ -327,25 +425,13 @@ def robust_affine(rows: DataFrame, threshold: float, trials: int = 128, min_inli
         first = ranked.join(picks.withColumn("at", F.col("at") + 1), ["job_id", "at"])
     spot = F.struct((F.col("at") - 1).cast("long").alias("at"), *[F.col(c).alias(n) for n, c in place.items()])
     spots = jobs.where("n >= 3").join(first.groupBy("job_id").agg(F.collect_list(spot).alias("spots")), "job_id")  # at most three rows a trial
-    r = affine_residual(*map(F.col, place.values()))
     scored = _inliers(rows, spots, threshold, trials, seed)
     best = scored.groupBy("job_id").agg(F.min_by(F.struct("inliers", "trial", *_COEFFICIENTS), F.struct((-F.col("inliers")).alias("less"), "total", "trial")).alias("b"))
     chosen = materialise(best.select("job_id", "b.*"))
-    inside = rows.join(chosen.where(F.col("inliers") >= min_inliers), "job_id").withColumn("r", r)
+    inside = rows.join(sized(chosen.where(F.col("inliers") >= min_inliers)), "job_id").withColumn("r", affine_residual(*map(F.col, place.values())))
     refit = affine_normal_fit(inside.where(F.col("r") <= threshold).select("job_id", *place.values()), ["job_id"]).drop("n")
     tried = chosen.select("job_id", "inliers", *[F.col(c).alias(f"t_{c}") for c in _COEFFICIENTS])
-    out = rows.join(jobs, "job_id").join(tried, "job_id", "left").join(refit, "job_id", "left")
-    fitted = F.col("u_line").isNotNull()
-    residual = F.when(fitted, affine_residual(*map(F.col, place.values())))
-    by_trial = affine_residual(*map(F.col, place.values()), of="t_") <= threshold
-    inlier = F.coalesce(fitted & ((F.col("residual_px") <= threshold) if seed is None else by_trial), F.lit(False))
-    reason = (
-        F.when(F.col("n") < 3, "robust affine fit did not converge: fewer than three candidate correspondences")
-        .when(F.coalesce(F.col("inliers"), F.lit(-1)) < min_inliers, "robust affine fit did not converge: insufficient geometrically consistent candidates")
-        .when(~fitted, "robust affine fit did not converge: inlier design is rank deficient")
-        .when(~F.col("is_inlier"), F.format_string(f"robust affine residual %.4fpx exceeds residual_threshold_px={threshold:.4f}", F.col("residual_px")))
-    )
-    return out.withColumn("residual_px", residual).withColumn("is_inlier", inlier).withColumn("rejection_reason", reason).select("job_id", "match_id", "residual_px", "is_inlier", "rejection_reason", *_COEFFICIENTS)
+    return rows.join(sized(materialise(jobs.join(tried, "job_id", "left").join(refit, "job_id", "left"))), "job_id")
 
 
 def verify_candidates(forward: DataFrame, reverse: DataFrame, most: float, dedup_radius: float, nms_radius: float, threshold: float, anchor: float | None = None, trials: int = 128, min_inliers: int = 3, seed: int = 0) -> DataFrame:
@@ -353,7 +439,7 @@ def verify_candidates(forward: DataFrame, reverse: DataFrame, most: float, dedup
     rows = verify_forward_backward(forward, reverse, most / 2 if anchor is None else anchor, most, "annotate")
     rows = materialise(suppress_non_maxima(remove_duplicates(rows, dedup_radius), nms_radius))
     alive = rows.where("nms_status = 'survived'")
-    fit = robust_affine(alive.withColumn("ord", F.col("match_id")), threshold, trials, min_inliers, seed).drop(*_COEFFICIENTS)
+    fit = robust_affine(alive, threshold, trials, min_inliers, seed).drop(*_COEFFICIENTS)
     return rows.drop("residual_px", "is_inlier", "rejection_reason").join(fit, ["job_id", "match_id"], "left")
 
 
@@ -365,7 +451,7 @@ def verify_match_candidates(forward: DataFrame, reverse: DataFrame | None, most:
     else:
         rows = verify_forward_backward(rows, reverse, most / 2 if anchor is None else anchor, most, "reject").withColumnRenamed("rejection_reason", "_why")
     rows = materialise(rows)
-    fit = robust_affine(rows.where("_why is null").withColumn("ord", F.col("match_id")), threshold, trials, min_inliers)
+    fit = robust_affine(rows.where("_why is null"), threshold, trials, min_inliers)
     out = rows.join(fit, ["job_id", "match_id"], "left")
     return out.withColumn("rejection_reason", F.coalesce("_why", "rejection_reason")).withColumn("is_inlier", F.coalesce("is_inlier", F.lit(False))).drop("_why")
 

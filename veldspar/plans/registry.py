@@ -290,8 +290,7 @@ def affine_fit(spark, d):
 
 @query()
 def robust_affine_fit(spark, d):
-    rows = ties(spark, d).withColumn("ord", F.col("match_id"))
-    return tiepoints.robust_affine(rows, 3.0).select("job_id", "match_id", _r(F.col("residual_px"), 4).alias("residual_px"), "is_inlier", "rejection_reason")
+    return tiepoints.robust_affine(ties(spark, d), 3.0).select("job_id", "match_id", _r(F.col("residual_px"), 4).alias("residual_px"), "is_inlier", "rejection_reason")
 
 
 _CELL = "least(greatest(floor(line / 1024.0e0 * 8), 0), 7)::INT"
