@@ -8,6 +8,7 @@ from itertools import combinations, islice
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from veldspar.operators import tiepoints
 
@@ -162,3 +163,22 @@ def test_small_jobs_are_fitted_after_one_shuffle(spark, monkeypatch):
     for k, r in told().items():
         assert (r["is_inlier"], (r["rejection_reason"] or "")[:30]) == (whole[k]["is_inlier"], (whole[k]["rejection_reason"] or "")[:30])
         assert (r["residual_px"] is None) == (whole[k]["residual_px"] is None) and (r["residual_px"] is None or r["residual_px"] == pytest.approx(whole[k]["residual_px"], abs=1e-6))
+
+
+def test_verification_broadcasts_only_what_was_counted(spark, monkeypatch):
+    """A table's bytes on disk say little of its rows: without the counted broadcasts none is left, whatever the planner's own limit, and the rows are the same."""
+    rng = np.random.default_rng(3)
+    rows = [(j, f"m{i:03d}", *map(float, (x, y, x + 1, y - 1)), float(rng.integers(0, 9))) for j in range(3) for i, (x, y) in enumerate(rng.uniform(0, 60, (150, 2)))]
+    forward = spark.createDataFrame(rows, "job_id int, match_id string, line double, sample double, ref_line double, ref_sample double, score double").withColumn("residual_px", F.lit(0.0)).withColumn("is_inlier", F.lit(True)).withColumn("rejection_reason", F.lit(None).cast("string"))
+    reverse = forward.where("score > 3").selectExpr("job_id", "'r' || match_id AS rev_id", "ref_line", "ref_sample", "line", "sample")
+    told = lambda: {tuple(r) for r in tiepoints.verify_candidates(forward, reverse, 5.0, 2.0, 6.0, 3.0, seed=7).select("job_id", "match_id", "nms_status", "is_inlier").collect()}
+    want = told()
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    monkeypatch.setattr(tiepoints, "sized", lambda df: df.hint("merge"))
+    got = told()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    seen = store.executionsList(int(before), 1000)
+    assert got == want and {r[2] for r in got} == {"survived", "suppressed"} and seen.size() > 10
+    plans = [seen.apply(i).physicalPlanDescription() for i in range(seen.size())]
+    assert not [p for p in plans if "BroadcastExchange" in p]

@@ -48,9 +48,9 @@ def remove_duplicates(rows: DataFrame, radius: float) -> DataFrame:
     roots = components(pairs.select("u", "v"))
     scored = pairs.select(F.explode(F.array(F.struct("u", "us"), F.struct(F.col("v").alias("u"), F.col("vs").alias("us")))).alias("n"))  # only rows with a neighbour go on
     scored = scored.select(F.col("n.u").alias("node"), F.col("n.us").alias("score")).groupBy("node").agg(F.max("score").alias("score"))
-    met = materialise(scored.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "score"))
+    met = materialise(scored.join(roots.hint("merge"), "node", "left").select("node", F.coalesce("root", "node").alias("root"), "score"))
     best = met.groupBy("root").agg(F.min_by("node", F.struct((-F.col("score")).alias("s"), F.col("node.match_id").alias("m"))).alias("_best"))
-    lost = materialise(met.join(best, "root").where("node != _best").select("node.job_id", "node.match_id"))
+    lost = materialise(met.join(best.hint("merge"), "root").where("node != _best").select("node.job_id", "node.match_id"))
     return rows.join(sized(lost), ["job_id", "match_id"], "left_anti")
 
 
@@ -80,7 +80,8 @@ def greedy_losers(pairs: DataFrame) -> DataFrame:
     """pairs: better, worse (distinct, of one total order). The nodes that a greedy pass in that order would suppress, as `loser`.
 
     In each round a node without a better undecided neighbour survives and its worse neighbours lose; decided nodes leave. After ROUNDS rounds the pairs that are
-    left fall into components, and those of at most COMPONENT pairs are decided by one task each, however long their chains; what is larger goes on in rounds. Rounds and losers are tables."""
+    left fall into components, and those of at most COMPONENT pairs are decided by one task each, however long their chains; what is larger goes on in rounds. Rounds and losers are tables; their joins are shuffled ones, as the bytes of a file
+    tell the planner little of the rows that a broadcast would bring to the driver."""
     spark = pairs.sparkSession
     kind = T.StructType([T.StructField("loser", pairs.schema["worse"].dataType)])
     with recorded() as made:
@@ -96,21 +97,22 @@ def greedy_losers(pairs: DataFrame) -> DataFrame:
         spent, n = made[-1:], n + 1
         with recorded() as made:
             if n % (ROUNDS + 1) or fields is None:
-                top = left.select("better").distinct().join(left.select(F.col("worse").alias("better")), "better", "left_anti")
-                gone = materialise(left.join(top, "better", "left_semi").select(F.col("worse").alias("loser")).distinct())
-                left = materialise(left.join(gone, F.col("worse") == F.col("loser"), "left_anti").join(gone, F.col("better") == F.col("loser"), "left_anti"))
+                top = left.select("better").distinct().join(left.select(F.col("worse").alias("better")).hint("merge"), "better", "left_anti")
+                gone = materialise(left.join(top.hint("merge"), "better", "left_semi").select(F.col("worse").alias("loser")).distinct())
+                lost = gone.hint("merge")
+                left = materialise(left.join(lost, F.col("worse") == F.col("loser"), "left_anti").join(lost, F.col("better") == F.col("loser"), "left_anti"))
                 keep = [made[0]]
             else:
                 roots = components(left.select(F.col("better").alias("u"), F.col("worse").alias("v")))
-                named = left.join(roots.withColumnRenamed("node", "better"), "better", "left").withColumn("root", F.coalesce("root", "better"))
+                named = left.join(roots.withColumnRenamed("node", "better").hint("merge"), "better", "left").withColumn("root", F.coalesce("root", "better"))
                 named = materialise(named.select("better", "worse", F.struct(*(F.col(f"root.{f.name}").alias(f.name) for f in fields)).alias("root")))
                 keep = made[-1:]
                 small = materialise(named.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= COMPONENT).select("root"))
                 flat = [T.StructField(f.name, f.dataType) for f in fields]
-                found = named.join(small, "root", "left_semi").groupBy("root").applyInPandas(lambda rows: pd.DataFrame(decide(rows).loser.tolist(), columns=[f.name for f in flat]), T.StructType(flat))
+                found = named.join(small.hint("merge"), "root", "left_semi").groupBy("root").applyInPandas(lambda rows: pd.DataFrame(decide(rows).loser.tolist(), columns=[f.name for f in flat]), T.StructType(flat))
                 gone = materialise(found.select(F.struct(*(f.name for f in flat)).alias("loser")))
                 keep = [made[-1]]
-                left = materialise(named.join(small, "root", "left_anti").select("better", "worse"))
+                left = materialise(named.join(small.hint("merge"), "root", "left_anti").select("better", "worse"))
             out.append(gone)
         drop_tables(spark, spent + [p for p in made[:-1] if p not in keep])
     return reduce(DataFrame.unionByName, out) if out else spark.createDataFrame([], kind)
@@ -128,7 +130,7 @@ def suppress_non_maxima(rows: DataFrame, radius: float) -> DataFrame:
     """Greedy by score, then id, within a job: survivors suppress later rows within radius. Adds nms_status."""
     first = (F.col("a_score") > F.col("b_score")) | ((F.col("a_score") == F.col("b_score")) & (F.col("a_match_id") < F.col("b_match_id")))
     losers = greedy_losers(_oriented(within(rows, radius, both_ways=False), first)).select("loser.job_id", "loser.match_id", F.lit(True).alias("_lost"))
-    return rows.join(losers, ["job_id", "match_id"], "left").withColumn("nms_status", F.when(F.col("_lost"), "suppressed").otherwise("survived")).drop("_lost")
+    return rows.join(sized(losers), ["job_id", "match_id"], "left").withColumn("nms_status", F.when(F.col("_lost"), "suppressed").otherwise("survived")).drop("_lost")
 
 
 def tile_duplicates(rows: DataFrame, radius: float) -> DataFrame:
@@ -173,7 +175,7 @@ def verify_forward_backward(forward: DataFrame, reverse: DataFrame, tolerance: f
     right = reverse.select("job_id", "rev_id", *[F.col(c).alias(f"_r_{c}") for c in ("ref_line", "ref_sample", "line", "sample")], reach("ref_line").alias("_ci")).select("*", reach("_r_ref_sample").alias("_cj"))
     gap = lambda line, sample: F.hypot(F.col(f"_f.{line}") - F.col(f"_r_{line}"), F.col(f"_f.{sample}") - F.col(f"_r_{sample}"))
     anchor = gap("ref_line", "ref_sample")
-    both = left.join(right.withColumnsRenamed({c: f"_r{c}" for c in at}), [F.col(c) == F.col(f"_r{c}") for c in at] + [anchor <= tolerance], "left")
+    both = left.join(right.withColumnsRenamed({c: f"_r{c}" for c in at}).hint("merge"), [F.col(c) == F.col(f"_r{c}") for c in at] + [anchor <= tolerance], "left")
     m = F.struct(anchor.alias("anchor"), gap("line", "sample").alias("trip"), F.col("rev_id"))
     best = both.groupBy(*at, "match_id", "_nth").agg(F.first("_f").alias("_f"), F.min(F.when(F.col("_rjob_id").isNotNull(), m)).alias("m"))
     out = best.select(*[F.col(f"_f.`{c}`").alias(c) for c in forward.columns], "m")
@@ -437,10 +439,12 @@ def _fitted_apart(rows: DataFrame, order: list[str], jobs: DataFrame, threshold:
 def verify_candidates(forward: DataFrame, reverse: DataFrame, most: float, dedup_radius: float, nms_radius: float, threshold: float, anchor: float | None = None, trials: int = 128, min_inliers: int = 3, seed: int = 0) -> DataFrame:
     """Round trips annotated, duplicates removed, non-maxima marked, and a seeded robust affine of the survivors (suppressed rows keep null fit columns)."""
     rows = verify_forward_backward(forward, reverse, most / 2 if anchor is None else anchor, most, "annotate")
-    rows = materialise(suppress_non_maxima(remove_duplicates(rows, dedup_radius), nms_radius))
+    with recorded() as made:
+        rows = materialise(suppress_non_maxima(remove_duplicates(materialise(rows), dedup_radius), nms_radius))
+    drop_tables(rows.sparkSession, made[:-1])
     alive = rows.where("nms_status = 'survived'")
     fit = robust_affine(alive, threshold, trials, min_inliers, seed).drop(*_COEFFICIENTS)
-    return rows.drop("residual_px", "is_inlier", "rejection_reason").join(fit, ["job_id", "match_id"], "left")
+    return rows.drop("residual_px", "is_inlier", "rejection_reason").join(fit.hint("merge"), ["job_id", "match_id"], "left")
 
 
 def verify_match_candidates(forward: DataFrame, reverse: DataFrame | None, most: float, threshold: float, anchor: float | None = None, trials: int = 128, min_inliers: int = 3) -> DataFrame:
