@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from veldspar.llm import addq
@@ -63,3 +64,35 @@ def test_cells_are_skipped_exactly(spread):
         looked += seen
     if spread < 0.1:
         assert looked < 0.4 * len(q) * 4000
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e-30, 1e30])
+def test_queries_share_a_scan(monkeypatch, scale):
+    """Queries of a part are answered together: none looks up the whole part by itself, and ranks and scores are those of brute force, whatever the vectors' size."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(3000, 16))
+    x[::7] = x[3]  # many ties
+    x *= scale
+    books = addq.fit_books(x[:1000] / scale, books=6, words=64).astype(np.float32) * np.float32(scale)
+    codes = addq.encode((x / scale).astype(np.float32), books / np.float32(scale))
+    approx = addq.decode(codes, books)
+    left, norm = (np.sqrt((z.astype(np.float64) ** 2).sum(1)) for z in (x - approx, approx))
+    looked, plain = [], addq.Part.looked_up
+    monkeypatch.setattr(addq.Part, "looked_up", lambda self, table, at: looked.append(len(at)) or plain(self, table, at))
+    run = addq._scan(type("B", (), {"value": books}), 20, 50)
+    own = np.arange(0, 3000, 50)
+    slack = left + addq.ROUNDING * (norm + left)
+    batches = []
+    for kind, ids, v, c, s in ((0, np.arange(3000), x, codes, slack), (1, own, x[own], codes[own], slack[own])):
+        vectors = pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1) * 16, pa.int32()), pa.array(v.ravel()))
+        batches.append(pa.record_batch([pa.array(np.zeros(len(ids), np.int32)), pa.array(np.full(len(ids), kind, np.int32)), pa.array(ids), vectors, pa.array(ids), pa.array([z.tobytes() for z in c], pa.binary()), pa.array(s)], ["part", "kind", "vec_id", "v", "row", "codes", "slack"]))
+    got = pa.Table.from_batches(list(run(iter(batches)))).to_pydict()
+    found = defaultdict(list)
+    for q, i, s in zip(got["query"], got["vec_id"], got["score"], strict=True):
+        found[q].append((i, s))
+    for q in own.tolist():
+        scores = (x * x[q]).sum(1)
+        scores[q] = -np.inf
+        want = np.lexsort((np.arange(3000), -scores))[:20]
+        assert [i for i, _ in found[q]] == want.tolist() and [s for _, s in found[q]] == scores[want].tolist()
+    assert sum(looked) < 0.5 * len(own) * 3000

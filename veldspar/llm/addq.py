@@ -8,7 +8,8 @@ from the true one, so that whatever could still reach the k-th exact score is sc
 
 The first codebook is a coarse quantiser: a part is sorted by first codeword, and of each such cell the largest distance of a member from the codeword is known. A query looks
 at the cells with the highest bounds first (inner product with the codeword, plus its own norm times that distance); once it has a k-th exact
-score, cells whose bound is below it are skipped whole, exactly.
+score, cells whose bound is below it are skipped whole, exactly. Queries go through a part some at a time: their lookup scores are one matrix product with the
+approximations that the codes stand for, and another one, of 32-bit copies of the vectors, checks what the bounds leave before the exact scores.
 
 Defined results: null or zero vectors and those with null or non-finite components take no part; vectors of another length than the query's
 are no candidates of it; ties go to the smaller id; every row counts for itself, so that rows of one repeated id are queries each with an answer of its own, and
@@ -34,6 +35,8 @@ RERANK = 400
 PART_ROWS, PART_BYTES = (8_192, 262_144), 128 << 20
 #: Lookup scores are sums of 32-bit numbers: their rounding error, relative to the norms of both vectors.
 ROUNDING = 1e-5
+#: What 32-bit numbers near zero may lack, for vectors of length one; scores that a task holds at a time.
+TINY, SCORES = 1e-36, 1 << 22
 #: Lengths of vectors that one table may hold: each has an index of its own.
 MAX_LENGTHS = 64
 
@@ -164,6 +167,11 @@ class Part:
         self.books, self.centres = books, books[0][self.cells].astype(np.float64)
         off = np.sqrt(((self.vecs - self.centres[np.repeat(np.arange(len(begin)), self.end - begin)]) ** 2).sum(1))
         self.reach = np.maximum.reduceat(off, begin) if len(begin) else off  # the largest distance of a member of each cell
+        size = np.sqrt((self.vecs**2).sum(1))
+        self.scale = float(size.max(initial=0.0)) or 1.0  # 32-bit copies are of length one at most
+        self.approx = (decode(codes[order], books) / self.scale).astype(np.float32)
+        self.vecs32 = (self.vecs / self.scale).astype(np.float32)
+        self.slack32, self.reach32 = ((z / self.scale).astype(np.float32) for z in (self.slack, ROUNDING * size))
 
     def bounds(self, q: np.ndarray) -> np.ndarray:
         """What no member of a cell can exceed: queries x cells."""
@@ -182,35 +190,51 @@ class Part:
 
     def nearest(self, q: np.ndarray, table: np.ndarray, bound: np.ndarray, own: int, k: int, rerank: int) -> tuple[np.ndarray, np.ndarray, int]:
         """Places and exact scores of the k nearest rows but the query's own, and how many rows were looked up."""
-        order = np.argsort(-bound, kind="stable")
-        enough = int(np.searchsorted(np.cumsum(self.end[order] - self.begin[order]), rerank + 1)) + 1
-        first, rest = order[:enough], order[enough:]
-        exact = lambda at: (self.vecs[at] * q).sum(1)
-        norm = float(np.sqrt((q * q).sum()))
-
-        def kth(scores: np.ndarray) -> float:
-            return float(np.partition(scores, len(scores) - k)[len(scores) - k]) if len(scores) >= k else -np.inf
-
-        at = self.members(first)
-        at = at[self.rows[at] != own]
-        score = self.looked_up(table, at)
+        return self.nearest_all(q[None], table[None], bound[None], np.array([own]), k, rerank)[0]
+
+    def nearest_all(self, qs: np.ndarray, tables: np.ndarray, bounds: np.ndarray, owns: np.ndarray, k: int, rerank: int) -> list[tuple[np.ndarray, np.ndarray, int]]:
+        """What `nearest` gives for each of some queries: the codes of all of them are scored in one matrix product, and so is the exact check of what the codes leave, in 32 bits with a bound for their rounding."""
+        norms = np.sqrt((qs * qs).sum(1))
+        exact = lambda n, at: (self.vecs[at] * qs[n]).sum(1)
+        kth = np.full(len(qs), -np.inf)
+
+        def raise_kth(n: int, scores: np.ndarray) -> None:
+            if len(scores) >= k:
+                kth[n] = max(kth[n], float(np.partition(scores, len(scores) - k)[len(scores) - k]))
+
+        for n, bound in enumerate(bounds):  # the cells with the highest bounds give a first k-th score
+            order = np.argsort(-bound, kind="stable")
+            enough = int(np.searchsorted(np.cumsum(self.end[order] - self.begin[order]), rerank + 1)) + 1
+            at = self.members(order[:enough])
+            at = at[self.rows[at] != owns[n]]
+            if len(at) > rerank:
+                at = at[np.argpartition(-self.looked_up(tables[n], at), rerank - 1)[:rerank]]
+            raise_kth(n, exact(n, at))
+        cells = np.flatnonzero((bounds >= kth[:, None]).any(0))  # the others are skipped whole
+        at = self.members(cells)
+        pick = (lambda z: z) if len(at) == len(self.ids) else (lambda z: z[at])
+        unit = (qs / norms[:, None]).astype(np.float32)
+        score = unit @ pick(self.approx).T
+        score[self.rows[at][None, :] == owns[:, None]] = -np.inf
+        slack, reach = pick(self.slack32), pick(self.reach32)
         if len(at) > rerank:
-            take = np.argpartition(-score, rerank - 1)[:rerank]
-            found, scores = at[take], exact(at[take])
-            score[take] = -np.inf
-            more = at[(score > -np.inf) & (score + norm * self.slack[at] >= kth(scores))]
-            found, scores = np.append(found, more), np.append(scores, exact(more))
-        else:
-            found, scores = at, exact(at)
-        looked = len(at)
-        after = self.members(rest[bound[rest] >= kth(scores)])
-        after = after[self.rows[after] != own]
-        if len(after):
-            looked += len(after)
-            more = after[self.looked_up(table, after) + norm * self.slack[after] >= kth(scores)]
-            found, scores = np.append(found, more), np.append(scores, exact(more))
-        best = np.lexsort((self.rows[found], self.ids[found], -scores))[:k]
-        return found[best], scores[best], looked
+            cuts = np.arange(0, len(at), -(-len(at) // rerank))
+            ends = np.append(cuts[1:], len(at))
+            best = np.stack([score[:, i:j].argmax(1) + i for i, j in zip(cuts, ends, strict=True)], 1)  # the best code of each stretch raises the k-th score further
+            for n in range(len(qs)):
+                own = at[best[n]]
+                raise_kth(n, exact(n, own[self.rows[own] != owns[n]]))
+        floor = np.where(np.isfinite(kth), kth / norms / self.scale - TINY, -np.inf).astype(np.float32)[:, None]
+        left = score + slack >= floor
+        left &= score > -np.inf
+        left &= unit @ pick(self.vecs32).T + reach >= floor
+        out = []
+        for n in range(len(qs)):
+            found = at[np.flatnonzero(left[n])]
+            scores = exact(n, found)
+            order = np.lexsort((self.rows[found], self.ids[found], -scores))[:k]
+            out.append((found[order], scores[order], len(at)))
+        return out
 
 
 def _scan(books, k: int, rerank: int):
@@ -236,10 +260,11 @@ def _scan(books, k: int, rerank: int):
                         continue
                     part, held = Part(books.value, *(np.concatenate(x) for x in zip(*held, strict=True))), []
                 tables = np.einsum("qd,bkd->qbk", vecs.astype(np.float32), books.value)
-                out = []
-                for n, bound in enumerate(part.bounds(vecs)):
-                    at, scores, _ = part.nearest(vecs[n], tables[n], bound, int(rows[n]), k, rerank)
-                    out.append((np.full(len(at), rows[n]), np.full(len(at), ids[n]), part.rows[at], part.ids[at], scores))
+                out, bounds, step = [], part.bounds(vecs), max(1, SCORES // len(part.ids))
+                for m in range(0, len(ids), step):
+                    own = slice(m, m + step)
+                    for n, (at, scores, _) in enumerate(part.nearest_all(vecs[own], tables[own], bounds[own], rows[own], k, rerank), m):
+                        out.append((np.full(len(at), rows[n]), np.full(len(at), ids[n]), part.rows[at], part.ids[at], scores))
                 yield pa.record_batch([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["query", "query_id", "row", "vec_id", "score"])
 
     return run
